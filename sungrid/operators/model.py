@@ -145,7 +145,7 @@ def forecast_next(history: DataFrame, forecast: DataFrame, *, key: Sequence[str]
         return df.join(ends, list(key)).withColumn("_h", ((us(F.col(ts)) - us(F.col("_end"))) / hour).cast("long"))
 
     past = placed(history).where((F.col("_h") > -n) & (F.col("_h") <= 0))
-    steps = ends.select(*key, "_end", F.explode(F.sequence(F.lit(2), F.lit(horizon))).cast("long").alias("_h"))
+    steps = ends.select(*key, "_end", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(horizon).cast("long"))).alias("_h"))
     known = placed(forecast).select(*key, "_h", *cols, F.lit(1).alias("_known"))
     ahead = steps.join(known, [*key, "_h"], "left").withColumn(
         ts, F.timestamp_micros(us(F.col("_end")) + F.col("_h") * hour).cast("timestamp_ntz"))

@@ -1,0 +1,356 @@
+"""Splits, scaling, baselines, forecasts and error measures."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.clean import clip, cloud_to_index, first_present, magnitude, night_below, zero_without_radiation
+from ..functions.timecols import cyclical, hour_of_day
+from ..operators import joins, metrics, model, scaling, splits, windows
+from ..operators.blocks import row_index
+from ..operators.grid import clip_to_range, common_range, resample
+from ..operators.stats import linear_fit
+from ..session import cut_lineage, shared_dir
+from ..sources.readers import forecast_rows
+from .base import E1H_SQL, KEY, P2_SQL, PAIR_SQL, R, WEEK, hourly, pairs, query, rounded, scored, table, tidy
+from .grids import N, _SEQ_SQL, sequence_input
+
+GHI_POWER_SQL = f"{PAIR_SQL}, gp AS (SELECT series_id, ts, ghi, power, temp, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL AND temp IS NOT NULL)"
+SPLIT = "CASE WHEN rn < floor(n * 0.7) THEN 'train' WHEN rn < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END"
+SPLIT_SQL = f"{GHI_POWER_SQL}, sp AS (SELECT *, {SPLIT} AS split FROM gp)"
+FIT_COLS = ["ghi", "power", "temp"]
+
+
+def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("series_id", "ts", *FIT_COLS).dropna()
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.chrono_split(_complete(spark, sf_dir), key=KEY, ts="ts", block_s=WEEK)
+
+
+@query("chrono_split", f"WITH {SPLIT_SQL} SELECT series_id, ts, rn, n, split FROM sp")
+def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("series_id", "ts", "rn", "n", "split")
+
+
+@query("holdout_split", f"WITH {GHI_POWER_SQL} SELECT series_id, ts, rn, CASE WHEN rn < n - floor(n * 0.15) THEN 'train' ELSE 'test' END AS split FROM gp")
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.holdout_split(_complete(spark, sf_dir), key=KEY, ts="ts", block_s=WEEK).select("series_id", "ts", "rn", "split")
+
+
+@query("tscv_folds", f"""WITH {GHI_POWER_SQL}, f AS (SELECT series_id, ts, rn, fold, n - (5 - fold) * (n // 6) AS start, n // 6 AS size FROM gp CROSS JOIN generate_series(0, 4) g(fold))
+  SELECT series_id, ts, rn, fold, CASE WHEN rn < start THEN 'train' ELSE 'val' END AS role FROM f WHERE rn < start + size""")
+def tscv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.expanding_folds(_complete(spark, sf_dir), key=KEY, ts="ts", k=5, block_s=WEEK).select("series_id", "ts", "rn", "fold", "role")
+
+
+@query("random_split")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return splits.random_split(li, key=["l_orderkey", "l_linenumber"])
+
+
+# --- Scaling ---------------------------------------------------------------------
+
+_PARAMS = {
+    "minmax": ("min({c})", "max({c}) - min({c})"),
+    "standard": ("avg({c})", "stddev_pop({c})"),
+    "robust": ("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
+    "none": ("0.0", "1.0"),
+}
+
+
+def _params_sql(methods: dict[str, str]) -> str:
+    cells = [f"{_PARAMS[m][0].format(c=c)} AS c_{c}, coalesce(nullif({_PARAMS[m][1].format(c=c)}, 0), 1) AS s_{c}" for c, m in methods.items()]
+    return f"{SPLIT_SQL}, pm AS (SELECT series_id, {', '.join(cells)} FROM (SELECT *, 5.0::DOUBLE AS same FROM sp) WHERE split = 'train' GROUP BY 1)"
+
+
+def _scaled_sql(methods: dict[str, str]) -> str:
+    cols = ", ".join(R(f"({c} - c_{c}) / s_{c}") + f" AS {c}" for c in methods)
+    return f"WITH {_params_sql(methods)} SELECT series_id, ts, split, {cols} FROM (SELECT *, 5.0::DOUBLE AS same FROM sp) JOIN pm USING (series_id)"
+
+
+def _scaled(spark: SparkSession, sf_dir: str, methods: dict[str, str]) -> DataFrame:
+    rows = _split(spark, sf_dir).withColumn("same", F.lit(5.0))  # a column that does not vary
+    params = scaling.fit(rows.where("split = 'train'"), methods, key=KEY)
+    return tidy(scaling.transform(rows, params, list(methods), key=KEY).select("series_id", "ts", "split", *methods))
+
+
+_ALL = [*FIT_COLS, "same"]
+
+
+@query("scale_minmax", _scaled_sql({c: "minmax" for c in _ALL}))
+def scale_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, {c: "minmax" for c in _ALL})
+
+
+@query("scale_standard", _scaled_sql({c: "standard" for c in _ALL}))
+def scale_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, {c: "standard" for c in _ALL})
+
+
+@query("scale_robust", _scaled_sql({c: "robust" for c in _ALL}))
+def scale_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, {c: "robust" for c in _ALL})
+
+
+_MIXED = {"ghi": "minmax", "power": "robust", "temp": "standard", "same": "none"}
+
+
+@query("scale_by_group", _scaled_sql(_MIXED))
+def scale_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, _MIXED)
+
+
+@query("scale_inverse", f"WITH {SPLIT_SQL} SELECT series_id, ts, {rounded('ghi', 'power', 'temp')} FROM sp")
+def scale_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _split(spark, sf_dir)
+    params = scaling.fit(rows.where("split = 'train'"), {c: _MIXED[c] for c in FIT_COLS}, key=KEY)
+    there = scaling.transform(rows, params, FIT_COLS, key=KEY)
+    return tidy(scaling.transform(there, params, FIT_COLS, key=KEY, inverse=True).select("series_id", "ts", *FIT_COLS))
+
+
+@query("latest_params", f"""SELECT l_returnflag AS series_id, feature, '2001' AS version, 'minmax' AS method, {R('min(x)')} AS center, {R('max(x) - min(x)')} AS scale FROM
+  (SELECT l_returnflag, l_shipdate, 'l_quantity' AS feature, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, l_shipdate, 'l_extendedprice', l_extendedprice FROM lineitem) WHERE year(l_shipdate) <= 2001 GROUP BY 1, 2""")
+def latest_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, path = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "series_id"), shared_dir(spark)
+    for year in (1998, 2001):  # two fits, on growing data
+        params = scaling.fit(li.where(F.year("l_shipdate") <= year), {"l_quantity": "minmax", "l_extendedprice": "minmax"}, key=KEY)
+        scaling.save(params, path, str(year))
+    stored = spark.read.schema("series_id string, feature string, method string, center double, scale double, version string").parquet(path)
+    return tidy(scaling.latest(stored, key=KEY))
+
+
+# --- Baselines -------------------------------------------------------------------
+
+_DARK = 60.0
+
+
+@query("linreg_baseline", f"""WITH {SPLIT_SQL}, f AS (SELECT series_id, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM sp WHERE split = 'train' GROUP BY 1)
+  SELECT series_id, ts, {R('power')} AS power, {R(f'CASE WHEN ghi < {_DARK} THEN 0 ELSE greatest(intercept + slope * ghi, 0) END')} AS y_pred FROM sp JOIN f USING (series_id) WHERE split = 'test'""")
+def linreg_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = model.linear_baseline(_split(spark, sf_dir), key=KEY, x="ghi", y="power", ghi="ghi", dark_below=_DARK)
+    return tidy(out.select("series_id", "ts", "power", "y_pred"))
+
+
+@query("linreg_multi", f"""WITH {SPLIT_SQL}, c AS (SELECT avg(ghi) AS ma, avg(temp) AS mb, avg(power) AS my, var_pop(ghi) AS aa, var_pop(temp) AS bb, covar_pop(ghi, temp) AS ab, covar_pop(ghi, power) AS ay, covar_pop(temp, power) AS byy FROM sp WHERE split = 'train'),
+  w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c)
+  SELECT series_id, ts, {R('power')} AS power, {R('my + wa * (ghi - ma) + wb * (temp - mb)', 4)} AS y_pred FROM sp CROSS JOIN w WHERE split = 'test'""")
+def linreg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _split(spark, sf_dir)
+    fitted = model.fit_linear(rows.where("split = 'train'"), features=["ghi", "temp"], y="power")
+    return tidy(fitted.transform(rows.where("split = 'test'")).select("series_id", "ts", "power", "y_pred"), 6, y_pred=4)
+
+
+@query("zero_radiation_rule", f"WITH {P2_SQL} SELECT series_id, ts, {R('y_pred')} AS y_pred, {R(f'CASE WHEN ghi < {_DARK} THEN -0.5 ELSE y_pred END')} AS y_post FROM p2")
+def zero_radiation_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = zero_without_radiation(F.col("y_pred"), F.col("ghi"), _DARK, zero=-0.5)
+    return tidy(scored(spark, sf_dir).select("series_id", "ts", "y_pred", post.alias("y_post")))
+
+
+def _windows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    seq = windows.sequences(sequence_input(spark, sf_dir), key=KEY, index="i", ts="ts", features=["ghi", "temp"], target="power", n=n, next_step=True, rows=256)
+    return splits.chrono_split(seq, key=KEY, ts="target_ts", block_s=WEEK)
+
+
+def _regressor(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = cut_lineage(_windows(spark, sf_dir, 6))  # a fit reads its rows many times
+    flat = windows.flatten("x", ["ghi", "temp"])
+    fitted = model.fit_on_windows(rows.where("split = 'train'"), flat, kind=kind)
+    out = model.predict_on_windows(fitted, rows.where("split = 'test'"), flat)
+    return out.select("series_id", "target_ts", "y", F.greatest("y_pred", F.lit(0.0)).alias("y_pred"))
+
+
+@query("sequence_regressor")
+def sequence_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regressor(spark, sf_dir, "linear")
+
+
+@query("sequence_regressor_trees")
+def sequence_regressor_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regressor(spark, sf_dir, "trees")
+
+
+PENALTIES = [0.0, 10.0, 100.0, 1000.0, 10_000.0]
+_RIDGE_SQL = f"""{GHI_POWER_SQL}, fo AS (SELECT series_id, fold, rn < n - (5 - fold) * (n // 6) AS tr, ghi AS x, power AS y FROM gp CROSS JOIN generate_series(0, 4) g(fold) WHERE rn < n - (5 - fold) * (n // 6) + n // 6),
+  m AS (SELECT series_id, fold, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, covar_pop(x, y) AS sxy FROM fo WHERE tr GROUP BY 1, 2),
+  b AS (SELECT series_id, fold, penalty, sxy / (sxx + penalty) AS slope, my - sxy / (sxx + penalty) * mx AS intercept FROM m CROSS JOIN (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in PENALTIES)}]) AS penalty)),
+  l AS (SELECT series_id, fold, penalty, avg(pow(y - intercept - slope * x, 2)) AS loss FROM fo JOIN b USING (series_id, fold) WHERE NOT tr GROUP BY 1, 2, 3),
+  sc AS (SELECT series_id, penalty, avg(loss) AS mean_loss, count(*) AS n_folds FROM l GROUP BY 1, 2)"""
+
+
+def _search(spark: SparkSession, sf_dir: str, features: list[str]) -> DataFrame:
+    return model.ridge_search(_complete(spark, sf_dir), key=KEY, ts="ts", features=features, y="power", penalties=PENALTIES, k=5, block_s=WEEK)
+
+
+@query("cv_losses", f"WITH {_RIDGE_SQL} SELECT series_id, {R('penalty')} AS penalty, {R('mean_loss', 4)} AS mean_loss, n_folds FROM sc")
+def cv_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(_search(spark, sf_dir, ["ghi"]), 6, mean_loss=4)
+
+
+@query("cv_search", f"WITH {_RIDGE_SQL} SELECT series_id, {R('penalty')} AS penalty, {R('mean_loss', 4)} AS mean_loss FROM sc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mean_loss, penalty) = 1")
+def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(model.best_config(_search(spark, sf_dir, ["ghi"]), key=KEY, loss="mean_loss", config=["penalty"]), 6, mean_loss=4)
+
+
+@query("cv_search_multi")
+def cv_search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.best_config(_search(spark, sf_dir, ["ghi", "temp"]), key=KEY, loss="mean_loss", config=["penalty"])
+
+
+@query("ensemble_mean", f"""WITH {GHI_POWER_SQL}, f AS (SELECT series_id, fold, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM gp CROSS JOIN generate_series(0, 4) g(fold)
+    WHERE rn < n - (5 - fold) * (n // 6) GROUP BY 1, 2)
+  SELECT series_id, ts, {R('avg(CASE WHEN ghi < 60 THEN 0 ELSE greatest(intercept + slope * ghi, 0) END)')} AS y_pred, count(*) AS n_models FROM gp JOIN f USING (series_id) WHERE rn >= n - floor(n * 0.15) GROUP BY 1, 2""")
+def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _complete(spark, sf_dir)
+    folds = splits.expanding_folds(rows, key=KEY, ts="ts", k=5, block_s=WEEK).where("role = 'train'")
+    fits = linear_fit(folds, key=["series_id", "fold"], x="ghi", y="power")
+    final = splits.holdout_split(rows, key=KEY, ts="ts", block_s=WEEK).where("split = 'test'")
+    raw = model.predict_line(final, fits.select("series_id", "fold", "slope", "intercept"), key=KEY, x="ghi", name="_raw")
+    preds = raw.withColumn("y_pred", zero_without_radiation(clip(F.col("_raw"), low=0), F.col("ghi"), 60.0))
+    return tidy(model.ensemble_mean(preds, key=["series_id", "ts"]))
+
+
+# --- Forecasts -------------------------------------------------------------------
+
+_H = 12
+
+
+@query("forecast_24h", f"""WITH {PAIR_SQL}, e AS (SELECT series_id, max(ts) - INTERVAL 24 HOUR AS t0 FROM pair GROUP BY 1),
+  hs AS (SELECT series_id, ts, t0, date_diff('hour', t0, ts) AS h, coalesce(ghi, 0) AS ghi, coalesce(temp, 0) AS temp, (coalesce(ghi, 0) < 10)::INT AS night FROM pair JOIN e USING (series_id) WHERE ts <= t0 AND ts > t0 - INTERVAL {_H} HOUR),
+  fs AS (SELECT series_id, ts, t0, date_diff('hour', t0, ts) AS h, ghi, temp, (ghi < 10)::INT AS night FROM pair JOIN e USING (series_id) WHERE ts > t0 + INTERVAL 1 HOUR AND ghi IS NOT NULL AND temp IS NOT NULL),
+  st AS (SELECT series_id, t0 + h * INTERVAL 1 HOUR AS ts, t0, h FROM e CROSS JOIN generate_series(2, 24) g(h)),
+  al AS (SELECT * FROM hs UNION ALL SELECT st.series_id, st.ts, st.t0, st.h, f.ghi, f.temp, f.night FROM st LEFT JOIN fs f USING (series_id, h)),
+  fl AS (SELECT series_id, ts, t0, h, last_value(ghi IGNORE NULLS) OVER u AS ghi, last_value(temp IGNORE NULLS) OVER u AS temp, last_value(night IGNORE NULLS) OVER u AS night FROM al WINDOW u AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  wn AS (SELECT series_id, t0, h, night, count(*) OVER w AS c, avg(ghi + 0.5 * temp) OVER w + 10 * cos(2 * pi() * hour(ts) / 24) - 5 AS score FROM fl WINDOW w AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN {_H - 1} PRECEDING AND CURRENT ROW))
+  SELECT series_id, t0 + greatest(h, 1) * INTERVAL 1 HOUR AS ts, CASE WHEN h = 0 THEN 1 ELSE h END AS hour_ahead, {R('CASE WHEN night = 1 THEN 0 ELSE greatest(score, 0) END')} AS power_w FROM wn WHERE h >= 0 AND c = {_H}""")
+def forecast_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).select("series_id", "ts", "ghi", "temp")
+    ends = rows.groupBy("series_id").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("_t0"))
+    placed = rows.join(ends, "series_id")
+    history = placed.where(F.col("ts") <= F.col("_t0")).drop("_t0").fillna(0.0)
+    ahead = placed.where(F.col("ts") > F.col("_t0")).drop("_t0").dropna()
+    dark = lambda df: df.withColumn("is_night", night_below(F.col("ghi"), 10))
+    timed = lambda ts: dict(zip(("hour_sin", "hour_cos"), cyclical(F.hour(ts).cast("double"), 24.0)))
+
+    def score(x):
+        """A fixed linear scorer: any model over the window fits here."""
+        level = F.aggregate(F.transform(x, lambda r: r["ghi"] + 0.5 * r["temp"]), F.lit(0.0), lambda a, b: a + b) / _H
+        return level + 10 * F.element_at(x, -1)["hour_cos"] - 5
+
+    out = model.forecast_next(dark(history), dark(ahead), key=KEY, ts="ts", features=["ghi", "temp"], night="is_night", n=_H, score=score, timed=timed)
+    return tidy(out)
+
+
+@query("forecast_features", f"""WITH {E1H_SQL}, d AS (SELECT series_id, ts, ts::DATE AS day, v_sum, coalesce(v_mean, 0) AS u10m, coalesce(v_last, 0) AS v10m, v_max / 600 AS tcc, coalesce((v_sum - lag(v_sum) OVER (PARTITION BY series_id, ts::DATE ORDER BY ts)) / 3600, 0) AS rate FROM e1h),
+  f AS (SELECT series_id, ts, rate AS ghi, sqrt(u10m * u10m + v10m * v10m) AS wind, coalesce(1 - tcc, 0.5) AS csi FROM d),
+  p AS (SELECT series_id, min(ghi) AS c_ghi, max(ghi) - min(ghi) AS s_ghi, avg(wind) AS c_wind, stddev_pop(wind) AS s_wind, avg(csi) AS c_csi, stddev_pop(csi) AS s_csi FROM f GROUP BY 1)
+  SELECT series_id, ts, {R('(ghi - c_ghi) / s_ghi')} AS ghi, {R('(wind - c_wind) / s_wind')} AS wind, {R('(csi - c_csi) / s_csi')} AS csi,
+  {R(f'sin((hour(ts) + minute(ts) / 60.0) * {2 * math.pi / 24!r})')} AS hour_sin, {R(f'cos((hour(ts) + minute(ts) / 60.0) * {2 * math.pi / 24!r})')} AS hour_cos FROM f JOIN p USING (series_id)""")
+def forecast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A forecast document per series and day; radiation is accumulated within it.
+    hours = hourly(spark, sf_dir).select(
+        "series_id", "ts", F.col("v_sum").alias("grad"), F.coalesce("v_mean", F.lit(0.0)).alias("u10m"),
+        F.coalesce("v_last", F.lit(0.0)).alias("v10m"), (F.col("v_max") / 600).alias("tcc"))
+    params = ["grad", "u10m", "v10m", "tcc"]
+    steps = F.sort_array(F.collect_list(F.struct("ts", *params)))
+    docs = hours.groupBy("series_id", F.to_date("ts").alias("day")).agg(steps.alias("s"))
+    field = lambda name: F.transform("s", lambda r: r[name])
+    data = [F.struct(field(p).alias("data")).alias(p) for p in params]
+    times = F.transform("s", lambda r: F.date_format(r["ts"], "yyyy-MM-dd'T'HH:mm'+00:00'")).alias("timestamps")
+    feature = F.struct(F.struct(F.struct(*data).alias("parameters")).alias("properties"))
+    docs = docs.select("series_id", "day", F.to_json(F.struct(times, F.array(feature).alias("features")), {"ignoreNullFields": "false"}).alias("doc"))
+    rows = forecast_rows(docs, document=F.col("doc"), params=params, keep=["series_id", "day"])
+    rows = windows.deaccumulate(rows, key=["series_id", "day"], ts="ts", col="grad", name="poa_global", block_s=WEEK)
+    hour_sin, hour_cos = cyclical(hour_of_day(F.col("ts")), 24.0)
+    feats = rows.select("series_id", "ts", first_present(rows, ["ghi", "poa_global"]).alias("ghi"), magnitude(F.col("u10m"), F.col("v10m")).alias("wind"),
+                        cloud_to_index(F.col("tcc")).alias("csi"), hour_sin.alias("hour_sin"), hour_cos.alias("hour_cos"))
+    scaled = scaling.fit(feats, {"ghi": "minmax", "wind": "standard", "csi": "standard"}, key=KEY)
+    return tidy(scaling.transform(feats, scaled, ["ghi", "wind", "csi"], key=KEY))
+
+
+# --- Error measures --------------------------------------------------------------
+
+Y, P = F.col, F.col
+_Y0 = "CASE WHEN rn % 10 = 0 THEN 0 ELSE y_true END"
+_P0 = "CASE WHEN rn % 20 = 0 THEN 0 ELSE y_pred END"
+_ZERO_SQL = f"{P2_SQL}, z AS (SELECT series_id, {_Y0} AS y, {_P0} AS p FROM p2)"
+
+
+def _with_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows where some actuals, and some of their predictions, are zero."""
+    rows = scored(spark, sf_dir)
+    return rows.select("series_id", F.when(F.col("rn") % 10 == 0, 0.0).otherwise(F.col("y_true")).alias("y"),
+                       F.when(F.col("rn") % 20 == 0, 0.0).otherwise(F.col("y_pred")).alias("p"))
+
+
+def _measured(spark: SparkSession, sf_dir: str, measure, digits: int = 6, **special: int) -> DataFrame:
+    return tidy(metrics.measure(_with_zeros(spark, sf_dir), measure(F.col("y"), F.col("p")), group=KEY), digits, **special)
+
+
+@query("metrics_basic", f"""WITH {_ZERO_SQL} SELECT series_id, count(*) AS n, {R('avg((y - p) * (y - p))')} AS mse, {R('sqrt(avg((y - p) * (y - p)))')} AS rmse, {R('avg(abs(y - p))')} AS mae,
+  {R('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS r2 FROM z GROUP BY 1""")
+def metrics_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, metrics.basic)
+
+
+@query("metrics_pearson_r2", f"WITH {_ZERO_SQL} SELECT series_id, {R('pow(corr(y, p), 2)')} AS pearson_r2 FROM z GROUP BY 1")
+def metrics_pearson_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, metrics.pearson_r2)
+
+
+@query("metrics_mape", f"""WITH {_ZERO_SQL} SELECT series_id, {R('avg(CASE WHEN abs(y) > 1e-8 THEN abs(y - p) / abs(y) ELSE 0 END) * 100')} AS mape_zero_as_none, {R('avg(abs((y - p) / (y + 1e-8))) * 100', 0)} AS mape_eps,
+  {R('avg(abs(y - p) / abs(y)) FILTER (y <> 0) * 100')} AS mape_skip_zero, {R('avg(abs(y - p) / nullif(abs(y), 0)) * 100')} AS mape_raw FROM z GROUP BY 1""")
+def metrics_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, metrics.mape, 6, mape_eps=0)
+
+
+@query("metrics_smape", f"""WITH {_ZERO_SQL}, s AS (SELECT series_id, abs(p - y) AS g, abs(y) + abs(p) AS t FROM z) SELECT series_id, {R('avg(2 * g / (t + 1e-8)) * 100')} AS smape_eps,
+  {R('avg(g / CASE WHEN t = 0 THEN 1 ELSE t / 2 END) * 100')} AS smape_half, {R('avg(2 * g / t) FILTER (t <> 0) * 100')} AS smape_skip_zero, {R('avg(g / nullif(t, 0)) * 200')} AS smape_raw FROM s GROUP BY 1""")
+def metrics_smape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, metrics.smape)
+
+
+@query("metrics_relative", f"""WITH {_ZERO_SQL} SELECT series_id, {R('sqrt(avg((y - p) * (y - p))) / avg(y) * 100')} AS rmse_pct, {R('avg((y - p) * (y - p)) / avg(y) * 100')} AS mse_pct, {R('avg(abs(y - p)) / avg(y) * 100')} AS mae_pct FROM z GROUP BY 1""")
+def metrics_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, metrics.relative)
+
+
+@query("threshold_curve", f"""WITH {P2_SQL}, e AS (SELECT series_id, least(min(y_true), min(y_pred)) AS lo, greatest(max(y_true), max(y_pred)) AS hi FROM p2 GROUP BY 1),
+  t AS (SELECT series_id, g.step, lo + g.step * ((hi - lo) / 99.0) AS threshold FROM e CROSS JOIN generate_series(0, 99) g(step)),
+  c AS (SELECT series_id, step, threshold, count(*) AS n, count(*) FILTER (y_true > threshold) AS pos, count(*) FILTER (y_pred > threshold) AS said, count(*) FILTER (y_true > threshold AND y_pred > threshold) AS tp FROM t JOIN p2 USING (series_id) GROUP BY 1, 2, 3)
+  SELECT series_id, step, {R('threshold')} AS threshold, {R('CASE WHEN said IN (0, n) THEN 1.0 ELSE tp / pos END')} AS tpr, {R('CASE WHEN said IN (0, n) THEN 1.0 ELSE (said - tp) / (n - pos) END')} AS fpr FROM c WHERE pos > 0 AND pos < n""")
+def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(metrics.threshold_curve(scored(spark, sf_dir), key=KEY, y="y_true", pred="y_pred"))
+
+
+@query("model_vs_actual", f"""WITH {P2_SQL}, m AS (SELECT series_id, ts + INTERVAL 20 MINUTE AS ts, y_pred FROM p2 WHERE rn >= 5), a AS (SELECT series_id, ts, y_true FROM p2 WHERE rn < n - 5),
+  s AS (SELECT series_id, greatest(x.lo, y.lo) AS lo, least(x.hi, y.hi) AS hi FROM (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM m GROUP BY 1) x JOIN (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM a GROUP BY 1) y USING (series_id)),
+  mh AS (SELECT series_id, date_trunc('hour', ts) AS ts, avg(y_pred) AS p FROM m JOIN s USING (series_id) WHERE ts BETWEEN lo AND hi GROUP BY 1, 2), ah AS (SELECT series_id, date_trunc('hour', ts) AS ts, avg(y_true) AS y FROM a JOIN s USING (series_id) WHERE ts BETWEEN lo AND hi GROUP BY 1, 2)
+  SELECT series_id, count(*) AS n, {R('sqrt(avg((y - p) * (y - p)))')} AS rmse, {R('pow(corr(y, p), 2)')} AS pearson_r2, {R('avg(abs(y - p) / abs(y)) FILTER (y <> 0) * 100')} AS mape_skip_zero, {R('avg(2 * abs(y - p) / (abs(y) + abs(p))) FILTER (abs(y) + abs(p) <> 0) * 100')} AS smape_skip_zero
+  FROM mh JOIN ah USING (series_id, ts) GROUP BY 1""")
+def model_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The model runs 20 minutes late and starts and ends elsewhere than the readings.
+    rows = scored(spark, sf_dir)
+    predicted = rows.where(F.col("rn") >= 5).select("series_id", (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("ts"), F.col("y_pred").alias("p"))
+    actual = rows.where(F.col("rn") < F.col("n") - 5).select("series_id", "ts", F.col("y_true").alias("y"))
+    span = common_range(predicted, actual, key=KEY, ts="ts")
+    hours = [resample(clip_to_range(df, span, key=KEY, ts="ts"), key=KEY, ts="ts", step_s=3600, aggs={c: (c, "mean")}, empty_bins=False) for df, c in ((predicted, "p"), (actual, "y"))]
+    both = hours[0].join(hours[1], ["series_id", "ts"])
+    y, p = F.col("y"), F.col("p")
+    keep = {**metrics.basic(y, p), **metrics.pearson_r2(y, p), **metrics.mape(y, p), **metrics.smape(y, p)}
+    wanted = ("n", "rmse", "pearson_r2", "mape_skip_zero", "smape_skip_zero")
+    return tidy(metrics.measure(both, {k: keep[k] for k in wanted}, group=KEY))
+
+
+@query("rank_configs", f"""WITH {P2_SQL}, c AS (SELECT 'beta_' || k AS config_id, y_true AS y, y_pred * k / 10.0 AS p FROM p2 CROSS JOIN generate_series(8, 12) g(k)),
+  m AS (SELECT config_id, count(*) AS n, avg((y - p) * (y - p)) AS mse, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM c GROUP BY 1)
+  SELECT config_id, n, {rounded('mse', 'rmse', 'mae', 'r2')}, rank() OVER (ORDER BY rmse) AS place, (rank() OVER (ORDER BY rmse) = 1)::BIGINT AS is_best FROM m""")
+def rank_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each scored row under five settings of the slope.
+    rows = scored(spark, sf_dir).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(8, 13)])))
+    rows = rows.select(F.concat(F.lit("beta_"), F.col("k").cast("string")).alias("config_id"), "y_true", (F.col("y_pred") * F.col("k") / 10).alias("y_pred"))
+    return tidy(metrics.rank_configs(rows, config="config_id", y="y_true", pred="y_pred"))
