@@ -49,7 +49,8 @@ def parse_ts(text: Column, fmt: str) -> Column:
 
 
 def utc_to_local(ts: Column, zone: str) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
+    # Unlike convert_timezone, this looks a literal zone up once and not per row.
+    return F.from_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz")
 
 
 def local_to_utc(ts: Column, zone: str) -> Column:
@@ -59,7 +60,7 @@ def local_to_utc(ts: Column, zone: str) -> Column:
     time does not come back from the round trip, and a fold time has a second
     instant one hour away that shows the same wall clock.
     """
-    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    utc = F.to_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz")
     back = utc_to_local(utc, zone)
     later = utc_to_local(utc + F.expr("INTERVAL 1 HOUR"), zone)
     earlier = utc_to_local(utc - F.expr("INTERVAL 1 HOUR"), zone)

@@ -36,10 +36,32 @@ def _over_blocks(key: Sequence[str]) -> WindowSpec:
     return W.partitionBy(*key).orderBy(BLOCK)
 
 
-def _local(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
+def _local(key: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return W.partitionBy(*key, BLOCK).orderBy(*order)
 
 
+# A frame that ends at the last row is computed anew for each row. Walking the
+# other way, the same rows come before the current one and one pass is enough.
+def _from_end(parts: Sequence[str], order: str, *more: Column) -> WindowSpec:
+    return W.partitionBy(*parts).orderBy(F.desc(order), *more)
+
+
+def block_seconds(df: DataFrame, *, key: Sequence[str], ts: str, rows: int = 1_000_000, longest: int = 30 * DAY) -> int:
+    """Block width at which the densest stretch of any series has about ``rows`` rows.
+
+    For readings at irregular times, whose density is not known beforehand: two
+    aggregates over (key, time), of which one number reaches the driver.
+    """
+    us = micros(F.col(ts))
+    span = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    if span is None or span["lo"] is None:
+        return longest
+    piece = max(SECOND, (span["hi"] - span["lo"]) // 1024)
+    counts = df.groupBy(*key, F.floor(us / F.lit(piece)).alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    densest = counts.agg(F.max("_n").alias("n")).first()["n"]
+    return int(min(longest, max(1, piece * rows // (densest * SECOND))))
+
+
 def row_index(df: DataFrame, *, key: Sequence[str], ts: str, tie: Sequence[str] = (), block_s: int = DAY,
               name: str = "rn", total: str | None = None) -> DataFrame:
     """Chronological row number from 0 within each series, and its row count."""
@@ -84,11 +106,14 @@ def previous_row(df: DataFrame, *, key: Sequence[str], ts: str, cols: dict[str,
     return out.drop(BLOCK, *[f"_c_{c}" for c in cols])
 
 
-def neighbours(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str], block_s: int = DAY) -> DataFrame:
+def neighbours(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str], block_s: int = DAY,
+               mark: str | None = None) -> DataFrame:
     """Nearest known value at or before, and at or after, each row.
 
     Adds ``prev_<c>``, ``prev_<c>_ts``, ``next_<c>`` and ``next_<c>_ts`` for each
-    column, reaching over gaps of any length. Rows of a series need unique times.
+    column, reaching over gaps of any length. Rows of a series need unique times;
+    with ``mark``, a row that has this column set may share the time of one that
+    does not, and sees its value from both sides.
     """
     blocked = with_block(df, ts, block_s)
 
@@ -103,22 +128,23 @@ def neighbours(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str
         ]
     edges = blocked.groupBy(*key, BLOCK).agg(*aggs)
     past = _over_blocks(key).rowsBetween(W.unboundedPreceding, -1)
-    future = _over_blocks(key).rowsBetween(1, W.unboundedFollowing)
+    future = _from_end(key, BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for c in cols:
         carried += [F.last(f"_l{x}_{c}", ignorenulls=True).over(past).alias(f"_p{x}_{c}") for x in "vt"]
-        carried += [F.first(f"_f{x}_{c}", ignorenulls=True).over(future).alias(f"_n{x}_{c}") for x in "vt"]
+        carried += [F.last(f"_f{x}_{c}", ignorenulls=True).over(future).alias(f"_n{x}_{c}") for x in "vt"]
     edges = edges.select(*key, BLOCK, *carried)
 
-    up_to = _local(key, [ts]).rowsBetween(W.unboundedPreceding, 0)
-    from_here = _local(key, [ts]).rowsBetween(0, W.unboundedFollowing)
+    unmarked_first = [F.col(mark).asc_nulls_first()] if mark else []
+    up_to = _local(key, [ts, *unmarked_first]).rowsBetween(W.unboundedPreceding, 0)
+    from_here = _from_end([*key, BLOCK], ts, *unmarked_first).rowsBetween(W.unboundedPreceding, 0)
     out = blocked.join(edges, [*key, BLOCK])
     found = {}
     for c in cols:
         found[f"prev_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(up_to), F.col(f"_pv_{c}"))
         found[f"prev_{c}_ts"] = F.coalesce(F.last(seen_at(c), ignorenulls=True).over(up_to), F.col(f"_pt_{c}"))
-        found[f"next_{c}"] = F.coalesce(F.first(c, ignorenulls=True).over(from_here), F.col(f"_nv_{c}"))
-        found[f"next_{c}_ts"] = F.coalesce(F.first(seen_at(c), ignorenulls=True).over(from_here), F.col(f"_nt_{c}"))
+        found[f"next_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(from_here), F.col(f"_nv_{c}"))
+        found[f"next_{c}_ts"] = F.coalesce(F.last(seen_at(c), ignorenulls=True).over(from_here), F.col(f"_nt_{c}"))
     return out.withColumns(found).drop(BLOCK, *[f"_{d}{x}_{c}" for c in cols for d in "pn" for x in "vt"])
 
 

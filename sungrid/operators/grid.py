@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timecols import SECOND, ceil_ts, floor_ts, from_micros, micros, utc_to_local
+from ..session import cut_lineage
 from .blocks import DAY, neighbours, previous_row, running_sum
 
 SPINE_CHUNK = 4096  # grid steps made from one chunk row
@@ -73,7 +74,7 @@ def resample(df: DataFrame, *, key: Sequence[str], ts: str, step_s: int, aggs: d
 def resample_from_start(df: DataFrame, *, key: Sequence[str], ts: str, step_s: int,
                         aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """As ``resample``, with bins counted from the first time of each series."""
-    starts = df.groupBy(*key).agg(micros(F.min(ts)).alias("_start"), micros(F.max(ts)).alias("_end"))
+    starts = cut_lineage(df.groupBy(*key).agg(micros(F.min(ts)).alias("_start"), micros(F.max(ts)).alias("_end")))
     step = F.lit(step_s * SECOND)
     rows = df.join(starts.select(*key, "_start"), list(key))
     rows = rows.select(*df.columns, floor_ts(F.col(ts), step_s, F.col("_start")).alias("_bin"))
@@ -93,8 +94,7 @@ def place_on_grid(df: DataFrame, grid: DataFrame, *, key: Sequence[str], ts: str
     """
     marked = grid.select(*key, ts, F.lit(1).alias("_g"))
     rows = df.select(*key, ts, *cols).unionByName(marked, allowMissingColumns=True)
-    merged = rows.groupBy(*key, ts).agg(*[F.max(c).alias(c) for c in cols], F.max("_g").alias("_g"))
-    return neighbours(merged, key=key, ts=ts, cols=cols, block_s=block_s).where("_g = 1").drop("_g")
+    return neighbours(rows, key=key, ts=ts, cols=cols, block_s=block_s, mark="_g").where("_g = 1").drop("_g")
 
 
 def _gap(later: Column, earlier: Column) -> Column:
@@ -151,7 +151,7 @@ def common_range(left: DataFrame, right: DataFrame, *, key: Sequence[str], ts: s
 
 
 def clip_to_range(df: DataFrame, span: DataFrame, *, key: Sequence[str], ts: str) -> DataFrame:
-    return df.join(span, list(key)).where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return df.join(cut_lineage(span), list(key)).where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def impute_range(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str], ts: str, target: str, driver: str,
@@ -163,7 +163,7 @@ def impute_range(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str],
     local_day = F.to_date(utc_to_local(F.col(ts), zone))
     hit = local_day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")) & F.col(driver).isNotNull()
     line = F.greatest(F.col("intercept") + F.col("slope") * F.col(driver), F.lit(0.0))
-    out = df.join(coefficients.select(*key, "intercept", "slope"), list(key), "left")
+    out = df.join(cut_lineage(coefficients.select(*key, "intercept", "slope")), list(key), "left")
     hit = hit & F.col("slope").isNotNull()
     return out.withColumns({
         target: F.when(hit, line).otherwise(F.col(target)),
@@ -201,7 +201,7 @@ def daily_energy(df: DataFrame, *, key: Sequence[str], ts: str, energy: str) ->
 
 
 def trim_to_first_positive(df: DataFrame, *, key: Sequence[str], ts: str, value: str) -> DataFrame:
-    first = df.where(F.col(value) > 0).groupBy(*key).agg(F.min(ts).alias("first_positive"))
+    first = cut_lineage(df.where(F.col(value) > 0).groupBy(*key).agg(F.min(ts).alias("first_positive")))
     return df.join(first, list(key)).where(F.col(ts) >= F.col("first_positive"))
 
 

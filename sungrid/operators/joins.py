@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.timecols import micros
+from ..session import cut_lineage
 from .blocks import DAY
 from .grid import reindex_nearest
 
@@ -34,11 +35,12 @@ def asof_nearest(left: DataFrame, right: DataFrame, grid: DataFrame, *, key: Seq
 
 
 def keep_days(df: DataFrame, days: DataFrame, *, day: str) -> DataFrame:
-    return df.join(days.select(day), day, "left_semi")
+    """Rows of the listed days; a list of days is broadcast by its written size."""
+    return df.join(cut_lineage(days.select(day)), day, "left_semi")
 
 
 def drop_days(df: DataFrame, days: DataFrame, *, day: str) -> DataFrame:
-    return df.join(days.select(day), day, "left_anti")
+    return df.join(cut_lineage(days.select(day)), day, "left_anti")
 
 
 def compare_results(a: DataFrame, b: DataFrame, *, on: Sequence[str], value: str) -> DataFrame:

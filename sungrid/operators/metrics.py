@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 EPS = 1e-8
 
 
@@ -73,7 +75,7 @@ def threshold_curve(df: DataFrame, *, key: Sequence[str], y: str, pred: str, n:
     one class are skipped; one where all predictions agree has both rates 1.
     """
     known = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(*key, y, pred)
-    ends = known.groupBy(*key).agg(F.min(F.least(y, pred)).alias("_lo"), F.max(F.greatest(y, pred)).alias("_hi"))
+    ends = cut_lineage(known.groupBy(*key).agg(F.min(F.least(y, pred)).alias("_lo"), F.max(F.greatest(y, pred)).alias("_hi")))
 
     def threshold(i: Column) -> Column:
         return F.col("_lo") + i * ((F.col("_hi") - F.col("_lo")) / F.lit(float(n - 1)))

@@ -14,13 +14,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import clip, zero_without_radiation
+from ..session import cut_lineage
 from .blocks import DAY, row_index
 from .stats import linear_fit
 
 
 def predict_line(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str], x: str, name: str) -> DataFrame:
     """Add ``intercept + slope * x`` with the coefficients of the row's series."""
-    lines = coefficients.select(*key, "slope", "intercept")
+    lines = cut_lineage(coefficients.select(*key, "slope", "intercept"))
     return df.join(lines, list(key)).withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
 
 
@@ -137,7 +138,7 @@ def forecast_next(history: DataFrame, forecast: DataFrame, *, key: Sequence[str]
     found before anything is shuffled by series.
     """
     cols = [*features, night]
-    ends = history.groupBy(*key).agg(F.max(ts).alias("_end"))
+    ends = cut_lineage(history.groupBy(*key).agg(F.max(ts).alias("_end")))
     hour = F.lit(3600 * 1_000_000)
     us = lambda c: F.unix_micros(c.cast("timestamp"))
 

@@ -2,38 +2,54 @@
 
 Equal values are first counted together, so a value that makes up a large share
 of the rows is one row from there on. Distinct values are spread over buckets by
-approximate quantile bounds; a bucket's rank base is the prefix sum of the
-bucket counts. The bounds only balance the work: ranks are exact whatever they
-are.
+approximate quantile bounds, as many as the group's rows fill; a bucket's rank
+base is the prefix sum of the bucket counts. The bounds only balance the work:
+ranks are exact whatever they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKET_BITS = 7  # 2^7 buckets per group
+from ..session import cut_lineage
+
+BUCKET_BITS = 10  # at most 2^bits buckets per group
+BUCKET_ROWS = 250_000  # rows that fill a bucket
 
 
 def _bucket(value: Column, bounds: Column, bits: int) -> Column:
     """How many bounds are below ``value``, by binary search in the sorted array."""
     jumps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-    return F.aggregate(
+    found = F.aggregate(
         jumps, F.lit(0),
         lambda at, jump: F.when(F.get(bounds, at + jump - 1) < value, at + jump).otherwise(at),
     )
+    # Never NULL, and Spark can see it: else a join on it computes it twice to filter NULLs.
+    return F.coalesce(found, F.lit(0))
+
+
+def _bounds(known: DataFrame, value: str, group: Sequence[str], bits: int, bucket_rows: int) -> DataFrame:
+    """Bucket bounds per group, as many as its rows fill; a small group has none."""
+    most = 1 << bits
+    shares = F.expr(f"array({', '.join(f'{i / most!r}D' for i in range(1, most))})")
+    fine = known.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("_fine"), F.count(F.lit(1)).alias("_rows"))
+    fine = fine.withColumn("_k", F.least(F.ceil(F.col("_rows") / F.lit(bucket_rows)), F.lit(most)).cast("int"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.get("_fine", F.floor(i * F.lit(most) / F.col("_k")).cast("int") - 1))
+    return fine.select(*group, F.when(F.col("_k") > 1, picked).otherwise(F.slice("_fine", 1, 0)).alias("_bounds"))
 
 
-def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int = BUCKET_BITS) -> DataFrame:
+def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int = BUCKET_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each distinct value of a group: its count ``cnt``, the number of rows with
     a smaller value ``less``, of smaller distinct values ``distinct_less``, and
     the group size ``n``. Missing values are left out."""
-    known = df.where(F.col(value).isNotNull()).select(*group, value)
+    # Groups without a name have no place to join back to; said once, for all branches.
+    named = [F.col(c).isNotNull() for c in [*group, value]]
+    known = df.where(reduce(lambda a, b: a & b, named)).select(*group, value)
     counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    bounds = known.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("_bounds"))
-    # One row of bounds per group: Spark broadcasts it by its size, or splits a hot group.
+    bounds = cut_lineage(_bounds(known, value, group, bits, bucket_rows))
     placed = counts.join(bounds, list(group)).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"), bits)).drop("_bounds")
     sizes = placed.groupBy(*group, "_bucket").agg(F.sum("cnt").alias("_c"), F.count(F.lit(1)).alias("_d"))
     over = W.partitionBy(*group)
@@ -58,9 +74,9 @@ def average_rank() -> Column:
     return F.col("less") + (F.col("cnt") + 1) / F.lit(2.0)
 
 
-def quantiles(df: DataFrame, *, value: str, group: Sequence[str], probs: dict[str, float], bits: int = BUCKET_BITS) -> DataFrame:
+def quantiles(df: DataFrame, *, value: str, group: Sequence[str], probs: dict[str, float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``."""
-    ranked = value_ranks(df, value=value, group=group, bits=bits)
+    ranked = value_ranks(df, value=value, group=group, bucket_rows=bucket_rows)
     inside = lambda place: (F.col("less") <= place) & (place < F.col("less") + F.col("cnt"))
     aggs, outs = [], []
     for name, p in probs.items():
@@ -81,13 +97,13 @@ def long_form(df: DataFrame, *, ids: Sequence[str], cols: Sequence[str], name: s
 
 
 def ranked_wide(df: DataFrame, *, group: Sequence[str], ids: Sequence[str], cols: Sequence[str], measure: Column,
-                bits: int = BUCKET_BITS) -> DataFrame:
+                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Replace each column by a measure of its rank (``average_rank()``, ``rank_bin(k)``).
 
     All columns are ranked in one pass over their long form.
     """
     rows = long_form(df.select(*group, *ids, *cols), ids=[*group, *ids], cols=cols)
-    ranked = value_ranks(rows, value="value", group=[*group, "feature"], bits=bits)
+    ranked = value_ranks(rows, value="value", group=[*group, "feature"], bucket_rows=bucket_rows)
     scored = ranked.select(*group, "feature", "value", measure.alias("_m"))
     joined = rows.where(F.col("value").isNotNull()).join(scored, [*group, "feature", "value"])
     wide = [F.max(F.when(F.col("feature") == c, F.col("_m"))).alias(c) for c in cols]
@@ -115,7 +131,7 @@ def sums_before(df: DataFrame, *, key: Sequence[str], index: str, cols: dict[str
     return out.drop("_rows", *[f"_b_{c}" for c in cols])
 
 
-def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: int = 4096) -> DataFrame:
+def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: int = 4096, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Kendall's tau-b per group, exact, without forming pairs of rows.
 
     Both columns become dense codes. Two different codes of y first differ, seen
@@ -125,9 +141,9 @@ def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: in
     one. That is one running sum over n log n rows. Rows with the same x are
     counted together first, which leaves ties out.
     """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
+    both = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))  # read five times below
     cells = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    codes = {c: value_ranks(both, value=c, group=group) for c in (x, y)}
+    codes = {c: value_ranks(both, value=c, group=group, bucket_rows=bucket_rows) for c in (x, y)}
     x_codes = codes[x].select(*group, x, F.col("distinct_less").alias("_xc"))
     y_codes = codes[y].select(*group, y, F.col("distinct_less").alias("_yc"), F.col("n").alias("_n"))
     coded = cells.join(x_codes, [*group, x]).join(y_codes, [*group, y])

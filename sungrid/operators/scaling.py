@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .ranks import long_form, quantiles
 
 
@@ -62,10 +63,10 @@ def transform(df: DataFrame, params: DataFrame, cols: Sequence[str], *, key: Seq
               suffix: str = "") -> DataFrame:
     """Scale ``cols`` (or undo it) by the parameters of the row's series.
 
-    One row of parameters per series joins the data by its key: Spark broadcasts
-    it when its measured size allows, and otherwise splits a hot series.
+    One row of parameters per series joins the data by its key; it is written
+    first, so that Spark knows its size (see ``cut_lineage``).
     """
-    joined = df.join(_wide(params, cols, key), list(key))
+    joined = df.join(cut_lineage(_wide(params, cols, key)), list(key))
 
     def value(c: str) -> Column:
         center, scale = F.col(f"_c_{c}"), F.col(f"_s_{c}")

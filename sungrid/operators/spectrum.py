@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+
 
 def _segment_power(n: int, fs: float):
     """Vectorised periodogram of a batch of segments, for use inside tasks."""
@@ -35,7 +37,7 @@ def welch(df: DataFrame, *, key: Sequence[str], index: str, value: str, n: int,
     averaged by partial sums. Rows after the last full segment are not used.
     """
     hop = n // 2
-    starts = df.groupBy(*key).agg(F.min(index).alias("_first"))
+    starts = cut_lineage(df.groupBy(*key).agg(F.min(index).alias("_first")))
     placed = df.join(starts, list(key)).select(*key, value, (F.col(index) - F.col("_first")).alias("_at"))
     last = F.floor(F.col("_at") / F.lit(hop))
     segments = placed.withColumn("_segment", F.explode(F.array(last, last - 1))).where("_segment >= 0")

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from ..functions.timecols import floor_ts
+from ..session import cut_lineage
 from .blocks import over_rows
 from .ranks import average_rank, long_form, quantiles, rank_bin, ranked_wide
 
@@ -110,7 +111,7 @@ def mutual_information(df: DataFrame, *, key: Sequence[str], ids: Sequence[str],
 def histogram(df: DataFrame, *, key: Sequence[str], value: str, bins: int = 50) -> DataFrame:
     """Counts in equal-width bins from the smallest to the largest value."""
     known = df.where(F.col(value).isNotNull()).select(*key, value)
-    ends = known.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ends = cut_lineage(known.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     at = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0))
     placed = known.join(ends, list(key)).withColumn("bin", F.least(at, F.lit(bins - 1)).cast("long"))
@@ -121,7 +122,7 @@ def histogram(df: DataFrame, *, key: Sequence[str], value: str, bins: int = 50)
 def boxplot(df: DataFrame, *, group: Sequence[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the extremes within 1.5 box lengths."""
     known = df.where(F.col(value).isNotNull()).select(*group, value)
-    boxes = quantiles(known, value=value, group=group, probs=QUARTILES)
+    boxes = cut_lineage(quantiles(known, value=value, group=group, probs=QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     v, inside = F.col(value), F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return known.join(boxes, list(group)).groupBy(*group, *QUARTILES).agg(
@@ -218,7 +219,7 @@ def autocorrelation(df: DataFrame, *, key: Sequence[str], index: str, value: str
     The lagged products of a row use copied border rows, and are summed before
     any shuffle of their own.
     """
-    means = df.groupBy(*key).agg(F.avg(value).alias("_mean"))
+    means = cut_lineage(df.groupBy(*key).agg(F.avg(value).alias("_mean")))
     dev = df.join(means, list(key)).select(*key, index, (F.col(value) - F.col("_mean")).alias("_dev"))
     shifted = over_rows(dev, key=key, index=index, before=lags, rows=rows,
                         exprs=lambda w: {f"_l{k}": F.lag("_dev", k).over(w) for k in range(1, lags + 1)})

@@ -123,7 +123,7 @@ P2_SQL = f"""{PAIR_SQL},
 p2_n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n
   FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL),
 p2_f AS (SELECT series_id, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept
-  FROM p2_n WHERE rn < floor(n * 0.7) GROUP BY 1),
+  FROM p2_n WHERE rn < floor(n * 0.7::DOUBLE) GROUP BY 1),
 p2 AS (SELECT p.series_id, p.ts, p.rn, p.n, p.ghi, p.power AS y_true, f.intercept + f.slope * p.ghi AS y_pred
   FROM p2_n p JOIN p2_f f USING (series_id))"""
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clean, solar, timecols as tc
+from ..operators.blocks import block_seconds
 from ..operators.joins import last_rows
 from ..operators.splits import sample_rows
 from ..operators.windows import deaccumulate
@@ -56,7 +57,7 @@ def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
   QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 24""")
 def last_n_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
-    return last_rows(e, key=KEY, ts="ts", n=24, tie=["event_id"])
+    return last_rows(e, key=KEY, ts="ts", n=24, tie=["event_id"], block_s=block_seconds(e, key=KEY, ts="ts", longest=WEEK))
 
 
 @query("coerce_numeric", f"""SELECT event_id, {R("TRY_CAST(CASE event_id % 3 WHEN 0 THEN value::VARCHAR WHEN 1 THEN 'n/a' ELSE props END AS DOUBLE)")} AS x,

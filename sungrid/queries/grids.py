@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timecols import floor_ts, step_index
 from ..operators import grid, joins, windows
-from ..operators.blocks import row_index
+from ..operators.blocks import block_seconds, row_index
 from ..operators.metrics import basic
 from ..operators.stats import linear_fit
 from .base import (
@@ -60,7 +60,7 @@ _HOUR_GRID = "SELECT series_id, unnest(generate_series(date_trunc('hour', min(ts
   r AS ({_nearest_sql('k', 'g0', 'value', 'value')}) SELECT series_id, ts, {R('value')} AS value FROM r""")
 def reindex_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "value")
-    return tidy(grid.reindex_nearest(e, key=KEY, ts="ts", cols=["value"], step_s=3600, block_s=WEEK))
+    return tidy(grid.reindex_nearest(e, key=KEY, ts="ts", cols=["value"], step_s=3600, block_s=block_seconds(e, key=KEY, ts="ts", longest=WEEK)))
 
 
 _SPAN_SQL = """l AS (SELECT series_id, ts, ghi FROM obs WHERE ghi IS NOT NULL), r AS (SELECT series_id, ts, precip FROM obs WHERE precip IS NOT NULL),
@@ -184,7 +184,8 @@ def asof_nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = grid.common_range(left, right, key=KEY, ts="ts")
     ends = span.select("series_id", floor_ts(F.col("lo"), 3600).alias("lo"), grid.ceil_ts(F.col("hi"), 3600).alias("hi"))
     times = grid.spine_between(ends, key=KEY, low="lo", high="hi", step_s=3600)
-    return tidy(joins.asof_nearest(left, right, times, key=KEY, ts="ts", left_cols=["ghi"], right_cols=["precip"], step_s=3600, block_s=WEEK))
+    return tidy(joins.asof_nearest(left, right, times, key=KEY, ts="ts", left_cols=["ghi"], right_cols=["precip"], step_s=3600,
+                                   block_s=block_seconds(left.unionByName(right, allowMissingColumns=True), key=KEY, ts="ts", longest=WEEK)))
 
 
 _LISTED = "(SELECT DISTINCT ts::DATE AS day FROM events WHERE value > 300)"

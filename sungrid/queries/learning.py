@@ -18,7 +18,7 @@ from .base import E1H_SQL, KEY, P2_SQL, PAIR_SQL, R, WEEK, hourly, pairs, query,
 from .grids import N, _SEQ_SQL, sequence_input
 
 GHI_POWER_SQL = f"{PAIR_SQL}, gp AS (SELECT series_id, ts, ghi, power, temp, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL AND temp IS NOT NULL)"
-SPLIT = "CASE WHEN rn < floor(n * 0.7) THEN 'train' WHEN rn < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END"
+SPLIT = "CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END"
 SPLIT_SQL = f"{GHI_POWER_SQL}, sp AS (SELECT *, {SPLIT} AS split FROM gp)"
 FIT_COLS = ["ghi", "power", "temp"]
 
@@ -36,7 +36,7 @@ def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("series_id", "ts", "rn", "n", "split")
 
 
-@query("holdout_split", f"WITH {GHI_POWER_SQL} SELECT series_id, ts, rn, CASE WHEN rn < n - floor(n * 0.15) THEN 'train' ELSE 'test' END AS split FROM gp")
+@query("holdout_split", f"WITH {GHI_POWER_SQL} SELECT series_id, ts, rn, CASE WHEN rn < n - floor(n * 0.15::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM gp")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.holdout_split(_complete(spark, sf_dir), key=KEY, ts="ts", block_s=WEEK).select("series_id", "ts", "rn", "split")
 
@@ -203,7 +203,7 @@ def cv_search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ensemble_mean", f"""WITH {GHI_POWER_SQL}, f AS (SELECT series_id, fold, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM gp CROSS JOIN generate_series(0, 4) g(fold)
     WHERE rn < n - (5 - fold) * (n // 6) GROUP BY 1, 2)
-  SELECT series_id, ts, {R('avg(CASE WHEN ghi < 60 THEN 0 ELSE greatest(intercept + slope * ghi, 0) END)')} AS y_pred, count(*) AS n_models FROM gp JOIN f USING (series_id) WHERE rn >= n - floor(n * 0.15) GROUP BY 1, 2""")
+  SELECT series_id, ts, {R('avg(CASE WHEN ghi < 60 THEN 0 ELSE greatest(intercept + slope * ghi, 0) END)')} AS y_pred, count(*) AS n_models FROM gp JOIN f USING (series_id) WHERE rn >= n - floor(n * 0.15::DOUBLE) GROUP BY 1, 2""")
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _complete(spark, sf_dir)
     folds = splits.expanding_folds(rows, key=KEY, ts="ts", k=5, block_s=WEEK).where("role = 'train'")

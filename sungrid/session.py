@@ -33,23 +33,34 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_base: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that every executor can reach.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
     local session (one machine, as in tests) may fall back to a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="sungrid-")
+        if not _local_base:
+            _local_base.append(tempfile.mkdtemp(prefix="sungrid-"))
+        base = _local_base[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost
-    executor costs a re-read and not a recomputation of everything before."""
+    """Write ``df`` to the shared folder and read it back.
+
+    A lost executor then costs a re-read and not a recomputation, and a table
+    that several steps read is made once. Spark also learns the true size: a
+    table of parameters per series joins by broadcast when its files are below
+    the session's threshold, without a shuffle of the data it joins, and by a
+    sort-merge join with skew handling when they are not.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.clean import coerce_double, drop_units_rows, euro_double, pick_column
 from ..functions.timecols import parse_ts
+from ..session import cut_lineage
 
 # Time formats of the exports.
 GERMAN_MINUTE = "dd.MM.yyyy HH:mm"
@@ -57,7 +58,7 @@ def sniff_granularity(df: DataFrame, *, time: str, file: str = "source_file") ->
     """
     clock = F.max(F.col(time).contains(":").cast("int"))
     flags = df.groupBy(file).agg(F.when(clock == 1, "5min").otherwise("daily").alias("granularity"))
-    return df.join(flags, file)
+    return df.join(cut_lineage(flags), file)
 
 
 def merge_exports(df: DataFrame, *, time: str, energy_terms: Sequence[str], file: str = "source_file") -> DataFrame:
