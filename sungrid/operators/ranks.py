@@ -28,7 +28,7 @@ def _bucket(value: Column, bounds: Column, bits: int) -> Column:
         lambda at, jump: F.when(F.get(bounds, at + jump - 1) < value, at + jump).otherwise(at),
     )
     # Never NULL, and Spark can see it: else a join on it computes it twice to filter NULLs.
-    return F.coalesce(found, F.lit(0))
+    return F.coalesce(F.when(F.size(bounds) > 0, found), F.lit(0))
 
 
 def _bounds(known: DataFrame, value: str, group: Sequence[str], bits: int, bucket_rows: int) -> DataFrame:
@@ -41,32 +41,38 @@ def _bounds(known: DataFrame, value: str, group: Sequence[str], bits: int, bucke
     return fine.select(*group, F.when(F.col("_k") > 1, picked).otherwise(F.slice("_fine", 1, 0)).alias("_bounds"))
 
 
-def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int = BUCKET_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int = BUCKET_BITS, bucket_rows: int = BUCKET_ROWS,
+                distinct: bool = False) -> DataFrame:
     """Each distinct value of a group: its count ``cnt``, the number of rows with
-    a smaller value ``less``, of smaller distinct values ``distinct_less``, and
-    the group size ``n``. Missing values are left out."""
+    a smaller value ``less``, and the group size ``n``; with ``distinct`` also the
+    number of smaller distinct values ``distinct_less``. Missing values are left out."""
     # Groups without a name have no place to join back to; said once, for all branches.
     named = [F.col(c).isNotNull() for c in [*group, value]]
     known = df.where(reduce(lambda a, b: a & b, named)).select(*group, value)
     counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
     bounds = cut_lineage(_bounds(known, value, group, bits, bucket_rows))
-    placed = counts.join(bounds, list(group)).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"), bits)).drop("_bounds")
-    sizes = placed.groupBy(*group, "_bucket").agg(F.sum("cnt").alias("_c"), F.count(F.lit(1)).alias("_d"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.join(bounds, list(group)).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"), bits)).drop("_bounds")
+
+    placed = place(counts)
+    if distinct:
+        sizes = placed.groupBy(*group, "_bucket").agg(F.sum("cnt").alias("_c"), F.count(F.lit(1)).alias("_d"))
+    else:  # a second scan, summed on the map side, costs less than the values' shuffle
+        sizes = place(known).groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     over = W.partitionBy(*group)
     past = over.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # at most 2^bits rows
+    before = {"_cb": "_c", "_db": "_d"} if distinct else {"_cb": "_c"}
     bases = sizes.select(
-        *group, "_bucket",
-        F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_cb"),
-        F.coalesce(F.sum("_d").over(past), F.lit(0)).alias("_db"),
-        F.sum("_c").over(over).alias("n"),
+        *group, "_bucket", F.sum("_c").over(over).alias("n"),
+        *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(name) for name, c in before.items()],
     )
     local = W.partitionBy(*group, "_bucket").orderBy(value)
     inside = F.coalesce(F.sum("cnt").over(local.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(bases, [*group, "_bucket"]).select(
-        *group, value, "cnt", "n",
-        (F.col("_cb") + inside).alias("less"),
-        (F.col("_db") + F.row_number().over(local) - 1).alias("distinct_less"),
-    )
+    places = [(F.col("_cb") + inside).alias("less")]
+    if distinct:
+        places.append((F.col("_db") + F.row_number().over(local) - 1).alias("distinct_less"))
+    return placed.join(bases, [*group, "_bucket"]).select(*group, value, "cnt", "n", *places)
 
 
 def average_rank() -> Column:
@@ -143,7 +149,7 @@ def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: in
     """
     both = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))  # read five times below
     cells = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    codes = {c: value_ranks(both, value=c, group=group, bucket_rows=bucket_rows) for c in (x, y)}
+    codes = {c: value_ranks(both, value=c, group=group, bucket_rows=bucket_rows, distinct=True) for c in (x, y)}
     x_codes = codes[x].select(*group, x, F.col("distinct_less").alias("_xc"))
     y_codes = codes[y].select(*group, y, F.col("distinct_less").alias("_yc"), F.col("n").alias("_n"))
     coded = cells.join(x_codes, [*group, x]).join(y_codes, [*group, y])
