@@ -12,6 +12,7 @@ from ..operators import joins, metrics, model, scaling, splits, windows
 from ..operators.blocks import row_index
 from ..operators.grid import clip_to_range, common_range, resample
 from ..operators.stats import linear_fit
+from ..plans import station
 from ..session import cut_lineage, shared_dir
 from ..sources.readers import forecast_rows
 from .base import E1H_SQL, KEY, P2_SQL, PAIR_SQL, R, WEEK, hourly, pairs, query, rounded, scored, table, tidy
@@ -354,3 +355,30 @@ def rank_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(8, 13)])))
     rows = rows.select(F.concat(F.lit("beta_"), F.col("k").cast("string")).alias("config_id"), "y_true", (F.col("y_pred") * F.col("k") / 10).alias("y_pred"))
     return tidy(metrics.rank_configs(rows, config="config_id", y="y_true", pred="y_pred"))
+
+
+# --- Whole flows -----------------------------------------------------------------
+
+def _station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of both sites, prepared from irregular events on a 10-minute grid."""
+    e = table(spark, sf_dir, "events")
+    site = F.concat(F.lit("site_"), (F.col("user_id") % 2).cast("string")).alias("series_id")
+    value = lambda kind, name: e.where(F.col("event_type") == kind).select(site, "ts", F.col("value").alias(name))
+    weather = e.where(F.col("event_type") != "click").select(
+        site, "ts", F.col("value").alias("ghi_wm2"), (F.col("value") / 10).alias("temp_c"), (F.col("value") % 12).alias("wind_ms"),
+        (F.col("value") + 900).alias("pressure_hpa"))
+    nation = table(spark, sf_dir, "nation").where("n_nationkey < 2")
+    places = nation.select(F.concat(F.lit("site_"), F.col("n_nationkey").cast("string")).alias("series_id"),
+                           (F.col("n_nationkey") + 46).cast("double").alias("lat"), F.lit(15.0).alias("lon"), F.lit(350.0).alias("alt"))
+    return station.prepare_station(weather, value("click", "power_w"), places, key=KEY, impute_days=("2024-01-10", "2024-01-14"), block_s=WEEK)
+
+
+@query("prepare_station")
+def prepare_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _station(spark, sf_dir)
+
+
+@query("station_hourly_baseline")
+def station_hourly_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = cut_lineage(station.to_hourly(_station(spark, sf_dir), key=KEY))
+    return station.evaluate_baseline(hours, key=KEY, block_s=WEEK)

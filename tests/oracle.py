@@ -57,6 +57,18 @@ def compare(name: str, df, con: duckdb.DuckDBPyConnection, sql: str) -> str | No
     return None
 
 
+def plan_flags(df) -> list[str]:
+    """Plan nodes that do not scale with the data: products of two sides, and
+    windows over a single partition."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    flags = [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin") if n in plan]
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line and any("Window" in above for above in lines[max(0, i - 4):i]):
+            flags.append("Window on one partition")
+    return flags
+
+
 def main(argv: list[str]) -> int:
     from __spark_entry__ import oracle_sql, queries
     from sungrid.session import local_session
@@ -65,14 +77,15 @@ def main(argv: list[str]) -> int:
     spark, con, bad = local_session(), connect(sf_dir), 0
     todo = argv[1:] or list(queries())
     for name in todo:
-        start = time.time()
+        start, flags = time.time(), []
         try:
             df, sql = queries()[name](spark, sf_dir), oracle_sql().get(name)
             problem = compare(name, df, con, sql) if sql else (None if df.toPandas().shape[0] else "no rows")
+            flags = plan_flags(df)
         except Exception as e:  # report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''} {flags or ''}", flush=True)
     print(f"{len(todo) - bad} of {len(todo)} agree")
     return 1 if bad else 0
 
