@@ -22,9 +22,12 @@ def spine_between(bounds: DataFrame, *, key: Sequence[str], low: str, high: str,
     step = step_s * SECOND
     chunk = step * SPINE_CHUNK
     lo, hi = micros(F.col(low)), micros(F.col(high))
+    # A given number of partitions: chunk rows are small, and left to its own Spark
+    # would put them together by size, into a task that then makes all grid times.
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = bounds.select(
         *key, hi.alias("_hi"), F.explode(F.sequence(lo, hi, F.lit(chunk).cast("long"))).alias("_from")
-    ).repartition(*key, "_from")
+    ).repartition(tasks, *key, "_from")
     last = F.least(F.col("_hi"), F.col("_from") + (chunk - step))
     times = F.explode(F.sequence(F.col("_from"), last, F.lit(step).cast("long")))
     return chunks.select(*key, times.alias("_us")).select(*key, from_micros(F.col("_us")).alias(ts))

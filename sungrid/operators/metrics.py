@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.measures import correlation
 from ..session import cut_lineage
 
 EPS = 1e-8
@@ -24,7 +25,7 @@ def basic(y: Column, p: Column) -> dict[str, Column]:
 
 def pearson_r2(y: Column, p: Column) -> dict[str, Column]:
     """R2 as the squared correlation, which ignores bias and scale."""
-    r = F.nanvl(F.corr(y, p), F.lit(None).cast("double"))
+    r = correlation(y, p)
     return {"pearson_r2": r * r}
 
 
@@ -34,7 +35,7 @@ def mape(y: Column, p: Column) -> dict[str, Column]:
     share = F.try_divide(gap, F.abs(y))
     return {
         "mape_zero_as_none": F.avg(F.when(gap.isNull(), None).when(F.abs(y) > EPS, share).otherwise(F.lit(0.0))) * 100,
-        "mape_eps": F.avg(F.abs((y - p) / (y + EPS))) * 100,
+        "mape_eps": F.avg(F.abs(F.try_divide(y - p, y + EPS))) * 100,
         "mape_skip_zero": F.avg(F.when(y != 0, share)) * 100,
         "mape_raw": F.avg(share) * 100,
     }

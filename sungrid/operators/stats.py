@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from ..functions.measures import correlation
 from ..functions.timecols import floor_ts
 from ..session import cut_lineage
 from .blocks import over_rows
@@ -57,17 +58,12 @@ def night_day_summary(df: DataFrame, *, key: Sequence[str], night: str, power: s
         F.max(F.when(is_night, F.col(power))).alias("night_max"))
 
 
-def _safe_corr(a: str, b: str) -> Column:
-    """Correlation, NULL (not NaN) where a column does not vary."""
-    return F.nanvl(F.corr(a, b), F.lit(None).cast("double"))
-
-
 def pair_correlations(df: DataFrame, *, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns over complete rows, in long
     form. All pairs of columns come from one aggregation."""
     pairs = list(combinations(cols, 2))
     complete = df.dropna(subset=list(cols))
-    wide = complete.groupBy(*key).agg(*[_safe_corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
+    wide = complete.groupBy(*key).agg(*[correlation(F.col(a), F.col(b), complete=True).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return wide.select(*key, F.inline(F.array(*cells)))
 
@@ -81,7 +77,7 @@ def spearman_correlations(df: DataFrame, *, key: Sequence[str], ids: Sequence[st
 def target_correlations(df: DataFrame, *, key: Sequence[str], target: str, features: Sequence[str], top: int | None = None) -> DataFrame:
     """Correlation with the target, ranked by size; one aggregation."""
     complete = df.dropna(subset=[target, *features])
-    wide = complete.groupBy(*key).agg(*[_safe_corr(f, target).alias(f) for f in features])
+    wide = complete.groupBy(*key).agg(*[correlation(F.col(f), F.col(target), complete=True).alias(f) for f in features])
     rows = long_form(wide, ids=key, cols=features, value="r")
     order = W.partitionBy(*key).orderBy(F.abs("r").desc_nulls_last(), "feature")  # one row per feature
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long"))

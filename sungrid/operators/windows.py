@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from ..functions.measures import correlation
 from .blocks import over_rows, previous_row
 
 
@@ -34,7 +35,7 @@ def rolling_corr(df: DataFrame, *, key: Sequence[str], index: str, a: str, b: st
         span = w.rowsBetween(-(n - 1), 0)
         full = F.sum(both.cast("int")).over(span) == n
         varies = (F.max(a).over(span) > F.min(a).over(span)) & (F.max(b).over(span) > F.min(b).over(span))
-        return {name: F.when(full & varies, F.corr(a, b).over(span))}
+        return {name: F.when(full & varies, correlation(F.col(a), F.col(b), over=span))}
     return over_rows(df, key=key, index=index, before=n - 1, rows=rows, exprs=exprs)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.measures import correlation
 from ..functions.timecols import floor_ts, step_index
 from ..operators import grid, joins, windows
 from ..operators.blocks import block_seconds, row_index
@@ -148,7 +149,7 @@ def resolution_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     native = grid.resample(readings(spark, sf_dir), key=KEY, ts="ts", step_s=3600, aggs={"y": ("value", "mean")}, empty_bins=False)
     both = fine.join(native, ["series_id", "ts"])
     m = basic(F.col("y"), F.col("x"))
-    return tidy(both.groupBy("series_id").agg(*[m[c].alias(c) for c in ("n", "rmse", "mae")], F.corr("x", "y").alias("r")))
+    return tidy(both.groupBy("series_id").agg(*[m[c].alias(c) for c in ("n", "rmse", "mae")], correlation(F.col("x"), F.col("y")).alias("r")))
 
 
 # --- Joins and unions -------------------------------------------------------------

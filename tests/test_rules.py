@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sungrid.functions import clean, solar, timecols as tc
-from sungrid.operators import grid, joins, metrics, model, scaling, spectrum, splits, stats
+from sungrid.operators import grid, joins, metrics, model, scaling, spectrum, splits, stats, windows
 from sungrid.sources import readers
 
 
@@ -228,3 +228,17 @@ def test_units_rows_and_merge(spark, tmp_path):
     raw = readers.read_text_table(spark, str(tmp_path), ["Zeit", "Energie"], provenance=True)
     got = {(str(r.day), r.energy_kwh, r.source_file, r.data_type) for r in readers.merge_exports(raw, time="Zeit", energy_terms=["energie"]).collect()}
     assert got == {("2024-02-01", 1.0, "fine", "5min_aggregated"), ("2024-02-02", 16.25, "coarse", "daily")}
+
+
+def test_columns_that_do_not_vary(spark):
+    rows = [("a", float(i), 5.0, float(i), 2.0 * i) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, i double, c double, x double, y double").withColumn("i", F.col("i").cast("long"))
+    got = {(r.a, r.b): r.r for r in stats.pair_correlations(df, key=["k"], cols=["c", "x", "y"]).collect()}
+    assert got[("c", "x")] is None and got[("x", "y")] == pytest.approx(1.0)
+    assert {r.feature: r["rank"] for r in stats.target_correlations(df, key=["k"], target="y", features=["c", "x"]).collect()} == {"x": 1, "c": 2}
+    assert metrics.measure(df, metrics.pearson_r2(F.col("y"), F.col("c")), metrics.basic(F.col("c"), F.col("c")), group=["k"]).first()[1:3] == (None, 6)
+    assert [r.r for r in windows.rolling_corr(df, key=["k"], index="i", a="c", b="x", n=3, name="r", rows=4).collect()] == [None] * 6
+    fit = stats.linear_fit(df, key=["k"], x="c", y="y").first()
+    assert fit.slope is None and fit.n == 6
+    bins = stats.histogram(df, key=["k"], value="c", bins=5).collect()
+    assert [(r.bin, r.n) for r in bins] == [(0, 6)]
