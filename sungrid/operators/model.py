@@ -20,9 +20,10 @@ from .stats import linear_fit
 
 
 def predict_line(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str], x: str, name: str) -> DataFrame:
-    """Add ``intercept + slope * x`` with the coefficients of the row's series."""
+    """Add ``intercept + slope * x`` with the coefficients of the row's series; NULL
+    where the series has none."""
     lines = cut_lineage(coefficients.select(*key, "slope", "intercept"))
-    return df.join(lines, list(key)).withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
+    return df.join(lines, list(key), "left").withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
 
 
 def linear_baseline(df: DataFrame, *, key: Sequence[str], x: str, y: str, ghi: str, split: str = "split",

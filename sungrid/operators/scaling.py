@@ -64,9 +64,10 @@ def transform(df: DataFrame, params: DataFrame, cols: Sequence[str], *, key: Seq
     """Scale ``cols`` (or undo it) by the parameters of the row's series.
 
     One row of parameters per series joins the data by its key; it is written
-    first, so that Spark knows its size (see ``cut_lineage``).
+    first, so that Spark knows its size (see ``cut_lineage``). A series without
+    fitted parameters keeps its rows, with NULL values.
     """
-    joined = df.join(cut_lineage(_wide(params, cols, key)), list(key))
+    joined = df.join(cut_lineage(_wide(params, cols, key)), list(key), "left")
 
     def value(c: str) -> Column:
         center, scale = F.col(f"_c_{c}"), F.col(f"_s_{c}")

@@ -71,7 +71,7 @@ def _params_sql(methods: dict[str, str]) -> str:
 
 def _scaled_sql(methods: dict[str, str]) -> str:
     cols = ", ".join(R(f"({c} - c_{c}) / s_{c}") + f" AS {c}" for c in methods)
-    return f"WITH {_params_sql(methods)} SELECT series_id, ts, split, {cols} FROM (SELECT *, 5.0::DOUBLE AS same FROM sp) JOIN pm USING (series_id)"
+    return f"WITH {_params_sql(methods)} SELECT series_id, ts, split, {cols} FROM (SELECT *, 5.0::DOUBLE AS same FROM sp) LEFT JOIN pm USING (series_id)"
 
 
 def _scaled(spark: SparkSession, sf_dir: str, methods: dict[str, str]) -> DataFrame:
@@ -106,7 +106,8 @@ def scale_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir, _MIXED)
 
 
-@query("scale_inverse", f"WITH {SPLIT_SQL} SELECT series_id, ts, {rounded('ghi', 'power', 'temp')} FROM sp")
+@query("scale_inverse", f"""WITH {SPLIT_SQL}, fitted AS (SELECT DISTINCT series_id AS f FROM sp WHERE split = 'train')
+  SELECT series_id, ts, {', '.join(R(f'CASE WHEN f IS NOT NULL THEN {c} END') + f' AS {c}' for c in FIT_COLS)} FROM sp LEFT JOIN fitted ON f = series_id""")
 def scale_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _split(spark, sf_dir)
     params = scaling.fit(rows.where("split = 'train'"), {c: _MIXED[c] for c in FIT_COLS}, key=KEY)
@@ -131,7 +132,7 @@ _DARK = 60.0
 
 
 @query("linreg_baseline", f"""WITH {SPLIT_SQL}, f AS (SELECT series_id, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM sp WHERE split = 'train' GROUP BY 1)
-  SELECT series_id, ts, {R('power')} AS power, {R(f'CASE WHEN ghi < {_DARK} THEN 0 ELSE greatest(intercept + slope * ghi, 0) END')} AS y_pred FROM sp JOIN f USING (series_id) WHERE split = 'test'""")
+  SELECT series_id, ts, {R('power')} AS power, {R(f'CASE WHEN ghi < {_DARK} THEN 0 ELSE CASE WHEN slope IS NOT NULL THEN greatest(intercept + slope * ghi, 0) END END')} AS y_pred FROM sp LEFT JOIN f USING (series_id) WHERE split = 'test'""")
 def linreg_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = model.linear_baseline(_split(spark, sf_dir), key=KEY, x="ghi", y="power", ghi="ghi", dark_below=_DARK)
     return tidy(out.select("series_id", "ts", "power", "y_pred"))

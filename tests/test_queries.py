@@ -13,7 +13,7 @@ from sungrid.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 SOME = """csv_eu_clean ingest_with_provenance local_to_utc_dst solar_position resample_hourly upsample_linear asof_nearest_join dedup_keep_first
-rolling_corr sequences_next corr_spearman histogram optimal_lag welch_psd tscv_folds scale_by_group cv_search forecast_24h metrics_mape threshold_curve""".split()
+rolling_corr sequences_next corr_kendall histogram acf welch_psd tscv_folds scale_by_group scale_inverse forecast_24h metrics_mape threshold_curve""".split()
 NAMES = list(REGISTRY) if os.environ.get("SUNGRID_ALL") else SOME
 
 
