@@ -40,8 +40,8 @@ def welch(df: DataFrame, *, key: Sequence[str], index: str, value: str, n: int,
     starts = cut_lineage(df.groupBy(*key).agg(F.min(index).alias("_first")))
     placed = df.join(starts, list(key)).select(*key, value, (F.col(index) - F.col("_first")).alias("_at"))
     last = F.floor(F.col("_at") / F.lit(hop))
-    segments = placed.withColumn("_segment", F.explode(F.array(last, last - 1))).where("_segment >= 0")
-    # Where the overlap is more than half (odd n), a row may lie before its segment's end only once.
+    segments = placed.withColumn("_segment", F.explode(F.array(*[last - back for back in range(2 + n % 2)]))).where("_segment >= 0")
+    # For odd n, two hops are one row less than a segment, so a row may be in three.
     segments = segments.where(F.col("_at") - F.col("_segment") * hop < n)
     rows = F.sort_array(F.collect_list(F.struct("_at", value)))  # n rows at most
     arrays = segments.groupBy(*key, "_segment").agg(rows.alias("_rows")).where(F.size("_rows") == n)

@@ -173,6 +173,8 @@ def test_spectrum_finds_the_period(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "i": np.arange(n) + 1000, "v": v}))
     got = spectrum.welch(df, key=["k"], index="i", value="v", n=128, fs=1.0).toPandas().sort_values("bin")
     assert len(got) == 65 and (got.n_segments == 8).all()
+    odd = spectrum.welch(df, key=["k"], index="i", value="v", n=127, fs=1.0).toPandas()
+    assert len(odd) == 64 and (odd.n_segments == (n - 127) // 63 + 1).all()
     assert got.bin[got.psd.idxmax()] == 8 and got.psd.sum() / 128 == pytest.approx(4.5, rel=1e-6)
 
 
