@@ -1,13 +1,16 @@
 """Queries of this package, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op6_temperature_mixing": mixing.op6_temperature_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op6_temperature_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
