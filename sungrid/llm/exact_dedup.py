@@ -36,7 +36,9 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     counted = seen.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"))
     counted = counted.groupBy("digest").agg(F.sum("n").alias("n"))
     repeated = cut_lineage(counted.where("n > 1").select("digest"))
-    rows = cut_lineage(src.join(repeated, "digest", "left_semi").withColumn("uid", F.monotonically_increasing_id()))
+    # The merge hint keeps the plan of a large table for a small one too: a hot
+    # digest is split, and the repeated digests never go to every task.
+    rows = cut_lineage(src.join(repeated.hint("merge"), "digest", "left_semi").withColumn("uid", F.monotonically_increasing_id()))
 
     best = F.max(F.struct("doc_id", "uid")).alias("best")
     salted = rows.withColumn("salt", F.pmod("uid", F.lit(salts))).groupBy("digest", "text", "salt").agg(best, F.count("*").alias("n"))
@@ -68,7 +70,7 @@ def keep_exact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     mark = sha256(F.coalesce(F.col(text), F.lit("")))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(doc_id).alias("di"), mark.alias("dm"))
     on = F.col("i").eqNullSafe(F.col("di")) & (F.col("m") == F.col("dm"))
-    left = src.join(lost.where("not tie").select("i", "m").distinct(), on, "left_anti")
+    left = src.join(lost.where("not tie").select("i", "m").distinct().hint("merge"), on, "left_anti")
     ties = lost.where("tie").select("i", "m").distinct()
     if not ties.isEmpty():
         one = left.join(ties, on, "left_semi").groupBy("di", "dm").agg(F.first("r").alias("r"))

@@ -187,18 +187,22 @@ def _cover(sets: list[list[int]], size: list[int]) -> list[int]:
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Newton steps for a logistic regression drawn to ``prior``; last is the intercept."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w, pull = prior.copy(), np.full(x.shape[1], 1.0)
-    pull[-1] = 1e-3
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights of the clause kinds and an intercept, by Newton steps.
+
+    All kinds share one scale, times PRIOR; each may leave it by a penalised
+    difference, so that a kind without evidence follows the others.
+    """
+    x = np.hstack((x @ np.array(PRIOR)[:, None], x, np.ones((len(x), 1))))
+    w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], 10.0)
+    pull[[0, -1]] = 1e-2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * (w - prior))
-        w -= step
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * w)
+        w -= np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return [*(w[0] * np.array(PRIOR) + w[1:-1]), w[-1]]
 
 
 @dataclass
@@ -237,8 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     lexicon = {likely[f].f: float(np.log((likely[f].bad + 0.5) / (likely[f].good + 0.5)) - odds) for f in chosen}
     found = rows.mapInArrow(_matcher(rows.sparkSession, lexicon), "y int, x array<double>").toLocalIterator()
     y, x = zip(*[(float(r.y > 0), r.x) for r in found])
-    scale = max(lexicon.values(), default=1.0)
-    return Model(lexicon, _logistic(np.array(x), np.array(y), np.array([*(np.array(PRIOR) * 4 / scale), odds - 1.0])).tolist())
+    return Model(lexicon, [float(w) for w in _logistic(np.array(x), np.array(y))])
 
 
 def _matcher(spark: SparkSession, lexicon: dict[str, float]):

@@ -59,7 +59,7 @@ class Sets:
 
 def hamming_components(fps, most=4):
     """fingerprint -> root, over all pairs of distinct fingerprints."""
-    u = np.unique(np.array(fps, np.uint64))
+    u = np.unique(np.array(list(fps), np.uint64))
     sets = Sets()
     for i, f in enumerate(u):
         for j in np.flatnonzero(np.bitwise_count(u[i + 1:] ^ f) <= most):
@@ -102,3 +102,59 @@ def decontaminated(rows, items):
                     ids |= own
         out.append((i, len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(ws)))
     return sorted(out)
+
+
+def warc(rows):
+    """(page_id, html) -> the rows of op1, for distinct ids."""
+    import base64
+
+    first = {}
+    for i, h in rows:
+        first[h or ""] = min(i, first.get(h or "", i))
+    out = []
+    for i, h in rows:
+        b = (h or "").encode()
+        least = first[h or ""]
+        out.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == least else "revisit", None if i == least else least))
+    return sorted(out, key=lambda r: r[0])
+
+
+def licenses(rows, phrases, templates, least):
+    """(doc_id, text) -> the rows of op4."""
+    sets = [(label, set(alnum(t))) for label, t in templates]
+    out = []
+    for i, t in rows:
+        ws, starts, base = alnum(t), [], set()
+        for p, label in phrases.items():
+            p = p.split()
+            at = [k for k in range(len(ws)) if ws[k:k + len(p)] == p]
+            starts += at
+            base |= {label} if at else set()
+        best, labels = 0.0, set(base)
+        for line in re.split(r"[\r\n]", t or ""):
+            for label, s in sets:
+                share = len(s & set(alnum(line))) / len(s)
+                if share >= least - 1e-9:
+                    labels.add(label)
+                    best = max(best, share)
+        out.append((i, len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if starts else best))
+    return sorted(out, key=lambda r: r[0])
+
+
+def unigrams(rows):
+    """(doc_id, text) -> held_out, n_tokens, n_known, train_tokens, base_score by id."""
+    import math
+    import zlib
+    from collections import Counter
+
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts = Counter()
+    for i, t in rows:
+        if not held[i]:
+            counts.update([*spaced(t), ""])
+    n, v = sum(counts.values()), len(counts)
+    out = {}
+    for i, t in rows:
+        ws = [*spaced(t), ""]
+        out[i] = (held[i], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
+    return out
