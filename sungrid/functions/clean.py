@@ -18,9 +18,14 @@ def drop_units_rows(df: DataFrame, first: str) -> DataFrame:
     return df.where(F.col(first).isNull() | ~F.col(first).rlike(UNITS_CELL))
 
 
+def no_nan(x: Column) -> Column:
+    """NULL where a double is NaN, which would spoil every mean it enters."""
+    return F.when(~F.isnan(x), x)
+
+
 def coerce_double(text: Column) -> Column:
-    """Number in ``text``, or NULL where there is none."""
-    return text.try_cast("double")
+    """Number in ``text``, or NULL where there is none; the text NaN is none."""
+    return no_nan(text.try_cast("double"))
 
 
 def euro_double(text: Column, missing: Sequence[str] = MISSING_TOKENS) -> Column:
@@ -44,12 +49,8 @@ def select_present(df: DataFrame, renames: dict[str, str], keep: Sequence[str] =
 
 
 def pick_column(columns: Sequence[str], terms: Sequence[str]) -> str:
-    """First column whose name holds one of ``terms``; else the second column."""
-    for term in terms:
-        for name in columns:
-            if term.lower() in name.lower():
-                return name
-    return columns[1]
+    """The first column whose name holds any of ``terms``; else the second column."""
+    return next((name for name in columns if any(term in name for term in terms)), columns[1])
 
 
 def first_present(df: DataFrame, names: Sequence[str]) -> Column:

@@ -152,6 +152,12 @@ def poa_totals(direct: Column, sky: Column, ground: Column) -> dict[str, Column]
     return {"poa_diffuse": diffuse, "poa_global": direct + diffuse}
 
 
+def total_loss(passed: Column) -> Column:
+    """Aggregate: the loss of all rows in series, from the share each passes on.
+    A row that passes nothing makes it 1; missing rows pass everything."""
+    return F.when(F.min(passed) <= 0, F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.ln(passed))))
+
+
 def combined_loss(losses: list[Column]) -> Column:
     """Loss of losses in series: what is not passed on by all of them."""
     return 1.0 - reduce(lambda a, b: a * b, [1.0 - l for l in losses])

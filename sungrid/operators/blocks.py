@@ -25,10 +25,20 @@ DAY = 86_400
 BLOCK = "_block"
 
 
-def with_block(df: DataFrame, ts: str, block_s: int) -> DataFrame:
-    """Add the number of the time block of each row."""
+def with_block(df: DataFrame, key: Sequence[str], ts: str, block_s: int) -> DataFrame:
+    """Add the time block of each row: its series and a number, in one struct.
+
+    Structs with equal fields are equal, missing ones included. Rows without a
+    series form a series, and rows without a time a block before all others.
+    """
     m, width = micros(F.col(ts)), F.lit(block_s * SECOND)
-    return df.withColumn(BLOCK, ((m - F.pmod(m, width)) / width).cast("long"))
+    number = ((m - F.pmod(m, width)) / width).cast("long")
+    return df.withColumn(BLOCK, F.struct(*key, number.alias("_number")))
+
+
+def _per_block(blocked: DataFrame, key: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """One row per block, with the columns of its series."""
+    return blocked.groupBy(BLOCK).agg(*aggs).select("*", *[F.col(f"{BLOCK}.`{k}`").alias(k) for k in key])
 
 
 def _over_blocks(key: Sequence[str]) -> WindowSpec:
@@ -36,8 +46,8 @@ def _over_blocks(key: Sequence[str]) -> WindowSpec:
     return W.partitionBy(*key).orderBy(BLOCK)
 
 
-def _local(key: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
-    return W.partitionBy(*key, BLOCK).orderBy(*order)
+def _local(order: Sequence[str | Column]) -> WindowSpec:
+    return W.partitionBy(BLOCK).orderBy(*order)
 
 
 # A frame that ends at the last row is computed anew for each row. Walking the
@@ -49,30 +59,26 @@ def _from_end(parts: Sequence[str], order: str, *more: Column) -> WindowSpec:
 def block_seconds(df: DataFrame, *, key: Sequence[str], ts: str, rows: int = 1_000_000, longest: int = 30 * DAY) -> int:
     """Block width at which the densest stretch of any series has about ``rows`` rows.
 
-    For readings at irregular times, whose density is not known beforehand: two
-    aggregates over (key, time), of which one number reaches the driver.
+    For readings at irregular times, whose density is not known beforehand: one
+    aggregate over (key, minute), of which one number reaches the driver.
     """
-    us = micros(F.col(ts))
-    span = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
-    if span is None or span["lo"] is None:
-        return longest
-    piece = max(SECOND, (span["hi"] - span["lo"]) // 1024)
-    counts = df.groupBy(*key, F.floor(us / F.lit(piece)).alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    minute = F.floor(micros(F.col(ts)) / F.lit(60 * SECOND)).alias("_piece")
+    counts = df.where(F.col(ts).isNotNull()).groupBy(*key, minute).agg(F.count(F.lit(1)).alias("_n"))
     densest = counts.agg(F.max("_n").alias("n")).first()["n"]
-    return int(min(longest, max(1, piece * rows // (densest * SECOND))))
+    return longest if densest is None else int(min(longest, max(1, 60 * rows // densest)))
 
 
 def row_index(df: DataFrame, *, key: Sequence[str], ts: str, tie: Sequence[str] = (), block_s: int = DAY,
               name: str = "rn", total: str | None = None) -> DataFrame:
     """Chronological row number from 0 within each series, and its row count."""
-    blocked = with_block(df, ts, block_s)
-    counts = blocked.groupBy(*key, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    blocked = with_block(df, key, ts, block_s)
+    counts = _per_block(blocked, key, [F.count(F.lit(1)).alias("_n")])
     w = _over_blocks(key)
     before = F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1))
     whole = F.sum("_n").over(W.partitionBy(*key))
-    offsets = counts.select(*key, BLOCK, F.coalesce(before, F.lit(0)).alias("_base"), whole.alias("_total"))
-    local = F.row_number().over(_local(key, [ts, *tie])) - 1
-    out = blocked.join(offsets, [*key, BLOCK]).withColumn(name, F.col("_base") + local)
+    offsets = counts.select(BLOCK, F.coalesce(before, F.lit(0)).alias("_base"), whole.alias("_total"))
+    local = F.row_number().over(_local([ts, *tie])) - 1
+    out = blocked.join(offsets, BLOCK).withColumn(name, F.col("_base") + local)
     if total:
         out = out.withColumnRenamed("_total", total)
     return out.drop(BLOCK, "_base", "_total")
@@ -80,12 +86,12 @@ def row_index(df: DataFrame, *, key: Sequence[str], ts: str, tie: Sequence[str]
 
 def running_sum(df: DataFrame, *, key: Sequence[str], ts: str, cols: dict[str, str], block_s: int = DAY) -> DataFrame:
     """Running totals from the start of each series; ``cols`` maps column to result."""
-    blocked = with_block(df, ts, block_s)
-    sums = blocked.groupBy(*key, BLOCK).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    blocked = with_block(df, key, ts, block_s)
+    sums = _per_block(blocked, key, [F.sum(c).alias(f"_s_{c}") for c in cols])
     past = _over_blocks(key).rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(*key, BLOCK, *[F.coalesce(F.sum(f"_s_{c}").over(past), F.lit(0)).alias(f"_b_{c}") for c in cols])
-    local = _local(key, [ts]).rowsBetween(W.unboundedPreceding, 0)
-    out = blocked.join(bases, [*key, BLOCK])
+    bases = sums.select(BLOCK, *[F.coalesce(F.sum(f"_s_{c}").over(past), F.lit(0)).alias(f"_b_{c}") for c in cols])
+    local = _local([ts]).rowsBetween(W.unboundedPreceding, 0)
+    out = blocked.join(bases, BLOCK)
     out = out.withColumns({name: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0)) for c, name in cols.items()})
     return out.drop(BLOCK, *[f"_b_{c}" for c in cols])
 
@@ -95,13 +101,13 @@ def previous_row(df: DataFrame, *, key: Sequence[str], ts: str, cols: dict[str,
 
     Times of a series are unique. The first row of a series gets NULL.
     """
-    blocked = with_block(df, ts, block_s)
-    lasts = blocked.groupBy(*key, BLOCK).agg(*[F.max_by(c, ts).alias(f"_l_{c}") for c in cols])
+    blocked = with_block(df, key, ts, block_s)
+    lasts = _per_block(blocked, key, [F.max_by(c, ts).alias(f"_l_{c}") for c in cols])
     w = _over_blocks(key)
-    carried = lasts.select(*key, BLOCK, *[F.lag(f"_l_{c}", 1).over(w).alias(f"_c_{c}") for c in cols])
-    local = _local(key, [ts])
+    carried = lasts.select(BLOCK, *[F.lag(f"_l_{c}", 1).over(w).alias(f"_c_{c}") for c in cols])
+    local = _local([ts])
     first = F.row_number().over(local) == 1
-    out = blocked.join(carried, [*key, BLOCK]).withColumns(
+    out = blocked.join(carried, BLOCK).withColumns(
         {name: F.when(first, F.col(f"_c_{c}")).otherwise(F.lag(c, 1).over(local)) for c, name in cols.items()})
     return out.drop(BLOCK, *[f"_c_{c}" for c in cols])
 
@@ -115,7 +121,7 @@ def neighbours(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str
     with ``mark``, a row that has this column set may share the time of one that
     does not, and sees its value from both sides.
     """
-    blocked = with_block(df, ts, block_s)
+    blocked = with_block(df, key, ts, block_s)
 
     def seen_at(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.col(ts))
@@ -126,19 +132,19 @@ def neighbours(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str
             F.max_by(c, seen_at(c)).alias(f"_lv_{c}"), F.max(seen_at(c)).alias(f"_lt_{c}"),
             F.min_by(c, seen_at(c)).alias(f"_fv_{c}"), F.min(seen_at(c)).alias(f"_ft_{c}"),
         ]
-    edges = blocked.groupBy(*key, BLOCK).agg(*aggs)
+    edges = _per_block(blocked, key, aggs)
     past = _over_blocks(key).rowsBetween(W.unboundedPreceding, -1)
     future = _from_end(key, BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for c in cols:
         carried += [F.last(f"_l{x}_{c}", ignorenulls=True).over(past).alias(f"_p{x}_{c}") for x in "vt"]
         carried += [F.last(f"_f{x}_{c}", ignorenulls=True).over(future).alias(f"_n{x}_{c}") for x in "vt"]
-    edges = edges.select(*key, BLOCK, *carried)
+    edges = edges.select(BLOCK, *carried)
 
     unmarked_first = [F.col(mark).asc_nulls_first()] if mark else []
-    up_to = _local(key, [ts, *unmarked_first]).rowsBetween(W.unboundedPreceding, 0)
-    from_here = _from_end([*key, BLOCK], ts, *unmarked_first).rowsBetween(W.unboundedPreceding, 0)
-    out = blocked.join(edges, [*key, BLOCK])
+    up_to = _local([ts, *unmarked_first]).rowsBetween(W.unboundedPreceding, 0)
+    from_here = _from_end([BLOCK], ts, *unmarked_first).rowsBetween(W.unboundedPreceding, 0)
+    out = blocked.join(edges, BLOCK)
     found = {}
     for c in cols:
         found[f"prev_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(up_to), F.col(f"_pv_{c}"))
@@ -155,8 +161,7 @@ def with_halo(df: DataFrame, *, index: str, before: int = 0, after: int = 0, row
     ``_own``; a window over (key, _block) sees ``before`` rows of the previous
     and ``after`` rows of the next block, and ``_own`` marks the rows to keep.
     """
-    if rows < max(before, after):
-        raise ValueError(f"blocks of {rows} rows are shorter than the reach of the window")
+    rows = max(rows, before, after)  # a window reaches into the next block at most
     own = F.floor(F.col(index) / F.lit(rows)).cast("long")
     place = F.pmod(F.col(index), F.lit(rows))
     targets = [own]
@@ -175,4 +180,4 @@ def over_rows(df: DataFrame, *, key: Sequence[str], index: str, exprs: Callable[
     ``exprs`` receives the window ordered by ``index`` and gives the new columns.
     """
     copied = with_halo(df, index=index, before=before, after=after, rows=rows)
-    return copied.withColumns(exprs(_local(key, [index]))).where("_own").drop(BLOCK, "_own")
+    return copied.withColumns(exprs(W.partitionBy(*key, BLOCK).orderBy(index))).where("_own").drop(BLOCK, "_own")

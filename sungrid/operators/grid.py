@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timecols import SECOND, ceil_ts, floor_ts, from_micros, micros, utc_to_local
 from ..session import cut_lineage
+from .keys import match
 from .blocks import DAY, neighbours, previous_row, running_sum
 
 SPINE_CHUNK = 4096  # grid steps made from one chunk row
@@ -25,7 +26,8 @@ def spine_between(bounds: DataFrame, *, key: Sequence[str], low: str, high: str,
     # A given number of partitions: chunk rows are small, and left to its own Spark
     # would put them together by size, into a task that then makes all grid times.
     tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = bounds.select(
+    # A span that ends before it begins has no grid times.
+    chunks = bounds.where(F.col(low) <= F.col(high)).select(
         *key, hi.alias("_hi"), F.explode(F.sequence(lo, hi, F.lit(chunk).cast("long"))).alias("_from")
     ).repartition(tasks, *key, "_from")
     last = F.least(F.col("_hi"), F.col("_from") + (chunk - step))
@@ -50,7 +52,7 @@ AGGREGATES = {
     "max": lambda x, ts: F.max(x),
     "min": lambda x, ts: F.min(x),
     "std": lambda x, ts: F.stddev_samp(x),
-    "last": lambda x, ts: F.max_by(x, F.when(x.isNotNull(), ts)),  # the last known value by time
+    "last": lambda x, ts: F.max(F.when(x.isNotNull(), F.struct(ts.alias("t"), x.alias("x"))))["x"],  # the last known value by time; the largest of equal times
     "count": lambda x, ts: F.count(x),
 }
 
@@ -79,7 +81,7 @@ def resample_from_start(df: DataFrame, *, key: Sequence[str], ts: str, step_s: i
     """As ``resample``, with bins counted from the first time of each series."""
     starts = cut_lineage(df.groupBy(*key).agg(micros(F.min(ts)).alias("_start"), micros(F.max(ts)).alias("_end")))
     step = F.lit(step_s * SECOND)
-    rows = df.join(starts.select(*key, "_start"), list(key))
+    rows = match(df, starts.select(*key, "_start"), key)
     rows = rows.select(*df.columns, floor_ts(F.col(ts), step_s, F.col("_start")).alias("_bin"))
     ends = starts.select(*key, from_micros(F.col("_start")).alias("_low"),
                          from_micros(F.col("_end") - F.pmod(F.col("_end") - F.col("_start"), step)).alias("_high"))
@@ -147,14 +149,15 @@ def fill_edges(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str
 
 
 def common_range(left: DataFrame, right: DataFrame, *, key: Sequence[str], ts: str) -> DataFrame:
-    """Per series: the span that both sides cover."""
+    """Per series: the span that both sides cover. Series that one side lacks are
+    left out; where the sides do not overlap, ``lo`` is after ``hi``."""
     ends = [side.groupBy(*key).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")) for side in (left, right)]
     both = ends[0].unionByName(ends[1]).groupBy(*key).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count(F.lit(1)).alias("_n"))
     return both.where("_n = 2").drop("_n")
 
 
 def clip_to_range(df: DataFrame, span: DataFrame, *, key: Sequence[str], ts: str) -> DataFrame:
-    return df.join(cut_lineage(span), list(key)).where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return match(df, cut_lineage(span), key).where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def impute_range(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str], ts: str, target: str, driver: str,
@@ -166,7 +169,7 @@ def impute_range(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str],
     local_day = F.to_date(utc_to_local(F.col(ts), zone))
     hit = local_day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")) & F.col(driver).isNotNull()
     line = F.greatest(F.col("intercept") + F.col("slope") * F.col(driver), F.lit(0.0))
-    out = df.join(cut_lineage(coefficients.select(*key, "intercept", "slope")), list(key), "left")
+    out = match(df, cut_lineage(coefficients.select(*key, "intercept", "slope")), key, "left")
     hit = hit & F.col("slope").isNotNull()
     return out.withColumns({
         target: F.when(hit, line).otherwise(F.col(target)),
@@ -184,7 +187,7 @@ def subhourly_stats(df: DataFrame, hourly: DataFrame, *, key: Sequence[str], ts:
     names = [f"{c}_{how}" for c, hows in stats.items() for how in hows]
     measures = [AGGREGATES[how](F.col(c), F.col("_ts")).alias(f"{c}_{how}") for c, hows in stats.items() for how in hows]
     per_hour = fine.groupBy(*key, "_bin").agg(*measures).withColumnRenamed("_bin", ts)
-    joined = hourly.join(per_hour, [*key, ts], "left")
+    joined = match(hourly, per_hour, [*key, ts], "left")
     return fill_edges(joined, key=key, ts=ts, cols=names, block_s=block_s)
 
 
@@ -205,7 +208,7 @@ def daily_energy(df: DataFrame, *, key: Sequence[str], ts: str, energy: str) ->
 
 def trim_to_first_positive(df: DataFrame, *, key: Sequence[str], ts: str, value: str) -> DataFrame:
     first = cut_lineage(df.where(F.col(value) > 0).groupBy(*key).agg(F.min(ts).alias("first_positive")))
-    return df.join(first, list(key)).where(F.col(ts) >= F.col("first_positive"))
+    return match(df, first, key).where(F.col(ts) >= F.col("first_positive"))
 
 
 def infer_step(df: DataFrame, *, key: Sequence[str], ts: str, block_s: int = DAY) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.timecols import micros
 from ..session import cut_lineage
+from .keys import match
 from .blocks import DAY
 from .grid import reindex_nearest
 
@@ -31,7 +32,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, grid: DataFrame, *, key: Seq
         reindex_nearest(side, key=key, ts=ts, cols=cols, step_s=step_s, grid=grid, tolerance_s=tolerance_s, block_s=block_s)
         for side, cols in ((left, left_cols), (right, right_cols))
     ]
-    return sides[0].join(sides[1], [*key, ts])
+    return match(sides[0], sides[1], [*key, ts])
 
 
 def keep_days(df: DataFrame, days: DataFrame, *, day: str) -> DataFrame:
@@ -81,4 +82,4 @@ def last_rows(df: DataFrame, *, key: Sequence[str], ts: str, n: int, tie: Sequen
     counts = inside.groupBy(*key, "_block").agg(F.count(F.lit(1)).alias("_c"))
     later = F.coalesce(F.sum("_c").over(W.partitionBy(*key).orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kept = counts.select(*key, "_block", later.alias("_later")).where(F.col("_later") < n)
-    return inside.join(kept, [*key, "_block"]).where(F.col("_r") + F.col("_later") <= n).drop("_block", "_r", "_c", "_later")
+    return match(inside, kept, [*key, "_block"]).where(F.col("_r") + F.col("_later") <= n).drop("_block", "_r", "_c", "_later")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.measures import correlation
 from ..session import cut_lineage
+from .keys import match
 
 EPS = 1e-8
 
@@ -88,7 +89,7 @@ def threshold_curve(df: DataFrame, *, key: Sequence[str], y: str, pred: str, n:
         lower = F.when((guess > 0) & (threshold(guess - 1) >= F.col(c)), guess - 1).otherwise(guess)
         return F.when((guess < n) & (threshold(guess) < F.col(c)), guess + 1).otherwise(lower)
 
-    cells = known.join(ends, list(key)).groupBy(*key, "_lo", "_hi", below(y).alias("_y"), below(pred).alias("_p")).agg(
+    cells = match(known, ends, key).groupBy(*key, "_lo", "_hi", below(y).alias("_y"), below(pred).alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"))
     steps = cells.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     real, said = F.col("_y") > F.col("step"), F.col("_p") > F.col("step")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import clip, zero_without_radiation
 from ..session import cut_lineage
+from .keys import match
 from .blocks import DAY, row_index
 from .stats import linear_fit
 
@@ -23,7 +24,7 @@ def predict_line(df: DataFrame, coefficients: DataFrame, *, key: Sequence[str],
     """Add ``intercept + slope * x`` with the coefficients of the row's series; NULL
     where the series has none."""
     lines = cut_lineage(coefficients.select(*key, "slope", "intercept"))
-    return df.join(lines, list(key), "left").withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
+    return match(df, lines, key, "left").withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
 
 
 def linear_baseline(df: DataFrame, *, key: Sequence[str], x: str, y: str, ghi: str, split: str = "split",
@@ -144,12 +145,12 @@ def forecast_next(history: DataFrame, forecast: DataFrame, *, key: Sequence[str]
     us = lambda c: F.unix_micros(c.cast("timestamp"))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.join(ends, list(key)).withColumn("_h", ((us(F.col(ts)) - us(F.col("_end"))) / hour).cast("long"))
+        return match(df, ends, key).withColumn("_h", ((us(F.col(ts)) - us(F.col("_end"))) / hour).cast("long"))
 
     past = placed(history).where((F.col("_h") > -n) & (F.col("_h") <= 0))
     steps = ends.select(*key, "_end", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(horizon).cast("long"))).alias("_h"))
     known = placed(forecast).select(*key, "_h", *cols, F.lit(1).alias("_known"))
-    ahead = steps.join(known, [*key, "_h"], "left").withColumn(
+    ahead = match(steps, known, [*key, "_h"], "left").withColumn(
         ts, F.timestamp_micros(us(F.col("_end")) + F.col("_h") * hour).cast("timestamp_ntz"))
     rows = past.select(*key, "_end", "_h", ts, *cols, F.lit(1).alias("_known")).unionByName(ahead)
     w = W.partitionBy(*key).orderBy("_h")  # n + horizon rows

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
+from .keys import match
 
 BUCKET_BITS = 10  # at most 2^bits buckets per group
 BUCKET_ROWS = 250_000  # rows that fill a bucket
@@ -54,7 +55,7 @@ def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int =
     bounds = cut_lineage(_bounds(known, value, group, bits, bucket_rows))
 
     def place(rows: DataFrame) -> DataFrame:
-        return rows.join(bounds, list(group)).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"), bits)).drop("_bounds")
+        return match(rows, bounds, group).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"), bits)).drop("_bounds")
 
     placed = place(counts)
     if distinct:
@@ -73,7 +74,7 @@ def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int =
     places = [(F.col("_cb") + inside).alias("less")]
     if distinct:
         places.append((F.col("_db") + F.row_number().over(local) - 1).alias("distinct_less"))
-    return placed.join(bases, [*group, "_bucket"]).select(*group, value, "cnt", "n", *places)
+    return match(placed, bases, [*group, "_bucket"]).select(*group, value, "cnt", "n", *places)
 
 
 def average_rank() -> Column:
@@ -112,7 +113,7 @@ def ranked_wide(df: DataFrame, *, group: Sequence[str], ids: Sequence[str], cols
     rows = long_form(df.select(*group, *ids, *cols), ids=[*group, *ids], cols=cols)
     ranked = value_ranks(rows, value="value", group=[*group, "feature"], bucket_rows=bucket_rows)
     scored = ranked.select(*group, "feature", "value", measure.alias("_m"))
-    joined = rows.where(F.col("value").isNotNull()).join(scored, [*group, "feature", "value"])
+    joined = match(rows.where(F.col("value").isNotNull()), scored, [*group, "feature", "value"])
     wide = [F.max(F.when(F.col("feature") == c, F.col("_m"))).alias(c) for c in cols]
     return joined.groupBy(*group, *ids).agg(*wide)
 
@@ -133,7 +134,7 @@ def sums_before(df: DataFrame, *, key: Sequence[str], index: str, cols: dict[str
     past = W.partitionBy(*key).orderBy("_rows").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select(*key, "_rows", *[F.coalesce(F.sum(f"_s_{c}").over(past), F.lit(0)).alias(f"_b_{c}") for c in cols])
     local = W.partitionBy(*key, "_rows").orderBy(index).rowsBetween(W.unboundedPreceding, -1)
-    out = blocked.join(bases, [*key, "_rows"])
+    out = match(blocked, bases, [*key, "_rows"])
     out = out.withColumns({name: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0)) for c, name in cols.items()})
     return out.drop("_rows", *[f"_b_{c}" for c in cols])
 
@@ -153,7 +154,7 @@ def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: in
     codes = {c: value_ranks(both, value=c, group=group, bucket_rows=bucket_rows, distinct=True) for c in (x, y)}
     x_codes = codes[x].select(*group, x, F.col("distinct_less").alias("_xc"))
     y_codes = codes[y].select(*group, y, F.col("distinct_less").alias("_yc"), F.col("n").alias("_n"))
-    coded = cells.join(x_codes, [*group, x]).join(y_codes, [*group, y])
+    coded = match(match(cells, x_codes, [*group, x]), y_codes, [*group, y])
     top = F.floor(F.log2(F.col("_n").cast("double"))).cast("int")
     levels = coded.withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
     shifted = F.floor(F.col("_yc") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
@@ -171,6 +172,6 @@ def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: in
         c: codes[c].groupBy(*group).agg((F.max("n").cast("double") * (F.max("n") - 1) / 2 - tied).alias(f"_free_{i}"), F.max("n").alias(f"_n{i}"))
         for i, c in enumerate((x, y))
     }
-    out = free[x].join(free[y], list(group)).join(scores, list(group), "left")
+    out = match(match(free[x], free[y], group), scores, group, "left")
     return out.select(*group, F.col("_n0").alias("n"),
                       F.try_divide(F.col("_score"), F.sqrt(F.col("_free_0") * F.col("_free_1"))).alias("tau"))

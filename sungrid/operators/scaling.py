@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from .keys import match
 from .ranks import long_form, quantiles
 
 
@@ -67,7 +68,7 @@ def transform(df: DataFrame, params: DataFrame, cols: Sequence[str], *, key: Seq
     first, so that Spark knows its size (see ``cut_lineage``). A series without
     fitted parameters keeps its rows, with NULL values.
     """
-    joined = df.join(cut_lineage(_wide(params, cols, key)), list(key), "left")
+    joined = match(df, cut_lineage(_wide(params, cols, key)), key, "left")
 
     def value(c: str) -> Column:
         center, scale = F.col(f"_c_{c}"), F.col(f"_s_{c}")

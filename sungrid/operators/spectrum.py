@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .keys import match
 
 
 def _segment_power(n: int, fs: float):
@@ -38,7 +39,7 @@ def welch(df: DataFrame, *, key: Sequence[str], index: str, value: str, n: int,
     """
     hop = n // 2
     starts = cut_lineage(df.groupBy(*key).agg(F.min(index).alias("_first")))
-    placed = df.join(starts, list(key)).select(*key, value, (F.col(index) - F.col("_first")).alias("_at"))
+    placed = match(df, starts, key).select(*key, value, (F.col(index) - F.col("_first")).alias("_at"))
     last = F.floor(F.col("_at") / F.lit(hop))
     segments = placed.withColumn("_segment", F.explode(F.array(*[last - back for back in range(2 + n % 2)]))).where("_segment >= 0")
     # For odd n, two hops are one row less than a segment, so a row may be in three.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import DAY, row_index
 
@@ -39,12 +39,30 @@ def expanding_folds(df: DataFrame, *, key: Sequence[str], ts: str, k: int = 5, b
     return out.select("*", F.inline(F.array_compact(F.array(*roles))))
 
 
+_HASHES = 1 << 60
+
+
+def row_hash(key: Sequence[str], seed: int) -> Column:
+    """60 bits of the MD5 of the key's texts and a seed, the same in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def random_split(df: DataFrame, *, key: Sequence[str], test_pct: int = 20, seed: int = 42) -> DataFrame:
     """A split by the hash of the row key: the same on every run and machine."""
-    place = F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), F.lit(100))
-    return df.withColumn("split", F.when(place < test_pct, "test").otherwise("train"))
+    return df.withColumn("split", F.when(row_hash(key, seed) % 100 < test_pct, "test").otherwise("train"))
 
 
 def sample_rows(df: DataFrame, *, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest key hashes: a repeatable random sample."""
-    return df.orderBy(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), *key).limit(n)
+    """The ``n`` rows with the smallest key hashes: a repeatable random sample.
+
+    Hashes are uniform, so a threshold leaves little more than ``n`` rows to sort,
+    however many partitions there are. Should it leave fewer, all rows are sorted.
+    """
+    hashed = df.withColumn("_hash", row_hash(key, seed))
+    few = df.count()
+    share = (n + 10 * n**0.5 + 100) / max(few, 1)
+    if share < 1:
+        under = hashed.where(F.col("_hash") < int(share * _HASHES))
+        hashed = under if under.count() >= n else hashed
+    return hashed.orderBy("_hash", *key).limit(n).drop("_hash")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 from ..functions.measures import correlation
 from ..functions.timecols import floor_ts
 from ..session import cut_lineage
+from .keys import match
 from .blocks import over_rows
 from .ranks import average_rank, long_form, quantiles, rank_bin, ranked_wide
 
@@ -39,7 +40,7 @@ def describe(df: DataFrame, *, key: Sequence[str], cols: Sequence[str]) -> DataF
     simple = rows.groupBy(*by).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    return simple.join(quantiles(rows, value="value", group=by, probs=QUARTILES), by, "left")
+    return match(simple, quantiles(rows, value="value", group=by, probs=QUARTILES), by, "left")
 
 
 def missing_counts(df: DataFrame, *, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -105,13 +106,15 @@ def mutual_information(df: DataFrame, *, key: Sequence[str], ids: Sequence[str],
 
 
 def histogram(df: DataFrame, *, key: Sequence[str], value: str, bins: int = 50) -> DataFrame:
-    """Counts in equal-width bins from the smallest to the largest value."""
+    """Counts in equal-width bins from the smallest to the largest value, empty bins
+    included. A series with one distinct value has it in bin 0."""
     known = df.where(F.col(value).isNotNull()).select(*key, value)
     ends = cut_lineage(known.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     at = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0))
-    placed = known.join(ends, list(key)).withColumn("bin", F.least(at, F.lit(bins - 1)).cast("long"))
-    counts = placed.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
+    placed = match(known, ends, key).select(*key, "_lo", "_hi", F.least(at, F.lit(bins - 1)).cast("long").alias("bin"), F.lit(1).alias("_one"))
+    empty = ends.select(*key, "_lo", "_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"), F.lit(0).alias("_one"))
+    counts = placed.unionByName(empty).groupBy(*key, "bin").agg(F.sum("_one").alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
     return counts.select(*key, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"), "n")
 
 
@@ -121,7 +124,7 @@ def boxplot(df: DataFrame, *, group: Sequence[str], value: str) -> DataFrame:
     boxes = cut_lineage(quantiles(known, value=value, group=group, probs=QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     v, inside = F.col(value), F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
-    return known.join(boxes, list(group)).groupBy(*group, *QUARTILES).agg(
+    return match(known, boxes, group).groupBy(*group, *QUARTILES).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.sum((~inside).cast("long")).alias("n_outliers"))
 
@@ -216,7 +219,7 @@ def autocorrelation(df: DataFrame, *, key: Sequence[str], index: str, value: str
     any shuffle of their own.
     """
     means = cut_lineage(df.groupBy(*key).agg(F.avg(value).alias("_mean")))
-    dev = df.join(means, list(key)).select(*key, index, (F.col(value) - F.col("_mean")).alias("_dev"))
+    dev = match(df, means, key).select(*key, index, (F.col(value) - F.col("_mean")).alias("_dev"))
     shifted = over_rows(dev, key=key, index=index, before=lags, rows=rows,
                         exprs=lambda w: {f"_l{k}": F.lag("_dev", k).over(w) for k in range(1, lags + 1)})
     square = F.sum(F.col("_dev") * F.col("_dev")).alias("_sq")
@@ -248,5 +251,5 @@ def seasonal_decompose(df: DataFrame, *, key: Sequence[str], index: str, ts: str
     phases = rows_.groupBy(*key, "_phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_p"))
     centred = F.col("_p") - F.avg("_p").over(W.partitionBy(*key))  # one row per phase
     seasonal = phases.select(*key, "_phase", centred.alias("seasonal"))
-    return rows_.join(seasonal, [*key, "_phase"]).select(
+    return match(rows_, seasonal, [*key, "_phase"]).select(
         *key, ts, value, "trend", "seasonal", (F.col(value) - F.col("trend") - F.col("seasonal")).alias("residual"))

@@ -10,7 +10,8 @@ from ..functions import solar
 from ..functions.clean import any_flag, guarded_ratio, night_below
 from ..functions.timecols import cyclical, floor_ts, ceil_ts, hour_of_day
 from ..operators import grid, joins, metrics, model, splits
-from ..operators.blocks import DAY
+from ..operators.blocks import DAY, block_seconds
+from ..operators.keys import match
 from ..operators.stats import linear_fit
 from ..session import cut_lineage
 
@@ -26,23 +27,26 @@ def time_features(ts: Column, year: float = 365.25) -> dict[str, Column]:
 
 def prepare_station(weather: DataFrame, power: DataFrame, places: DataFrame, *, key: Sequence[str], ts: str = "ts",
                     step_s: int = 600, impute_days: tuple[str, str] | None = None, zone: str = "Europe/Vienna",
-                    zero_fill: Sequence[str] = ("power_w",), block_s: int = 30 * DAY) -> DataFrame:
+                    zero_fill: Sequence[str] = ("power_w",), block_s: int | None = None) -> DataFrame:
     """Weather and inverter readings of many sites as one regular, complete table.
 
     ``weather`` has ghi_wm2, temp_c, wind_ms and pressure_hpa, ``power`` has
-    power_w, and ``places`` lat, lon and alt per series. Both are cut to their
+    power_w, and ``places`` lat, lon and alt per series; a series without a place
+    keeps its readings, without sun columns. Both are cut to their
     common span and set on one grid by nearest reading; sun, clear-sky and night
     columns follow, then imputation of listed days, and time columns.
     """
     weather_cols = [c for c in weather.columns if c not in (*key, ts)]
     power_cols = [c for c in power.columns if c not in (*key, ts)]
+    if block_s is None:  # readings come at irregular times: blocks by the density of the denser table
+        block_s = min(block_seconds(df, key=key, ts=ts) for df in (weather, power))
     span = cut_lineage(grid.common_range(weather, power, key=key, ts=ts))
     ends = span.select(*key, floor_ts(F.col("lo"), step_s).alias("lo"), ceil_ts(F.col("hi"), step_s).alias("hi"))
     times = grid.spine_between(ends, key=key, low="lo", high="hi", step_s=step_s, ts=ts)
     cut = [grid.clip_to_range(df, span, key=key, ts=ts) for df in (weather, power)]
     table = joins.asof_nearest(cut[0], cut[1], times, key=key, ts=ts, left_cols=weather_cols, right_cols=power_cols, step_s=step_s, block_s=block_s)
 
-    table = solar.with_sun(table.join(cut_lineage(places), list(key)), ts=ts)
+    table = solar.with_sun(match(table, cut_lineage(places), key, "left"), ts=ts)
     table = table.withColumn("aoi_deg", solar.incidence_angle(F.col("zenith_deg"), F.col("azimuth_deg")))
     table = table.withColumn("_p", solar.pressure_pa(F.col("pressure_hpa"), F.col("alt")))
     table = table.withColumns(solar.clear_sky(F.col("apparent_elev_deg"), F.col("_p"))).drop("_p")
@@ -56,9 +60,9 @@ def prepare_station(weather: DataFrame, power: DataFrame, places: DataFrame, *,
     return table.fillna(0.0, subset=[c for c in zero_fill if c in table.columns]).withColumns(time_features(F.col(ts)))
 
 
-# How each column of a prepared table becomes hourly.
+# How each column of a prepared table becomes hourly; energy_wh is a running counter.
 HOURLY = {
-    "ghi_wm2": "mean", "temp_c": "mean", "wind_ms": "mean", "precip_mm": "sum", "pressure_hpa": "mean", "energy_wh": "sum", "power_w": "mean",
+    "ghi_wm2": "mean", "temp_c": "mean", "wind_ms": "mean", "precip_mm": "sum", "pressure_hpa": "mean", "energy_wh": "last", "energy_interval": "sum", "power_w": "mean",
     "zenith_deg": "mean", "azimuth_deg": "mean", "aoi_deg": "mean", "clear_ghi": "mean", "clear_dni": "mean", "clear_dhi": "mean", "csi": "mean",
     "is_night": "max",
 }

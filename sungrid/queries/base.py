@@ -125,15 +125,15 @@ p2_n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS
 p2_f AS (SELECT series_id, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept
   FROM p2_n WHERE rn < floor(n * 0.7::DOUBLE) GROUP BY 1),
 p2 AS (SELECT p.series_id, p.ts, p.rn, p.n, p.ghi, p.power AS y_true, f.intercept + f.slope * p.ghi AS y_pred
-  FROM p2_n p JOIN p2_f f USING (series_id) WHERE f.slope IS NOT NULL)"""
+  FROM p2_n p LEFT JOIN p2_f f USING (series_id))"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = pairs(spark, sf_dir).dropna(subset=["ghi", "power"]).select("series_id", "ts", "ghi", "power")
     rows = row_index(known, key=KEY, ts="ts", block_s=WEEK, total="n")
     fit = linear_fit(rows.where(F.col("rn") < F.floor(F.col("n") * 0.7)), key=KEY, x="ghi", y="power")
-    out = predict_line(rows, fit, key=KEY, x="ghi", name="y_pred").withColumnRenamed("power", "y_true")
-    return out.where(F.col("y_pred").isNotNull())  # a series too short to fit is not scored
+    # A series too short to fit keeps its rows, without predictions.
+    return predict_line(rows, fit, key=KEY, x="ghi", name="y_pred").withColumnRenamed("power", "y_true")
 
 
 # --- Days: shipped value per day and return flag, on a full grid. --------------

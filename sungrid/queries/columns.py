@@ -162,9 +162,11 @@ def rated_power_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(table(spark, sf_dir, "events").select("event_id", clean.from_rated(v).alias("fraction"), clean.to_rated(v / 560.21).alias("power_w")), 6, power_w=4)
 
 
-@query("sample_rows")
+@query("sample_rows", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem
+  ORDER BY ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|42'), 1, 15))::BIGINT, l_orderkey, l_linenumber LIMIT 10000""")
 def sample_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_rows(table(spark, sf_dir, "lineitem"), key=ROW, n=10_000)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long"), "l_quantity")
+    return sample_rows(rows, key=ROW, n=10_000)
 
 
 @query("fill_zero", f"WITH {PAIR_SQL} SELECT series_id, ts, {R('coalesce(power, 0)')} AS power, {R('ghi')} AS ghi FROM pair")
@@ -249,9 +251,11 @@ def poa_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(sites(spark, sf_dir).select(*ROW, *[c.alias(n) for n, c in solar.poa_totals(F.col("direct"), F.col("diffuse"), F.col("temp_c")).items()]))
 
 
-@query("system_losses", f"""SELECT l_orderkey, {R('1 - exp(sum(ln((1 - l_discount) * (1 - l_tax))))')} AS total_loss, {R('sum(l_discount + l_tax) * 100')} AS sum_pct FROM lineitem GROUP BY 1""")
+@query("system_losses", f"""WITH p AS (SELECT l_orderkey, l_discount + l_tax AS both_, CASE WHEN l_orderkey % 50 = 1 AND l_linenumber = 1 THEN 0 ELSE (1 - l_discount) * (1 - l_tax) END AS passed FROM lineitem)
+  SELECT l_orderkey, {R('1 - product(passed)')} AS total_loss, {R('sum(both_) * 100')} AS sum_pct FROM p GROUP BY 1""")
 def system_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Losses of a system come as rows: parts of an order, each with two losses.
+    # Losses of a system come as rows: parts of an order, each with two losses; some parts pass nothing on.
     li = table(spark, sf_dir, "lineitem")
-    passed = 1 - solar.combined_loss([F.col("l_discount"), F.col("l_tax")])
-    return tidy(li.groupBy("l_orderkey").agg((1 - F.exp(F.sum(F.ln(passed)))).alias("total_loss"), (F.sum(F.col("l_discount") + F.col("l_tax")) * 100).alias("sum_pct")))
+    dead = (F.col("l_orderkey") % 50 == 1) & (F.col("l_linenumber") == 1)
+    passed = F.when(dead, 0.0).otherwise(1 - solar.combined_loss([F.col("l_discount"), F.col("l_tax")]))
+    return tidy(li.groupBy("l_orderkey").agg(solar.total_loss(passed).alias("total_loss"), (F.sum(F.col("l_discount") + F.col("l_tax")) * 100).alias("sum_pct")))

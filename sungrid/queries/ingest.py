@@ -49,32 +49,57 @@ def csv_iso_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports of both granularities in one folder per source, read back as text."""
     fine = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("fine_"), "event_type").alias("source_file"), F.date_format("ts", "dd.MM.yyyy HH:mm").alias("time"),
-        F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("energy"))
+        F.concat(F.lit("fine_"), "event_type").alias("source_file"), F.date_format("ts", "dd.MM.yyyy HH:mm").alias("Datum und Uhrzeit"),
+        F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("Energie"))
     coarse = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("daily_"), F.substring("o_orderpriority", 1, 1)).alias("source_file"),
-        F.date_format("o_orderdate", "dd.MM.yyyy").alias("time"),
-        F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("energy"))
+        F.date_format("o_orderdate", "dd.MM.yyyy").alias("Datum und Uhrzeit"),
+        F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("Energie"))
     path = shared_dir(spark)
     for rows, units in ((fine, ["[dd.MM.yyyy HH:mm]", "[Wh]"]), (coarse, ["[dd.MM.yyyy]", "[kWh]"])):
         _with_units_rows(rows, "source_file", units).write.mode("append").partitionBy("source_file").csv(path, sep=";", header=True)
-    return readers.read_text_table(spark, path, ["Datum und Uhrzeit", "Energie"], provenance=True)
+    return readers.read_exports(spark, path)
 
 
 @query("sniff_granularity", """SELECT source_file, granularity, count(*) + 1 AS n_rows FROM (
   SELECT 'fine_' || event_type AS source_file, '5min' AS granularity FROM events UNION ALL
   SELECT 'daily_' || substr(o_orderpriority, 1, 1), 'daily' FROM orders) GROUP BY 1, 2""")
 def sniff_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = readers.sniff_granularity(_exports(spark, sf_dir), time="Datum und Uhrzeit")
-    return flagged.groupBy("source_file", "granularity").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _exports(spark, sf_dir).groupBy("source_file", "granularity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("ingest_with_provenance", f"""SELECT ts::DATE AS day, {R('sum(value) / 1000')} AS energy_kwh, 'fine_' || event_type AS source_file,
   '5min_aggregated' AS data_type FROM events GROUP BY 1, 3 UNION ALL
   SELECT o_orderdate::DATE, {R('o_totalprice')}, 'daily_' || substr(o_orderpriority, 1, 1), 'daily' FROM orders""")
 def ingest_with_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = readers.merge_exports(_exports(spark, sf_dir), time="Datum und Uhrzeit", energy_terms=["energie", "energy"])
-    return tidy(merged)
+    return tidy(readers.merge_exports(_exports(spark, sf_dir)))
+
+
+@query("ingest_flat_folder", f"""WITH f AS (
+  SELECT ts::DATE AS day, '5min_aggregated' AS data_type, value / 1000 AS e FROM events UNION ALL
+  SELECT CASE WHEN o_orderkey % 1000 <> 500 OR o_orderkey % 2 = 1 THEN o_orderdate::DATE END, 'daily', CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END FROM orders)
+  SELECT day, data_type, {R('sum(e)', 4)} AS energy_kwh, CASE WHEN data_type = 'daily' THEN count(*) ELSE 1 END AS n_rows FROM f GROUP BY 1, 2""")
+def ingest_flat_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One folder with 5-minute files, daily files with their columns in another
+    # order, and daily files with some clock times; some numbers are the text NaN.
+    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    head, unit = "Datum und Uhrzeit", F.lit("[dd.MM.yyyy]")
+    ev, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 7 == 0, "NaN").otherwise(comma(F.col("o_totalprice").cast("decimal(18,2)")))
+    day, odd = F.date_format("o_orderdate", "dd.MM.yyyy"), F.col("o_orderkey") % 2 == 1
+    stray = F.col("o_orderkey") % 1000 == 500
+    time = F.when(stray, F.concat(day, F.lit(" 00:00"))).otherwise(day)
+    number = F.col("o_orderkey").cast("string").alias("Nummer")
+    path = shared_dir(spark)
+    ev.select(F.date_format("ts", "dd.MM.yyyy HH:mm").alias(head), comma(F.col("value")).alias("PV Produktion")).write.csv(path, sep=";", header=True)
+    orders.where(odd).select(number, price.alias("Energie"), day.alias("Datum")).write.mode("append").csv(path, sep=";", header=True)
+    plain = orders.where(~odd).sortWithinPartitions(stray).select(time.alias(head), number, price.alias("Symo (2)"))
+    plain.write.mode("append").csv(path, sep=";", header=True)
+    units = spark.range(0, 1).select(unit.alias(head), F.lit("[1]").alias("Nummer"), F.lit("[kWh]").alias("Symo (2)"))
+    units.write.mode("append").csv(path, sep=";", header=True)
+    merged = readers.merge_exports(readers.read_exports(spark, path))
+    n = F.when(F.col("data_type") == "daily", F.count(F.lit(1))).otherwise(F.lit(1).cast("long"))
+    return tidy(merged.groupBy("day", "data_type").agg(F.sum("energy_kwh").alias("energy_kwh"), n.alias("n_rows")), 4)
 
 
 @query("yearly_merge", f"""SELECT o_orderkey, year(o_orderdate) AS year, {R('o_totalprice * 12', 2)} AS power_w FROM orders""")
@@ -82,7 +107,7 @@ def yearly_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = orders.select("o_orderkey", F.year("o_orderdate").alias("year"), energy_to_power(F.col("o_totalprice")).alias("power_w"))
     path = shared_dir(spark)
-    sinks.write_by_year(rows, path, spread=["o_orderkey"])
+    sinks.write_by_year(rows, path)
     merged = spark.read.parquet(path)
     return tidy(merged.select("o_orderkey", "year", "power_w"), 2)
 

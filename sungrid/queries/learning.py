@@ -48,9 +48,10 @@ def tscv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.expanding_folds(_complete(spark, sf_dir), key=KEY, ts="ts", k=5, block_s=WEEK).select("series_id", "ts", "rn", "fold", "role")
 
 
-@query("random_split")
+@query("random_split", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity,
+  CASE WHEN ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|42'), 1, 15))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM lineitem""")
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long"), "l_quantity")
     return splits.random_split(li, key=["l_orderkey", "l_linenumber"])
 
 
@@ -370,7 +371,7 @@ def _station(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") + 900).alias("pressure_hpa"))
     places = table(spark, sf_dir, "nation").select(F.concat(F.lit("site_"), F.col("n_nationkey").cast("string")).alias("series_id"),
                            (F.col("n_nationkey") + 46).cast("double").alias("lat"), F.lit(15.0).alias("lon"), F.lit(350.0).alias("alt"))
-    return station.prepare_station(weather, value("click", "power_w"), places, key=KEY, impute_days=("2024-01-10", "2024-01-14"), block_s=WEEK)
+    return station.prepare_station(weather, value("click", "power_w"), places, key=KEY, impute_days=("2024-01-10", "2024-01-14"))
 
 
 @query("prepare_station")

@@ -125,8 +125,15 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HIST = "least(coalesce(floor((value - lo) / nullif((hi - lo) / 50.0, 0)), 0), 49)::BIGINT"
 
 
+# Every bin of every series, filled or not.
+_BINS = f"""SELECT b.series_id, g.k AS bin, {R('min(lo) + g.k * ((min(hi) - min(lo)) / 50.0)')} AS bin_start, count(h.bin) AS n
+  FROM b CROSS JOIN (SELECT unnest(range(50)) AS k) g
+  LEFT JOIN (SELECT series_id, {_HIST} AS bin FROM {{src}} JOIN b USING (series_id) WHERE value IS NOT NULL) h ON h.series_id = b.series_id AND h.bin = g.k
+  WHERE lo IS NOT NULL GROUP BY 1, 2"""
+
+
 @query("histogram", f"""WITH {EV_SQL}, b AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM ev GROUP BY 1)
-  SELECT series_id, {_HIST} AS bin, {R(f'min(lo) + {_HIST} * ((min(hi) - min(lo)) / 50.0)'.replace(_HIST, 'bin'))} AS bin_start, count(*) AS n FROM ev JOIN b USING (series_id) WHERE value IS NOT NULL GROUP BY 1, 2""")
+  {_BINS.format(src='ev')}""")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats.histogram(readings(spark, sf_dir), key=KEY, value="value", bins=50))
 
@@ -167,7 +174,7 @@ def residuals_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("residual_histogram", f"""WITH {P2_SQL}, e AS (SELECT series_id, y_true - y_pred AS value FROM p2), b AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM e GROUP BY 1)
-  SELECT series_id, {_HIST} AS bin, {R('min(lo) + bin * ((min(hi) - min(lo)) / 50.0)')} AS bin_start, count(*) AS n FROM e JOIN b USING (series_id) GROUP BY 1, 2""")
+  {_BINS.format(src='e')}""")
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = scored(spark, sf_dir).select("series_id", (F.col("y_true") - F.col("y_pred")).alias("value"))
     return tidy(stats.histogram(res, key=KEY, value="value", bins=50))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.clean import coerce_double, drop_units_rows, euro_double, pick_column
+from ..functions.clean import coerce_double, drop_units_rows, euro_double
 from ..functions.timecols import parse_ts
+from ..operators.keys import match
 from ..session import cut_lineage
 
 # Time formats of the exports.
@@ -29,10 +31,63 @@ def read_text_table(spark: SparkSession, path: str | list[str], names: Sequence[
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    """Add the path, and the last folder of the path, that each row came from."""
+    """Add the source that each row came from: ``source_path``, and its name.
+
+    A source is a file; its name is the file's. Files that Spark has written into
+    a folder ``column=value`` are parts of one source, the folder, named ``value``.
+    """
     path = F.col("_metadata.file_path")
-    folder = F.element_at(F.split(path, "/"), -2)
-    return df.select("*", path.alias("source_path"), F.regexp_replace(folder, "^[^=]*=", "").alias("source_file"))
+    folder = F.regexp_extract(path, "/[^/=]+=([^/]*)/[^/]*$", 1)
+    parts = folder != ""
+    return df.select("*", F.when(parts, F.regexp_replace(path, "/[^/]*$", "")).otherwise(path).alias("source_path"),
+                     F.when(parts, F.url_decode(folder)).otherwise(F.url_decode(F.element_at(F.split(path, "/"), -1))).alias("source_file"))
+
+
+# What names of time and energy columns hold.
+TIME_NAME, TIME_TERMS = "Datum und Uhrzeit", ("datum", "date", "zeit", "time")
+ENERGY_TERMS = ("Energie", "Energy", "Gesamtanlage", "PV Produktion", "Symo")
+
+
+def _first_with(names: Column, pattern: str) -> Column:
+    """Place (from 1) of the first name that matches; 0 where none does."""
+    return F.array_position(F.transform(names, lambda n: n.rlike(pattern)), True)
+
+
+def _any_of(terms: Sequence[str]) -> str:
+    return "|".join(re.escape(t) for t in terms)
+
+
+def read_exports(spark: SparkSession, path: str | list[str], *, sep: str = ";") -> DataFrame:
+    """Files of mixed exports below ``path``: source_path, source_file, granularity,
+    and the time and energy cells as text, units rows included.
+
+    Each file is read by its own header: time is the column of that name or the
+    first with a word for time, energy the first other column with a word for
+    energy, or else the second column. A file has 5-minute steps if the first
+    cell of its time column has a clock time, and days otherwise.
+
+    Headers and first cells are aggregates with one row per file; rows of any
+    header are then read in one pass, their cells picked by the file's places.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    place = [F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at")]
+    first = F.col("_metadata.file_block_start") == 0
+    heads = lines.where(first).select(*place, "value").groupBy("_path").agg(F.min_by("value", "_at").alias("_head"))
+    names = F.transform(F.split("_head", re.escape(sep), -1), lambda c: F.regexp_replace(c, '^[\\s"\ufeff]+|[\\s"]+$', ""))
+    time = F.coalesce(F.nullif(F.array_position("_names", TIME_NAME), F.lit(0)), F.nullif(_first_with(F.col("_names"), f"(?i){_any_of(TIME_TERMS)}"), F.lit(0)))
+    others = F.transform("_names", lambda n, i: F.when(i + 1 == F.col("_time"), "").otherwise(n))
+    energy = F.coalesce(F.nullif(_first_with(others, _any_of(ENERGY_TERMS)), F.lit(0)), F.lit(2))
+    heads = heads.select("_path", names.alias("_names")).withColumn("_time", time).withColumn("_energy", energy)
+    heads = cut_lineage(heads.select("_path", F.size("_names").alias("_n"), F.col("_time").cast("int"), F.col("_energy").cast("int")))
+    most = heads.agg(F.max("_n")).first()[0] or 1
+    cells = [f"_c{i}" for i in range(max(most, 2))]
+    raw = spark.read.schema(text_schema(cells)).option("recursiveFileLookup", True).csv(path, sep=sep, header=True, enforceSchema=True)
+    raw = with_provenance(raw).select("source_path", "source_file", *place, first.alias("_first"), F.array(*cells).alias("_cells"))
+    rows = match(raw, heads, "_path").where("_time is not null")  # a file without a time column has no readings
+    rows = rows.select("source_path", "source_file", "_path", "_at", "_first", F.try_element_at("_cells", "_time").alias("time"), F.try_element_at("_cells", "_energy").alias("energy"))
+    clock = F.min_by("time", "_at").contains(":")
+    flags = rows.where("_first").groupBy("_path").agg(F.when(clock, "5min").otherwise("daily").alias("granularity"))
+    return match(rows, cut_lineage(flags), "_path", "left").select("source_path", "source_file", F.coalesce("granularity", F.lit("daily")).alias("granularity"), "time", "energy")
 
 
 def parse_european(df: DataFrame, *, time: str, values: dict[str, str], ts: str = "ts", fmt: str = GERMAN_MINUTE) -> DataFrame:
@@ -50,28 +105,19 @@ def parse_iso(df: DataFrame, *, time: str, values: Sequence[str], ts: str = "ts"
     return parsed.where(F.col(ts).isNotNull())
 
 
-def sniff_granularity(df: DataFrame, *, time: str, file: str = "source_file") -> DataFrame:
-    """Add ``granularity`` per file: 5min where its time cells carry a clock time.
+def merge_exports(exports: DataFrame) -> DataFrame:
+    """Daily energy from exports (``read_exports``) of both granularities: daily
+    rows as they are, and 5-minute rows summed to days in kWh.
 
-    The flag of a file is an aggregate over its rows and comes back by a join, so
-    one very large file is spread like any other data.
+    A daily row whose time cannot be read keeps its energy, without a day.
     """
-    clock = F.max(F.col(time).contains(":").cast("int"))
-    flags = df.groupBy(file).agg(F.when(clock == 1, "5min").otherwise("daily").alias("granularity"))
-    return df.join(cut_lineage(flags), file)
-
-
-def merge_exports(df: DataFrame, *, time: str, energy_terms: Sequence[str], file: str = "source_file") -> DataFrame:
-    """Daily energy from files of both granularities: daily rows as they are, and
-    5-minute rows summed to days in kWh."""
-    energy = pick_column([c for c in df.columns if c not in (file, "source_path", "granularity")], energy_terms)
-    body = drop_units_rows(sniff_granularity(df, time=time, file=file), time)
-    value = euro_double(F.col(energy))
+    body = drop_units_rows(exports, "time")
+    value = euro_double(F.col("energy"))
     daily = body.where("granularity = 'daily'").select(
-        F.to_date(parse_ts(F.trim(time), GERMAN_DAY)).alias("day"), value.alias("energy_kwh"), file, F.lit("daily").alias("data_type"))
-    fine = body.where("granularity = '5min'").select(F.to_date(parse_ts(F.trim(time), GERMAN_MINUTE)).alias("day"), value.alias("_wh"), file)
-    summed = fine.where(F.col("day").isNotNull()).groupBy("day", file).agg((F.sum("_wh") / 1000.0).alias("energy_kwh"))
-    return daily.unionByName(summed.select("day", "energy_kwh", file, F.lit("5min_aggregated").alias("data_type")))
+        F.to_date(parse_ts(F.trim("time"), GERMAN_DAY)).alias("day"), value.alias("energy_kwh"), "source_file", F.lit("daily").alias("data_type"))
+    fine = body.where("granularity = '5min'").select(F.to_date(parse_ts(F.trim("time"), GERMAN_MINUTE)).alias("day"), value.alias("_wh"), "source_path", "source_file")
+    summed = fine.where(F.col("day").isNotNull()).groupBy("day", "source_path", "source_file").agg((F.sum("_wh") / 1000.0).alias("energy_kwh"))
+    return daily.unionByName(summed.select("day", "energy_kwh", "source_file", F.lit("5min_aggregated").alias("data_type")))
 
 
 def forecast_schema(params: Sequence[str]) -> T.StructType:

@@ -12,17 +12,15 @@ TIME_TEXT = "yyyy-MM-dd HH:mm:ss"  # fixed value: time format of exports
 
 
 def write_series(df: DataFrame, path: str, *, key: Sequence[str], ts: str, mode: str = "error") -> None:
-    """Parquet by series and month. Rows are shuffled by (series, month, day), so a
-    large series is written by many tasks and a folder gets at most 31 files."""
+    """Parquet by series and month. Rows meet by (series, month), and Spark cuts what
+    is large into tasks, and joins what is small, by size."""
     out = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
-    day = F.dayofmonth(ts)
-    out.repartition(*key, "month", day).write.mode(mode).option("compression", "snappy").partitionBy(*key, "month").parquet(path)
+    out.hint("rebalance", *key, "month").write.mode(mode).option("compression", "snappy").partitionBy(*key, "month").parquet(path)
 
 
-def write_by_year(df: DataFrame, path: str, *, year: str = "year", spread: Sequence[str], mode: str = "error") -> None:
-    """One folder per year. ``spread`` are columns that divide a year among tasks."""
-    out = df.repartition(year, F.pmod(F.xxhash64(*spread), F.lit(16)))
-    out.write.mode(mode).option("compression", "snappy").partitionBy(year).parquet(path)
+def write_by_year(df: DataFrame, path: str, *, year: str = "year", mode: str = "error") -> None:
+    """One folder per year; a large year is cut into tasks by size."""
+    df.hint("rebalance", year).write.mode(mode).option("compression", "snappy").partitionBy(year).parquet(path)
 
 
 def text_records(df: DataFrame, *, ts: Sequence[str], decimal_comma: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sungrid.operators import blocks, grid, joins, ranks, stats, windows
+from sungrid.operators import blocks, grid, joins, model, ranks, splits, stats, windows
 
 START = pd.Timestamp("2024-01-01")
 
@@ -89,8 +89,6 @@ def test_row_windows_with_small_blocks(spark):
     np.testing.assert_allclose(got.v_std, pdf.v.rolling(7).std())
     r = collected(windows.rolling_corr(df, key=["series_id"], index="i", a="v", b="w", n=9, rows=8), "i")
     np.testing.assert_allclose(r["corr"], pdf.v.rolling(9).corr(pdf.w))
-    with pytest.raises(ValueError):
-        windows.rolling(df, key=["series_id"], index="i", col="v", n=20, rows=8)
 
 
 def test_sequence_counts_and_targets(spark):
@@ -156,3 +154,37 @@ def test_autocorrelation_and_decomposition(spark):
     parts = collected(stats.seasonal_decompose(df, key=["k"], index="i", ts="ts", value="v", period=7, rows=16), "ts")
     np.testing.assert_allclose(parts.trend, pd.Series(v).rolling(7, center=True).mean())
     assert parts.trend.isna().sum() == 6 and abs(parts.seasonal.iloc[:7].sum()) < 1e-9
+
+
+def test_missing_series_and_times_keep_their_rows(spark):
+    rows = [(None, f"2024-01-0{d} 00:00:00", float(d)) for d in (1, 2, 3)] + [("a", "2024-01-01 00:00:00", 1.0), ("a", None, 2.0)]
+    df = spark.createDataFrame(rows, "series_id string, t string, v double").select("series_id", F.col("t").cast("timestamp_ntz").alias("ts"), "v")
+    key = dict(key=["series_id"], ts="ts")
+    assert sorted((r.rn, r.n) for r in blocks.row_index(df, **key, total="n").where("series_id is null").collect()) == [(0, 3), (1, 3), (2, 3)]
+    assert blocks.row_index(df, **key).count() == 5
+    assert [r.s for r in blocks.running_sum(df, **key, cols={"v": "s"}).where("series_id is null").orderBy("ts").collect()] == [1.0, 3.0, 6.0]
+    assert [r.p for r in blocks.previous_row(df, **key, cols={"v": "p"}).where("series_id is null").orderBy("ts").collect()] == [None, 1.0, 2.0]
+    assert blocks.neighbours(df, **key, cols=["v"]).count() == 5
+    assert joins.last_rows(df, **key, n=2).where("series_id is null").count() == 2
+    assert splits.chrono_split(df, **key).count() == 5
+    fit = spark.createDataFrame([(None, 1.0, 2.0), ("a", 0.0, 0.0)], "series_id string, intercept double, slope double")
+    assert model.predict_line(df, fit, key=["series_id"], x="v", name="p").where("p is null").count() == 0
+
+
+def test_series_without_a_common_span_leave_the_others_alone(spark):
+    def side(name, spans):
+        rows = [(k, f"2024-01-{d:02d} {h:02d}:00:00", float(h)) for k, d in spans for h in range(4)]
+        return spark.createDataFrame(rows, f"series_id string, t string, {name} double").select("series_id", F.col("t").cast("timestamp_ntz").alias("ts"), name)
+
+    left, right = side("x", [("a", 1), ("b", 1)]), side("y", [("a", 1), ("b", 9)])
+    span = grid.common_range(left, right, key=["series_id"], ts="ts")
+    assert {r.series_id: r.lo <= r.hi for r in span.collect()} == {"a": True, "b": False}
+    times = grid.spine_between(span, key=["series_id"], low="lo", high="hi", step_s=3600)
+    both = joins.asof_nearest(left, right, times, key=["series_id"], ts="ts", left_cols=["x"], right_cols=["y"], step_s=3600)
+    assert {r.series_id for r in both.collect()} == {"a"} and both.count() == 4
+
+
+def test_windows_longer_than_a_block(spark):
+    df = spark.range(50).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    got = blocks.over_rows(df, key=["k"], index="i", before=20, rows=4, exprs=lambda w: {"s": F.sum("v").over(w.rowsBetween(-20, 0))})
+    assert {r.i: r.s for r in got.collect()} == {i: float(sum(range(max(0, i - 20), i + 1))) for i in range(50)}

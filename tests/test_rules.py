@@ -56,7 +56,8 @@ def test_present_columns_only(spark):
     df = spark.createDataFrame([(1, 12, 10)], "a int, f int, g int")
     assert clean.select_present(df, {"a": "x", "zz": "y"}).columns == ["x"]
     assert clean.keep_good(df, ["f", "missing"]).count() == 1 and clean.keep_good(df, ["f", "g"]).count() == 0
-    assert clean.pick_column(["time", "first", "Energy kWh"], ["energy"]) == "Energy kWh" and clean.pick_column(["time", "first"], ["q"]) == "first"
+    assert clean.pick_column(["time", "first", "Energy kWh"], ["Energy"]) == "Energy kWh" and clean.pick_column(["time", "first"], ["q"]) == "first"
+    assert clean.pick_column(["time", "PV Produktion", "Energie"], ["Energie", "PV Produktion"]) == "PV Produktion"  # the first column, not the first term
     with pytest.raises(ValueError):
         clean.first_present(df, ["no"])
 
@@ -227,9 +228,36 @@ def test_units_rows_and_merge(spark, tmp_path):
         folder = tmp_path / name
         folder.mkdir()
         (folder / "part.csv").write_text(text)
-    raw = readers.read_text_table(spark, str(tmp_path), ["Zeit", "Energie"], provenance=True)
-    got = {(str(r.day), r.energy_kwh, r.source_file, r.data_type) for r in readers.merge_exports(raw, time="Zeit", energy_terms=["energie"]).collect()}
-    assert got == {("2024-02-01", 1.0, "fine", "5min_aggregated"), ("2024-02-02", 16.25, "coarse", "daily")}
+    got = {(str(r.day), r.energy_kwh, r.source_file, r.data_type) for r in readers.merge_exports(readers.read_exports(spark, str(tmp_path))).collect()}
+    assert got == {("2024-02-01", 1.0, "part.csv", "5min_aggregated"), ("2024-02-02", 16.25, "part.csv", "daily")}
+
+
+def test_flat_folder_of_mixed_exports(spark, tmp_path):
+    """Each file by its own header and first cell; no row of another file suffers."""
+    texts = {
+        "a fine.csv": "Datum und Uhrzeit;PV Produktion;Energie\n[dd.MM.yyyy HH:mm];[Wh];[1]\n01.02.2024 00:05;500,5;9\n01.02.2024 00:10;499,5;9\n",
+        "b swapped.csv": '\ufeff"Nummer";"Energie | Symo";"Datum"\n[1];[kWh];[dd.MM.yyyy]\n77;5,5;02.02.2024\n78;NaN;03.02.2024\n',
+        "c stray.csv": "Zeit;Wert\n[dd.MM.yyyy];[kWh]\n01.02.2024;1\n02.01.2024 00:00;2\n04.02.2024;3\n",
+        "d untimed.csv": "x;y\n1;2\n",
+        "e short.csv": "Datum;Energie\n05.02.2024\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = sorted(((str(r.day), r.energy_kwh, r.source_file, r.data_type) for r in readers.merge_exports(readers.read_exports(spark, str(tmp_path))).collect()), key=str)
+    assert got == sorted([
+        ("2024-02-01", 1.0, "a fine.csv", "5min_aggregated"), ("2024-02-02", 5.5, "b swapped.csv", "daily"), ("2024-02-03", None, "b swapped.csv", "daily"),
+        ("2024-02-01", 1.0, "c stray.csv", "daily"), ("None", 2.0, "c stray.csv", "daily"), ("2024-02-04", 3.0, "c stray.csv", "daily"), ("2024-02-05", None, "e short.csv", "daily")], key=str)
+
+
+def test_nan_text_is_missing(spark):
+    r = one(spark, clean.coerce_double(F.lit("NaN")).alias("a"), clean.euro_double(F.lit("nan")).alias("b"), clean.coerce_double(F.lit("1.5")).alias("c"))
+    assert tuple(r) == (None, None, 1.5)
+
+
+def test_a_total_loss_is_total(spark):
+    df = spark.createDataFrame([("a", 0.9), ("a", 0.0), ("b", 0.5), ("b", 0.5), ("b", None)], "k string, p double")
+    got = {r.k: r.l for r in df.groupBy("k").agg(solar.total_loss(F.col("p")).alias("l")).collect()}
+    assert got["a"] == 1.0 and got["b"] == pytest.approx(0.75)
 
 
 def test_columns_that_do_not_vary(spark):
@@ -243,4 +271,4 @@ def test_columns_that_do_not_vary(spark):
     fit = stats.linear_fit(df, key=["k"], x="c", y="y").first()
     assert fit.slope is None and fit.n == 6
     bins = stats.histogram(df, key=["k"], value="c", bins=5).collect()
-    assert [(r.bin, r.n) for r in bins] == [(0, 6)]
+    assert sorted((r.bin, r.n) for r in bins) == [(0, 6), (1, 0), (2, 0), (3, 0), (4, 0)]
