@@ -24,25 +24,25 @@ PIECE = 1 << 18
 def _codes(text: str) -> np.ndarray:
     """Buckets of the n-grams of a text, lower-cased, with a blank at each end."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in SIZES:
+    h, out = np.zeros(len(c), np.uint64), []
+    for n in range(1, max(SIZES) + 1):  # an n-gram's hash goes on from that of its beginning
         if len(c) < n:
-            continue
-        h = np.full(len(c) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h ^ c[k:len(c) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append((h >> np.uint64(20)) & np.uint64(BUCKETS - 1))
-    return np.concatenate(out).astype(np.int64)
+            break
+        h = (h[:len(c) - n + 1] ^ c[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in SIZES:
+            out.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return np.concatenate(out)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and term frequencies (shares of all n-grams) of a whole text."""
-    counts = np.zeros(BUCKETS, np.int64) if len(text) > PIECE else None
-    if counts is None:
+    """Buckets and term frequencies (shares of all n-grams) of a whole text. A long
+    text is counted in pieces; an n-gram does not span two of them."""
+    if len(text) < 500:
         at, n = np.unique(_codes(text), return_counts=True)
-    else:  # a long text in pieces; an n-gram does not span two of them
-        for i in range(0, len(text), PIECE):
+    else:
+        counts = np.bincount(_codes(text[:PIECE]), minlength=BUCKETS)
+        for i in range(PIECE, len(text), PIECE):
             counts += np.bincount(_codes(text[i:i + PIECE]), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         n = counts[at]
@@ -138,16 +138,21 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             made = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32())), batch.column(1)], names=["at", "x", "y"])
+            packed = [pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*packed, batch.column(1)], names=["at", "x", "y"])
 
     picked = src.select("i").orderBy(F.xxhash64("i"), "i").limit(sample).distinct()  # ids alone are sorted
     chosen = src.join(F.broadcast(picked), "i").groupBy(F.sha2(F.col("t").cast("binary"), 256)).agg(F.min(F.struct("i", "t", "y")).alias("r")).orderBy(F.xxhash64("r.i"), "r.i").limit(sample)
-    rows = [(np.array(r.at), np.array(r.x) * idf[r.at], r.y) for r in chosen.select("r.t", "r.y").mapInArrow(run, "at array<int>, x array<float>, y string").toLocalIterator()]
+    rows = []
+    for r in chosen.select("r.t", "r.y").mapInArrow(run, "at binary, x binary, y string").toLocalIterator():
+        at, x = np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32)
+        x = x * idf[at]
+        rows.append((at, (x / np.sqrt((x * x).sum())).astype(np.float32), r.y))
     if not rows:
         return None
     langs = sorted({y for _, _, y in rows})
     number = {y: k for k, y in enumerate(langs)}
-    rows = [(at, x / np.sqrt((x * x).sum()), number[y]) for at, x, y in rows]
+    rows = [(at, x, number[y]) for at, x, y in rows]
     held = rows[::5] if len(rows) >= 50 else rows
     learn = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows
     made, order = Ftrl(BUCKETS, len(langs)), np.random.default_rng(7)

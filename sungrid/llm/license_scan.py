@@ -100,6 +100,12 @@ class TemplateIndex:
                     found[k] = n / len(s)
         return found
 
+    def matches(self, block: int, ws: list[bytes]) -> list[dict]:
+        """All matches of a block. ``within`` marks those whose template is a part
+        of another one in the block: that one names the license."""
+        found = self.find(ws)
+        return [{"block": block, "template": k, "containment": c, "within": any(self.sets[k][1] < self.sets[j][1] for j in found)} for k, c in sorted(found.items())]
+
 
 def places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> tuple[list[int], set[str]]:
     """Starts of all places of the phrases, and their labels."""
@@ -119,8 +125,9 @@ def places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> tuple[lis
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, least: float = CONTAINMENT) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels, score, and matches: (block, template, containment) for every text
-    block (line) and template whose containment is at least ``least``.
+    labels, score, and matches: (block, template, containment, within) for every
+    text block (line) and template whose containment is at least ``least``. A
+    match within a larger template of the same block gives no label.
 
     n_base counts all places of the phrases in the whole text, line ends or not.
     score is the largest containment found, or 1 where a phrase stands. Null and
@@ -145,17 +152,17 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
                 starts, base = places(ws, spoken) if not ends.isdisjoint(distinct) else ([], set())
                 found = []
                 if len(index.vocab & distinct) >= index.fewest and not index.prefix.keys().isdisjoint(distinct):
-                    found = [{"block": b, "template": k, "containment": c} for b, line in enumerate(blocks(t)) for k, c in sorted(index.find(line).items())]
-                labels = base | {sets[m["template"]][0] for m in found}
+                    found = [m for b, line in enumerate(blocks(t)) for m in index.matches(b, line)]
+                labels = base | {sets[m["template"]][0] for m in found if not m["within"]}
                 score = 1.0 if starts else max((m["containment"] for m in found), default=0.0)
                 out.append((len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, found))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct({"block": pa.int64(), "template": pa.int64(), "containment": pa.float64()}))]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct({"block": pa.int64(), "template": pa.int64(), "containment": pa.float64(), "within": pa.bool_()}))]
             cols = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<block:bigint,template:bigint,containment:double>>")
+    return src.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<block:bigint,template:bigint,containment:double,within:boolean>>")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,11 +132,10 @@ def licenses(rows, phrases, templates, least):
             base |= {label} if at else set()
         best, labels = 0.0, set(base)
         for line in re.split(r"[\r\n]", t or ""):
-            for label, s in sets:
-                share = len(s & set(alnum(line))) / len(s)
-                if share >= least - 1e-9:
-                    labels.add(label)
-                    best = max(best, share)
+            ws_ = set(alnum(line))
+            found = [(label, s) for label, s in sets if len(s & ws_) / len(s) >= least - 1e-9]
+            best = max([best, *(len(s & ws_) / len(s) for _, s in found)])
+            labels |= {label for label, s in found if not any(s < s2 for _, s2 in found)}
         out.append((i, len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if starts else best))
     return sorted(out, key=lambda r: r[0])
 
