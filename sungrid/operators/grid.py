@@ -126,9 +126,18 @@ def linear_value(c: str, ts: str) -> Column:
 
 
 def reindex_nearest(df: DataFrame, *, key: Sequence[str], ts: str, cols: Sequence[str], step_s: int,
-                    grid: DataFrame | None = None, tolerance_s: int | None = None, block_s: int = DAY) -> DataFrame:
-    """Give each grid time the reading nearest to it. Times of a series are unique."""
+                    grid: DataFrame | None = None, tolerance_s: int | None = None, block_s: int = DAY, known: bool = True) -> DataFrame:
+    """Give each grid time the reading nearest to it. Times of a series are unique.
+
+    The nearest known value of each column, or with ``known`` off the values of the
+    nearest row, missing ones too.
+    """
     grid = time_spine(df, key=key, ts=ts, step_s=step_s) if grid is None else grid
+    if not known:
+        rows = df.select(*key, ts, F.struct(*cols).alias("_row"))
+        placed = place_on_grid(rows, grid, key=key, ts=ts, cols=["_row"], block_s=block_s)
+        near = nearest_value("_row", ts, tolerance_s)
+        return placed.select(*key, ts, near.alias("_near")).select(*key, ts, *[F.col(f"_near.`{c}`").alias(c) for c in cols])
     placed = place_on_grid(df, grid, key=key, ts=ts, cols=cols, block_s=block_s)
     return placed.select(*key, ts, *[nearest_value(c, ts, tolerance_s).alias(c) for c in cols])
 

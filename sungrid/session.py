@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,7 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 _local_base: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
         if not _local_base:
             _local_base.append(tempfile.mkdtemp(prefix="sungrid-"))
         base = _local_base[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables that are written inside, and removes them at the
+    end. Results are lazy: write or collect them inside."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

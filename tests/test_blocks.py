@@ -188,3 +188,23 @@ def test_windows_longer_than_a_block(spark):
     df = spark.range(50).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
     got = blocks.over_rows(df, key=["k"], index="i", before=20, rows=4, exprs=lambda w: {"s": F.sum("v").over(w.rowsBetween(-20, 0))})
     assert {r.i: r.s for r in got.collect()} == {i: float(sum(range(max(0, i - 20), i + 1))) for i in range(50)}
+
+
+def test_nearest_row_or_nearest_known_value(spark):
+    rows = [("a", "2024-01-01 00:00:00", 1.0, 5.0), ("a", "2024-01-01 00:20:00", None, 6.0), ("a", "2024-01-01 00:50:00", 3.0, None)]
+    df = spark.createDataFrame(rows, "k string, t string, v double, w double").select("k", F.col("t").cast("timestamp_ntz").alias("ts"), "v", "w")
+    get = lambda known: [(r.v, r.w) for r in grid.reindex_nearest(df, key=["k"], ts="ts", cols=["v", "w"], step_s=1800, known=known).orderBy("ts").collect()]
+    assert get(False) == [(1.0, 5.0), (None, 6.0), (3.0, None)]
+    assert get(True) == [(1.0, 5.0), (3.0, 6.0), (3.0, 6.0)]
+
+
+def test_scratch_leaves_no_files(spark, tmp_path):
+    from sungrid import session
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        with session.scratch(spark):
+            assert session.cut_lineage(spark.range(3)).count() == 3 and list(tmp_path.iterdir())
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
