@@ -20,11 +20,11 @@ from .common import fold, rows_of, table, tokens
 #: A file of ranked byte merges; the driver reads it and sends it to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Subwords with an embedding of their own; width; classes of the output.
-SLOTS, DIM, CLASSES = 1024, 16, 32
+SLOTS, DIM, CLASSES = 1024, 16, 64
 #: Tokens that a window scores, and tokens of context before them.
 HALF = 16
 #: One in SHARE of the training texts also trains the attention weights, in ROUNDS of averaging.
-SHARE, ROUNDS, RATE, BATCH = 64, 4, 0.02, 128
+SHARE, ROUNDS, RATE, BATCH = 64, 4, 0.02, 64
 #: Words whose counts every task holds; the counts of the others are joined.
 HEAD = 100_000
 NEAR = 32  # buckets for the neighbours of a subword
@@ -188,27 +188,30 @@ class Scorer:
 
     def __init__(self, p: dict[str, np.ndarray]):
         emb = np.vstack((p["emb"], np.zeros((1, DIM), np.float32)))  # padding
-        self.q, self.k = emb @ p["q"] / math.sqrt(DIM), emb @ p["k"]
+        q, k = emb @ p["q"] / math.sqrt(DIM), emb @ p["k"]
+        q *= min(1.0, 60 / max(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max(), 1e-9))
         # Padding weighs nothing: its value and its share of the sum are zero.
-        self.v = np.hstack((emb @ p["v"], np.ones((len(emb), 1), np.float32))).astype(np.float32)
-        self.v[-1] = 0
-        most = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max()
-        self.q = (self.q * min(1.0, 60 / max(most, 1e-9))).astype(np.float32)
+        v = np.hstack((emb @ p["v"], np.ones((len(emb), 1), np.float32)))
+        v[-1] = 0
+        self.here = np.hstack((emb, q)).astype(np.float32)
+        self.past = np.hstack((k, v)).astype(np.float32)
         self.seen = (np.exp(p["far"]) * _CAUSAL).astype(np.float32)
-        self.own, self.out = (emb @ p["out"] + p["bias"]).astype(np.float32), p["out"].astype(np.float32)
+        self.out, self.bias = p["out"].astype(np.float32), p["bias"].astype(np.float32)
 
     def log_classes(self, win: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Log probability of the class of each target."""
-        e = np.matmul(self.q[win[:, HALF:]], self.k[win].transpose(0, 2, 1))
+        past, here = self.past[win], self.here[win[:, HALF:]]
+        e = np.matmul(here[..., DIM:], past[..., :DIM].transpose(0, 2, 1))
         np.exp(e, out=e)
         e *= self.seen
-        o = np.matmul(e, self.v[win])
-        z = self.own[win[:, HALF:]]
-        z += (o[..., :DIM] / (o[..., DIM:] + 1e-9)) @ self.out
+        o = np.matmul(e, past[..., DIM:])
+        h = here[..., :DIM] + o[..., :DIM] / (o[..., DIM:] + 1e-9)
+        z = h.reshape(-1, DIM) @ self.out
+        z += self.bias
         np.clip(z, -60, 60, out=z)
-        picked = np.take_along_axis(z, group[..., None], axis=2)[..., 0]
+        picked = z[np.arange(len(z)), group.ravel()]
         np.exp(z, out=z)
-        return picked - np.log(z.sum(axis=2))
+        return (picked - np.log(z.sum(axis=1))).reshape(group.shape)
 
 
 def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -376,10 +379,10 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 uid += 1
             win, targets, owner = windows(ids, v, end)
             score = np.zeros(len(ids))
-            for lo in range(0, len(win), 512):
-                t = targets[lo:lo + 512]
-                lp = scorer.log_classes(win[lo:lo + 512], v.group[t]) + v.within[t]
-                score += np.bincount(owner[lo:lo + 512], np.where(t >= 0, lp, 0).sum(axis=1), len(ids))
+            for lo in range(0, len(win), 128):
+                t = targets[lo:lo + 128]
+                lp = scorer.log_classes(win[lo:lo + 128], v.group[t]) + v.within[t]
+                score += np.bincount(owner[lo:lo + 128], np.where(t >= 0, lp, 0).sum(axis=1), len(ids))
             at = pa.array(cols["at"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols["uid"], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["n_known"], pa.int64()),
