@@ -44,6 +44,43 @@ def fit_linear(train: DataFrame, *, features: Sequence[str], y: str) -> Pipeline
     ]).fit(train)
 
 
+def fit_linear_by_series(train: DataFrame, *, key: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
+    """Least squares on several features for each series: key, ``weights`` (the
+    intercept, then a weight per feature), ``n``.
+
+    Covariances merge exactly, so one aggregate serves all series; a row per
+    series is then solved. Rows with a missing value are left out. A feature that
+    does not vary, or that others determine, takes the smallest weights.
+    """
+    names = [*features, y]
+    known = train.dropna(subset=names)
+    terms = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in combinations_with_replacement(names, 2)]
+    sums = known.groupBy(*key).agg(F.array(*terms).alias("_cov"), F.array(*[F.avg(c) for c in names]).alias("_mean"), F.count(F.lit(1)).alias("n"))
+    p = len(features)
+
+    @F.pandas_udf("array<double>")
+    def solve(cov: pd.Series, mean: pd.Series) -> pd.Series:
+        out = []
+        for c, m in zip(cov, mean):
+            square = np.zeros((p + 1, p + 1))
+            square[np.triu_indices(p + 1)] = np.asarray(c, float)
+            square = square + np.triu(square, 1).T
+            beta = np.linalg.lstsq(square[:p, :p], square[:p, p], rcond=None)[0]
+            out.append(np.concatenate([[m[p] - beta @ np.asarray(m[:p], float)], beta]))
+        return pd.Series(out)
+
+    return sums.select(*key, solve("_cov", "_mean").alias("weights"), "n")
+
+
+def predict_linear(df: DataFrame, fitted: DataFrame, *, key: Sequence[str], features: Sequence[str], name: str) -> DataFrame:
+    """Add the prediction of the row's series; NULL where the series has no fit."""
+    lines = cut_lineage(fitted.select(*key, F.col("weights").alias("_w")))
+    value = F.col("_w")[0]
+    for i, c in enumerate(features, start=1):
+        value = value + F.col("_w")[i] * F.col(c)
+    return match(df, lines, key, "left").withColumn(name, value).drop("_w")
+
+
 def fit_on_windows(windows: DataFrame, flat: Column, *, kind: str = "linear", seed: int = 42):
     """Regressor on flattened sequences (rows of ``windows.sequences`` with ``y``)."""
     vectors = windows.withColumn("_x", array_to_vector(flat))
@@ -100,11 +137,15 @@ def ridge_search(df: DataFrame, *, key: Sequence[str], ts: str, features: Sequen
 
     The folds cut a series into k+1 pieces. Sums of products per piece are all
     that any fold or penalty needs, so one pass over the data serves the whole
-    search: fold i trains on the sums of the pieces before it.
+    search: fold i trains on the sums of the pieces before it. Columns are first
+    centred per series, so that sums of large numbers do not cancel.
     """
     names = ["_one", *features, y]
     terms = list(combinations_with_replacement(names, 2))
-    rows = row_index(df.dropna(subset=[*features, y]), key=key, ts=ts, block_s=block_s, total="_n").withColumn("_one", F.lit(1.0))
+    known = df.dropna(subset=[*features, y]).select(*key, ts, *features, y)
+    means = cut_lineage(known.groupBy(*key).agg(*[F.avg(c).alias(f"_mean_{c}") for c in [*features, y]]))
+    known = match(known, means, key).select(*key, ts, *[(F.col(c) - F.col(f"_mean_{c}")).alias(c) for c in [*features, y]])
+    rows = row_index(known, key=key, ts=ts, block_s=block_s, total="_n").withColumn("_one", F.lit(1.0))
     size = F.floor(F.col("_n") / F.lit(k + 1))
     back = F.col("_n") - 1 - F.col("rn")
     piece = F.greatest(F.lit(k) - F.floor(F.try_divide(back, size)), F.lit(0)).alias("_piece")

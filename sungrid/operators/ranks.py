@@ -10,7 +10,6 @@ ranks are exact whatever they are.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -34,13 +33,19 @@ def _bucket(value: Column, bounds: Column, bits: int) -> Column:
 
 
 def _bounds(known: DataFrame, value: str, group: Sequence[str], bits: int, bucket_rows: int) -> DataFrame:
-    """Bucket bounds per group, as many as its rows fill; a small group has none."""
+    """Bucket bounds per group, as many as its rows fill; a small group has none.
+
+    Groups are counted first, and only those that fill several buckets sketched.
+    """
     most = 1 << bits
+    sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = cut_lineage(sizes.withColumn("_k", F.least(F.ceil(F.col("_rows") / F.lit(bucket_rows)), F.lit(most)).cast("int")))
+    large = match(known, sizes.where("_k > 1").select(*group), group)
     shares = F.lit(np.arange(1, most) / most)  # one array literal: a thousand single ones slow the planner
-    fine = known.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("_fine"), F.count(F.lit(1)).alias("_rows"))
-    fine = fine.withColumn("_k", F.least(F.ceil(F.col("_rows") / F.lit(bucket_rows)), F.lit(most)).cast("int"))
+    fine = large.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("_fine"))
+    fine = match(sizes, fine, group, "left")
     picked = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.get("_fine", F.floor(i * F.lit(most) / F.col("_k")).cast("int") - 1))
-    return fine.select(*group, F.when(F.col("_k") > 1, picked).otherwise(F.slice("_fine", 1, 0)).alias("_bounds"))
+    return fine.select(*group, F.when(F.col("_k") > 1, picked).alias("_bounds"))
 
 
 def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int = BUCKET_BITS, bucket_rows: int = BUCKET_ROWS,
@@ -48,9 +53,7 @@ def value_ranks(df: DataFrame, *, value: str, group: Sequence[str], bits: int =
     """Each distinct value of a group: its count ``cnt``, the number of rows with
     a smaller value ``less``, and the group size ``n``; with ``distinct`` also the
     number of smaller distinct values ``distinct_less``. Missing values are left out."""
-    # Groups without a name have no place to join back to; said once, for all branches.
-    named = [F.col(c).isNotNull() for c in [*group, value]]
-    known = df.where(reduce(lambda a, b: a & b, named)).select(*group, value)
+    known = df.where(F.col(value).isNotNull()).select(*group, value)
     counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
     bounds = cut_lineage(_bounds(known, value, group, bits, bucket_rows))
 
@@ -151,7 +154,7 @@ def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: in
     """
     both = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))  # read five times below
     cells = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    codes = {c: value_ranks(both, value=c, group=group, bucket_rows=bucket_rows, distinct=True) for c in (x, y)}
+    codes = {c: cut_lineage(value_ranks(both, value=c, group=group, bucket_rows=bucket_rows, distinct=True)) for c in (x, y)}  # read twice each
     x_codes = codes[x].select(*group, x, F.col("distinct_less").alias("_xc"))
     y_codes = codes[y].select(*group, y, F.col("distinct_less").alias("_yc"), F.col("n").alias("_n"))
     coded = match(match(cells, x_codes, [*group, x]), y_codes, [*group, y])

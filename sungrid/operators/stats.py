@@ -247,9 +247,9 @@ def seasonal_decompose(df: DataFrame, *, key: Sequence[str], index: str, ts: str
         return {"trend": F.when(F.count(value).over(span) == 2 * half + 1, mean)}
 
     rows_ = over_rows(df.select(*key, index, ts, value), key=key, index=index, before=half, after=half, rows=rows, exprs=exprs)
-    rows_ = rows_.withColumn("_phase", F.pmod(F.col(index), F.lit(period)))
+    rows_ = cut_lineage(rows_.withColumn("_phase", F.pmod(F.col(index), F.lit(period))))  # read twice below
     phases = rows_.groupBy(*key, "_phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_p"))
     centred = F.col("_p") - F.avg("_p").over(W.partitionBy(*key))  # one row per phase
     seasonal = phases.select(*key, "_phase", centred.alias("seasonal"))
-    return match(rows_, seasonal, [*key, "_phase"]).select(
+    return match(rows_, cut_lineage(seasonal), [*key, "_phase"]).select(
         *key, ts, value, "trend", "seasonal", (F.col(value) - F.col("trend") - F.col("seasonal")).alias("residual"))

@@ -16,7 +16,7 @@ from ..operators.grid import resample
 from ..operators.model import predict_line
 from ..operators.blocks import row_index
 from ..operators.stats import linear_fit
-from ..session import use_utc
+from ..session import cut_lineage, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -130,7 +130,7 @@ p2 AS (SELECT p.series_id, p.ts, p.rn, p.n, p.ghi, p.power AS y_true, f.intercep
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = pairs(spark, sf_dir).dropna(subset=["ghi", "power"]).select("series_id", "ts", "ghi", "power")
-    rows = row_index(known, key=KEY, ts="ts", block_s=WEEK, total="n")
+    rows = cut_lineage(row_index(known, key=KEY, ts="ts", block_s=WEEK, total="n"))  # the fit and its use read it
     fit = linear_fit(rows.where(F.col("rn") < F.floor(F.col("n") * 0.7)), key=KEY, x="ghi", y="power")
     # A series too short to fit keeps its rows, without predictions.
     return predict_line(rows, fit, key=KEY, x="ghi", name="y_pred").withColumnRenamed("power", "y_true")

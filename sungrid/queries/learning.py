@@ -25,11 +25,11 @@ FIT_COLS = ["ghi", "power", "temp"]
 
 
 def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("series_id", "ts", *FIT_COLS).dropna()
+    return cut_lineage(pairs(spark, sf_dir).select("series_id", "ts", *FIT_COLS).dropna())  # hours, read more than once
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.chrono_split(_complete(spark, sf_dir), key=KEY, ts="ts", block_s=WEEK)
+    return cut_lineage(splits.chrono_split(_complete(spark, sf_dir), key=KEY, ts="ts", block_s=WEEK))
 
 
 @query("chrono_split", f"WITH {SPLIT_SQL} SELECT series_id, ts, rn, n, split FROM sp")
@@ -148,6 +148,16 @@ def linreg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(fitted.transform(rows.where("split = 'test'")).select("series_id", "ts", "power", "y_pred"), 6, y_pred=4)
 
 
+@query("linreg_multi_series", f"""WITH {SPLIT_SQL}, c AS (SELECT series_id, avg(ghi) AS ma, avg(temp) AS mb, avg(power) AS my, var_pop(ghi) AS aa, var_pop(temp) AS bb, covar_pop(ghi, temp) AS ab, covar_pop(ghi, power) AS ay, covar_pop(temp, power) AS byy FROM sp WHERE split = 'train' GROUP BY 1),
+  w AS (SELECT *, (ay * bb - byy * ab) / nullif(aa * bb - ab * ab, 0) AS wa, (byy * aa - ay * ab) / nullif(aa * bb - ab * ab, 0) AS wb FROM c)
+  SELECT series_id, ts, {R('power')} AS power, {R('my + wa * (ghi - ma) + wb * (temp - mb)', 4)} AS y_pred FROM sp LEFT JOIN w USING (series_id) WHERE split = 'test'""")
+def linreg_multi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _split(spark, sf_dir)
+    fitted = model.fit_linear_by_series(rows.where("split = 'train'"), key=KEY, features=["ghi", "temp"], y="power")
+    out = model.predict_linear(rows.where("split = 'test'"), fitted, key=KEY, features=["ghi", "temp"], name="y_pred")
+    return tidy(out.select("series_id", "ts", "power", "y_pred"), 6, y_pred=4)
+
+
 @query("zero_radiation_rule", f"WITH {P2_SQL} SELECT series_id, ts, {R('y_pred')} AS y_pred, {R(f'CASE WHEN ghi < {_DARK} THEN -0.5 ELSE y_pred END')} AS y_post FROM p2")
 def zero_radiation_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = zero_without_radiation(F.col("y_pred"), F.col("ghi"), _DARK, zero=-0.5)

@@ -11,6 +11,7 @@ from ..functions.clean import night_below
 from ..operators import metrics, spectrum, stats, windows
 from ..operators.grid import fill_edges
 from ..operators.ranks import kendall_tau
+from ..session import cut_lineage
 from .base import (
     DAILY_SQL, E10_SQL, E1H_SQL, EV_SQL, KEY, P2_SQL, PAIR_SQL, R, ROLES, WEEK, daily, hourly, pairs, query, readings, rounded, scored, table,
     ten_minutes, tidy,
@@ -81,7 +82,7 @@ def corr_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corr_spearman", f"WITH {_RANKED_SQL} {_corr_sql('rk')}")
 def corr_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(stats.spearman_correlations(pairs(spark, sf_dir), key=KEY, ids=["ts"], cols=FEATURES))
+    return tidy(stats.spearman_correlations(cut_lineage(pairs(spark, sf_dir)), key=KEY, ids=["ts"], cols=FEATURES))
 
 
 @query("corr_kendall", f"""WITH {PAIR_SQL}, k AS (SELECT series_id, round(ghi) AS x, round(power) AS y FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL),
@@ -119,7 +120,7 @@ _BINNED_SQL = f"{COMPLETE_SQL}, bn AS (SELECT series_id, " + ", ".join(
   m AS (SELECT *, sum(c) OVER (PARTITION BY series_id, feature) AS n, sum(c) OVER (PARTITION BY series_id, feature, b) AS cx, sum(c) OVER (PARTITION BY series_id, feature, t) AS cy FROM c)
   SELECT series_id, feature, {R('sum(c / n * ln(c * n / (cx * cy)))')} AS mi FROM m GROUP BY 1, 2""")
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(stats.mutual_information(pairs(spark, sf_dir), key=KEY, ids=["ts"], target="power", features=_TARGETED, k=8))
+    return tidy(stats.mutual_information(cut_lineage(pairs(spark, sf_dir)), key=KEY, ids=["ts"], target="power", features=_TARGETED, k=8))
 
 
 _HIST = "least(coalesce(floor((value - lo) / nullif((hi - lo) / 50.0, 0)), 0), 49)::BIGINT"
@@ -214,7 +215,7 @@ def daily_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
   q AS (SELECT series_id, sum(x * x) AS sq FROM d GROUP BY 1)
   SELECT a.series_id, g.lag, {R('sum(a.x * b.x) / min(sq)')} AS acf FROM d a CROSS JOIN generate_series(1, 50) g(lag) JOIN d b ON a.series_id = b.series_id AND b.i = a.i - g.lag JOIN q ON q.series_id = a.series_id GROUP BY 1, 2""")
 def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(stats.autocorrelation(indexed(hourly(spark, sf_dir), 3600), key=KEY, index="i", value="v_sum", lags=50, rows=256))
+    return tidy(stats.autocorrelation(cut_lineage(indexed(hourly(spark, sf_dir), 3600)), key=KEY, index="i", value="v_sum", lags=50, rows=256))
 
 
 @query("lag_pairs", f"WITH {E1H_SQL} SELECT * FROM (SELECT series_id, ts, {R('v_sum')} AS x, {R('lag(v_sum) OVER (PARTITION BY series_id ORDER BY ts)')} AS x_before FROM e1h) WHERE x_before IS NOT NULL")
@@ -268,4 +269,4 @@ _SEG = 256
   SELECT series_id, bin, {R(f"avg(a) * CASE WHEN bin IN (0, {_SEG // 2}) THEN 1 ELSE 2 END / (6.0 * {_SEG * 3 / 8})", 4)} AS psd, count(*) AS n_segments, {R(f'bin * 6.0 / {_SEG}')} AS frequency FROM p GROUP BY 1, 2""")
 def welch_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = fill_edges(ten_minutes(spark, sf_dir), key=KEY, ts="ts", cols=["v"], block_s=WEEK)
-    return tidy(spectrum.welch(indexed(filled, 600), key=KEY, index="i", value="v", n=_SEG, fs=6.0), 6, psd=4)
+    return tidy(spectrum.welch(cut_lineage(indexed(filled, 600)), key=KEY, index="i", value="v", n=_SEG, fs=6.0), 6, psd=4)
