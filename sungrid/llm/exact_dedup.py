@@ -32,9 +32,8 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("digest", digest(F.col("text")))
-    seen = cut_lineage(src.select("doc_id", "digest"))
-    counted = seen.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"))
-    counted = counted.groupBy("digest").agg(F.sum("n").alias("n"))
+    counted = src.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"))
+    counted = cut_lineage(counted.groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc_id").alias("doc_id")))
     repeated = cut_lineage(counted.where("n > 1").select("digest"))
     # The merge hint keeps the plan of a large table for a small one too: a hot
     # digest is split, and the repeated digests never go to every task.
@@ -51,8 +50,8 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # the digest. Where texts collide, by the text.
     one = rows.drop("text").join(winners.where("variants = 1").select("digest", "best", "group_size", sha256(F.col("text")).alias("text_sha256")), "digest")
     more = rows.join(winners.where("variants > 1").select("digest", "text", "best", "group_size"), ["digest", "text"]).withColumn("text_sha256", sha256(F.col("text")))
-    if digest is sha256:
-        alone = seen.join(repeated, "digest", "left_anti").withColumn("text_sha256", F.col("digest"))
+    if digest is sha256:  # a digest counted once came with the id of its only row
+        alone = counted.where("n = 1").withColumn("text_sha256", F.col("digest"))
     else:
         alone = src.join(repeated, "digest", "left_anti").withColumn("text_sha256", sha256(F.col("text")))
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
