@@ -209,9 +209,18 @@ def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(model.best_config(_search(spark, sf_dir, ["ghi"]), key=KEY, loss="mean_loss", config=["penalty"]), 6, mean_loss=4)
 
 
-@query("cv_search_multi")
+# Two features: the normal equations of each fold and penalty in closed form.
+_RIDGE2_SQL = f"""{GHI_POWER_SQL}, fo AS (SELECT series_id, fold, rn < n - (5 - fold) * (n // 6) AS tr, ghi AS a, temp AS b, power AS y FROM gp CROSS JOIN generate_series(0, 4) g(fold) WHERE rn < n - (5 - fold) * (n // 6) + n // 6),
+  m AS (SELECT series_id, fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM fo WHERE tr GROUP BY 1, 2),
+  w AS (SELECT *, (ay * (bb + penalty) - byy * ab) / ((aa + penalty) * (bb + penalty) - ab * ab) AS wa, (byy * (aa + penalty) - ay * ab) / ((aa + penalty) * (bb + penalty) - ab * ab) AS wb
+    FROM m CROSS JOIN (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in PENALTIES)}]) AS penalty)),
+  l AS (SELECT series_id, fold, penalty, avg(pow(y - my - wa * (a - ma) - wb * (b - mb), 2)) AS loss FROM fo JOIN w USING (series_id, fold) WHERE NOT tr GROUP BY 1, 2, 3),
+  sc AS (SELECT series_id, penalty, avg(loss) AS mean_loss FROM l GROUP BY 1, 2)"""
+
+
+@query("cv_search_multi", f"WITH {_RIDGE2_SQL} SELECT series_id, {R('penalty')} AS penalty, {R('mean_loss', 4)} AS mean_loss FROM sc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mean_loss, penalty) = 1")
 def cv_search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.best_config(_search(spark, sf_dir, ["ghi", "temp"]), key=KEY, loss="mean_loss", config=["penalty"])
+    return tidy(model.best_config(_search(spark, sf_dir, ["ghi", "temp"]), key=KEY, loss="mean_loss", config=["penalty"]), 6, mean_loss=4)
 
 
 @query("ensemble_mean", f"""WITH {GHI_POWER_SQL}, f AS (SELECT series_id, fold, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM gp CROSS JOIN generate_series(0, 4) g(fold)
