@@ -12,7 +12,7 @@ from ..operators import joins, metrics, model, scaling, splits, windows
 from ..operators.blocks import row_index
 from ..operators.grid import clip_to_range, common_range, resample
 from ..operators.stats import linear_fit
-from ..plans import station
+from ..plans import forecast, station
 from ..session import cut_lineage, shared_dir
 from ..sources.readers import forecast_rows
 from .base import E1H_SQL, KEY, P2_SQL, PAIR_SQL, R, WEEK, hourly, pairs, query, rounded, scored, table, tidy
@@ -402,3 +402,30 @@ def prepare_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_hourly_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = cut_lineage(station.to_hourly(_station(spark, sf_dir), key=KEY))
     return station.evaluate_baseline(hours, key=KEY, block_s=WEEK)
+
+
+_FLOW_N = 6
+
+
+@query("forecast_flow", f"""WITH {E1H_SQL}, pm AS (SELECT series_id, min(v_sum) AS cg, coalesce(nullif(max(v_sum) - min(v_sum), 0), 1) AS sg, avg(v_max) AS ct, coalesce(nullif(stddev_pop(v_max), 0), 1) AS st,
+    min(v_mean) AS cp, coalesce(nullif(max(v_mean) - min(v_mean), 0), 1) AS sp FROM e1h GROUP BY 1),
+  sc AS (SELECT series_id, ts, v_sum AS grad, v_max AS t2m, (v_sum - cg) / sg AS g, (v_max - ct) / st AS t, cp, sp FROM e1h JOIN pm USING (series_id)),
+  w AS (SELECT *, avg(coalesce(g, 0) + 0.2 * coalesce(t, 0)) OVER r AS raw, count(*) OVER r AS c FROM sc WINDOW r AS (PARTITION BY series_id ORDER BY ts ROWS {_FLOW_N - 1} PRECEDING))
+  SELECT series_id, ts, {R('grad')} AS grad, {R('t2m')} AS t2m, {R('g')} AS grad_scaled, {R('t')} AS t2m_scaled, CASE WHEN c = {_FLOW_N} THEN {R('greatest(raw * sp + cp, 0)')} END AS power_w FROM w""")
+def forecast_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A forecast document per series and day, and parameters saved by two fits.
+    hours = cut_lineage(hourly(spark, sf_dir))
+    steps = F.sort_array(F.collect_list(F.struct("ts", "v_sum", "v_max")))  # 24 hours
+    days = hours.groupBy("series_id", F.to_date("ts").alias("day")).agg(steps.alias("s"))
+    pick = lambda c: F.struct(F.transform("s", lambda r: r[c]).alias("data"))
+    times = F.transform("s", lambda r: F.date_format(r["ts"], "yyyy-MM-dd'T'HH:mm'+00:00'"))
+    feature = F.struct(F.struct(F.struct(pick("v_sum").alias("grad"), pick("v_max").alias("t2m")).alias("parameters")).alias("properties"))
+    docs = days.select("series_id", F.to_json(F.struct(times.alias("timestamps"), F.array(feature).alias("features"))).alias("doc"))
+    path = shared_dir(spark)
+    known = hours.select("series_id", "ts", F.col("v_sum").alias("grad"), F.col("v_max").alias("t2m"), F.col("v_mean").alias("power_w"))
+    for version, rows in (("1", known.where("hour(ts) < 12")), ("2", known)):
+        scaling.save(scaling.fit(rows, {"grad": "minmax", "t2m": "standard", "power_w": "minmax"}, key=KEY), path, version)
+    stored = spark.read.schema("series_id string, feature string, method string, center double, scale double, version string").parquet(path)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, r: a + F.coalesce(r["grad"], F.lit(0.0)) + F.coalesce(r["t2m"], F.lit(0.0)) * 0.2) / _FLOW_N
+    out = forecast.forecast_flow(docs, stored, document=F.col("doc"), params=["grad", "t2m"], key=KEY, features={"grad": F.col("grad"), "t2m": F.col("t2m")}, target="power_w", n=_FLOW_N, score=total, block_s=WEEK)
+    return tidy(out)
