@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .clean import clip
+
 SEA_LEVEL_PA = 101325.0
 
 # Orientation of the modelled plane.
@@ -62,9 +64,14 @@ def solar_terms(ts: Column, lat: Column, lon: Column) -> dict[str, Column]:
     }
 
 
+def _acos_degrees(cosine: Column) -> Column:
+    """Rounding may leave a cosine just outside [-1, 1]; NULL stays NULL."""
+    return F.degrees(F.acos(clip(cosine, -1.0, 1.0)))
+
+
 def sun_from_terms(sin_lat: Column, cos_lat: Column, dec: Column, hour_angle: Column) -> dict[str, Column]:
     cos_zenith = sin_lat * F.sin(dec) + cos_lat * F.cos(dec) * F.cos(hour_angle)
-    zenith = F.degrees(F.acos(F.least(F.greatest(cos_zenith, F.lit(-1.0)), F.lit(1.0))))
+    zenith = _acos_degrees(cos_zenith)
     azimuth = F.pmod(
         F.lit(180.0) + F.degrees(F.atan2(F.sin(hour_angle), F.cos(hour_angle) * sin_lat - F.tan(dec) * cos_lat)),
         F.lit(360.0),
@@ -95,7 +102,7 @@ def incidence_angle(zenith_deg: Column, azimuth_deg: Column, tilt: float = PLANE
     """Angle between the sun and the normal of the plane, in degrees."""
     z, t = F.radians(zenith_deg), math.radians(tilt)
     cos_aoi = F.cos(z) * math.cos(t) + F.sin(z) * math.sin(t) * F.cos(F.radians(azimuth_deg - plane_azimuth))
-    return F.degrees(F.acos(F.least(F.greatest(cos_aoi, F.lit(-1.0)), F.lit(1.0))))
+    return _acos_degrees(cos_aoi)
 
 
 def solar_night(apparent_elev_deg: Column) -> Column:
@@ -128,15 +135,15 @@ def clear_sky(apparent_elev_deg: Column, p_pa: Column, aod700: float = 0.1, wate
     diff = top * F.exp(-tau_d / F.pow(s, exp_d))
     zero = F.lit(0.0)
     return {
-        "clear_ghi": F.when(up, glob).otherwise(zero),
-        "clear_dni": F.when(up, beam).otherwise(zero),
-        "clear_dhi": F.when(up, diff).otherwise(zero),
+        "clear_ghi": F.when(up, glob).when(~up, zero),
+        "clear_dni": F.when(up, beam).when(~up, zero),
+        "clear_dhi": F.when(up, diff).when(~up, zero),
     }
 
 
 def incidence_modifier(aoi_deg: Column, b: float = 0.05) -> Column:
     raw = 1.0 - b * (1.0 / F.cos(F.radians(aoi_deg)) - 1.0)
-    return F.when(aoi_deg < 90.0, F.greatest(raw, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(aoi_deg < 90.0, F.greatest(raw, F.lit(0.0))).when(aoi_deg >= 90.0, F.lit(0.0))
 
 
 def effective_irradiance(direct: Column, diffuse: Column, aoi_deg: Column, b: float = 0.05) -> Column:

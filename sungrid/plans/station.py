@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import solar
 from ..functions.clean import any_flag, guarded_ratio, night_below
-from ..functions.timecols import cyclical, floor_ts, ceil_ts, hour_of_day
+from ..functions.timecols import ceil_ts, cyclical, floor_ts, hour_of_day, local_to_utc
 from ..operators import grid, joins, metrics, model, splits
 from ..operators.blocks import DAY, block_seconds
 from ..operators.keys import match
@@ -27,7 +27,8 @@ def time_features(ts: Column, year: float = 365.25) -> dict[str, Column]:
 
 def prepare_station(weather: DataFrame, power: DataFrame, places: DataFrame, *, key: Sequence[str], ts: str = "ts",
                     step_s: int = 600, impute_days: tuple[str, str] | None = None, zone: str = "Europe/Vienna",
-                    zero_fill: Sequence[str] = ("power_w",), block_s: int | None = None) -> DataFrame:
+                    zero_fill: Sequence[str] = ("power_w",), block_s: int | None = None, local_power: bool = False,
+                    first_day: str | None = None) -> DataFrame:
     """Weather and inverter readings of many sites as one regular, complete table.
 
     ``weather`` has ghi_wm2, temp_c, wind_ms and pressure_hpa, ``power`` has
@@ -35,7 +36,15 @@ def prepare_station(weather: DataFrame, power: DataFrame, places: DataFrame, *,
     keeps its readings, without sun columns. Both are cut to their
     common span and set on one grid by nearest reading; sun, clear-sky and night
     columns follow, then imputation of listed days, and time columns.
+
+    With ``local_power`` the inverter's times are wall-clock times of ``zone``: they
+    become UTC, and times of the spring gap and the autumn fold are dropped.
+    ``first_day`` cuts both tables to that day (UTC) and later.
     """
+    if local_power:
+        power = power.withColumn(ts, local_to_utc(F.col(ts), zone)).where(F.col(ts).isNotNull())
+    if first_day:
+        weather, power = (df.where(F.col(ts) >= F.lit(first_day).cast("timestamp_ntz")) for df in (weather, power))
     weather_cols = [c for c in weather.columns if c not in (*key, ts)]
     power_cols = [c for c in power.columns if c not in (*key, ts)]
     if block_s is None:  # readings come at irregular times: blocks by the density of the denser table

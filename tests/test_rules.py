@@ -272,3 +272,25 @@ def test_columns_that_do_not_vary(spark):
     assert fit.slope is None and fit.n == 6
     bins = stats.histogram(df, key=["k"], value="c", bins=5).collect()
     assert sorted((r.bin, r.n) for r in bins) == [(0, 6), (1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_station_takes_local_times_and_keeps_sites_without_a_place(spark):
+    from sungrid.plans import station
+
+    def series(name, times, **cols):
+        rows = [(k, t, *[float(f(i)) for f in cols.values()]) for k in ("a", "b") for i, t in enumerate(times)]
+        return spark.createDataFrame(rows, f"series_id string, t string, {', '.join(f'{c} double' for c in cols)}").select("series_id", F.col("t").cast("timestamp_ntz").alias("ts"), *cols)
+
+    utc = [f"2024-03-31 00:{m:02d}:00" for m in range(0, 60, 10)] + [f"2024-03-31 01:{m:02d}:00" for m in range(0, 60, 10)]
+    # Vienna is one hour ahead until 01:00 UTC, then two; 02:00 to 03:00 local do not exist
+    wall = [f"2024-03-31 01:{m:02d}:00" for m in range(0, 60, 10)] + ["2024-03-31 02:30:00"] + [f"2024-03-31 03:{m:02d}:00" for m in range(0, 60, 10)]
+    weather = series("w", utc, ghi_wm2=lambda i: i, temp_c=lambda i: 5, wind_ms=lambda i: 1, pressure_hpa=lambda i: 950)
+    power = series("p", wall, power_w=lambda i: i, energy_wh=lambda i: 100 + i, energy_interval=lambda i: 1)
+    places = spark.createDataFrame([("a", 48.0, 16.0, 200.0)], "series_id string, lat double, lon double, alt double")
+    table = station.prepare_station(weather, power, places, key=["series_id"], local_power=True, first_day="2024-03-31").cache()
+    a = table.where("series_id = 'a'").orderBy("ts").collect()
+    assert [r.power_w for r in a] == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12] and a[0].zenith_deg is not None  # the row in the gap went
+    b = table.where("series_id = 'b'").collect()
+    assert len(b) == len(a) and all(r.zenith_deg is None and r.clear_ghi is None and r.ghi_wm2 is not None for r in b)
+    hours = station.to_hourly(table.where("series_id = 'a'"), key=["series_id"]).orderBy("ts").collect()
+    assert [(r.energy_wh, r.energy_interval) for r in hours] == [(105.0, 6.0), (112.0, 6.0)]
