@@ -12,7 +12,8 @@ from sungrid.queries import REGISTRY
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Too few hours of the smallest tables have all columns.
-NEED_LARGER = {"corr_pearson", "corr_spearman", "mutual_information", "top_correlations", "cv_search_multi"}
+NEED_LARGER = {"corr_pearson", "corr_spearman", "mutual_information", "top_correlations", "cv_search_multi",
+               "cv_losses", "cv_search", "ensemble_mean", "optimal_lag", "daily_lags", "linreg_multi", "linreg_multi_series"}
 
 
 @pytest.fixture(scope="module")
