@@ -23,8 +23,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SLOTS, DIM, CLASSES = 1024, 16, 64
 #: Tokens that a window scores, and tokens of context before them.
 HALF = 16
-#: One in SHARE of the training texts also trains the attention weights, in ROUNDS of averaging.
-SHARE, ROUNDS, RATE, BATCH = 64, 4, 0.02, 64
+#: Every training text trains the attention weights, in one of ROUNDS of averaging.
+ROUNDS, RATE, BATCH = 4, 0.02, 64
+#: No text is left out: nothing reads this, a test still sets it.
+SHARE = 1
 #: Words whose counts every task holds; the counts of the others are joined.
 HEAD = 100_000
 NEAR = 32  # buckets for the neighbours of a subword
@@ -217,37 +219,46 @@ class Scorer:
 def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over real targets and its gradients, by hand."""
     pad = win == SLOTS
-    at = np.where(pad, 0, win)
-    x = p["emb"][at] * ~pad[..., None]
+    x = np.vstack((p["emb"], np.zeros_like(p["emb"][:1])))[win]
     here = x[:, HALF:]
-    q, k, v = here @ p["q"] / math.sqrt(DIM), x @ p["k"], x @ p["v"]
-    s = q @ k.transpose(0, 2, 1) + p["far"]
-    s = np.where(_CAUSAL & ~pad[:, None, :], s, -1e9)
-    a = np.exp(s - s.max(axis=2, keepdims=True))
+    kv = np.hstack((p["k"], p["v"]))
+    both = (x.reshape(-1, DIM) @ kv).reshape(*x.shape[:2], 2 * DIM)
+    k, v = both[..., :DIM], both[..., DIM:]
+    q = (here.reshape(-1, DIM) @ (p["q"] / math.sqrt(DIM))).reshape(here.shape)
+    s = q @ k.transpose(0, 2, 1)
+    s += np.where(_CAUSAL, p["far"], -1e9)
+    if pad.any():
+        s += np.where(pad, -1e9, 0).astype(s.dtype)[:, None, :]
+    s -= s.max(axis=2, keepdims=True)
+    a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
-    h = here + a @ v
-    z = h @ p["out"] + p["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    y = np.exp(z)
-    y /= y.sum(axis=2, keepdims=True)
+    h = (here + a @ v).reshape(-1, DIM)
+    z = h @ p["out"]
+    z += p["bias"]
+    z -= z.max(axis=1, keepdims=True)
+    y = np.exp(z, out=z)
+    y /= y.sum(axis=1, keepdims=True)
     n = max(1, real.sum())
-    picked = np.take_along_axis(y, group[..., None], axis=2)[..., 0]
-    loss = -(np.log(picked + 1e-30) * real).sum() / n
+    at, is_real = (np.arange(len(y)), group.ravel()), real.ravel()
+    loss = -(np.log(y[at] + 1e-30) * is_real).sum() / n
     dz = y
-    np.put_along_axis(dz, group[..., None], picked[..., None] - 1, axis=2)
-    dz *= real[..., None] / n
-    g = {"out": np.einsum("bid,bic->dc", h, dz), "bias": dz.sum(axis=(0, 1))}
-    dh = dz @ p["out"].T
+    dz[at] -= 1
+    dz *= (is_real / n).astype(dz.dtype)[:, None]
+    g = {"out": h.T @ dz, "bias": dz.sum(axis=0)}
+    dh = (dz @ p["out"].T).reshape(here.shape)
     dv = a.transpose(0, 2, 1) @ dh
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+    da -= (a * da).sum(axis=2, keepdims=True)
+    ds = np.multiply(a, da, out=da)
     g["far"] = ds.sum(axis=0)
-    dq, dk = ds @ k / math.sqrt(DIM), ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = np.einsum("bid,bie->de", here, dq), np.einsum("bid,bie->de", x, dk), np.einsum("bid,bie->de", x, dv)
-    dx = dk @ p["k"].T + dv @ p["v"].T
-    dx[:, HALF:] += dh + dq @ p["q"].T
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], at[~pad], dx[~pad])
+    dq, dk = (ds @ k).reshape(-1, DIM) / math.sqrt(DIM), ds.transpose(0, 2, 1) @ q
+    dboth = np.concatenate((dk, dv), axis=2).reshape(-1, 2 * DIM)
+    g["q"] = here.reshape(-1, DIM).T @ dq
+    grad = x.reshape(-1, DIM).T @ dboth
+    g["k"], g["v"] = grad[:, :DIM], grad[:, DIM:]
+    dx = (dboth @ kv.T).reshape(x.shape)
+    dx[:, HALF:] += dh + (dq @ p["q"].T).reshape(here.shape)
+    g["emb"] = np.bincount((win.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel(), (SLOTS + 1) * DIM).reshape(-1, DIM)[:SLOTS].astype(dx.dtype)
     return float(loss), g
 
 
@@ -256,38 +267,47 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name; parts of ``flat`` itself where it is of their type."""
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at:at + n].reshape(s).astype(np.float32)
+        out[k] = flat[at:at + n].reshape(s).astype(np.float32, copy=False)
         at += n
     return out
 
 
-def train(rows: DataFrame, p: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of local steps (Adam) on each partition of window rows (win, group)
-    from the same weights, then their mean weighted by rows. Partitions' weights
-    are summed in 16 streams; the driver sees 16 sets of weights."""
+def train(texts: DataFrame, ranks, shared, p: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Rounds of local steps (Adam) on the windows of each partition of ``texts``
+    (columns doc_id and t) from the same weights, then their mean weighted by
+    windows. Texts are dealt to the rounds by their ids, and each trains once; its
+    windows are made where they are used. Partitions' weights are summed in 16
+    streams; the driver sees 16 sets of weights."""
     for r in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast(_flat(p))
+        sent = texts.sparkSession.sparkContext.broadcast(_flat(p))
         rate = RATE * (1 - r / rounds)
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
-            p = _shaped(sent.value)
-            m, s, step, seen = np.zeros_like(sent.value), np.zeros_like(sent.value), 0, 0
-            for batch in batches:
-                win = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, 2 * HALF)
-                group = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, HALF)
+            made, v = Subwords(ranks.value), shared.value
+            w = sent.value.copy()
+            p, m, s, step, seen = _shaped(w), np.zeros_like(w), np.zeros_like(w), 0, 0
+            for batch in rows_of(batches, 1 << 20):
+                win, targets, _ = windows([made.text(tokens(t.as_py())) for t in batch.column(0)], v, made.end)
+                real = targets >= 0
+                group = np.where(real, v.group[targets], 0)
                 order = np.random.default_rng(len(win)).permutation(len(win))
                 for at in range(0, len(win), BATCH):
                     pick = order[at:at + BATCH]
-                    _, g = loss_and_gradients(p, win[pick], np.maximum(group[pick], 0), group[pick] >= 0)
+                    _, g = loss_and_gradients(p, win[pick], group[pick], real[pick])
                     g, step = _flat(g), step + 1
-                    m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-                    p = _shaped(_flat(p) - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8))
+                    m *= 0.9
+                    m += 0.1 * g
+                    g *= g
+                    s *= 0.99
+                    s += 0.01 * g
+                    w -= rate / (1 - 0.9 ** step) * m / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
                 seen += len(win)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(_flat(p) * seen).astype(np.float64)], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["p", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["p", "n"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0
@@ -299,7 +319,8 @@ def train(rows: DataFrame, p: dict[str, np.ndarray], rounds: int = ROUNDS) -> di
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["p", "n"])
 
         kind = "p array<double>, n bigint"
-        got = rows.mapInArrow(local, kind).repartition(16).mapInArrow(add, kind).collect()
+        dealt = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("t")
+        got = dealt.mapInArrow(local, kind).repartition(16).mapInArrow(add, kind).collect()
         if got:
             p = _shaped(sum(np.array(x.p) for x in got) / sum(x.n for x in got))
     return p
@@ -309,8 +330,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the texts whose crc32(doc_id) mod 7 is not 2: counts of words and
-    subwords from all of them, attention weights from one in SHARE of them, both
-    growing with the table. score is the model's log10 probability of the subwords
+    subwords and the attention weights, each from all of them. score is the model's log10 probability of the subwords
     of the whole text and its end: of their classes by attention over the last
     HALF to 2 * HALF - 1 subwords, times their shares within the class.
 
@@ -335,16 +355,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     v = vocabulary(sub, near)
     shared = spark.sparkContext.broadcast(v)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, v = Subwords(ranks.value), shared.value
-        for batch in rows_of(batches):
-            win, targets, _ = windows([made.text(tokens(t.as_py())) for t in batch.column(0)], v, end)
-            group = np.where(targets >= 0, v.group[targets], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(win.astype(np.int16)), pa.list_(pa.int16())), pa.array(list(group.astype(np.int16)), pa.list_(pa.int16()))], names=["win", "group"])
-
-    some = src.where((~F.col("held_out")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)).select("t")
-    rows = cut_lineage(some.mapInArrow(cut, "win array<smallint>, group array<smallint>"))
-    weights = spark.sparkContext.broadcast(train(rows, start(v, sub)))
+    weights = spark.sparkContext.broadcast(train(src.where("not held_out"), ranks, shared, start(v, sub)))
     common = spark.sparkContext.broadcast(head)
     whole = n + types + 1
 

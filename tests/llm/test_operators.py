@@ -391,6 +391,27 @@ def test_base_scores_of_texts(spark, texts, tmp_path, monkeypatch, head):
     assert sum(r.score for r in some) > sum(-3.5 * r.n_tokens for r in some)
 
 
+def test_every_training_text_trains_the_weights(spark, tmp_path, monkeypatch):
+    """With the settings as they are: each text has a subword of its own, whose embedding moves."""
+    kept, train, vocabulary = {}, attention_lm.train, attention_lm.vocabulary
+
+    def spied_train(*args, **names):
+        kept["before"] = next(x for x in args if isinstance(x, dict))["emb"].copy()
+        kept["after"] = (p := train(*args, **names))["emb"]
+        return p
+
+    monkeypatch.setattr(attention_lm, "train", spied_train)
+    monkeypatch.setattr(attention_lm, "vocabulary", lambda *args: kept.setdefault("v", vocabulary(*args)))
+    ranks = attention_lm.read_ranks(attention_lm.VOCABULARY)
+    own = [w for w in sorted(ranks) if w[:1] == b" " and len(w) > 4 and w[1:].isalpha() and w.islower()][:60]
+    rows = [(i, w.decode()[1:] + " the end") for i, w in enumerate(own)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: r for r in attention_lm.score_texts(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    moved = (kept["before"] != kept["after"]).any(axis=1)
+    learns = [i for i, _ in rows if not got[i].held_out]
+    assert len(learns) > 40 and all(moved[kept["v"].slot[ranks[own[i]]]] for i in learns)
+
+
 def test_language_model_without_rows(spark, tmp_path):
     df = frame(spark, [(None, None), (None, "a b"), (1, "a b"), (1, "a b")])
     df.write.parquet(f"{tmp_path}/d")
