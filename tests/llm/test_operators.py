@@ -305,6 +305,22 @@ def test_license_scan(spark, texts):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_license_notices_at_any_wrapping(spark):
+    rows, want = [], {}
+    for k, (label, t) in enumerate(license_scan.TEMPLATES):
+        ws = t.split()
+        for j, per in enumerate((1, 3, 7, 1000)):
+            lines = [" * " + " ".join(ws[i:i + per]) for i in range(0, len(ws), per)]
+            rows.append((10 * k + j, "kilo lima\n" + "\r\n".join(lines) + "\nmike alpha"))
+            want[10 * k + j] = {label, "gpl"} if label == "lgpl" else {label}  # by a phrase in it
+    scattered = "all of us walked home and then the many rights we once had were kept and reserved for later"
+    rows += [(1000, scattered), (1001, "Licensed under CC\nBY-SA 4.0. Licensed under CC BY-NC\n4.0."), (1002, "Licensed under CC BY\n4.0. Licensed under CC BY-SA 4.0.")]
+    want |= {1000: set(), 1001: {"cc-by-nc", "cc-by-sa"}, 1002: {"cc-by", "cc-by-sa"}}
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {i: set(filter(None, r.labels.split(","))) for i, r in got.items()} == want
+    assert all(r.score == (0 if i == 1000 else 1) for i, r in got.items())
+
+
 # --- language model
 
 
