@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import cut_lineage
 from .common import rows_of, table, tokens
 from .components import components
+from .exact_dedup import sha256
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -56,8 +57,9 @@ def _majority(hashes: list[np.ndarray]) -> list[int]:
     return bits.view(np.int64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the SimHash of each whole text as a long, one row per row.
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """(doc_id, fp): the SimHash of each whole text as a long, one row per row;
+    ``marked`` adds m, the digest of the text, null as empty.
 
     Shingles are of ``size`` words, repeats included; a shorter text is one
     shingle; a text without words (null too) has fingerprint zero.
@@ -69,10 +71,11 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for t in batch.column(1):
                 ws = tokens(t.as_py())
                 made.append(_hashes(ws, size) if ws else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_majority(made), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_majority(made), pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", "m"][:batch.num_columns])
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp bigint")
+    more = [sha256(F.coalesce(F.col(text), F.lit(""))).alias("m")] if marked else []
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"), *more)
+    return src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp bigint" + ", m string" * marked)
 
 
 def _run_masks(blocks: int) -> list[int]:
@@ -148,12 +151,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, with all
-    their columns. Where an id repeats within a component, its rows all stay;
-    drop exact copies first."""
-    lost = cut_lineage(near_duplicates(docs, doc_id=doc_id, text=text, size=size, most=most).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("i")).distinct())
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(doc_id).alias("di"))
-    return src.join(lost, F.col("i").eqNullSafe(F.col("di")), "left_anti").select("r.*")
+    """Exactly one row of each component of ``docs``, with all its columns: the one
+    with the smallest doc_id, a null id after all others; then the smallest
+    fingerprint, then the smallest digest of the text. Of rows equal in id and
+    text one stays, whatever its other columns hold.
+    """
+    made = cut_lineage(fingerprints(docs, doc_id=doc_id, text=text, size=size, marked=True))
+    # Structs compare field by field; false is before true.
+    distinct = cut_lineage(made.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "fp", "m")).alias("best"), F.count("*").alias("n")))
+    found = components(links(distinct.select("fp"), most=most), "a", "b")
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "n", "best", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    named = cut_lineage(rooted.drop("best").join(best, "root").select("fp", "n", F.col("best.doc_id").alias("keep_id"), F.col("best.m").alias("keep_m")))
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("m") == F.col("keep_m"))
+    met = made.join(named, "fp").select(F.col("doc_id").alias("i"), "m", "n", same.alias("stays")).where("not stays or n > 1")
+    met = cut_lineage(met)
+    lost = met.where("not stays").select("i", "m").distinct()
+    ties = cut_lineage(met.where("stays").groupBy("i", "m").agg(F.count("*").alias("k")).where("k > 1").select("i", "m"))
+    mark = sha256(F.coalesce(F.col(text), F.lit("")))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(doc_id).alias("di"), mark.alias("dm"))
+    on = F.col("i").eqNullSafe(F.col("di")) & (F.col("m") == F.col("dm"))
+    left = src.join(cut_lineage(lost), on, "left_anti")
+    if not ties.isEmpty():
+        one = left.join(ties, on, "left_semi").groupBy("di", "dm").agg(F.first("r").alias("r"))
+        left = left.join(ties, on, "left_anti").select("r").unionByName(one.select("r"))
+    return left.select("r.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

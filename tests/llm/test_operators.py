@@ -135,6 +135,15 @@ def test_keep_one_keeps_columns(spark, texts):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute.near(texts)})
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """Each component keeps exactly one row."""
+    a, b, c, d = "a b c d e", "one two three four five six", "kilo lima mike november", "zz"
+    rows = [(None, a), (4, a), (4, a), (None, d), (7, b), (3, b), (7, c), (None, "qq"), (None, "qq"), (9, None), (9, "")]
+    left = simhash.keep_one(frame(spark, rows))
+    assert taken(left, "doc_id", "text") in [sorted([(None, d), (None, "qq"), (3, b), (4, a), (7, c), (9, t)], key=lambda r: tuple((x is not None, x) for x in r)) for t in (None, "")]
+    assert simhash.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
 # --- decontamination
 
 
