@@ -1,6 +1,6 @@
 """Queries of this package, and the SQL of those that SQL can express."""
 
-from . import attention_lm, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, toxicity, url_filter, warc_zip
+from . import ann_partitions, attention_lm, conversation_repair, decontaminate, exact_dedup, langid, license_scan, mixing, periodic_runs, simhash, toxicity, url_filter, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.op1_warc_zip,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_learned_partitions": ann_partitions.op12_learned_partitions,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {

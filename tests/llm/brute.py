@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -157,3 +158,145 @@ def unigrams(rows):
         ws = [*spaced(t), ""]
         out[i] = (held[i], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
     return out
+
+
+def runs(words, least=12):
+    """(start, length, period) of the maximal stretches with a period, by comparing all words."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            at = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i > at and i - at + q >= max(least, 2 * q):
+                found.setdefault((at, i + q), q)  # a smaller period was found before
+            i += i == at
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def periodic(rows):
+    """(doc_id, text) -> the rows of op13."""
+    out = []
+    for i, text in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h, n = zlib.crc32(str(i if i is not None else "").encode()), len(ws)
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            ws = [ws[j] if j < a else ws[a + (j - a) % p] for j in range(n)]
+        found = runs(ws)
+        gone = {j for s, m, q in found for j in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        kept = " ".join(w for j, w in enumerate(ws) if j not in gone)
+        out.append((i, len(found), *best, best[1] and 1000 * best[1] // best[2], hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def nearest(vectors, k):
+    """(id, vector) -> (query_id, rank, vec_id, score) of the ids divisible by 20, by comparing all."""
+    use = [(i, np.array(v, float)) for i, v in vectors if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float) != 0)]
+    out = []
+    for q, v in use:
+        if q is not None and q % 20 == 0:
+            found = sorted((-(w * v).sum(), i is None, i) for i, w in use if i != q and len(w) == len(v))[:k]
+            out += [(q, r, i, -s) for r, (s, _, i) in enumerate(found, 1)]
+    return out
+
+
+EDITS = {"K": 0, "R": 1, "D": 2, "I": 5}
+
+
+def _options(initial, must_go, cut):
+    """(letter, cost, initial of the result) of each edit of one turn."""
+    yield "D", 2, ""
+    if not must_go:
+        yield "K", 5 * cut, initial
+        yield "R", 1 + 5 * cut, "u"
+        yield "R", 1 + 5 * cut, "a"
+
+
+def every_repair(turns):
+    """(cost, audit, roles) of the best repair, by trying all edits with up to two insertions at each gap."""
+    best = None
+    gaps = ["", "u", "a", "ua", "au"]
+    def walk(at, cost, audit, roles):  # noqa: E306
+        nonlocal best
+        if best is not None and cost > best[0]:
+            return
+        for extra in gaps:
+            c, a, r = cost + 5 * len(extra), audit + "I" * len(extra), roles + extra
+            if at == len(turns):
+                if re.fullmatch(r"(s?(ua)+)?", r) and (best is None or (c, a) < best[:2]):
+                    best = (c, a, r)
+            else:
+                for letter, more, initial in _options(*turns[at]):
+                    if initial in ("", "s", "u", "a"):
+                        walk(at + 1, c + more, a + letter, r + initial)
+    walk(0, 0, "", "")
+    return best
+
+
+def cheapest_repair(turns):
+    """The same by following the places of the pattern from left to right."""
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    def inserted(now):  # noqa: E306
+        for _ in range(3):
+            for (p, who), q in step.items():
+                if who != "s" and p in now:
+                    c, a, r = now[p]
+                    made = (c + 5, a + "I", r + [(who, None)])
+                    if q not in now or made[:2] < now[q][:2]:
+                        now[q] = made
+        return now
+    now = inserted({0: (0, "", [])})
+    for j, (initial, must_go, cut) in enumerate(turns):
+        new = {}
+        for p, (c, a, r) in now.items():
+            for letter, more, who in _options(initial, must_go, cut):
+                q = p if letter == "D" else step.get((p, who))
+                if q is not None:
+                    made = (c + more, a + letter, r + ([(who, j if letter == "K" else (j,))] if letter != "D" else []))
+                    if q not in new or made[:2] < new[q][:2]:
+                        new[q] = made
+        now = inserted(new)
+    return min((now[q] for q in (0, 3) if q in now), key=lambda x: x[:2])
+
+
+def conversations(rows):
+    """(conv_id, turn, role, text) -> the rows of op11."""
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        told = [" " if x is None else str(x) for x in (conv, turn)]
+        kind = zlib.crc32(":".join(told).encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub(r"[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        by[conv] += [(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = []
+    for conv, turns in by.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0], t[1].encode(), t[2].encode()) if t[0] is not None else (False, 0, t[1].encode(), t[2].encode()))
+        numbers = [t for t, _, _ in turns if t is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        seen, faults, counts = set(), [], [0, 0, 0]
+        for _, role, text in turns:
+            said = text.strip(" \t\n\x0b\x0c\r")
+            fault = 0 if not said else 1 if (role, text) in seen else 2 if said[-1] not in ".!?" else None
+            seen.add((role, text))
+            if fault is not None:
+                counts[fault] += 1
+            faults.append((role[:1], fault in (0, 1), fault == 2))
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        cost, audit, result = cheapest_repair(faults)
+        lines = []
+        for who, at in result:
+            name = {"u": "user", "a": "assistant"}.get(who)
+            if at is None:
+                lines.append(f"{name}:")
+            elif isinstance(at, tuple):
+                lines.append(f"{name}:{turns[at[0]][2]}")
+            else:
+                lines.append(f"{turns[at][1]}:{turns[at][2]}")
+        out.append((conv, gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out
