@@ -227,6 +227,14 @@ def _stretches(ids: np.ndarray, group: np.ndarray, least: int) -> list[tuple[int
         where, group = where[on], group[on]
 
 
+class _Numbers(dict):
+    """A number for each word, given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
+
 def find_runs(texts: list[list[bytes]], least: int = LEAST) -> list[np.ndarray]:
     """Per text the rows (start, length, period) of its runs, by start, then period.
 
@@ -238,8 +246,8 @@ def find_runs(texts: list[list[bytes]], least: int = LEAST) -> list[np.ndarray]:
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     offset = np.concatenate(([0], np.cumsum(sizes)))
-    vocab: dict[bytes, int] = {}
-    ids = np.fromiter((vocab.setdefault(w, len(vocab)) for t in texts for w in t), np.int64, int(offset[-1]))
+    numbered = _Numbers().__getitem__
+    ids = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(map(numbered, t), np.int64, len(t)) for t in texts]])
     owner = np.repeat(np.arange(len(texts)), sizes)
     spans = _stretches(ids, owner, least)
     if not spans:
