@@ -19,7 +19,7 @@ PART_ROWS, LEAST_SAMPLE = 640, 128
 #: Neighbours of a row in the graph.
 DEGREE = 16
 #: Rows whose true neighbours among all rows set how much probability is probed.
-JUDGES, RECALL = 256, 0.97
+JUDGES, RECALL = 256, 0.94
 #: Rows of a partition, and queries, that one task compares at a time.
 BLOCK, QUERY_BLOCK = 8192, 2048
 
@@ -134,6 +134,8 @@ class Index:
     dim: int
     router: Router | None
     mass: float = 1.0  # probability that is probed
+    sample: np.ndarray | None = None
+    sample_ids: list | None = None
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         return np.zeros(len(x), np.int64) if self.router is None else self.router.logits(x).argmax(axis=1)
@@ -151,16 +153,34 @@ class Index:
         order, before = self.ranked(x)
         return [o[b < self.mass].tolist() for o, b in zip(order, before, strict=True)]
 
+    def floors(self, x: np.ndarray, ids: list, probed: list[list[int]], k: int) -> list[float]:
+        """A score that the ``k`` nearest found of each query reach: that of the
+        k-th among the rows of the sample in its partitions. Rows below it need
+        not leave their task."""
+        if self.router is None or not len(x):
+            return [-np.inf] * len(x)
+        part, out = self.parts(self.sample), []
+        at: dict = {}
+        for j, i in enumerate(self.sample_ids):
+            at.setdefault(i, []).append(j)
+        for lo in range(0, len(x), 256):
+            rough = x[lo:lo + 256] @ self.sample.T
+            for row, i, mine in zip(rough, ids[lo:lo + 256], probed[lo:lo + 256], strict=True):
+                row[at.get(i, [])] = -np.inf
+                row = row[np.isin(part, mine)]
+                out.append(float(np.partition(row, len(row) - k)[len(row) - k]) if len(row) >= k else -np.inf)
+        return out
+
 
 def _stack(column: pa.Array) -> np.ndarray:
     """A list column without nulls, all of one length, as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest_of(queries: np.ndarray, query_ids: list, rows: np.ndarray, row_ids: list, k: int) -> Iterator[tuple[int, int, float]]:
+def nearest_of(queries: np.ndarray, query_ids: list, rows: np.ndarray, row_ids: list, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
     """(query, row, score) of the ``k`` nearest rows of each query that have
-    another id; all rows that tie with the last, to rounding. Scores are summed
-    in one fixed order, so that equal vectors have equal scores."""
+    another id and reach its floor; all rows that tie with the last, to rounding.
+    Scores are summed in one fixed order, so that equal vectors have equal scores."""
     rough = queries @ rows.T
     own: dict = {}
     for j, i in enumerate(row_ids):
@@ -170,6 +190,7 @@ def nearest_of(queries: np.ndarray, query_ids: list, rows: np.ndarray, row_ids:
     slack = 1e-9 * np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((rows * rows).sum(axis=1)).max(initial=0)
     for q in range(len(queries)):
         last = np.partition(rough[q], len(row_ids) - k)[len(row_ids) - k] if len(row_ids) > k else -np.inf
+        last = last if floors is None else max(last, floors[q])
         found = np.flatnonzero((rough[q] >= last - slack[q]) & (rough[q] > -np.inf))
         for j, s in zip(found.tolist(), (rows[found] * queries[q]).sum(axis=1).tolist(), strict=True):
             yield q, j, s
@@ -227,7 +248,7 @@ def fit(rows: DataFrame, dim: int, n: int, k: int) -> Index:
     wanted = np.zeros((len(x), parts))
     np.add.at(wanted, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1 / (near.shape[1] + 1))
     wanted[np.arange(len(x)), part] += 1 / (near.shape[1] + 1)  # its own part as well
-    index = Index(dim, train(x[judged:], wanted[judged:], rng))
+    index = Index(dim, train(x[judged:], wanted[judged:], rng), sample=x, sample_ids=ids)
     of, found = _true_neighbours(mine, x[:judged], ids[:judged], k)
     if len(of):
         order, before = index.ranked(x[:judged])
@@ -251,7 +272,8 @@ def search(rows: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "vec
     All rows are indexed by the partition that a classifier gives them, and a
     query goes to its most probable partitions until their probability reaches
     the fitted mass. Only the most frequent length has a classifier; vectors of
-    other lengths, and small tables, are compared in full. A partition is
+    other lengths, and small tables, are compared in full. Rows that the sample
+    already shows to be too far from a query don't leave their task. A partition is
     compared in blocks of rows and queries, so a large one is many tasks. Of
     equal vectors only the k + 1 with the smallest ids can be in a result, so
     the rest does not join; a vector that a third of all rows share costs k + 1 rows.
@@ -271,17 +293,22 @@ def search(rows: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "vec
         for batch in batches:
             sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             asks = batch.column(2).to_numpy(zero_copy_only=False)
-            parts = [[0]] * batch.num_rows
-            here = np.flatnonzero(sizes == index.dim)
-            if len(here):
-                x = _stack(batch.column(1).take(pa.array(here)))
-                for i, p, probed in zip(here, index.parts(x).tolist(), index.probes(x), strict=True):
-                    parts[i] = probed if asks[i] else [p]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+            parts, floors = [[0]] * batch.num_rows, [-np.inf] * batch.num_rows
+            own = np.flatnonzero((sizes == index.dim) & ~asks)
+            if len(own):
+                for i, p in zip(own, index.parts(_stack(batch.column(1).take(pa.array(own)))).tolist(), strict=True):
+                    parts[i] = [p]
+            own = np.flatnonzero((sizes == index.dim) & asks)
+            if len(own):
+                x = _stack(batch.column(1).take(pa.array(own)))
+                probed = index.probes(x)
+                for i, p, f in zip(own, probed, index.floors(x, batch.column(0).take(pa.array(own)).to_pylist(), probed, k), strict=True):
+                    parts[i], floors[i] = p, f
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32())), pa.array(floors, pa.float64())], names=[*batch.schema.names, "parts", "least"])
 
     kind = both.schema["vec_id"].dataType.simpleString()
-    placed = both.mapInArrow(place, f"vec_id {kind}, v array<double>, asks boolean, parts array<int>")
-    placed = cut_lineage(placed.select("vec_id", "v", "asks", F.explode("parts").alias("part"), F.size("v").alias("dim")))
+    placed = both.mapInArrow(place, f"vec_id {kind}, v array<double>, asks boolean, parts array<int>, least double")
+    placed = cut_lineage(placed.select("vec_id", "v", "asks", "least", F.explode("parts").alias("part"), F.size("v").alias("dim")))
     blocks = lambda n, size: F.greatest(F.ceil(F.sum(n) / F.lit(size)), F.lit(1)).cast("int")
     sizes = cut_lineage(placed.groupBy("dim", "part").agg(
         blocks((~F.col("asks")).cast("int"), BLOCK).alias("row_blocks"), blocks(F.col("asks").cast("int"), QUERY_BLOCK).alias("query_blocks")))
@@ -289,18 +316,18 @@ def search(rows: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "vec
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Both sides get columns of their own, or a join of them would be ambiguous.
-    side = lambda rows, rb, qb, to: rows.select(F.struct("dim", "part", rb.alias("rb"), qb.alias("qb")).alias(to), F.col("vec_id").alias(f"{to}_id"), F.col("v").alias(f"{to}_v"))
+    side = lambda rows, rb, qb, to: rows.select(F.struct("dim", "part", rb.alias("rb"), qb.alias("qb")).alias(to), F.col("vec_id").alias(f"{to}_id"), F.col("v").alias(f"{to}_v"), "least")
     left = placed.where("asks").withColumn("rb", every("row_blocks"))
     left = side(left, F.col("rb"), deal("query_blocks"), "q")
     right = placed.where("not asks").withColumn("qb", every("query_blocks"))
-    right = side(right, deal("row_blocks"), F.col("qb"), "r")
+    right = side(right, deal("row_blocks"), F.col("qb"), "r").drop("least")
 
     def compare(queries: pa.Table, others: pa.Table) -> pa.Table:
         column = lambda t, name: t.column(name).combine_chunks()
         q_ids, r_ids = column(queries, "q_id"), column(others, "r_id")
         found = []
         if len(q_ids) and len(r_ids):
-            found = list(nearest_of(_stack(column(queries, "q_v")), q_ids.to_pylist(), _stack(column(others, "r_v")), r_ids.to_pylist(), k))
+            found = list(nearest_of(_stack(column(queries, "q_v")), q_ids.to_pylist(), _stack(column(others, "r_v")), r_ids.to_pylist(), k, column(queries, "least").to_numpy()))
         take = lambda a, i: a.take(pa.array([f[i] for f in found], pa.int64()))
         return pa.table({"query_id": take(q_ids, 0), "mark": take(column(queries, "mark"), 0), "vec_id": take(r_ids, 1), "score": pa.array([f[2] for f in found], pa.float64())})
 
