@@ -25,8 +25,6 @@ SLOTS, DIM, CLASSES = 1024, 16, 64
 HALF = 16
 #: Every training text trains the attention weights, in one of ROUNDS of averaging.
 ROUNDS, RATE, BATCH = 4, 0.02, 64
-#: No text is left out: nothing reads this, a test still sets it.
-SHARE = 1
 #: Words whose counts every task holds; the counts of the others are joined.
 HEAD = 100_000
 NEAR = 32  # buckets for the neighbours of a subword

@@ -71,6 +71,23 @@ def temperature(sources: DataFrame, budget: int, *, entropy_share: float = ENTRO
     return max(flat, _narrow(shares, epochs, lambda e: e <= max_epochs))
 
 
+OUTPUTS = ("mix_source", "mix_tokens", "mix_epoch", "mix_at", "mix_order")
+
+
+def _names(columns: list[str]) -> dict[str, str]:
+    """Output names of the input columns: those of a result column get ``_in``
+    appended, as often as it takes."""
+    taken, out = {*OUTPUTS, *[c.lower() for c in columns]}, {}
+    for c in columns:
+        name = c
+        if c.lower() in OUTPUTS:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", columns: list[str] | None = None, budget: int | None = None,
         entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """Rows of the mixture: the ``columns`` of docs, then mix_source, mix_tokens,
@@ -86,7 +103,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     A null source is a source. A source without tokens has no weight and no rows.
     Rows without tokens come with their block; null texts have none. Repeated
-    rows count each. No rows, or no tokens at all, give no rows.
+    rows count each. No rows, or no tokens at all, give no rows. An input column
+    with the name of one of the five comes out with ``_in`` appended.
 
     Only counts per source and block are shuffled and sorted; rows meet them in
     a join that needs no order, and one block a source is looked at row by row.
@@ -123,7 +141,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     met = F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("block2"))
     placed = dealt(rows)
-    out = [*[F.col(f"r.`{c}`").alias(c) for c in columns], F.col("s").alias("mix_source"), "mix_tokens", "mix_epoch", "mix_at", "mix_order"]
+    out = [*[F.col(f"r.`{c}`").alias(name) for c, name in _names(columns).items()], F.col("s").alias("mix_source"), "mix_tokens", "mix_epoch", "mix_at", "mix_order"]
     key = _hash(str(seed), F.col("mix_epoch"), F.col("i"), F.col("m"))
     whole = placed.join(blocks.where("block_tokens <= room"), met).withColumn("mix_order", key)
     # The block that a budget ends in: a running sum over its rows, one block a source.

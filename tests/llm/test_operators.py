@@ -402,7 +402,6 @@ def test_gradients(small_lm):
 @pytest.mark.parametrize("head", [100_000, 3])
 def test_base_scores_of_texts(spark, texts, tmp_path, monkeypatch, head):
     monkeypatch.setattr(attention_lm, "HEAD", head)
-    monkeypatch.setattr(attention_lm, "SHARE", 2)
     frame(spark, texts).write.parquet(f"{tmp_path}/docs")
     got = {r.doc_id: r for r in attention_lm.score_texts(spark.read.parquet(f"{tmp_path}/docs")).collect()}
     want = brute.unigrams(texts)
@@ -493,6 +492,13 @@ def test_mixture_limits_repeats(spark):
     assert mixing.mix(frame(spark, [(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_keeps_columns_that_have_the_names_of_results(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", "s", 7, 8, 9), (2, "c", "t", 7, 8, 9)], "doc_id long, text string, source string, mix_at int, MIX_ORDER int, mix_at_in int")
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", "mix_at_in_in", "MIX_ORDER_in", "mix_at_in", "mix_source", "mix_tokens", "mix_epoch", "mix_at", "mix_order"]
+    assert {tuple(r)[3:6] for r in out.collect()} == {(7, 8, 9)}
+
+
 def test_mixing_uses_no_python(spark):
     df = frame(spark, [(1, "a b", "s"), (2, "c", None)], "doc_id long, text string, source string")
     plan = mixing.mix(df)._jdf.queryExecution().toString()
