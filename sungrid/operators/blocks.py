@@ -181,3 +181,31 @@ def over_rows(df: DataFrame, *, key: Sequence[str], index: str, exprs: Callable[
     """
     copied = with_halo(df, index=index, before=before, after=after, rows=rows)
     return copied.withColumns(exprs(W.partitionBy(*key, BLOCK).orderBy(index))).where("_own").drop(BLOCK, "_own")
+
+
+def running_parts(copied: DataFrame, *, key: Sequence[str], index: str, n: int, parts: dict[str, Column]) -> DataFrame:
+    """Aggregates over the ``n`` rows that end at each row, as two parts to be joined.
+
+    The rows of a series are cut into pieces of ``n``. A window is the end of one
+    piece and the start of the next, so two running aggregates give both parts,
+    ``_tail`` and ``_head`` (structs of ``parts``, single aggregates; ``_tail`` is
+    NULL where the window is a piece). Each row is read twice, however long the window, and
+    nothing is subtracted, so no digits are lost. ``copied`` comes from ``with_halo``.
+    """
+    both = copied.repartition(*key, BLOCK)  # one shuffle for the three windows
+    piece = W.partitionBy(*key, BLOCK, F.floor(F.col(index) / F.lit(n)))
+    running = lambda order: piece.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    struct = lambda w: F.struct(*[c.over(w).alias(name) for name, c in parts.items()])
+    both = both.withColumn("_head", struct(running(F.col(index)))).withColumn("_tail", struct(running(F.desc(index))))
+    along = W.partitionBy(*key, BLOCK).orderBy(index)
+    return both.withColumn("_tail", F.when(F.pmod(F.col(index), F.lit(n)) != n - 1, F.lag("_tail", n - 1).over(along)))
+
+
+def block_arrays(df: DataFrame, *, key: Sequence[str], index: str, cols: Sequence[str | Column], before: int = 0, after: int = 0,
+                 rows: int = 4096, name: str = "rows") -> DataFrame:
+    """One row per block: the rows of the block and of its halo as an array of
+    structs (index, own, cols...) in index order. Windows and lags are slices of
+    it. A block has ``rows`` rows of its own, so no array grows with the series."""
+    copied = with_halo(df, index=index, before=before, after=after, rows=rows)
+    cells = F.sort_array(F.collect_list(F.struct(F.col(index).alias("index"), F.col("_own").alias("own"), *cols)))
+    return copied.groupBy(*key, BLOCK).agg(cells.alias(name))

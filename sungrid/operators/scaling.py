@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .keys import match
-from .ranks import long_form, quantiles
+from .ranks import long_form
+from .selection import quantiles
 
 
 def fit(df: DataFrame, methods: dict[str, str], *, key: Sequence[str]) -> DataFrame:

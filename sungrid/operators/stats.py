@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.measures import correlation
 from ..functions.timecols import floor_ts
 from ..session import cut_lineage
 from .keys import match
-from .blocks import over_rows
-from .ranks import average_rank, long_form, quantiles, rank_bin, ranked_wide
+from .blocks import BLOCK, block_arrays, running_parts, with_halo
+from .ranks import average_rank, long_form, rank_bin, ranked_wide
+from .selection import bin_counts, moments, quantiles_of
 
 
 def profile(df: DataFrame, *, group: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -34,13 +37,14 @@ QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def describe(df: DataFrame, *, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Count, mean, spread, extremes and quartiles of each column, in long form."""
+    """Count, mean, spread, extremes and quartiles of each column, in long form.
+    A column without values keeps its row."""
     rows = long_form(df.select(*key, *cols), ids=key, cols=cols)
     by = [*key, "feature"]
-    simple = rows.groupBy(*by).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    return match(simple, quantiles(rows, value="value", group=by, probs=QUARTILES), by, "left")
+    bins = bin_counts(rows, value="value", group=by)
+    found = match(moments(bins, group=by), quantiles_of(rows, bins, value="value", group=by, probs=QUARTILES), by)
+    every = bins.select(*key).distinct().select(*key, F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+    return match(every, found, by, "left").fillna(0, ["n"])
 
 
 def missing_counts(df: DataFrame, *, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -120,8 +124,9 @@ def histogram(df: DataFrame, *, key: Sequence[str], value: str, bins: int = 50)
 
 def boxplot(df: DataFrame, *, group: Sequence[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the extremes within 1.5 box lengths."""
-    known = df.where(F.col(value).isNotNull()).select(*group, value)
-    boxes = cut_lineage(quantiles(known, value=value, group=group, probs=QUARTILES))
+    known = cut_lineage(df.where(F.col(value).isNotNull()).select(*group, value))  # read three times
+    bins = bin_counts(known, value=value, group=group)
+    boxes = cut_lineage(quantiles_of(known, bins, value=value, group=group, probs=QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     v, inside = F.col(value), F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return match(known, boxes, group).groupBy(*group, *QUARTILES).agg(
@@ -212,20 +217,35 @@ def typical_lag(days: DataFrame, *, key: Sequence[str], step_minutes: int) -> Da
         (median * step_minutes).alias("lag_minutes"), F.avg("score").alias("mean_score"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _lag_sums(dev: pd.Series, own: pd.Series, lags: pd.Series) -> pd.Series:
+    """Per block the sums of x[i] * x[i - k] over its own rows, for k from 0 on."""
+    def sums(x: np.ndarray, mine: np.ndarray, most: int) -> np.ndarray:
+        x = np.nan_to_num(np.asarray(x, float))  # missing products count nothing
+        here = np.flatnonzero(np.asarray(mine, bool))
+        lo, hi = here[0], here[-1] + 1
+        # Slices of one array: from each lag's start in it, as far as it has rows.
+        return np.array([x[max(lo, k):hi] @ x[max(lo, k) - k:hi - k] if k < hi else 0.0 for k in range(most + 1)])
+    return pd.Series([sums(x, m, k) for x, m, k in zip(dev, own, lags, strict=True)])
+
+
 def autocorrelation(df: DataFrame, *, key: Sequence[str], index: str, value: str, lags: int = 50, rows: int = 4096) -> DataFrame:
     """Biased autocorrelation at lags 1 to ``lags`` of a regular series.
 
-    The lagged products of a row use copied border rows, and are summed before
-    any shuffle of their own.
+    A block and the ``lags`` rows before it are one array, and the products of a
+    lag are a slice of it; a block gives one array of sums. Lags are rows of the
+    result, so a thousand of them are the same plan.
     """
     means = cut_lineage(df.groupBy(*key).agg(F.avg(value).alias("_mean")))
     dev = match(df, means, key).select(*key, index, (F.col(value) - F.col("_mean")).alias("_dev"))
-    shifted = over_rows(dev, key=key, index=index, before=lags, rows=rows,
-                        exprs=lambda w: {f"_l{k}": F.lag("_dev", k).over(w) for k in range(1, lags + 1)})
-    square = F.sum(F.col("_dev") * F.col("_dev")).alias("_sq")
-    sums = shifted.groupBy(*key).agg(square, *[F.sum(F.col("_dev") * F.col(f"_l{k}")).alias(f"_l{k}") for k in range(1, lags + 1)])
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(F.col(f"_l{k}"), F.col("_sq")).alias("acf")) for k in range(1, lags + 1)])
-    return sums.select(*key, F.inline(cells))
+    blocks = block_arrays(dev, key=key, index=index, cols=["_dev"], before=lags, rows=rows)
+    # A block that holds border rows alone belongs to no row.
+    blocks = blocks.where(F.exists("rows", lambda r: r["own"]))
+    cell = lambda f: F.transform("rows", lambda r: r[f])
+    sums = blocks.select(*key, F.posexplode(_lag_sums(cell("_dev"), cell("own"), F.lit(lags))).alias("lag", "_s"))
+    sums = sums.groupBy(*key, "lag").agg(F.sum("_s").alias("_s"))
+    square = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(W.partitionBy(*key))  # over the lags of a series
+    return sums.withColumn("acf", F.try_divide("_s", square)).where("lag > 0").select(*key, F.col("lag").cast("long").alias("lag"), "acf")
 
 
 def seasonal_decompose(df: DataFrame, *, key: Sequence[str], index: str, ts: str, value: str, period: int, rows: int = 4096) -> DataFrame:
@@ -234,19 +254,17 @@ def seasonal_decompose(df: DataFrame, *, key: Sequence[str], index: str, ts: str
     The trend is the centred moving average over one period (an even period uses
     half weights at both ends) and NULL where the window is not full.
     """
-    half = period // 2
-
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        if period % 2:
-            span = w.rowsBetween(-half, half)
-            mean = F.avg(value).over(span)
-        else:
-            span = w.rowsBetween(-half, half)
-            ends = (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
-            mean = (F.sum(value).over(w.rowsBetween(-half + 1, half - 1)) + ends) / period
-        return {"trend": F.when(F.count(value).over(span) == 2 * half + 1, mean)}
-
-    rows_ = over_rows(df.select(*key, index, ts, value), key=key, index=index, before=half, after=half, rows=rows, exprs=exprs)
+    half, odd = period // 2, period % 2
+    n = period if odd else period - 1  # an even period: its inner rows, and half of both ends
+    copied = with_halo(df.select(*key, index, ts, value), index=index, before=half, after=half, rows=rows)
+    v = F.col(value).cast("double")
+    both = running_parts(copied, key=key, index=index, n=n, parts={"n": F.count(v), "s": F.sum(v)})
+    along = W.partitionBy(*key, BLOCK).orderBy(index)
+    total = F.coalesce("_tail.s", F.lit(0.0)) + F.coalesce("_head.s", F.lit(0.0))
+    whole = F.when(F.col("_head.n") + F.coalesce("_tail.n", F.lit(0)) == n, total)  # of the n rows that end here
+    centred = F.lead(whole, n // 2).over(along)
+    mean = centred if odd else centred + (F.lag(v, half).over(along) + F.lead(v, half).over(along)) / 2
+    rows_ = both.withColumn("trend", mean / period).where("_own").drop(BLOCK, "_own", "_head", "_tail")
     rows_ = cut_lineage(rows_.withColumn("_phase", F.pmod(F.col(index), F.lit(period))))  # read twice below
     phases = rows_.groupBy(*key, "_phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_p"))
     centred = F.col("_p") - F.avg("_p").over(W.partitionBy(*key))  # one row per phase

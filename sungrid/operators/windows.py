@@ -8,35 +8,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.measures import correlation
-from .blocks import over_rows, previous_row
+from .blocks import BLOCK, block_arrays, previous_row, running_parts, with_halo
+
+
+def _two(f: str) -> tuple[Column, Column]:
+    return F.col(f"_tail.{f}"), F.col(f"_head.{f}")
+
+
+def _count() -> Column:
+    tail, head = _two("n")
+    return head + F.coalesce(tail, F.lit(0))
+
+
+def _joined(a: str, b: str, cross: str) -> Column:
+    """The sum of products of deviations of both parts, around their common means."""
+    (n1, n2), (a1, a2), (b1, b2), (c1, c2) = _two("n"), _two(a), _two(b), _two(cross)
+    return F.when(F.coalesce(n1, F.lit(0)) == 0, c2 * n2).when(n2 == 0, c1 * n1).otherwise(c1 * n1 + c2 * n2 + (a2 - a1) * (b2 - b1) * (n1 * n2 / (n1 + n2)))
+
+
+def _range(a: str) -> tuple[Column, Column]:
+    return F.least(*_two(f"{a}_min")), F.greatest(*_two(f"{a}_max"))
 
 
 def rolling(df: DataFrame, *, key: Sequence[str], index: str, col: str, n: int, rows: int = 4096) -> DataFrame:
-    """Rolling mean and standard deviation over ``n`` rows; NULL until full."""
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        span = w.rowsBetween(-(n - 1), 0)
-        full = F.count(col).over(span) == n
-        return {
-            f"{col}_mean": F.when(full, F.avg(col).over(span)),
-            f"{col}_std": F.when(full, F.stddev_samp(col).over(span)),
-        }
-    return over_rows(df, key=key, index=index, before=n - 1, rows=rows, exprs=exprs)
+    """Rolling mean and standard deviation over ``n`` rows; NULL until full.
+
+    A window is put together from two running parts, whatever its length; a
+    window of equal values has exactly that mean, and no deviation.
+    """
+    v = F.col(col).cast("double")
+    parts = {"n": F.count(v), "v": F.avg(v), "v_dev": F.var_pop(v), "v_min": F.min(v), "v_max": F.max(v)}
+    both = running_parts(with_halo(df, index=index, before=n - 1, rows=rows), key=key, index=index, n=n, parts=parts).where("_own")
+    full, (low, high), (n1, n2), (m1, m2) = _count() == n, _range("v"), _two("n"), _two("v")
+    mean = F.when(low == high, low).when(F.coalesce(n1, F.lit(0)) == 0, m2).when(n2 == 0, m1).otherwise((m1 * n1 + m2 * n2) / n)
+    deviation = F.sqrt(F.when(low == high, 0.0).otherwise(_joined("v", "v", "v_dev")) / F.lit(float(n - 1) or None))
+    return both.withColumns({f"{col}_mean": F.when(full, mean), f"{col}_std": F.when(full, deviation)}).drop(BLOCK, "_own", "_head", "_tail")
 
 
 def rolling_corr(df: DataFrame, *, key: Sequence[str], index: str, a: str, b: str, n: int, name: str = "corr",
                  rows: int = 4096) -> DataFrame:
-    """Rolling correlation of two columns over ``n`` rows where both are known."""
+    """Rolling correlation of two columns over ``n`` rows where both are known;
+    NULL where a column does not vary. From two running parts, as ``rolling``."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        span = w.rowsBetween(-(n - 1), 0)
-        full = F.sum(both.cast("int")).over(span) == n
-        varies = (F.max(a).over(span) > F.min(a).over(span)) & (F.max(b).over(span) > F.min(b).over(span))
-        return {name: F.when(full & varies, correlation(F.col(a), F.col(b), over=span))}
-    return over_rows(df, key=key, index=index, before=n - 1, rows=rows, exprs=exprs)
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    parts = {"n": F.count(x), "x": F.avg(x), "y": F.avg(y), "xx": F.var_pop(x), "yy": F.var_pop(y), "xy": F.covar_pop(x, y),
+             "x_min": F.min(x), "x_max": F.max(x), "y_min": F.min(y), "y_max": F.max(y)}
+    out = running_parts(with_halo(df, index=index, before=n - 1, rows=rows), key=key, index=index, n=n, parts=parts).where("_own")
+    (x_low, x_high), (y_low, y_high) = _range("x"), _range("y")
+    varies = (_count() == n) & (x_high > x_low) & (y_high > y_low)
+    r = _joined("x", "y", "xy") / F.sqrt(_joined("x", "x", "xx") * _joined("y", "y", "yy"))
+    return out.withColumn(name, F.when(varies, r)).drop(BLOCK, "_own", "_head", "_tail")
 
 
 def difference(df: DataFrame, *, key: Sequence[str], ts: str, col: str, name: str, block_s: int) -> DataFrame:
@@ -58,28 +81,22 @@ def sequences(df: DataFrame, *, key: Sequence[str], index: str, ts: str, feature
     ``x`` holds the feature structs in time order. With ``next_step`` the target
     and ``target_ts`` are those of the row after the window, else of its last
     row. Without a target, ``keep_short`` gives NULL for the first n-1 rows.
+
+    A block and its border rows are one array, and a window is a slice of it.
     """
-    step = F.struct(*features)
     ahead = 1 if next_step else 0
-
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        span = w.rowsBetween(-(n - 1), 0)
-        out = {"_n": F.count(F.lit(1)).over(span), "x": F.collect_list(step).over(span)}
-        at = (lambda c: F.lead(c, 1).over(w)) if next_step else F.col
-        out["target_ts"] = at(ts)
-        if target:
-            out["y"] = at(target)
-        return out
-
-    windows = over_rows(df, key=key, index=index, before=n - 1, after=ahead, rows=rows, exprs=exprs)
-    full = F.col("_n") == n
-    if keep_short:
-        windows = windows.withColumn("x", F.when(full, F.col("x")))
-    else:
-        windows = windows.where(full)
+    cells = [F.struct(*features).alias("x"), F.col(ts).alias("ts"), F.col(target).alias("y") if target else F.lit(None).alias("y")]
+    blocks = block_arrays(df, key=key, index=index, cols=cells, before=n - 1, after=ahead, rows=rows)
+    ends = F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: F.get("rows", i - 1)["own"])
+    window = blocks.select(*key, "rows", F.explode(ends).alias("_end"))
+    last, goal = F.get("rows", F.col("_end") - 1), F.get("rows", F.col("_end") - 1 + ahead)
+    x = F.when(F.col("_end") >= n, F.transform(F.slice("rows", F.col("_end") - n + 1, F.lit(n)), lambda r: r["x"]))
+    windows = window.select(*key, last["index"].alias(index), goal["ts"].alias("target_ts"), x.alias("x"), *([goal["y"].alias("y")] if target else []))
+    if not keep_short:
+        windows = windows.where(F.col("x").isNotNull())
     if next_step:
         windows = windows.where(F.col("target_ts").isNotNull())
-    return windows.select(*key, index, "target_ts", "x", *(["y"] if target else []))
+    return windows
 
 
 def flatten(x: str, features: Sequence[str]) -> Column:

@@ -39,20 +39,23 @@ _local_base: list[str] = []
 _scratch: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach.
-
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
-    local session (one machine, as in tests) may fall back to a temporary one.
-    """
+def _base(spark: SparkSession) -> str:
+    """The shared folder. The cluster names it in ``spark.checkpoint.dir``; only a
+    session on one machine (local, as in tests) may fall back to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         if not _local_base:
             _local_base.append(tempfile.mkdtemp(prefix="sungrid-"))
         base = _local_base[0]
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder that every executor can reach."""
+    path = f"{_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
     if _scratch:
         _scratch[-1].append(path)
     return path

@@ -198,13 +198,11 @@ def test_nearest_row_or_nearest_known_value(spark):
     assert get(True) == [(1.0, 5.0), (3.0, 6.0), (3.0, 6.0)]
 
 
-def test_scratch_leaves_no_files(spark, tmp_path):
+def test_scratch_leaves_no_files(spark, tmp_path, monkeypatch):
     from sungrid import session
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        with session.scratch(spark):
-            assert session.cut_lineage(spark.range(3)).count() == 3 and list(tmp_path.iterdir())
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    # The setting of a running session cannot change, so the folder is given here.
+    monkeypatch.setattr(session, "_base", lambda _: f"file://{tmp_path}")
+    with session.scratch(spark):
+        assert session.cut_lineage(spark.range(3)).count() == 3 and list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
