@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.clean import night_below
-from ..operators import metrics, spectrum, stats, windows
+from ..operators import information, metrics, spectrum, stats, windows
 from ..operators.grid import fill_edges
 from ..operators.ranks import kendall_tau
 from ..session import cut_lineage
@@ -123,6 +123,20 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats.mutual_information(cut_lineage(pairs(spark, sf_dir)), key=KEY, ids=["ts"], target="power", features=_TARGETED, k=8))
 
 
+# Every pair of hours; digamma as the same series on both sides.
+_PSI = lambda n: f"(ln({n} + 8.0) - 1 / (2.0 * ({n} + 8)) - 1 / (12.0 * pow({n} + 8, 2)) + 1 / (120.0 * pow({n} + 8, 4)) - 1 / (252.0 * pow({n} + 8, 6)) - " + " - ".join(f"1.0 / ({n} + {i})" for i in range(8)) + ")"
+
+
+@query("mutual_information_knn", f"WITH {COMPLETE_SQL}, lg AS (" + " UNION ALL ".join(f"SELECT series_id, ts, '{f}' AS feature, {f} AS x, power AS y FROM comp" for f in _TARGETED) + f"""),
+  u AS (SELECT series_id, ts, feature, x / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS x, y / coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS y, count(*) OVER w AS n FROM lg WINDOW w AS (PARTITION BY series_id, feature)),
+  e AS (SELECT a.series_id, a.feature, a.ts, a.x, a.y, a.n, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[4] AS eps FROM u a JOIN u b USING (series_id, feature) GROUP BY ALL),
+  c AS (SELECT e.series_id, e.feature, e.ts, e.n, count(*) FILTER (CASE WHEN eps > 0 THEN abs(e.x - b.x) < eps * (1 - 1e-9) ELSE e.x = b.x END) AS nx,
+    count(*) FILTER (CASE WHEN eps > 0 THEN abs(e.y - b.y) < eps * (1 - 1e-9) ELSE e.y = b.y END) AS ny FROM e JOIN u b USING (series_id, feature) GROUP BY ALL)
+  SELECT series_id, feature, CASE WHEN n > 3 THEN {R(f"greatest({_PSI('n')} + {_PSI('3')} - avg({_PSI('nx')} + {_PSI('ny')}), 0)")} END AS mi FROM c GROUP BY series_id, feature, n""")
+def mutual_information_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(information.mutual_information_knn(pairs(spark, sf_dir), key=KEY, target="power", features=_TARGETED, k=3))
+
+
 _HIST = "least(coalesce(floor((value - lo) / nullif((hi - lo) / 50.0, 0)), 0), 49)::BIGINT"
 
 
