@@ -10,6 +10,7 @@ ranks are exact whatever they are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -142,39 +143,49 @@ def sums_before(df: DataFrame, *, key: Sequence[str], index: str, cols: dict[str
     return out.drop("_rows", *[f"_b_{c}" for c in cols])
 
 
-def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: int = 4096, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Kendall's tau-b per group, exact, without forming pairs of rows.
-
-    Both columns become dense codes. Two different codes of y first differ, seen
-    from the top, at one bit: at that level they share the higher bits, and the
-    larger code has the 1. So per level and shared prefix, walking along x,
-    every 0 met after a 1 is a discordant pair and every 1 after a 0 a concordant
-    one. That is one running sum over n log n rows. Rows with the same x are
-    counted together first, which leaves ties out.
+def _codes(df: DataFrame, group: Sequence[str], cols: Sequence[str], bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with each column as a dense code from 0, and per column the pairs of
+    rows that it does not tie. Columns are ranked in one pass over their long form."""
+    rows = cut_lineage(df.dropna(subset=list(cols)).select(*group, *cols).withColumn("_id", F.monotonically_increasing_id()))
+    tall = long_form(rows, ids=[*group, "_id"], cols=cols)
+    ranked = cut_lineage(value_ranks(tall, value="value", group=[*group, "feature"], bucket_rows=bucket_rows, distinct=True))
+    joined = match(tall, ranked.select(*group, "feature", "value", "distinct_less"), [*group, "feature", "value"])
+    wide = joined.groupBy(*group, "_id").agg(*[F.max(F.when(F.col("feature") == c, F.col("distinct_less"))).alias(c) for c in cols])
+    double = lambda c: c.cast("double") * (c - 1) / 2
+    free = ranked.groupBy(*group, "feature").agg(F.max("n").alias("_n"), (double(F.max("n")) - F.sum(double(F.col("cnt")))).alias("_free"))
+    return cut_lineage(match(wide, free.groupBy(*group).agg(F.max("_n").alias("_n")), group)), cut_lineage(free)
+
+
+def kendall_matrix(df: DataFrame, *, group: Sequence[str], cols: Sequence[str], rows: int = 4096, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Kendall's tau-b of each pair of ``cols`` over complete rows, as (a, b, n,
+    tau), exact, without forming pairs of rows. NULL where a column does not vary.
+
+    Columns become dense codes. Two different codes of y first differ, seen from
+    the top, at one bit: at that level they share the higher bits, and the larger
+    code has the 1. So per level and shared prefix, walking along x, every 0 met
+    after a 1 is a discordant pair and every 1 after a 0 a concordant one. That
+    is one running sum over n log n rows, for all pairs of columns together. Rows
+    with the same x are counted together first, which leaves ties out.
     """
-    both = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))  # read five times below
-    cells = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    codes = {c: cut_lineage(value_ranks(both, value=c, group=group, bucket_rows=bucket_rows, distinct=True)) for c in (x, y)}  # read twice each
-    x_codes = codes[x].select(*group, x, F.col("distinct_less").alias("_xc"))
-    y_codes = codes[y].select(*group, y, F.col("distinct_less").alias("_yc"), F.col("n").alias("_n"))
-    coded = match(match(cells, x_codes, [*group, x]), y_codes, [*group, y])
+    coded, free = _codes(df, group, cols, bucket_rows)
+    by = [*group, "a", "b"]
+    cells = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("_xc"), F.col(b).alias("_yc")) for a, b in combinations(cols, 2)]))
+    cells = coded.select(*group, "_n", cells).groupBy(*by, "_n", "_xc", "_yc").agg(F.count(F.lit(1)).alias("_w"))
     top = F.floor(F.log2(F.col("_n").cast("double"))).cast("int")
-    levels = coded.withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
-    shifted = F.floor(F.col("_yc") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    levels = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
+    shifted = F.call_function("shiftright", F.col("_yc"), F.col("_level"))
     bit = F.pmod(shifted, F.lit(2))
-    at_x = levels.groupBy(*group, "_level", F.floor(shifted / 2).alias("_prefix"), "_xc").agg(
-        F.sum(F.when(bit == 1, F.col("_w")).otherwise(F.lit(0))).alias("_ones"),
-        F.sum(F.when(bit == 0, F.col("_w")).otherwise(F.lit(0))).alias("_zeros"),
-    )
-    walked = sums_before(at_x, key=[*group, "_level", "_prefix"], index="_xc",
+    at_x = levels.groupBy(*by, "_level", F.floor(shifted / 2).alias("_prefix"), "_xc").agg(
+        F.sum(F.col("_w") * bit).alias("_ones"), F.sum(F.col("_w") * (1 - bit)).alias("_zeros"))
+    walked = sums_before(at_x, key=[*by, "_level", "_prefix"], index="_xc",
                          cols={"_ones": "_ones_before", "_zeros": "_zeros_before"}, rows=rows)
     score = F.col("_ones").cast("double") * F.col("_zeros_before") - F.col("_zeros").cast("double") * F.col("_ones_before")
-    scores = walked.groupBy(*group).agg(F.sum(score).alias("_score"))
-    tied = F.sum(F.col("cnt").cast("double") * (F.col("cnt") - 1) / 2)
-    free = {
-        c: codes[c].groupBy(*group).agg((F.max("n").cast("double") * (F.max("n") - 1) / 2 - tied).alias(f"_free_{i}"), F.max("n").alias(f"_n{i}"))
-        for i, c in enumerate((x, y))
-    }
-    out = match(match(free[x], free[y], group), scores, group, "left")
-    return out.select(*group, F.col("_n0").alias("n"),
-                      F.try_divide(F.col("_score"), F.sqrt(F.col("_free_0") * F.col("_free_1"))).alias("tau"))
+    scores = walked.groupBy(*by).agg(F.sum(score).alias("_score"))
+    side = lambda c, name: free.select(*group, F.col("feature").alias(c), "_n", F.col("_free").alias(name))
+    out = match(match(scores, side("a", "_fa").withColumnRenamed("_n", "n"), [*group, "a"]), side("b", "_fb").drop("_n"), [*group, "b"])
+    return out.select(*by, "n", F.try_divide("_score", F.sqrt(F.col("_fa") * F.col("_fb"))).alias("tau"))
+
+
+def kendall_tau(df: DataFrame, *, group: Sequence[str], x: str, y: str, rows: int = 4096, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Kendall's tau-b of two columns per group, as ``kendall_matrix`` computes it."""
+    return kendall_matrix(df, group=group, cols=[x, y], rows=rows, bucket_rows=bucket_rows).select(*group, "n", "tau")

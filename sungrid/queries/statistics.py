@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.clean import night_below
 from ..operators import information, metrics, spectrum, stats, windows
 from ..operators.grid import fill_edges
-from ..operators.ranks import kendall_tau
+from ..operators.ranks import kendall_matrix
 from ..session import cut_lineage
 from .base import (
     DAILY_SQL, E10_SQL, E1H_SQL, EV_SQL, KEY, P2_SQL, PAIR_SQL, R, ROLES, WEEK, daily, hourly, pairs, query, readings, rounded, scored, table,
@@ -85,12 +85,13 @@ def corr_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats.spearman_correlations(cut_lineage(pairs(spark, sf_dir)), key=KEY, ids=["ts"], cols=FEATURES))
 
 
-@query("corr_kendall", f"""WITH {PAIR_SQL}, k AS (SELECT series_id, round(ghi) AS x, round(power) AS y FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL),
-  s AS (SELECT a.series_id, sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS score, sum(abs(sign(a.x - b.x))) / 2 AS fx, sum(abs(sign(a.y - b.y))) / 2 AS fy FROM k a JOIN k b USING (series_id) GROUP BY 1)
-  SELECT series_id, n, {R('score / sqrt(fx * fy)')} AS tau FROM s JOIN (SELECT series_id, count(*) AS n FROM k GROUP BY 1) USING (series_id)""")
+_CONCORDANT = ", ".join(f"sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS s_{x}_{y}" for x, y in _PAIRS) + ", " + ", ".join(f"sum(abs(sign(a.{c} - b.{c}))) AS f_{c}" for c in FEATURES)
+
+
+@query("corr_kendall", f"""WITH {COMPLETE_SQL}, s AS (SELECT series_id, count(DISTINCT a.ts) AS n, {_CONCORDANT} FROM comp a JOIN comp b USING (series_id) GROUP BY 1) """ + " UNION ALL ".join(
+    f"SELECT series_id, '{x}' AS a, '{y}' AS b, n, {R(f's_{x}_{y} / sqrt(f_{x} * f_{y})')} AS tau FROM s" for x, y in _PAIRS))
 def corr_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pairs(spark, sf_dir).select("series_id", F.floor(F.col("ghi") + 0.5).cast("double").alias("x"), F.floor(F.col("power") + 0.5).cast("double").alias("y"))
-    return tidy(kendall_tau(df, group=KEY, x="x", y="y", rows=64))
+    return tidy(kendall_matrix(pairs(spark, sf_dir), group=KEY, cols=FEATURES))
 
 
 _TARGETED = [c for c in FEATURES if c != "power"]

@@ -144,6 +144,52 @@ def test_kendall_against_all_pairs(spark):
     assert got["n"] == 150 and abs(got["tau"] - want) < 1e-12
 
 
+def test_kendall_of_all_pairs_of_columns(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": np.where(rng.random(240) < 0.8, "a", "b"), "x": rng.random(240), "y": rng.integers(0, 5, 240).astype(float), "same": 1.0})
+    pdf["z"] = np.where(rng.random(240) < 0.4, 0.0, pdf.x + rng.random(240))
+    df = spark.createDataFrame(pdf).select("k", *[F.when(F.rand(1) < 2, F.col(c)).alias(c) for c in ("x", "y", "z", "same")])
+    got = {(r.k, r.a, r.b): r for r in ranks.kendall_matrix(df, group=["k"], cols=["x", "y", "z", "same"], rows=16, bucket_rows=30).collect()}
+    for k, part in pdf.groupby("k"):
+        signs = {c: np.sign(part[c].values[:, None] - part[c].values) for c in ("x", "y", "z")}
+        for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+            want = (signs[a] * signs[b]).sum() / np.sqrt((signs[a] ** 2).sum() * (signs[b] ** 2).sum())
+            assert got[k, a, b].n == len(part) and abs(got[k, a, b].tau - want) < 1e-12
+        assert got[k, "x", "same"].tau is None
+    assert len(got) == 12
+
+
+def test_rolling_keeps_digits_and_constant_windows(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate((np.full(30, 0.1), 1e9 + rng.random(40), np.full(20, 1e9 + 0.1), rng.random(30) * 1e-6, [np.nan], rng.random(20)))
+    pdf = pd.DataFrame({"k": "a", "i": np.arange(len(v)) - 11, "v": v, "w": rng.random(len(v))})
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    for n, rows in ((7, 8), (7, 500), (12, 16), (2, 4), (1, 4)):
+        got = collected(windows.rolling(df, key=["k"], index="i", col="v", n=n, rows=rows), "i")
+        for j in range(len(v)):
+            part = v[j - n + 1:j + 1] if j >= n - 1 else np.array([np.nan])
+            if np.isnan(part).any():
+                assert np.isnan(got.v_mean[j]) and np.isnan(got.v_std[j])
+            elif part.min() == part.max():
+                assert got.v_mean[j] == part[0] and (got.v_std[j] == 0 if n > 1 else np.isnan(got.v_std[j]))
+            else:
+                centre = part - part.min()
+                assert abs(got.v_mean[j] - part.min() - centre.mean()) <= 4e-16 * abs(part).max()
+                assert got.v_std[j] == pytest.approx(centre.std(ddof=1), rel=1e-6)
+    r = collected(windows.rolling_corr(df, key=["k"], index="i", a="v", b="w", n=9, rows=16), "i")["corr"]
+    assert np.isnan(r[29]) and np.isnan(r[85]) and r[60] == pytest.approx(np.corrcoef(v[52:61] - 1e9, pdf.w[52:61])[0, 1], rel=1e-6)
+
+
+def test_lags_longer_than_a_block_and_of_short_series(spark):
+    rng = np.random.default_rng(7)
+    parts = [pd.DataFrame({"k": k, "i": np.arange(n), "v": rng.random(n)}) for k, n in (("a", 90), ("b", 5))]
+    got = stats.autocorrelation(spark.createDataFrame(pd.concat(parts)), key=["k"], index="i", value="v", lags=40, rows=8).toPandas().set_index(["k", "lag"]).acf
+    for p in parts:
+        d = p.v.to_numpy() - p.v.mean()
+        for k in range(1, 41):
+            assert got[p.k[0], k] == pytest.approx((d[k:] * d[:-k]).sum() / (d * d).sum() if k < len(d) else 0, abs=1e-12)
+
+
 def test_autocorrelation_and_decomposition(spark):
     rng = np.random.default_rng(2)
     v = np.sin(np.arange(120) * 2 * np.pi / 7) + rng.normal(0, 0.1, 120)
