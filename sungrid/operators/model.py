@@ -9,8 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import clip, zero_without_radiation
@@ -81,22 +80,6 @@ def predict_linear(df: DataFrame, fitted: DataFrame, *, key: Sequence[str], feat
     return match(df, lines, key, "left").withColumn(name, value).drop("_w")
 
 
-def fit_on_windows(windows: DataFrame, flat: Column, *, kind: str = "linear", seed: int = 42):
-    """Regressor on flattened sequences (rows of ``windows.sequences`` with ``y``)."""
-    vectors = windows.withColumn("_x", array_to_vector(flat))
-    if kind == "linear":
-        model = LinearRegression(featuresCol="_x", labelCol="y", predictionCol="y_pred", solver="normal", regParam=1e-6, elasticNetParam=0.0)
-    elif kind == "trees":
-        model = GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="y_pred", maxIter=10, maxDepth=4, seed=seed)
-    else:
-        raise ValueError(f"unknown regressor {kind!r}")
-    return model.fit(vectors)
-
-
-def predict_on_windows(model, windows: DataFrame, flat: Column) -> DataFrame:
-    return model.transform(windows.withColumn("_x", array_to_vector(flat))).drop("_x")
-
-
 def ensemble_mean(preds: DataFrame, *, key: Sequence[str], pred: str = "y_pred") -> DataFrame:
     """Mean prediction of all models per row, and how many gave one."""
     return preds.groupBy(*key).agg(F.avg(pred).alias(pred), F.count(pred).alias("n_models"))

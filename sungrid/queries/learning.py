@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.clean import clip, cloud_to_index, first_present, magnitude, night_below, zero_without_radiation
 from ..functions.timecols import cyclical, hour_of_day
-from ..operators import joins, metrics, model, scaling, splits, windows
+from ..operators import boosting, joins, metrics, model, scaling, splits, windows
 from ..operators.blocks import row_index
+from ..operators.keys import match
 from ..operators.grid import clip_to_range, common_range, resample
 from ..operators.stats import linear_fit
 from ..plans import forecast, station
@@ -164,27 +165,70 @@ def zero_radiation_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(scored(spark, sf_dir).select("series_id", "ts", "y_pred", post.alias("y_post")))
 
 
-def _windows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    seq = windows.sequences(sequence_input(spark, sf_dir), key=KEY, index="i", ts="ts", features=["ghi", "temp"], target="power", n=n, next_step=True, rows=256)
-    return splits.chrono_split(seq, key=KEY, ts="target_ts", block_s=WEEK)
+def _windows(spark: SparkSession, sf_dir: str, n: int, features: list[str]) -> DataFrame:
+    """Windows of ``n`` hours, flat, with the power of the hour after, split by time."""
+    seq = windows.sequences(sequence_input(spark, sf_dir), key=KEY, index="i", ts="ts", features=features, target="power", n=n, next_step=True, rows=256)
+    seq = splits.chrono_split(seq, key=KEY, ts="target_ts", block_s=WEEK)
+    return cut_lineage(seq.withColumn("x", windows.flatten("x", features)))  # a fit reads its rows many times
 
 
-def _regressor(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = cut_lineage(_windows(spark, sf_dir, 6))  # a fit reads its rows many times
-    flat = windows.flatten("x", ["ghi", "temp"])
-    fitted = model.fit_on_windows(rows.where("split = 'train'"), flat, kind=kind)
-    out = model.predict_on_windows(fitted, rows.where("split = 'test'"), flat)
-    return out.select("series_id", "target_ts", "y", F.greatest("y_pred", F.lit(0.0)).alias("y_pred"))
+def _windows_sql(n: int, features: list[str]) -> str:
+    cells = ", ".join(f"lag({c}, {n - 1 - i}) OVER o" for i in range(n) for c in features)
+    return f"""{PAIR_SQL}, z AS (SELECT series_id, ts, coalesce(ghi, 0) AS ghi, coalesce(temp, 0) AS temp, coalesce(power, 0) AS power FROM pair),
+  sq AS (SELECT series_id, lead(ts) OVER o AS target_ts, lead(power) OVER o AS y, [{cells}] AS x, row_number() OVER o AS place FROM z WINDOW o AS (PARTITION BY series_id ORDER BY ts)),
+  sn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY target_ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM sq WHERE place >= {n} AND target_ts IS NOT NULL),
+  sw AS MATERIALIZED (SELECT *, {SPLIT} AS split FROM sn)"""
 
 
-@query("sequence_regressor")
+# Two hours before: the normal equations in closed form.
+@query("sequence_regressor", f"""WITH {_windows_sql(2, ['ghi'])},
+  f AS (SELECT *, x[1] AS a, x[2] AS b FROM sw),
+  c AS (SELECT series_id, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM f WHERE split = 'train' GROUP BY 1),
+  w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c)
+  SELECT series_id, target_ts, {R('y')} AS y, {R('greatest(my + wa * (a - ma) + wb * (b - mb), 0)', 4)} AS y_pred FROM f JOIN w USING (series_id) WHERE split = 'test'""")
 def sequence_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regressor(spark, sf_dir, "linear")
-
-
-@query("sequence_regressor_trees")
+    rows = _windows(spark, sf_dir, 2, ["ghi"]).withColumns({"a": F.get("x", F.lit(0)), "b": F.get("x", F.lit(1))})
+    fitted = model.fit_linear_by_series(rows.where("split = 'train'"), key=KEY, features=["a", "b"], y="y")
+    out = model.predict_linear(rows.where("split = 'test'"), fitted, key=KEY, features=["a", "b"], name="y_pred")
+    return tidy(out.select("series_id", "target_ts", "y", F.greatest("y_pred", F.lit(0.0)).alias("y_pred")), 6, y_pred=4)
+
+
+_STEPS, _ROUNDS, _DEPTH, _BINS, _RATE, _LEAST = 6, 4, 2, 16, 0.3, 5
+
+
+def _trees_sql() -> str:
+    """Every level of every tree as tables of its own."""
+    width = 2 * _STEPS
+    out = [f"""{_windows_sql(_STEPS, ['ghi', 'temp'])},
+  lim AS MATERIALIZED (SELECT series_id, j, min(x[j]) AS lo, max(x[j]) AS hi FROM sw CROSS JOIN (SELECT unnest(range(1, {width + 1})) AS j) WHERE split = 'train' GROUP BY 1, 2),
+  cd AS MATERIALIZED (SELECT series_id, target_ts, split, j, coalesce(greatest(least(floor((x[j] - lo) / nullif(hi - lo, 0) * {_BINS}), {_BINS - 1}), 0), 0) AS code FROM sw JOIN lim USING (series_id)),
+  p0 AS MATERIALIZED (SELECT series_id, target_ts, split, y, base AS f, 0 AS node FROM sw JOIN (SELECT series_id, round(avg(y), 6) AS base FROM sw WHERE split = 'train' GROUP BY 1) USING (series_id))"""]
+    now = "p0"
+    score = lambda g, n: f"({g}) * ({g}) / ({n} + 1.0::DOUBLE)"
+    for t in range(_ROUNDS):
+        grown = now
+        for d in range(_DEPTH):
+            h, c, b, n = (f"{x}{t}_{d}" for x in "hcbn")
+            out.append(f"""{h} AS (SELECT series_id, node, j, code, sum(round((y - f) * 1000000)::BIGINT) AS g, count(*) AS n FROM {grown} JOIN cd USING (series_id, target_ts, split) WHERE split = 'train' GROUP BY ALL),
+  {c} AS (SELECT *, (sum(g) OVER l)::DOUBLE / 1000000 AS gl, sum(n) OVER l AS nl, (sum(g) OVER a)::DOUBLE / 1000000 AS ga, sum(n) OVER a AS na FROM {h}
+    WINDOW l AS (PARTITION BY series_id, node, j ORDER BY code), a AS (PARTITION BY series_id, node, j)),
+  {b} AS MATERIALIZED (SELECT series_id, node, j, code AS bin FROM (SELECT *, {score('gl', 'nl')} + {score('ga - gl', '(na - nl)')} - {score('ga', 'na')} AS gain FROM {c})
+    WHERE nl >= {_LEAST} AND na - nl >= {_LEAST} AND gain > 0 QUALIFY row_number() OVER (PARTITION BY series_id, node ORDER BY gain DESC, j, code) = 1),
+  {n} AS MATERIALIZED (SELECT p.series_id, p.target_ts, p.split, p.y, p.f, p.node * 2 + coalesce(cd.code > b.bin, false)::INTEGER AS node FROM {grown} p LEFT JOIN {b} b ON b.series_id = p.series_id AND b.node = p.node
+    LEFT JOIN cd ON cd.series_id = p.series_id AND cd.target_ts = p.target_ts AND cd.j = b.j)""")
+            grown = n
+        out.append(f"""v{t} AS (SELECT series_id, node, {_RATE}::DOUBLE * (sum(round((y - f) * 1000000)::BIGINT)::DOUBLE / 1000000) / (count(*) + 1.0::DOUBLE) AS leaf FROM {grown} WHERE split = 'train' GROUP BY 1, 2),
+  p{t + 1} AS MATERIALIZED (SELECT series_id, target_ts, split, y, f + coalesce(leaf, 0) AS f, 0 AS node FROM {grown} LEFT JOIN v{t} USING (series_id, node))""")
+        now = f"p{t + 1}"
+    return "WITH " + ",\n  ".join(out) + f"\n  SELECT series_id, target_ts, {R('y')} AS y, {R('greatest(f, 0)', 4)} AS y_pred FROM {now} WHERE split = 'test'"
+
+
+@query("sequence_regressor_trees", _trees_sql())
 def sequence_regressor_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regressor(spark, sf_dir, "trees")
+    rows = _windows(spark, sf_dir, _STEPS, ["ghi", "temp"])
+    models = boosting.fit(rows.where("split = 'train'"), key=KEY, x="x", y="y", width=2 * _STEPS, rounds=_ROUNDS, depth=_DEPTH, bins=_BINS, rate=_RATE, least=_LEAST)
+    out = boosting.predict(rows.where("split = 'test'"), models, key=KEY, x="x", name="y_pred", depth=_DEPTH, bins=_BINS)
+    return tidy(out.select("series_id", "target_ts", "y", F.greatest("y_pred", F.lit(0.0)).alias("y_pred")), 6, y_pred=4)
 
 
 PENALTIES = [0.0, 10.0, 100.0, 1000.0, 10_000.0]
@@ -250,9 +294,9 @@ _H = 12
   wn AS (SELECT series_id, t0, h, night, count(*) OVER w AS c, avg(ghi + 0.5 * temp) OVER w + 10 * cos(2 * pi() * hour(ts) / 24) - 5 AS score FROM fl WINDOW w AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN {_H - 1} PRECEDING AND CURRENT ROW))
   SELECT series_id, t0 + greatest(h, 1) * INTERVAL 1 HOUR AS ts, CASE WHEN h = 0 THEN 1 ELSE h END AS hour_ahead, {R('CASE WHEN night = 1 THEN 0 ELSE greatest(score, 0) END')} AS power_w FROM wn WHERE h >= 0 AND c = {_H}""")
 def forecast_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).select("series_id", "ts", "ghi", "temp")
-    ends = rows.groupBy("series_id").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("_t0"))
-    placed = rows.join(ends, "series_id")
+    rows = cut_lineage(pairs(spark, sf_dir).select("series_id", "ts", "ghi", "temp"))  # hours, read by history, ahead and ends
+    ends = cut_lineage(rows.groupBy("series_id").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("_t0")))
+    placed = match(rows, ends, KEY)
     history = placed.where(F.col("ts") <= F.col("_t0")).drop("_t0").fillna(0.0)
     ahead = placed.where(F.col("ts") > F.col("_t0")).drop("_t0").dropna()
     dark = lambda df: df.withColumn("is_night", night_below(F.col("ghi"), 10))
