@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -43,6 +45,71 @@ def fit_linear(train: DataFrame, *, features: Sequence[str], y: str) -> Pipeline
     ]).fit(train)
 
 
+def fit_linear_qr(train: DataFrame, *, key: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
+    """Least squares per series as ``fit_linear_by_series``, without normal equations.
+
+    A task turns its rows of a series into one triangular factor, batch by batch;
+    factors of tasks are stacked and made triangular again. Sums of products
+    would square the condition number: with a pressure in Pa beside flags they
+    lose the digits that the factors keep. Rows with a missing value are left
+    out. A feature that does not vary, or that others determine, takes the
+    smallest weights.
+    """
+    key, width = list(key), len(features) + 2
+    known = train.dropna(subset=[*features, y]).select(F.struct(*key).alias("_key"), F.array(*[F.col(c).cast("double") for c in [*features, y]]).alias("_row"))
+    kind = known.schema["_key"].dataType.simpleString()
+
+    def triangle(stacked: np.ndarray) -> np.ndarray:
+        out = np.zeros((width, width))
+        r = np.linalg.qr(stacked, mode="r")
+        out[:len(r)] = r
+        return out
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([
+                pa.array([dict(k) for k in held], kind), pa.array([n for _, n in held.values()], pa.int64()),
+                pa.array([r.ravel() for r, _ in held.values()], pa.list_(pa.float64()))], names=["_key", "n", "_r"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width - 1)
+            rows = np.hstack((np.ones((len(rows), 1)), rows))
+            codes = batch.column(0).to_pylist()
+            at: dict = {}
+            for i, k in enumerate(codes):
+                at.setdefault(tuple(k.items()), []).append(i)
+            for k, mine in at.items():
+                r, n = held.get(k, (np.zeros((0, width)), 0))
+                held[k] = triangle(np.vstack((r, rows[mine]))), n + len(mine)
+            if len(held) > 10_000:
+                yield flush(kind)
+        if held:
+            yield flush(kind)
+
+    def merge(t: pa.Table) -> pa.Table:
+        stacked = np.vstack([np.asarray(r, float).reshape(width, width) for r in t.column("_r").to_pylist()])
+        return pa.table({"_key": t.column("_key").combine_chunks()[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()),
+                         "_r": pa.array([triangle(stacked).ravel()], pa.list_(pa.float64()))})
+
+    def solve(t: pa.Table) -> pa.Table:
+        r = np.asarray(merge(t).column("_r").to_pylist()[0]).reshape(width, width)
+        # Columns of one size let small singular values be told from rounding.
+        size = np.sqrt((r[:, :-1] ** 2).sum(axis=0))
+        size[size == 0] = 1
+        w = np.linalg.lstsq(r[:, :-1] / size, r[:, -1], rcond=1e-13)[0] / size
+        return pa.table({"_key": t.column("_key").combine_chunks()[:1], "weights": pa.array([w], pa.list_(pa.float64())), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+    made = f"_key {kind}, n bigint, _r array<double>"
+    partial = known.mapInArrow(factors, made).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    merged = partial.groupBy("_key", "_salt").applyInArrow(merge, made)  # a tree: by groups of tasks, then all
+    return merged.groupBy("_key").applyInArrow(solve, f"_key {kind}, weights array<double>, n bigint").select("_key.*", "weights", "n")
+
+
 def fit_linear_by_series(train: DataFrame, *, key: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
     """Least squares on several features for each series: key, ``weights`` (the
     intercept, then a weight per feature), ``n``.
@@ -114,12 +181,12 @@ def _ridge_losses(names: Sequence[str], terms: Sequence[tuple[str, str]]):
     return loss
 
 
-def ridge_search(df: DataFrame, *, key: Sequence[str], ts: str, features: Sequence[str], y: str,
-                 penalties: Sequence[float], k: int = 5, block_s: int = DAY) -> DataFrame:
-    """Mean validation loss of each penalty over expanding-window folds.
+def _fold_sums(df: DataFrame, key: Sequence[str], ts: str, features: Sequence[str], y: str, k: int, block_s: int) -> tuple[DataFrame, Column]:
+    """Per series and fold (``_piece``, from 1) the sums of products of its training
+    rows and of its validation rows, and the loss of a ``penalty`` from them.
 
     The folds cut a series into k+1 pieces. Sums of products per piece are all
-    that any fold or penalty needs, so one pass over the data serves the whole
+    that any fold or penalty needs, so one pass over the data serves a whole
     search: fold i trains on the sums of the pieces before it. Columns are first
     centred per series, so that sums of large numbers do not cancel.
     """
@@ -139,11 +206,50 @@ def ridge_search(df: DataFrame, *, key: Sequence[str], ts: str, features: Sequen
         F.array(*[F.col(f"_m{i}") for i in range(len(terms))]).alias("_val"),
         F.array(*[F.sum(f"_m{i}").over(past) for i in range(len(terms))]).alias("_train"),
     ).where("_piece > 0")
-    tried = folds.withColumn("penalty", F.explode(F.array(*[F.lit(float(x)) for x in penalties])))
-    losses = tried.withColumn("_loss", _ridge_losses(names, terms)("_train", "_val", "penalty"))
+    return folds, _ridge_losses(names, terms)("_train", "_val", "penalty")
+
+
+def _penalties(penalties: Sequence[float]) -> Column:
+    return F.explode(F.array(*[F.lit(float(x)) for x in penalties]))
+
+
+def ridge_search(df: DataFrame, *, key: Sequence[str], ts: str, features: Sequence[str], y: str,
+                 penalties: Sequence[float], k: int = 5, block_s: int = DAY) -> DataFrame:
+    """Mean validation loss of each penalty over expanding-window folds."""
+    folds, loss = _fold_sums(df, key, ts, features, y, k, block_s)
+    losses = folds.withColumn("penalty", _penalties(penalties)).withColumn("_loss", loss)
     return losses.groupBy(*key, "penalty").agg(F.avg("_loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def ridge_halving(df: DataFrame, *, key: Sequence[str], ts: str, features: Sequence[str], y: str, penalties: Sequence[float],
+                  k: int = 5, keep: float = 0.5, block_s: int = DAY) -> DataFrame:
+    """Successive halving: each penalty with the rung it reached, its mean loss
+    over the folds seen until then, and their number.
+
+    Rung r judges the penalties that are left by the first 2^r of ``k`` folds;
+    the better share ``keep`` (rounded up) of each series goes on, and the last
+    rung has all folds. Of equal losses the smaller penalty is better. Losses add
+    up over folds, and a fold is a matrix of sums: the data is read once, and a
+    rung computes the losses of its new folds for the survivors alone.
+    """
+    folds, loss = _fold_sums(df, key, ts, features, y, k, block_s)
+    folds = cut_lineage(folds)
+    alive = folds.select(*key).distinct().withColumn("penalty", _penalties(penalties)).withColumn("_sum", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
+    out, seen, rung, left = None, 0, 0, len(penalties)
+    while True:
+        upto, left = min(k, 1 << rung), math.ceil(left * keep)
+        new = match(alive, folds.where((F.col("_piece") > seen) & (F.col("_piece") <= upto)), key).withColumn("_loss", loss)
+        alive = new.groupBy(*key, "penalty").agg((F.first("_sum") + F.sum("_loss")).alias("_sum"), (F.first("_n") + F.count(F.lit(1))).alias("_n"))
+        place = F.row_number().over(W.partitionBy(*key).orderBy(F.col("_sum") / F.col("_n"), "penalty"))  # one row a penalty
+        judged = cut_lineage(alive.withColumn("_place", place).withColumn("rung", F.lit(rung).cast("long")))
+        stays = (F.col("_place") <= left) & F.lit(upto < k)
+        ended = judged.where(~stays).select(*key, "penalty", "rung", (F.col("_sum") / F.col("_n")).alias("mean_loss"), F.col("_n").alias("n_folds"))
+        out = ended if out is None else out.unionByName(ended)
+        if upto == k:
+            return out
+        alive, seen, rung = judged.where(stays).drop("_place", "rung"), upto, rung + 1
+
+
 def best_config(scores: DataFrame, *, key: Sequence[str], loss: str, config: Sequence[str]) -> DataFrame:
     """The configuration with the smallest loss per series; the first on a tie."""
     row = F.struct(F.col(loss), *config)

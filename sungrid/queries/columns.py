@@ -217,6 +217,31 @@ def solar_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_sun(spark, sf_dir).select(*ROW, "ts", "zenith_deg", "azimuth_deg", "apparent_elev_deg"), 4)
 
 
+def _precise_sql() -> str:
+    """The same terms, written out."""
+    total = lambda terms: "((" + " + ".join(f"{a}::DOUBLE * cos({b} + {c} * t)" for a, b, c in terms) + ") * 1e-8)"
+    l0, l1, l2 = (total(x) for x in solar.LONGITUDE_TERMS)
+    angles = [f"radians({a} + ({b}) * t * 10)" for a, b in solar.NUTATION_ARGUMENTS]
+    phase = lambda ns: " + ".join(f"{n} * {x}" for n, x in zip(ns, angles) if n)
+    psi = " + ".join(f"({a}) * sin({phase(ns)})" for ns, a, _ in solar.NUTATION_TERMS)
+    eps = " + ".join(f"({b}) * cos({phase(ns)})" for ns, _, b in solar.NUTATION_TERMS)
+    return f"""WITH {SITES_SQL},
+  d AS (SELECT l_orderkey, l_linenumber, ts, lat, lon, epoch_us(ts) / 86400e6 - 10957.5 AS d, (epoch_us(ts) / 86400e6 - 10957.5 + {solar.DELTA_T} / 86400) / 365250 AS t FROM sites),
+  e AS (SELECT *, ({l2} * t + {l1}) * t + {l0} AS l, {total(solar.DISTANCE_TERMS)} AS r, ({psi}) / 3600 AS psi, ({eps}) / 3600 + 23.4392911 - 0.0130042 * t * 10 AS eps FROM d),
+  f AS (SELECT *, degrees(l) + 180 + psi - 20.4898 / 3600 / r AS raw FROM e), g AS (SELECT *, raw - 360 * floor(raw / 360) AS lam FROM f),
+  h AS (SELECT *, asin(sin(radians(eps)) * sin(radians(lam))) AS dec, radians(280.46061837 + 360.98564736629 * d + 0.000387933 * t * t * 100 + psi * cos(radians(eps)) + lon
+      - degrees(atan2(sin(radians(lam)) * cos(radians(eps)), cos(radians(lam))))) AS h FROM g),
+  z AS (SELECT *, degrees(acos(greatest(least(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(h), 1), -1))) AS z,
+      180 + degrees(atan2(sin(h), cos(h) * sin(radians(lat)) - tan(dec) * cos(radians(lat)))) AS a FROM h)
+  SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ts, {R('lam', 4)} AS sun_longitude_deg, {R('degrees(dec)', 4)} AS declination_deg, {R('z + 8.794 / 3600 / r * sin(radians(z))', 4)} AS zenith_deg, {R('a - 360 * floor(a / 360)', 4)} AS azimuth_deg FROM z"""
+
+
+@query("solar_position_precise", _precise_sql())
+def solar_position_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = solar.with_precise_sun(sites(spark, sf_dir).select(*ROW, "ts", "lat", "lon"))
+    return tidy(out.drop("lat", "lon"), 4)
+
+
 @query("angle_of_incidence", f"WITH {SUN_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {R(_AOI, 4)} AS aoi_deg FROM sun")
 def angle_of_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_plane(spark, sf_dir).select(*ROW, "aoi_deg"), 4)

@@ -149,9 +149,20 @@ def linreg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(fitted.transform(rows.where("split = 'test'")).select("series_id", "ts", "power", "y_pred"), 6, y_pred=4)
 
 
-@query("linreg_multi_series", f"""WITH {SPLIT_SQL}, c AS (SELECT series_id, avg(ghi) AS ma, avg(temp) AS mb, avg(power) AS my, var_pop(ghi) AS aa, var_pop(temp) AS bb, covar_pop(ghi, temp) AS ab, covar_pop(ghi, power) AS ay, covar_pop(temp, power) AS byy FROM sp WHERE split = 'train' GROUP BY 1),
+_SERIES_SQL = f"""WITH {SPLIT_SQL}, c AS (SELECT series_id, avg(ghi) AS ma, avg(temp) AS mb, avg(power) AS my, var_pop(ghi) AS aa, var_pop(temp) AS bb, covar_pop(ghi, temp) AS ab, covar_pop(ghi, power) AS ay, covar_pop(temp, power) AS byy FROM sp WHERE split = 'train' GROUP BY 1),
   w AS (SELECT *, (ay * bb - byy * ab) / nullif(aa * bb - ab * ab, 0) AS wa, (byy * aa - ay * ab) / nullif(aa * bb - ab * ab, 0) AS wb FROM c)
-  SELECT series_id, ts, {R('power')} AS power, {R('my + wa * (ghi - ma) + wb * (temp - mb)', 4)} AS y_pred FROM sp LEFT JOIN w USING (series_id) WHERE split = 'test'""")
+  SELECT series_id, ts, {R('power')} AS power, {R('my + wa * (ghi - ma) + wb * (temp - mb)', 4)} AS y_pred FROM sp LEFT JOIN w USING (series_id) WHERE split = 'test'"""
+
+
+@query("linreg_qr", _SERIES_SQL)
+def linreg_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _split(spark, sf_dir)
+    fitted = model.fit_linear_qr(rows.where("split = 'train'"), key=KEY, features=["ghi", "temp"], y="power")
+    out = model.predict_linear(rows.where("split = 'test'"), fitted, key=KEY, features=["ghi", "temp"], name="y_pred")
+    return tidy(out.select("series_id", "ts", "power", "y_pred"), 6, y_pred=4)
+
+
+@query("linreg_multi_series", _SERIES_SQL)
 def linreg_multi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _split(spark, sf_dir)
     fitted = model.fit_linear_by_series(rows.where("split = 'train'"), key=KEY, features=["ghi", "temp"], y="power")
@@ -253,6 +264,30 @@ def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(model.best_config(_search(spark, sf_dir, ["ghi"]), key=KEY, loss="mean_loss", config=["penalty"]), 6, mean_loss=4)
 
 
+_MANY = [0.0, 1.0, 10.0, 100.0, 300.0, 1000.0, 3000.0, 10_000.0, 100_000.0]
+
+
+def _halving_sql() -> str:
+    """Nine penalties: 5, 3 and 2 of them go on after 1, 2 and 4 of 5 folds."""
+    out = [f"""{_RIDGE_SQL.split('m AS (')[0]}m AS (SELECT series_id, fold, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, covar_pop(x, y) AS sxy FROM fo WHERE tr GROUP BY 1, 2),
+  b AS (SELECT series_id, fold, penalty, sxy / (sxx + penalty) AS slope, my - sxy / (sxx + penalty) * mx AS intercept FROM m CROSS JOIN (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in _MANY)}]) AS penalty)),
+  l AS (SELECT series_id, fold, penalty, avg(pow(y - intercept - slope * x, 2)) AS loss FROM fo JOIN b USING (series_id, fold) WHERE NOT tr GROUP BY 1, 2, 3)"""]
+    alive, left, ends = "(SELECT DISTINCT series_id, penalty FROM l)", len(_MANY), []
+    for rung in range(4):
+        folds, left = min(5, 1 << rung), -(-left // 2)
+        keep = left if folds < 5 else 0
+        out.append(f"r{rung} AS (SELECT series_id, penalty, avg(loss) AS loss, count(*) AS n, row_number() OVER (PARTITION BY series_id ORDER BY avg(loss), penalty) AS place FROM l JOIN {alive} USING (series_id, penalty) WHERE fold < {folds} GROUP BY 1, 2)")
+        ends.append(f"SELECT series_id, {R('penalty')} AS penalty, {rung}::BIGINT AS rung, {R('loss', 4)} AS mean_loss, n AS n_folds FROM r{rung} WHERE place > {keep}")
+        alive = f"(SELECT series_id, penalty FROM r{rung} WHERE place <= {keep})"
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(ends)
+
+
+@query("cv_halving", _halving_sql())
+def cv_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = model.ridge_halving(_complete(spark, sf_dir), key=KEY, ts="ts", features=["ghi"], y="power", penalties=_MANY, k=5, block_s=WEEK)
+    return tidy(out, 6, mean_loss=4)
+
+
 # Two features: the normal equations of each fold and penalty in closed form.
 _RIDGE2_SQL = f"""{GHI_POWER_SQL}, fo AS (SELECT series_id, fold, rn < n - (5 - fold) * (n // 6) AS tr, ghi AS a, temp AS b, power AS y FROM gp CROSS JOIN generate_series(0, 4) g(fold) WHERE rn < n - (5 - fold) * (n // 6) + n // 6),
   m AS (SELECT series_id, fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM fo WHERE tr GROUP BY 1, 2),

@@ -13,7 +13,7 @@ from sungrid.queries import REGISTRY
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Too few hours of the smallest tables have all columns.
 NEED_LARGER = {"corr_pearson", "corr_kendall", "corr_spearman", "mutual_information", "top_correlations", "cv_search_multi", "mutual_information_knn",
-               "cv_losses", "cv_search", "ensemble_mean", "optimal_lag", "daily_lags", "linreg_multi", "linreg_multi_series"}
+               "cv_losses", "cv_search", "ensemble_mean", "optimal_lag", "daily_lags", "linreg_multi", "linreg_multi_series", "linreg_qr", "cv_halving"}
 
 
 @pytest.fixture(scope="module")
