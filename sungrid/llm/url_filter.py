@@ -11,7 +11,8 @@ from .components import components
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+# One of the words of ``rel``, which may have quotes.
+_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical\b)[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _GOES = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -44,12 +45,24 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
+_DOTS = r"(^|/)\.\.?(/|$)"
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the segments ``.`` and ``..``, which lead a step back; an empty path is ``/``."""
+    parts = F.split(path, "/", -1)
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), lambda at, s: F.when(s == ".", at).when(s == "..", F.regexp_replace(at, "/[^/]*$", "")).otherwise(F.concat(at, F.lit("/"), s)))
+    short = F.concat(walked, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.rlike(_DOTS), short).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A url without its fragment, scheme and host lower-cased: what a request names."""
+    """What a request for a url names: without fragment, scheme and host in lower
+    case, the path without dot segments and never empty (RFC 3986, 6.2)."""
     bare = F.regexp_extract(url, r"^[^#]*", 0)
     scheme = F.regexp_extract(bare, r"^([^/?]*?)://", 1)
-    tail = F.substring(_rest(bare), F.length(host_of(bare)) + 1, F.lit(2**31 - 1))
-    return F.when(F.position(F.lit("://"), bare) > 0, F.concat(ascii_lower(scheme), F.lit("://"), host_of(bare), tail)).otherwise(bare)
+    query = F.regexp_extract(bare, r"(\?.*)$", 1)
+    return F.when(F.position(F.lit("://"), bare) > 0, F.concat(ascii_lower(scheme), F.lit("://"), host_of(bare), plain_path(path_of(bare)), query)).otherwise(bare)
 
 
 def resolve(href: Column, url: Column) -> Column:
@@ -84,8 +97,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, *, redire
     Where a rule allows one of them, it is allowed; else where a rule blocks one,
     it is blocked; else it is allowed.
 
+    Urls that name the same request are one: their fragment, the case of scheme
+    and host, dot segments and an empty path make no difference here; host, path
+    and rule are those of the url as written.
+
     Null urls and such without ``://`` have no host, path or rule. Repeated rows
-    are judged each. No rows give none; other columns are not read.
+    are judged each. No rows give none; other columns are not read. Html of any
+    length is searched where it is read, by patterns that do not back up far.
     """
     edges = page_edges(pages, url=url, html=html)
     if redirects is not None:
@@ -115,8 +133,11 @@ def _sql() -> str:
     host = lambda u: f"coalesce(translate(regexp_extract({rest(u)}, '^[^/?#]*', 0), '{upper}', '{upper.lower()}'), '')"
     path = lambda u: f"coalesce(regexp_extract({rest(u)}, '^[^/?#]*([^?#]*)', 1), '')"
     bare = lambda u: f"regexp_extract({u}, '^[^#]*', 0)"
+    walk = "CASE WHEN s = '.' THEN walked WHEN s = '..' THEN regexp_replace(walked, '/[^/]*$', '') ELSE walked || '/' || s END"
+    plain = lambda p: (f"CASE WHEN {p} = '' THEN '/' WHEN regexp_matches({p}, '{_DOTS}') THEN list_reduce(list_concat([''], split({p}, '/')[2:]), lambda walked, s: {walk}) "
+                       f"|| CASE WHEN split({p}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE {p} END")
     node = lambda u: (f"CASE WHEN strpos({bare(u)}, '://') > 0 THEN translate(regexp_extract({bare(u)}, '^([^/?]*?)://', 1), '{upper}', '{upper.lower()}') || '://' || {host(bare(u))} "
-                      f"|| substr({rest(bare(u))}, length({host(bare(u))}) + 1) ELSE {bare(u)} END")
+                      f"|| {plain(path(bare(u)))} || regexp_extract({bare(u)}, '(\\?.*)$', 1) ELSE {bare(u)} END")
     rule = lambda h, p, i: "CASE " + " ".join(f"WHEN ({h} = '{r[1]}' OR {h} LIKE '%.{r[1]}') AND starts_with({p}, '{r[2]}') THEN '{r[1] + r[2] if i else r[0]}'"
                                                for r in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
     href, site = "trim(replace(h, '&amp;', '&'))", "regexp_extract(u, '^[^/?#]*?://[^/?#]*', 0)"

@@ -294,6 +294,24 @@ def test_url_sql_follows_links(spark, tmp_path):
     assert [r[4] for r in want[:4]] == ["block", "block", "allow", "allow"]
 
 
+def test_equal_urls_meet(spark):
+    import duckdb
+
+    link = lambda rel, h: f'<link {rel} href="{h}">'
+    one = 'rel="canonical"'
+    rows = [(1, "http://a.io/x/y", link(one, "../net")), (2, "http://a.io/net", link(one, "http://bad.net/")),  # plainly written
+            (3, "http://c.io", link(one, "http://b.org/fr/x")), (4, "http://d.io/", link(one, "HTTP://C.io/")),
+            (5, "http://e.io/p", link('rel="alternate canonical"', "http://bad.net/")), (6, "http://f.io/p", link("rel='Canonical next'", "http://bad.net/z/./../")),
+            (7, "http://g.io/p", link('rel="non-canonical"', "http://bad.net/")), (8, "http://h.io/a/b/", link("rel=canonical", "../../../..")), (9, "http://h.io", link(one, "http://bad.net")),
+            (10, "http://i.io/a/./b/../c?x=/../", link(one, "/a/c?x=/../")), (11, "http://i.io/a/c?x=/../#f", link(one, "http://bad.net/q"))]
+    df = frame(spark, rows, "page_id long, url string, html string", clash=False)
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "block", 10: "block", 11: "block"}
+    pages = df.toPandas()  # noqa: F841
+    want = sorted(map(tuple, duckdb.sql(url_filter.SQL).df().astype(object).where(lambda d: d.notna(), None).values.tolist()))
+    assert taken(url_filter.judge(df), "page_id", "host", "path", "rule", "verdict") == want
+
+
 # --- license scan
 
 
