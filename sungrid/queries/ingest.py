@@ -154,10 +154,11 @@ _DESCRIBED = {
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, count({c}) AS n_known FROM {t}"
     for t, cols in _DESCRIBED.items() for c, kind in cols))
 def catalog_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
     for name in _DESCRIBED:
-        df = table(spark, sf_dir, name)
-        df.createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    parts = []
+    for name in [t for t in database.list_tables(spark) if t in _DESCRIBED]:
+        df = spark.table(name)
         cols = database.describe_table(spark, name)
         counts = df.agg(*[F.count(c).alias(c) for c, _ in cols])
         cells = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(kind).alias("data_type"), F.col(c).alias("n_known")) for c, kind in cols]

@@ -66,8 +66,9 @@ def read_exports(spark: SparkSession, path: str | list[str], *, sep: str = ";")
     energy, or else the second column. A file has 5-minute steps if the first
     cell of its time column has a clock time, and days otherwise.
 
-    Headers and first cells are aggregates with one row per file; rows of any
-    header are then read in one pass, their cells picked by the file's places.
+    Headers are an aggregate with one row per file; rows of any header are then
+    read in one pass, their cells picked by the file's places, and written: what
+    is derived from them, granularities first, does not read the files again.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     place = [F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at")]
@@ -85,6 +86,7 @@ def read_exports(spark: SparkSession, path: str | list[str], *, sep: str = ";")
     raw = with_provenance(raw).select("source_path", "source_file", *place, first.alias("_first"), F.array(*cells).alias("_cells"))
     rows = match(raw, heads, "_path").where("_time is not null")  # a file without a time column has no readings
     rows = rows.select("source_path", "source_file", "_path", "_at", "_first", F.try_element_at("_cells", "_time").alias("time"), F.try_element_at("_cells", "_energy").alias("energy"))
+    rows = cut_lineage(rows)
     clock = F.min_by("time", "_at").contains(":")
     flags = rows.where("_first").groupBy("_path").agg(F.when(clock, "5min").otherwise("daily").alias("granularity"))
     return match(rows, cut_lineage(flags), "_path", "left").select("source_path", "source_file", F.coalesce("granularity", F.lit("daily")).alias("granularity"), "time", "energy")
