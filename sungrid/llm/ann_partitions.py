@@ -19,7 +19,7 @@ PART_ROWS, LEAST_SAMPLE = 640, 128
 #: Neighbours of a row in the graph.
 DEGREE = 16
 #: Rows whose true neighbours among all rows set how much probability is probed.
-JUDGES, RECALL = 256, 0.94
+JUDGES, RECALL = 256, 0.96
 #: Rows of a partition, and queries, that one task compares at a time.
 BLOCK, QUERY_BLOCK = 8192, 2048
 
