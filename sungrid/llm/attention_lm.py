@@ -178,7 +178,8 @@ def start(v: Vocabulary, counts: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     p = {k: rng.normal(0, 0.25, s).astype(np.float32) for k, s in _SHAPES.items()}
     p["far"] *= 0
-    p["bias"] = np.log(np.bincount(v.group, counts + 1e-3, CLASSES)).astype(np.float32)
+    with np.errstate(divide="ignore"):  # a class without subwords has no share
+        p["bias"] = np.log(np.bincount(v.group, counts + 1e-3, CLASSES)).astype(np.float32)
     p["bias"] -= p["bias"].max()
     return p
 
