@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,9 @@ from .common import fold, rows_of, table, tokens
 
 #: A file of ranked byte merges; the driver reads it and sends it to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Subwords with an embedding of their own; width; classes of the output.
-SLOTS, DIM, CLASSES = 1024, 16, 64
+#: Subwords with an embedding of their own; width; classes of the output, in a grid of PARTS rows.
+SLOTS, DIM, CLASSES, PARTS = 1024, 16, 64, 8
+FINE = CLASSES // PARTS
 #: Tokens that a window scores, and tokens of context before them.
 HALF = 16
 #: Every training text trains the attention weights, in one of ROUNDS of averaging.
@@ -31,26 +33,30 @@ NEAR = 32  # buckets for the neighbours of a subword
 _MOST = 300_000  # words that a task counts before it passes them on
 
 
+class _Known(dict):
+    """Words met so far, with their ids."""
+
+    def __init__(self, core: tiktoken.Encoding):
+        super().__init__()
+        self.core = core
+
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) > _MOST:
+            self.clear()
+        got = self[w] = array("H", self.core.encode_ordinary(" " + w.decode("utf-8", "replace"))).tobytes()
+        return got
+
+
 class Subwords:
     """The subword ids of words, each with a blank before it; two bytes an id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.core = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.end = max(ranks.values()) + 1
-        self.size = self.end + 1
-        self.known: dict[bytes, bytes] = {}
-
-    def word(self, w: bytes) -> bytes:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > _MOST:
-                self.known.clear()
-            got = self.known[w] = np.array(self.core._encode_single_piece(b" " + w), np.uint16).tobytes()
-        return got
+        self.known = _Known(tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}))
+        self.end = array("H", [max(ranks.values()) + 1]).tobytes()
 
-    def text(self, ws: list[bytes]) -> np.ndarray:
+    def text(self, ws: list[bytes]) -> bytes:
         """Ids of a text, the end included."""
-        return np.append(np.frombuffer(b"".join(map(self.word, ws)), np.uint16), np.uint16(self.end))
+        return b"".join(map(self.known.__getitem__, ws)) + self.end
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,29 +84,57 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("t").mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def subword_counts(counts: DataFrame, ranks) -> tuple[np.ndarray, np.ndarray]:
+def encoded(docs: DataFrame, ranks, common, whole: int) -> DataFrame:
+    """Per row of ``docs`` (doc_id, held_out, t): a number, the ids of its text, and
+    what its words known to all tasks (``common``: their counts) give; the other words
+    as w with their times k."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Subwords(ranks.value)
+        get = {w: math.log10((c + 1) / whole) for w, c in common.value.items()}.get  # below zero, as whole > c + 1
+        uid = TaskContext.get().partitionId() << 33
+        for batch in rows_of(batches, 2 << 20):
+            cols = [[] for _ in range(6)]
+            for t in batch.column(2):
+                ws = tokens(t.as_py())
+                ids = made.text(ws)
+                ws.append(b"")
+                each = list(map(get, ws))
+                known = list(filter(None, each))
+                rest = Counter(w for w, x in zip(ws, each, strict=True) if x is None) if len(known) < len(ws) else {}
+                for col, x in zip(cols, (len(ws), len(known), sum(known), ids, list(rest), list(rest.values())), strict=True):
+                    col.append(x)
+            kinds = pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(1), *map(pa.array, cols, kinds)],
+                                             names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "w", "k"])
+            uid += batch.num_rows
+
+    return docs.mapInArrow(run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, ids binary, w array<binary>, k array<bigint>")
+
+
+def subword_counts(coded: DataFrame, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Per subword id its count in all training texts, and its counts of bucketed
     neighbours to the left and right within words. Sums of one row per id and
     task; the result has a row per id of the vocabulary at most."""
+    size = max(ranks.values()) + 2
+    begins = np.ones(size, bool)  # a word begins with its blank
+    for b, i in ranks.items():
+        begins[i] = b[:1] == b" "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = Subwords(ranks.value)
-        near = np.zeros((sub.size, 1 + 2 * NEAR))
+        near = np.zeros((size, 1 + 2 * NEAR))
         for batch in rows_of(batches):
-            cs = batch.column(1).to_numpy()
-            ids = [np.frombuffer(sub.word(w), np.uint16) if w else np.array([sub.end], np.uint16) for w in batch.column(0).to_pylist()]
-            flat, n = np.concatenate(ids).astype(np.int64), np.array([len(x) for x in ids])
-            c = np.repeat(cs, n).astype(float)
-            first = np.zeros(len(flat), bool)
-            first[np.cumsum(n) - n] = True
-            np.add.at(near, (flat, 0), c)
-            inner = np.flatnonzero(~first)
-            np.add.at(near, (flat[inner], 1 + flat[inner - 1] % NEAR), c[inner])
-            np.add.at(near, (flat[inner - 1], 1 + NEAR + flat[inner] % NEAR), c[inner])
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).astype(np.int64)
+            inner = np.flatnonzero(~begins[flat])
+            left, right = flat[inner - 1], flat[inner]
+            near[:, 0] += np.bincount(flat, minlength=size)
+            near[:, 1:1 + NEAR] += np.bincount(right * NEAR + left % NEAR, minlength=size * NEAR).reshape(size, NEAR)
+            near[:, 1 + NEAR:] += np.bincount(left * NEAR + right % NEAR, minlength=size * NEAR).reshape(size, NEAR)
         yield _rows(near)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros((max(ranks.value.values()) + 2, 1 + 2 * NEAR))
+        near = np.zeros((size, 1 + 2 * NEAR))
         for batch in batches:
             np.add.at(near, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist()).reshape(-1, 1 + 2 * NEAR))
         yield _rows(near)
@@ -110,8 +144,8 @@ def subword_counts(counts: DataFrame, ranks) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(near[at]), pa.list_(pa.float64()))], names=["id", "n"])
 
     kind = "id bigint, n array<double>"
-    near = np.zeros((max(ranks.value.values()) + 2, 1 + 2 * NEAR))
-    for r in counts.mapInArrow(run, kind).repartition(16, "id").mapInArrow(add, kind).toLocalIterator():
+    near = np.zeros((size, 1 + 2 * NEAR))
+    for r in coded.where("not held_out").select("ids").mapInArrow(run, kind).repartition(16, "id").mapInArrow(add, kind).toLocalIterator():
         near[r.id] = r.n
     return near[:, 0], near[:, 1:]
 
@@ -125,7 +159,8 @@ class Vocabulary:
 
 def vocabulary(counts: np.ndarray, near: np.ndarray) -> Vocabulary:
     """Slots for the most frequent ids; classes of ids with alike neighbours, by
-    spherical k-means; add-one shares within a class."""
+    spherical k-means, laid out in a grid by the two directions of their largest
+    spread; add-one shares within a class."""
     order = np.lexsort((np.arange(len(counts)), -counts))[:SLOTS - 1]
     order = order[counts[order] > 0]
     slot = np.full(len(counts), SLOTS - 1)
@@ -143,7 +178,10 @@ def vocabulary(counts: np.ndarray, near: np.ndarray) -> Vocabulary:
                 if (mine == j).any():
                     c = (x[mine == j] * weight[mine == j, None]).sum(axis=0)
                     centres[j] = c / np.linalg.norm(c)
-        group[order] = mine
+        spread = centres - centres.mean(axis=0)
+        along = spread @ np.linalg.svd(spread, full_matrices=False)[2][:2].T
+        row = np.argsort(np.argsort(along[:, 0])) // FINE
+        group[order] = np.argsort(np.lexsort((along[:, -1], row)))[mine]
     total, size = np.bincount(group, counts, CLASSES), np.bincount(group, minlength=CLASSES)
     return Vocabulary(slot, group, np.log((counts + 1) / np.maximum(total + size, 1)[group]))
 
@@ -169,7 +207,7 @@ def windows(ids: list[np.ndarray], v: Vocabulary, end: int) -> tuple[np.ndarray,
     return np.concatenate((blocks[first], blocks[first + 1]), axis=1), targets, owner
 
 
-_SHAPES = {"emb": (SLOTS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "far": (HALF, 2 * HALF), "out": (DIM, CLASSES), "bias": (CLASSES,)}
+_SHAPES = {"emb": (SLOTS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "far": (HALF, 2 * HALF), "out": (DIM, PARTS + FINE), "bias": (PARTS + CLASSES,)}
 #: Input j may be seen from the i-th of the second half: causal.
 _CAUSAL = np.arange(2 * HALF)[None, :] <= np.arange(HALF)[:, None] + HALF
 
@@ -178,9 +216,9 @@ def start(v: Vocabulary, counts: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     p = {k: rng.normal(0, 0.25, s).astype(np.float32) for k, s in _SHAPES.items()}
     p["far"] *= 0
-    with np.errstate(divide="ignore"):  # a class without subwords has no share
-        p["bias"] = np.log(np.bincount(v.group, counts + 1e-3, CLASSES)).astype(np.float32)
-    p["bias"] -= p["bias"].max()
+    held = np.bincount(v.group, counts + 1e-3, CLASSES).reshape(PARTS, FINE) + 1e-9  # a class without subwords has next to no share
+    part = held.sum(axis=1, keepdims=True)
+    p["bias"] = np.log(np.concatenate(((part / part.sum()).ravel(), (held / part).ravel()))).astype(np.float32)
     return p
 
 
@@ -200,64 +238,95 @@ class Scorer:
         self.out, self.bias = p["out"].astype(np.float32), p["bias"].astype(np.float32)
 
     def log_classes(self, win: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Log probability of the class of each target."""
-        past, here = self.past[win], self.here[win[:, HALF:]]
+        """Log probability of the class of each target: of its part, times that of the class in the part."""
+        past, here = self.past.take(win, axis=0), self.here.take(win[:, HALF:], axis=0)
         e = np.matmul(here[..., DIM:], past[..., :DIM].transpose(0, 2, 1))
         np.exp(e, out=e)
         e *= self.seen
         o = np.matmul(e, past[..., DIM:])
-        h = here[..., :DIM] + o[..., :DIM] / (o[..., DIM:] + 1e-9)
-        z = h.reshape(-1, DIM) @ self.out
-        z += self.bias
-        np.clip(z, -60, 60, out=z)
-        picked = z[np.arange(len(z)), group.ravel()]
-        np.exp(z, out=z)
-        return (picked - np.log(z.sum(axis=1))).reshape(group.shape)
+        o[..., DIM:] += 1e-9
+        h = here[..., :DIM] + o[..., :DIM] / o[..., DIM:]
+        y, first, second = _both(h.reshape(-1, DIM), self.out, self.bias, group.ravel())
+        flat = y.ravel()
+        picked = flat[first] + flat[second]
+        np.exp(y, out=y)
+        total = (y.reshape(-1, FINE) @ _ONES).reshape(-1, 2)
+        return (picked - np.log(total[:, 0] * total[:, 1])).reshape(group.shape)
+
+
+_ONES = np.ones(FINE, np.float32)
+
+
+def _both(h: np.ndarray, out: np.ndarray, bias: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the grid's rows and, given the target's row, of its columns; and
+    where the target's two stand in the flat array. A class has the probability of
+    its row times that of its column in the row."""
+    y = h @ out
+    row = group // FINE
+    y += np.hstack((np.broadcast_to(bias[:PARTS], (PARTS, PARTS)), bias[PARTS:].reshape(PARTS, FINE))).take(row, axis=0)
+    np.clip(y, -60, 60, out=y)
+    at = np.arange(0, y.size, PARTS + FINE)
+    return y, at + row, at + PARTS + (group - row * FINE)
 
 
 def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over real targets and its gradients, by hand."""
-    pad = win == SLOTS
-    x = np.vstack((p["emb"], np.zeros_like(p["emb"][:1])))[win]
-    here = x[:, HALF:]
-    kv = np.hstack((p["k"], p["v"]))
-    both = (x.reshape(-1, DIM) @ kv).reshape(*x.shape[:2], 2 * DIM)
+    """Mean loss over real targets and its gradients, by hand. Windows are given as
+    they follow each other in their texts: what is one's second half is the next
+    one's first, and its keys and values are computed once."""
+    kind, n_win = p["emb"].dtype, len(win)
+    # One more column is 1, and 0 for padding: summed like a value, it gives the
+    # softmax's denominator, and padding weighs nothing.
+    emb = np.ones((SLOTS + 1, DIM + 1), kind)
+    emb[:-1, :DIM], emb[-1] = p["emb"], 0
+    slots = np.concatenate((win[0, :HALF], win[:, HALF:].ravel()))
+    x = emb.take(slots, axis=0)
+    here = np.ascontiguousarray(x[HALF:, :DIM])
+    kv = np.zeros((DIM + 1, 2 * DIM + 1), kind)
+    kv[:DIM, :DIM], kv[:DIM, DIM:-1], kv[DIM, -1] = p["k"], p["v"], 1
+    both = x @ kv
+    row, one = both.strides
+    both = np.ndarray((n_win, 2 * HALF, 2 * DIM + 1), kind, both, strides=(HALF * row, row, one))
     k, v = both[..., :DIM], both[..., DIM:]
-    q = (here.reshape(-1, DIM) @ (p["q"] / math.sqrt(DIM))).reshape(here.shape)
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_CAUSAL, p["far"], -1e9)
-    if pad.any():
-        s += np.where(pad, -1e9, 0).astype(s.dtype)[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
-    h = (here + a @ v).reshape(-1, DIM)
-    z = h @ p["out"]
-    z += p["bias"]
-    z -= z.max(axis=1, keepdims=True)
-    y = np.exp(z, out=z)
-    y /= y.sum(axis=1, keepdims=True)
-    n = max(1, real.sum())
-    at, is_real = (np.arange(len(y)), group.ravel()), real.ravel()
-    loss = -(np.log(y[at] + 1e-30) * is_real).sum() / n
-    dz = y
-    dz[at] -= 1
-    dz *= (is_real / n).astype(dz.dtype)[:, None]
-    g = {"out": h.T @ dz, "bias": dz.sum(axis=0)}
-    dh = (dz @ p["out"].T).reshape(here.shape)
-    dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    da -= (a * da).sum(axis=2, keepdims=True)
-    ds = np.multiply(a, da, out=da)
+    q = (here @ (p["q"] / math.sqrt(DIM))).reshape(n_win, HALF, DIM)
+    e = q @ k.transpose(0, 2, 1)
+    np.clip(e, -60, 60, out=e)
+    np.exp(e, out=e)
+    e *= np.exp(p["far"]) * _CAUSAL
+    e[win[:, 0] == SLOTS, :, :HALF] = 0  # a text begins: the half before is another's
+    o = e @ v
+    below = o[..., DIM:]
+    mixed = o[..., :DIM] / below
+    h = here + mixed.reshape(-1, DIM)
+    y, first, second = _both(h, p["out"], p["bias"], group.ravel())
+    np.exp(y, out=y)
+    halves, flat = y.reshape(-1, FINE), y.ravel()
+    halves /= (halves @ _ONES)[:, None]
+    n, is_real = max(1, real.sum()), real.ravel()
+    loss = -(np.log(flat[first] * flat[second] + 1e-30) @ is_real) / n
+    flat[first] -= 1
+    flat[second] -= 1
+    y *= (is_real / n).astype(kind)[:, None]
+    by_row = np.eye(PARTS, dtype=kind).take(group.ravel() // FINE, axis=0).T @ y
+    g = {"out": h.T @ y, "bias": np.concatenate((by_row[:, :PARTS].sum(axis=0), by_row[:, PARTS:].ravel()))}
+    dh = (y @ p["out"].T).reshape(n_win, HALF, DIM)
+    do = np.empty_like(o)
+    np.divide(dh, below, out=do[..., :DIM])
+    do[..., DIM] = -np.einsum("bid,bid->bi", do[..., :DIM], mixed)
+    ds = do @ v.transpose(0, 2, 1)
+    ds *= e
     g["far"] = ds.sum(axis=0)
-    dq, dk = (ds @ k).reshape(-1, DIM) / math.sqrt(DIM), ds.transpose(0, 2, 1) @ q
-    dboth = np.concatenate((dk, dv), axis=2).reshape(-1, 2 * DIM)
-    g["q"] = here.reshape(-1, DIM).T @ dq
-    grad = x.reshape(-1, DIM).T @ dboth
-    g["k"], g["v"] = grad[:, :DIM], grad[:, DIM:]
-    dx = (dboth @ kv.T).reshape(x.shape)
-    dx[:, HALF:] += dh + (dq @ p["q"].T).reshape(here.shape)
-    g["emb"] = np.bincount((win.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel(), (SLOTS + 1) * DIM).reshape(-1, DIM)[:SLOTS].astype(dx.dtype)
+    pairs = np.concatenate((ds.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ do[..., :DIM]), axis=2)
+    dboth = np.zeros((n_win + 1, HALF, 2 * DIM), kind)
+    dboth[:-1] = pairs[:, :HALF]
+    dboth[1:] += pairs[:, HALF:]
+    dboth = dboth.reshape(-1, 2 * DIM)
+    dq = (ds @ k).reshape(-1, DIM) / math.sqrt(DIM)
+    g["q"] = here.T @ dq
+    grad = x.T @ dboth
+    g["k"], g["v"] = grad[:DIM, :DIM], grad[:DIM, DIM:]
+    dx = dboth @ kv[:DIM, :-1].T
+    dx[HALF:] += dh.reshape(-1, DIM) + dq @ p["q"].T
+    g["emb"] = np.bincount((slots[:, None] * DIM + np.arange(DIM)).ravel(), dx.ravel(), (SLOTS + 1) * DIM).reshape(-1, DIM)[:SLOTS].astype(kind)
     return float(loss), g
 
 
@@ -275,27 +344,26 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(texts: DataFrame, ranks, shared, p: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of local steps (Adam) on the windows of each partition of ``texts``
-    (columns doc_id and t) from the same weights, then their mean weighted by
+def train(coded: DataFrame, end: int, shared, p: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Rounds of local steps (Adam) on the windows of each partition of ``coded``
+    (columns doc_id and ids) from the same weights, then their mean weighted by
     windows. Texts are dealt to the rounds by their ids, and each trains once; its
     windows are made where they are used. Partitions' weights are summed in 16
     streams; the driver sees 16 sets of weights."""
     for r in range(rounds):
-        sent = texts.sparkSession.sparkContext.broadcast(_flat(p))
+        sent = coded.sparkSession.sparkContext.broadcast(_flat(p))
         rate = RATE * (1 - r / rounds)
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
-            made, v = Subwords(ranks.value), shared.value
+            v = shared.value
             w = sent.value.copy()
             p, m, s, step, seen = _shaped(w), np.zeros_like(w), np.zeros_like(w), 0, 0
             for batch in rows_of(batches, 1 << 20):
-                win, targets, _ = windows([made.text(tokens(t.as_py())) for t in batch.column(0)], v, made.end)
+                win, targets, _ = windows([np.frombuffer(t.as_py(), np.uint16) for t in batch.column(0)], v, end)
                 real = targets >= 0
                 group = np.where(real, v.group[targets], 0)
-                order = np.random.default_rng(len(win)).permutation(len(win))
-                for at in range(0, len(win), BATCH):
-                    pick = order[at:at + BATCH]
+                for at in np.random.default_rng(len(win)).permutation(np.arange(0, len(win), BATCH)):
+                    pick = slice(at, at + BATCH)
                     _, g = loss_and_gradients(p, win[pick], group[pick], real[pick])
                     g, step = _flat(g), step + 1
                     m *= 0.9
@@ -318,7 +386,7 @@ def train(texts: DataFrame, ranks, shared, p: dict[str, np.ndarray], rounds: int
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["p", "n"])
 
         kind = "p array<double>, n bigint"
-        dealt = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("t")
+        dealt = coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("ids")
         got = dealt.mapInArrow(local, kind).repartition(16).mapInArrow(add, kind).collect()
         if got:
             p = _shaped(sum(np.array(x.p) for x in got) / sum(x.n for x in got))
@@ -333,78 +401,51 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     of the whole text and its end: of their classes by attention over the last
     HALF to 2 * HALF - 1 subwords, times their shares within the class.
 
+    The SLOTS - 1 most frequent subwords have an embedding each; all others share
+    one, and their class, and differ by their shares within it.
+
     Null and empty texts are an end alone. Null ids count as empty ids in the
     split. Repeated rows are scored each. Without training texts the counts are
-    zero and the weights stay as drawn; no rows give none. A row is numbered by
-    its place in its input partition: give a stored table, which a lost executor
-    reads again in the same order.
+    zero and the weights stay as drawn; no rows give none. A text is one unit of
+    work: its ids and windows are in one task at once. Texts are turned into ids
+    once, in a written table that training and scoring read.
 
     Counts of the HEAD most frequent words are sent to the tasks, the others are
     joined with (text, word, times) rows, of which a word brings one per text.
     """
     spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, 7) == 2).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary_file))
-    end = max(ranks.value.values()) + 1
+    merges = read_ranks(vocabulary_file)
+    ranks, end = spark.sparkContext.broadcast(merges), max(merges.values()) + 1
     counts = cut_lineage(word_counts(src))
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r.w): r.c for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).toLocalIterator()}
-    sub, near = subword_counts(counts, ranks)
+    whole = n + types + 1
+    head = spark.sparkContext.broadcast({bytes(r.w): r.c for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).toLocalIterator()})
+    coded = cut_lineage(encoded(src, ranks, head, whole))
+    sub, near = subword_counts(coded, merges)
     v = vocabulary(sub, near)
     shared = spark.sparkContext.broadcast(v)
-
-    weights = spark.sparkContext.broadcast(train(src.where("not held_out"), ranks, shared, start(v, sub)))
-    common = spark.sparkContext.broadcast(head)
-    whole = n + types + 1
+    weights = spark.sparkContext.broadcast(train(coded.where("not held_out"), end, shared, start(v, sub)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, v, known, scorer = Subwords(ranks.value), shared.value, common.value, Scorer(weights.value)
-        uid = TaskContext.get().partitionId() << 33
-        log_head = {w: math.log10((c + 1) / whole) for w, c in known.items()}
-        for batch in rows_of(batches, 2 << 20):
-            ids, cols = [], {k: [] for k in ("uid", "at", "n_tokens", "n_known", "base", "w", "k")}
-            for at, t in enumerate(batch.column(2)):
-                ws = tokens(t.as_py())
-                ids.append(made.text(ws))
-                here = Counter(ws)
-                here[b""] = 1
-                base, n_known, rest = 0.0, 0, []
-                for w, k in here.items():
-                    x = log_head.get(w)
-                    if x is None:
-                        rest.append((w, k))
-                    else:
-                        base += k * x
-                        n_known += k
-                # a row of the text, under a key that no word has; then its other words
-                for w, k in [(b"\n%d" % uid, 0), *rest]:
-                    cols["uid"].append(uid)
-                    cols["w"].append(w)
-                    cols["k"].append(k)
-                    cols["at"].append(at if k == 0 else None)
-                    cols["n_tokens"].append(len(ws) + 1 if k == 0 else None)
-                    cols["n_known"].append(n_known if k == 0 else None)
-                    cols["base"].append(base if k == 0 else None)
-                uid += 1
-            win, targets, owner = windows(ids, v, end)
-            score = np.zeros(len(ids))
+        v, scorer = shared.value, Scorer(weights.value)
+        for batch in rows_of(batches, 1 << 20):
+            win, targets, owner = windows([np.frombuffer(t.as_py(), np.uint16) for t in batch.column(batch.num_columns - 1)], v, end)
+            score = np.zeros(batch.num_rows)
             for lo in range(0, len(win), 128):
                 t = targets[lo:lo + 128]
                 lp = scorer.log_classes(win[lo:lo + 128], v.group[t]) + v.within[t]
-                score += np.bincount(owner[lo:lo + 128], np.where(t >= 0, lp, 0).sum(axis=1), len(ids))
-            at = pa.array(cols["at"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["uid"], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["n_known"], pa.int64()),
-                 pa.array(cols["base"], pa.float64()), pa.array(score / math.log(10)).take(at), pa.array(cols["w"], pa.binary()), pa.array(cols["k"], pa.int64())],
-                names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "w", "k"])
-
-    made = src.mapInArrow(run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, w binary, k bigint")
-    met = made.join(counts.select(F.col("w").alias("w2"), "c").hint("merge"), F.col("w") == F.col("w2"), "left")
-    rest = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(whole)))
-    by = met.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(rest)).alias("base_score"), F.max("score").alias("score"))
+                score += np.bincount(owner[lo:lo + 128], np.where(t >= 0, lp, 0).sum(axis=1), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score / math.log(10))], names=[*batch.schema.names[:-1], "score"])
+
+    texts = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids")
+    scored = texts.mapInArrow(run, texts.drop("ids").schema.add("score", "double"))
+    rest = coded.select("uid", F.explode(F.arrays_zip("w", "k")).alias("r")).select("uid", F.col("r.w").alias("w"), F.col("r.k").alias("k"))
+    met = rest.join(counts.hint("merge"), "w", "left")
+    more = met.select("uid", F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(whole)))).alias("base"))
+    by = scored.unionByName(more, allowMissingColumns=True).groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.max("score").alias("score"))
     return by.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
