@@ -29,31 +29,37 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     digests never merge unless they are identical: on the map side within each
     task, then by (digest, text, salt), then the winners of the salts. A text
     that a third of all rows share reaches a task as one row of each map task.
+    Rows are found by (digest, salt), and find their winner by it: each salt that
+    a digest has rows in gets a copy of the winner.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("digest", digest(F.col("text")))
-    counted = src.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"))
-    counted = cut_lineage(counted.groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc_id").alias("doc_id")))
-    repeated = cut_lineage(counted.where("n > 1").select("digest"))
-    # The merge hint keeps the plan of a large table for a small one too: a hot
-    # digest is split, and the repeated digests never go to every task.
-    rows = cut_lineage(src.join(repeated.hint("merge"), "digest", "left_semi").withColumn("uid", F.monotonically_increasing_id()))
+    src = src.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    parts = cut_lineage(src.groupBy("digest", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id")))
+    counted = cut_lineage(parts.groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc_id").alias("doc_id")))
+    # Merge hints keep the plans of a large table for a small one too: the
+    # repeated digests never go to every task.
+    repeated = cut_lineage(parts.join(counted.where("n > 1").select("digest").hint("merge"), "digest", "left_semi").select("digest", "salt"))
+    rows = src.join(repeated.hint("merge"), ["digest", "salt"], "left_semi").withColumn("uid", F.monotonically_increasing_id())
+    rows = cut_lineage(rows.withColumn("salt", F.pmod("uid", F.lit(salts))))
 
     best = F.max(F.struct("doc_id", "uid")).alias("best")
-    salted = rows.withColumn("salt", F.pmod("uid", F.lit(salts))).groupBy("digest", "text", "salt").agg(best, F.count("*").alias("n"))
+    salted = rows.groupBy("digest", "text", "salt").agg(best, F.count("*").alias("n"))
     winners = salted.groupBy("digest", "text").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
     winners = cut_lineage(winners)
     variants = winners.groupBy("digest").agg(F.count("*").alias("variants"))
     winners = winners.join(variants, "digest")
     result = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "digest", "text_sha256"]
     # One text for a digest, as compared above: its rows find their winner by
-    # the digest. Where texts collide, by the text.
-    one = rows.drop("text").join(winners.where("variants = 1").select("digest", "best", "group_size", sha256(F.col("text")).alias("text_sha256")), "digest")
+    # the digest and their salt. Where texts collide, by the text.
+    sole = winners.where("variants = 1").select("digest", "best", "group_size", sha256(F.col("text")).alias("text_sha256"))
+    sole = cut_lineage(rows.select("digest", "salt").distinct().join(sole.hint("merge"), "digest"))
+    one = rows.drop("text").join(sole.hint("merge"), ["digest", "salt"])
     more = rows.join(winners.where("variants > 1").select("digest", "text", "best", "group_size"), ["digest", "text"]).withColumn("text_sha256", sha256(F.col("text")))
     if digest is sha256:  # a digest counted once came with the id of its only row
         alone = counted.where("n = 1").withColumn("text_sha256", F.col("digest"))
     else:
-        alone = src.join(repeated, "digest", "left_anti").withColumn("text_sha256", sha256(F.col("text")))
+        alone = src.join(repeated, ["digest", "salt"], "left_anti").withColumn("text_sha256", sha256(F.col("text")))
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     both = one.select(*result).union(more.select(*result)).drop("digest")
     return alone.unionByName(both).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
