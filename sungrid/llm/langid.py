@@ -17,13 +17,13 @@ SIZES, BUCKETS = (1, 2, 3), 1 << 16
 SAMPLE = 6_000
 #: The regularised leader: learning rate, smoothing, L1 and L2 weights; passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-5, 3
-#: Characters that a text is cut into for counting; every character counts.
+#: n-grams of a long text are counted by so many beginnings at a time.
 PIECE = 1 << 18
 
 
 def _codes(text: str) -> np.ndarray:
-    """Buckets of the n-grams of a text, lower-cased, with a blank at each end."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """Buckets of the n-grams that begin at one of the first PIECE characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h, out = np.zeros(len(c), np.uint64), []
     for n in range(1, max(SIZES) + 1):  # an n-gram's hash goes on from that of its beginning
         if len(c) < n:
@@ -31,19 +31,21 @@ def _codes(text: str) -> np.ndarray:
         h = (h[:len(c) - n + 1] ^ c[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if n in SIZES:
-            out.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+            out.append((h[:PIECE] & np.uint64(BUCKETS - 1)).astype(np.int64))
     return np.concatenate(out)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and term frequencies (shares of all n-grams) of a whole text. A long
-    text is counted in pieces; an n-gram does not span two of them."""
+    """Buckets and term frequencies (shares of all n-grams) of a whole text,
+    lower-cased, with a blank at each end. A long text is counted in pieces, each
+    with the characters behind it that its last n-grams reach into."""
+    text = f" {text.lower()} "
     if len(text) < 500:
         at, n = np.unique(_codes(text), return_counts=True)
     else:
-        counts = np.bincount(_codes(text[:PIECE]), minlength=BUCKETS)
-        for i in range(PIECE, len(text), PIECE):
-            counts += np.bincount(_codes(text[i:i + PIECE]), minlength=BUCKETS)
+        counts, reach = np.zeros(BUCKETS, np.int64), PIECE + max(SIZES) - 1
+        for i in range(0, len(text), PIECE):
+            counts += np.bincount(_codes(text[i:i + reach]), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         n = counts[at]
     return at, n / n.sum()
@@ -130,7 +132,9 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Weights from at most ``sample`` texts with a language, chosen by a hash of
     the id; document frequencies from every text that may be learned from, which
-    are those whose crc32(doc_id) mod 4 is not 2. None where no text has a language."""
+    are those whose crc32(doc_id) mod 4 is not 2. Every fifth of them sets the
+    temperature and teaches no weights; of fewer than 50, all do both. None where no
+    text has a language."""
     src = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y")).where((fold(doc_id, 4) != 2) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     df, total = document_frequency(src, text="t")
     idf = np.log((1 + total) / (1 + df)) + 1
@@ -168,7 +172,8 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
     """Per row: doc_id, held_out, lang_pred, score (the calibrated probability).
 
     ``und`` with score 0 where the text is null or has no letter, or where no
-    language could be learned. Every character of a text counts, however long.
+    language could be learned. Of equally likely languages the first in the order
+    of their names is taken. Every character of a text counts, however long.
     Null ids count as empty ids in the split. Repeated rows are judged each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
