@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from .common import WORD_BYTES, rows_of, table, words
 
 WINDOW = 13
@@ -122,18 +123,23 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[dict[str, list[bytes]]]:
-    """Items in blocks of bounded size; each is read by itself, so that the
-    driver holds one block at a time, whatever the number of items."""
+    """Items in blocks of bounded size, in which an item is whole. The driver holds
+    one block at a time; several blocks come from a table written in their order,
+    of which each reads its own part."""
     src = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     bytes_in = src.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-bytes_in // (BLOCK_WORDS * 6)))
+    if n > 1:
+        # a hash of both: items that share an id do not share a block
+        src = src.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+        src = cut_lineage(src.repartitionByRange("block").sortWithinPartitions("block"))
     for k in range(n):
         block: dict[str, list[bytes]] = {}
-        part = src if n == 1 else src.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        for i, t in part.toLocalIterator():
-            if ws := words(bytes(t)):
+        part = src if n == 1 else src.where(F.col("block") == k)
+        for r in part.select("i", "t").toLocalIterator():
+            if ws := words(bytes(r.t)):
                 # items that repeat an id stay apart until they are counted
-                block[f"{i}\x00{len(block)}"] = ws
+                block[f"{r.i}\x00{len(block)}"] = ws
         if block:
             yield block
 
@@ -149,19 +155,25 @@ def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", te
     id as one item. Repeated rows are judged each for itself.
 
     Each block of items is an automaton that every task holds; texts stream past
-    it. Blocks are bounded by BLOCK_WORDS; with several, the spans of the blocks
-    are merged in a column that grows with the hits of the text alone.
+    it. Blocks are bounded by BLOCK_WORDS. Between two blocks the rows are written,
+    with the merged spans so far in a column that grows with the hits of the text
+    alone, and the block is let go. A text is one unit of work.
     """
     keep = keep or []
     spark = docs.sparkSession
     names = {c: f"k{i}" for i, c in enumerate(keep)}
     now = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_t"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
                       F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = list(_blocks(items, item_id, item_text)) or [{}]
-    for block in blocks:
+    sent = None
+    for block in chain(_blocks(items, item_id, item_text), [None]):
+        if block is None and sent is not None:
+            break
+        if sent is not None:
+            now = cut_lineage(now)
+            sent.unpersist()
         # Tasks build the automaton from the block: its words are small to send,
         # its states are not.
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(block or {})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             made = SuffixAutomaton(sent.value)
@@ -207,6 +219,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return renamed.where(~F.col("c5")).select(*[F.col(f"c{at + i}").alias(c) for i, c in enumerate(keep)])
 
 
+def remove_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", longest: int = WINDOW - 1, one_in: int = 20) -> DataFrame:
+    """``docs`` without what benchmark items left in them, all columns kept.
+
+    Texts whose hit words reach the coverage limit (one in ``one_in``) go. From the
+    others each matched span (overlapping and touching windows are one) of more
+    than ``longest`` words is cut out, with what stands between its words; a shorter
+    span, of a short item, stays. All else of a text keeps its bytes. Nulls, empty
+    texts and rows without hits come back as they were; repeated rows are treated
+    each for itself.
+    """
+    keep = docs.columns
+    judged = match_items(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, keep=keep, one_in=one_in)
+    at = len(judged.columns) - len(keep)
+    rows = judged.toDF(*[f"c{i}" for i in range(len(judged.columns))]).where(~F.col("c5"))
+    name = f"c{at + keep.index(text)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            k = batch.schema.get_field_index(name)
+            out = []
+            for t, spans in zip(batch.column(k), batch.column(0), strict=True):
+                t, long = t.as_py(), [(lo, hi) for lo, hi in np.array(spans.as_py() or (), np.int64).reshape(-1, 2).tolist() if hi - lo > longest]
+                out.append(cut_spans(t.encode(), long).decode() if long else t)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == k else batch.column(i) for i in range(1, batch.num_columns)], names=batch.schema.names[1:])
+
+    rows = rows.select(F.col(f"c{at - 1}").alias("spans"), *[F.col(f"c{at + i}") for i in range(len(keep))])
+    return rows.mapInArrow(run, rows.drop("spans").schema).toDF(*keep)
+
+
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without the words of ``spans`` and what lies between them."""
     flat = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32

@@ -190,6 +190,28 @@ def test_cut_spans():
     assert decontaminate.cut_spans(text, []) == text
 
 
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_remove_spans(spark, items, block, monkeypatch):
+    """Equal to cutting the hit words one by one; contaminated texts go, others stay as they were."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = random.Random(8)
+    ws = [brute.alnum(items[i][1]) for i in range(4)]
+    filler = lambda n: [f"f{rng.randrange(50)}" for _ in range(n)]
+    long = {10 + i: (filler(300), ws[i][:14], filler(200)) for i in range(4)}
+    rows = [(i, " ".join(a + b + c)) for i, (a, b, c) in long.items()]
+    rows += [(20, " ".join(ws[0])), (21, " ".join(filler(30)) + "\n"), (22, None), (23, ""), (None, " ".join(filler(400) + ["yankee", "ZULU"])), (21, "again")]
+    df, bench = frame(spark, rows), frame(spark, [*items[:12], (22, "yankee zulu")], "item_id long, text string")
+    left = decontaminate.remove_spans(df, bench)
+    want = [(i, " ".join([*a, ""]) + " " + " ".join(c)) for i, (a, _, c) in long.items()] + [r for r in rows if r[0] not in (*long, 20)]
+    assert left.columns == df.columns
+    order = lambda rs: sorted(rs, key=lambda r: tuple((x is not None, x) for x in r))
+    assert taken(left, "doc_id", "text") == order(want)
+    assert taken(decontaminate.remove_spans(df, bench, longest=14), "doc_id", "text") == order(r for r in rows if r[0] != 20)
+    short = taken(decontaminate.remove_spans(df, bench, longest=1), "doc_id", "text")
+    assert short[[i for i, r in enumerate(short) if r[0] is None][0]][1] == " ".join(rows[-2][1].split()[:-2]) + " "
+    assert decontaminate.remove_spans(df.limit(0), bench).count() == 0 and decontaminate.remove_spans(df, bench.limit(0)).count() == len(rows)
+
+
 # --- WARC in ZIP
 
 
@@ -361,8 +383,12 @@ def plain_log_prob(ids, v, p, end):
         i, shift = t % attention_lm.HALF, attention_lm.HALF - (t // attention_lm.HALF * attention_lm.HALF - lo)
         far = p["far"][i, shift:shift + len(near)]
         e = np.exp(near @ p["k"] @ (here @ p["q"]) / math.sqrt(attention_lm.DIM) + far)
-        z = (here + e @ (near @ p["v"]) / e.sum()) @ p["out"] + p["bias"]
-        total += z[v.group[target]] - np.log(np.exp(z).sum()) + v.within[target]
+        z = (here + e @ (near @ p["v"]) / e.sum()) @ p["out"]
+        row, column = divmod(v.group[target], attention_lm.FINE)  # a softmax over rows, one over the columns of the row
+        bias = p["bias"][attention_lm.PARTS:].reshape(attention_lm.PARTS, -1)[row]
+        for z, at in ((z[:attention_lm.PARTS] + p["bias"][:attention_lm.PARTS], row), (z[attention_lm.PARTS:] + bias, column)):
+            total += z[at] - np.log(np.exp(z).sum())
+        total += v.within[target]
     return total
 
 
@@ -543,6 +569,57 @@ def test_language_of_held_out_texts(spark):
     assert langid.predict(df.limit(0), None).count() == 0 and langid.fit(df.limit(0)) is None
 
 
+def plain_shares(text):
+    """Shares of the buckets of all n-grams of a text, one by one."""
+    c, found = [ord(x) for x in f" {text.lower()} "], {}
+    for i in range(len(c)):
+        for n in (1, 2, 3):
+            if i + n <= len(c):
+                h = 0
+                for x in c[i:i + n]:
+                    h = (h ^ x) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                found[h % langid.BUCKETS] = found.get(h % langid.BUCKETS, 0) + 1
+    return {b: k / sum(found.values()) for b, k in found.items()}
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 500, 1 << 18])
+def test_ngrams_reach_over_pieces(piece, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = random.Random(2)
+    for text in ("", "a", "ab", "Ünï \U0001F600", rng_text(rng, 150, VOCAB), rng_text(rng, 151, VOCAB) + "İ"):
+        if len(text) + 2 < 500 and piece < 500:
+            continue  # short texts are never cut
+        at, x = langid.features(text)
+        assert dict(zip(at.tolist(), x.tolist(), strict=True)) == pytest.approx(plain_shares(text))
+
+
+def test_language_against_plain_scores(spark):
+    """Predictions equal to counting, weighting and scoring one text at a time."""
+    rng = random.Random(16)
+    vocab = {"en": "the of and that".split(), "fr": "le la les été".split()}
+    rows = [(i, rng_text(rng, rng.randint(1, 30), vocab[y]), y) for i, y in enumerate(rng.choice(list(vocab)) for _ in range(120))] + [(500, None, "en"), (501, "1 2", "fr")]
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    learns = [t for i, t, y in rows if t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    seen, total = langid.document_frequency(df.where("text is not null and crc32(cast(doc_id as string)) % 4 != 2"))
+    want = np.zeros(langid.BUCKETS, int)
+    for t in learns:
+        want[list(plain_shares(t))] += 1
+    assert total == len(learns) and (seen == want).all()
+    model = langid.fit(df)
+    assert np.allclose(model.idf, np.log((1 + total) / (1 + want)) + 1)
+    for r in langid.predict(df, model).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        shares = plain_shares(text)
+        norm = math.sqrt(sum((x * model.idf[b]) ** 2 for b, x in shares.items()))
+        z = [(sum(x * model.weights[b, k] for b, x in shares.items()) / norm + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+        p = [math.exp(x - max(z)) for x in z]
+        assert r.lang_pred == model.langs[p.index(max(p))] and math.isclose(r.score, max(p) / sum(p), rel_tol=1e-6)
+
+
 def test_ftrl_is_sparse():
     made = langid.Ftrl(50, 2)
     rng = np.random.default_rng(3)
