@@ -21,16 +21,19 @@ LEAST_TEXTS, CLEAN_SHARE = 5, 0.05
 #: It covers LEAST_TEXTS toxic texts that no other entry does, or LEAST_NEW if it is one of FREQUENT texts.
 FREQUENT, LEAST_NEW = 20, 2
 STEMS = range(3, 9)  # lengths of word beginnings, in characters
-LEXICON = 2_000
 
 # Closed-class words of the grammar.
 THREAT = "kill hurt destroy beat burn shoot stab murder matar golpear tuer frapper schlagen umbringen".split()
+PROMISE = "mataré mataremos golpearé golpearemos tuerai tuerons frapperai frapperons".split()  # a threat's verb in the future
+INTENT = "will i'll we'll he'll they'll shall gonna going voy vamos vas vais allons werde werden wird".split()
 TARGET = "you your yours yourself they them tú usted ustedes vosotros toi vous ton votre du dich dein ihr euch".split()
+OBJECT = "te os dich euch vous".split()  # may stand before its verb
 NEGATION = "not never isn't aren't wasn't don't doesn't nunca jamás jamais kein keine niemals nicht".split()
 REPORTED = "said says say claimed called quoted wrote reported dijo dice llamó dit disait appelé sagte sagt nannte".split()
+MENTION = "word words term palabra término mot terme wort begriff".split()
 
 _SCAN = re.compile(rb"[0-9a-z\x80-\xff]+(?:'[a-z]+)?|[.!?;:,\n]")
-_ENDS = frozenset(b".!?;:,\n")
+_ENDS, _BREAKS = frozenset(b".!?;\n"), frozenset(b":,")
 #: What a matched clause can be, in the order of the model's columns.
 PATTERNS = ("insult", "insult at target", "negated insult", "reported insult", "threat", "threat at target", "negated threat", "reported threat")
 #: How a kind of clause counts before any label is seen, relative to a plain insult.
@@ -65,41 +68,83 @@ class Transducer:
         return made
 
 
-#: Input symbols: I insult, H threat, Y target, N negation, R reported speech, . end of a clause, o other.
-SYMBOLS = "IHYNR.o"
+#: Input symbols: I word of the lexicon, V verb of a threat, W the same as a promise, F intent, Y target, O target
+#: as an object, N negation, R reported speech, M mention, "," break in a clause, "." end of a clause, o other.
+SYMBOLS = "IVWFYONRM,.o"
+
+
+def insult() -> Transducer:
+    """A word of the lexicon is an insult (I), unless it is named as a word: "the word ..." (r)."""
+    return Transducer("i0", {("i0", "M"): ("o", "i1"), ("i1", "M"): ("o", "i1"), ("i1", "I"): ("r", "i0")}, {"i1": "i0"})
+
+
+def threat() -> Transducer:
+    """A verb alone is none. H: a promise, or a verb within three words of an intent;
+    K: a verb next to its object, which is the target too."""
+    t = Transducer("h0", idle={"h3": "h2", "h2": "h1", "h1": "h0", "v": "h0", "p": "h0"})
+    for s in ("h0", "h1", "h2", "h3", "v", "p"):
+        t.arcs |= {(s, "F"): ("o", "h3"), (s, "V"): ("o", "v"), (s, "W"): ("H", "h0"), (s, "O"): ("O", "p"), (s, ","): (",", "h0"), (s, "."): (".", "h0")}
+    for s in ("h1", "h2", "h3"):
+        t.arcs[s, "V"] = ("H", "h0")
+    t.arcs |= {("h3", "O"): ("O", "h2"), ("h2", "O"): ("O", "h1"), ("v", "Y"): ("K", "h0"), ("v", "O"): ("K", "h0"), ("p", "V"): ("K", "h0")}
+    return t
+
+
+def negation() -> Transducer:
+    """Reaches three words on (i, h, k), twice is none; as the last word before a
+    break (c) or the end (x) it reaches back to the break before."""
+    t = Transducer("n0", {("n0", "N"): ("o", "n3")}, {"n3": "n2", "n2": "n1", "n1": "n0"})
+    for s, left in t.idle.items():
+        t.arcs |= {(s, "I"): ("i", left), (s, "H"): ("h", left), (s, "K"): ("k", left), (s, "N"): ("o", "n0"), (s, ","): (",", "n0"), (s, "."): (".", "n0")}
+    t.arcs |= {("n3", ","): ("c", "n0"), ("n3", "."): ("x", "n0")}
+    return t
+
+
+def target() -> Transducer:
+    """A target anywhere in a clause marks its end (T; X if that negates)."""
+    t = Transducer("t0")
+    for s in ("t0", "t1"):
+        t.arcs |= {(s, "Y"): ("o", "t1"), (s, "O"): ("o", "t1"), (s, "K"): ("H", "t1"), (s, "k"): ("h", "t1")}
+    t.arcs |= {("t0", "x"): ("x", "t0"), ("t1", "."): ("T", "t0"), ("t1", "x"): ("X", "t0")}
+    return t
+
+
+def reported() -> Transducer:
+    """Reported speech anywhere in a clause marks its end (Q), whatever else does."""
+    t = Transducer("r0", {("r0", "R"): ("o", "r1"), ("r1", "R"): ("o", "r1")})
+    t.arcs |= {("r1", end): ("Q", "r0") for end in ".xTX"}
+    return t
 
 
 def grammar() -> Transducer:
-    """Negation over reported speech over target over clause kinds, composed.
+    """Insults, threats, negation, targets and reported speech, composed.
 
-    Negation reaches three words on; reported speech and a target reach to the
-    end of the clause. Output symbols: I and H plain, J and K at a target, i and
-    h negated, r and q reported; all else is o.
+    Writes I, H plain and i, h negated matches, r mentioned ones, "," and c at
+    breaks, and at the end of a clause one of ".xTXQ" for how it is to be read.
     """
-    negation = Transducer("n0", idle={"n3": "n2", "n2": "n1", "n1": "n0"})
-    reported, target = Transducer("r0"), Transducer("t0")
-    for s, left in (("n3", "n2"), ("n2", "n1"), ("n1", "n0")):
-        negation.arcs |= {(s, "I"): ("i", left), (s, "H"): ("h", left), (s, "N"): ("o", "n0")}  # twice negated: plain
-        negation.arcs[s, "."] = (".", "n0")
-    negation.arcs["n0", "N"] = ("o", "n3")
-    reported.arcs |= {("r0", "R"): ("o", "r1"), ("r1", "R"): ("o", "r1"), ("r1", "."): (".", "r0"), ("r1", "I"): ("r", "r1"), ("r1", "H"): ("q", "r1")}
-    target.arcs |= {("t0", "Y"): ("o", "t1"), ("t1", "Y"): ("o", "t1"), ("t1", "."): (".", "t0"), ("t1", "I"): ("J", "t1"), ("t1", "H"): ("K", "t1")}
-    ends = Transducer("c", arcs={("c", "."): ("o", "c")})
-    return negation.then(reported, SYMBOLS).then(target, SYMBOLS).then(ends, SYMBOLS)
+    made, read = insult(), SYMBOLS
+    for t in (threat(), negation(), target(), reported()):
+        made = made.then(t, read)
+    return made
 
 
-_KIND = {k: i for i, k in enumerate("IJirHKhq")}
+#: A clause's matches I i r H h as they count at its end, by what the end says.
+_HITS = {x: i for i, x in enumerate("IirHh")}
+_READ = {".": (0, 2, 3, 4, 6), "x": (0, 2, 3, 4, 6), "T": (1, 2, 3, 5, 6), "X": (1, 2, 3, 5, 6), "Q": (3, 3, 3, 7, 7)}
 
 
 class Matcher:
-    """The grammar with a lexicon in front: word -> symbol and weight."""
+    """The grammar with a lexicon in front: word -> symbol and weight. A threat
+    weighs as the middle entry of the lexicon, 1 if that is empty."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.whole: dict[bytes, float] = {k[1:].encode(): w for k, w in lexicon.items() if k[0] == "="}
         self.stems: dict[bytes, float] = {k[1:].encode(): w for k, w in lexicon.items() if k[0] == "^"}
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
-        self.closed = {w.encode(): x for x, ws in zip("HYNR", (THREAT, TARGET, NEGATION, REPORTED)) for w in ws}
-        self.threats = {w.encode() for w in THREAT}
+        closed = (TARGET, OBJECT, NEGATION, REPORTED, MENTION, INTENT, THREAT, PROMISE)
+        self.closed = {w.encode(): x for x, ws in zip("YONRMFVW", closed, strict=True) for w in ws}
+        self.threats = {w.encode() for w in THREAT + PROMISE}
+        self.threat = sorted(lexicon.values())[len(lexicon) // 2] if lexicon else 1.0
         made = grammar()
         self.arcs, self.start = made.arcs, made.start
 
@@ -112,20 +157,29 @@ class Matcher:
         return 0.0
 
     def clauses(self, text: bytes | None) -> np.ndarray:
-        """Per kind of clause, the summed weights of the matches of a text."""
-        found = np.zeros(len(PATTERNS))
+        """Per kind of clause, the summed weights of the matches of a text. A clause
+        is read to its end before its matches count; the end of the text is one."""
+        found = [0.0] * len(PATTERNS)
         distinct = set(words(text))
         insults = {w: x for w in distinct if (x := self.weight(w))}
         if not insults and self.threats.isdisjoint(distinct):
-            return found
-        state = self.start
-        for w in _SCAN.findall(text.lower()):
+            return np.array(found)
+        state, part, clause = self.start, [0.0] * len(_HITS), [0.0] * len(_HITS)
+        for w in (*_SCAN.findall(text.lower()), b"."):
             x = insults.get(w, 0.0)
-            symbol = "I" if x else "." if w[0] in _ENDS else self.closed.get(w, "o")
+            symbol = "I" if x else "." if w[0] in _ENDS else "," if w[0] in _BREAKS else self.closed.get(w, "o")
             out, state = self.arcs[state, symbol]
-            if out in _KIND:
-                found[_KIND[out]] += x or 1.0
-        return found
+            if out in _HITS:
+                part[_HITS[out]] += x or self.threat
+            elif out in ",cxX.TQ":
+                if out in "cxX":
+                    part = [0.0, part[0] + part[1], part[2], 0.0, part[3] + part[4]]
+                clause, part = [a + b for a, b in zip(clause, part)], [0.0] * len(_HITS)
+                if out in _READ:
+                    for kind, weight in zip(_READ[out], clause):
+                        found[kind] += weight
+                    clause = [0.0] * len(_HITS)
+        return np.array(found)
 
 
 def _features(text: bytes) -> set[str]:
@@ -173,7 +227,7 @@ def _cover(sets: list[list[int]], size: list[int]) -> list[int]:
             by.setdefault(f, set()).add(i)
     least = {f: LEAST_NEW if len(s) >= FREQUENT else LEAST_TEXTS for f, s in by.items()}
     chosen = []
-    while by and len(chosen) < LEXICON:
+    while by:
         f = max(by, key=lambda f: (len(by[f]), size[f], -f))
         if len(by[f]) < least[f]:
             del by[f]
@@ -217,7 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     Lexicon: words and beginnings of words that toxic texts share and clean ones
     lack, chosen so that each covers toxic texts that the others do not; a text
-    and its copies count once. Without labels of both kinds the lexicon is empty.
+    and its copies count once. Of several labels of an id the largest counts, of
+    those of equal texts the smallest. Without labels of both kinds the lexicon is
+    empty.
     """
     rows = cut_lineage(_sample(docs, labels, doc_id, text, label, sample))
     bad, good = rows.agg(F.coalesce(F.sum((F.col("y") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("y") <= 0).cast("long")), F.lit(0))).first()
@@ -245,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def _matcher(spark: SparkSession, lexicon: dict[str, float]):
-    sent = spark.sparkContext.broadcast(lexicon)  # LEXICON entries at most
+    sent = spark.sparkContext.broadcast(lexicon)  # an entry covers texts of the sample that no other does: fewer than those
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Matcher(sent.value)
@@ -274,7 +330,9 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not judged toxic, with all their columns."""
+    """The rows of ``docs`` that are not judged toxic, with all their columns and in
+    their order, whatever their names. Null and empty texts and repeated rows stay as
+    clean ones do; no rows give none."""
     return score(docs, fit(docs, labels), keep=docs.columns).where("predicted = 0").select("kept.*")
 
 

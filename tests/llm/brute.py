@@ -300,3 +300,42 @@ def conversations(rows):
                 lines.append(f"{turns[at][1]}:{turns[at][2]}")
         out.append((conv, gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
     return out
+
+
+def clause_kinds(text, lexicon, rules):
+    """Weights of matches by kind, each clause read word by word and then judged."""
+    found, threat = dict.fromkeys(rules.PATTERNS, 0.0), sorted(lexicon.values())[len(lexicon) // 2]
+    for clause in re.split(r"[.!?;\n]", text.translate(UPPER)):
+        parts = [re.findall(r"[0-9a-z\x80-\U0010ffff]+(?:'[a-z]+)?", part) for part in re.split("[,:]", clause)]
+        everything = [w for part in parts for w in part if w not in lexicon]
+        told = any(w in rules.REPORTED for w in everything)
+        aimed = any(w in rules.TARGET or w in rules.OBJECT for w in everything)
+        for part in parts:
+            matches, intent, done = [], None, -1  # (place of the last word, insult?, weight, named?)
+            for i, w in enumerate(part):
+                before = part[i - 1] if i else ""
+                verb, thing = w in rules.THREAT, w in rules.TARGET or w in rules.OBJECT
+                if w in lexicon:
+                    matches.append((i, True, lexicon[w], before in rules.MENTION))
+                elif w in rules.INTENT:
+                    intent = i
+                elif w in rules.PROMISE or verb and intent is not None and i - intent <= 3 or verb and before in rules.OBJECT and done != i - 1 or thing and before in rules.THREAT and done != i - 1:
+                    matches.append((i, False, threat, False))
+                    intent, done = None, i
+            negated, until = set(), -1
+            for i, w in enumerate(part):
+                if w in rules.NEGATION and w not in lexicon:
+                    until = -1 if i <= until else i + 3
+                if i <= until:
+                    negated.add(i)
+            back = bool(part) and part[-1] in rules.NEGATION and len(part) - 1 in negated
+            for i, is_insult, weight, named in matches:
+                kind = "insult" if is_insult else "threat"
+                if told or named:
+                    kind = "reported " + kind
+                elif i in negated or back:
+                    kind = "negated " + kind
+                elif aimed:
+                    kind += " at target"
+                found[kind] += weight
+    return list(found.values())

@@ -674,10 +674,32 @@ def test_grammar_marks_clauses():
     assert kinds("He is not an idiot") == {"negated insult": 2.0}
     assert kinds("He is not never an idiot") == {"insult": 2.0}
     assert kinds("They. not one of the many idiot") == {"insult": 2.0}  # out of the negation's reach, the target in another clause
-    assert kinds("She said: idiot. Said the man an idiot") == {"insult": 2.0, "reported insult": 2.0}
-    assert kinds("I will kill you, schurkerei") == {"threat": 1.0, "insult": 1.0}
-    assert kinds("You, never hurt") == {"negated threat": 1.0} and kinds("said you idiot") == {"reported insult": 2.0}
-    assert kinds("calm words") == {} and m.clauses(None).sum() == 0
+    assert kinds("She said: idiot. Such an idiot") == {"insult": 2.0, "reported insult": 2.0}
+    # What stands behind a match counts too.
+    assert kinds("idiot, you are one") == kinds("You idiot, do not touch that") == {"insult at target": 2.0}
+    assert kinds("He is an idiot, she said") == kinds("said you idiot") == kinds("the word idiot") == {"reported insult": 2.0}
+    assert kinds("an idiot you are not") == {"negated insult": 2.0} and kinds("an idiot, you are not") == {"insult at target": 2.0}
+    # A threat is more than a verb, and weighs as the middle entry of the lexicon.
+    assert kinds("kill") == kinds("burn the wood") == kinds("You, never hurt") == kinds("calm words") == {}
+    assert kinds("I will kill you, schurkerei") == {"threat at target": 2.0, "insult at target": 1.0}
+    assert kinds("I will burn it") == kinds("mataré") == {"threat": 2.0} and kinds("I will not hurt you") == {"negated threat": 2.0}
+    assert kinds("kill you") == kinds("je vais te tuer") == {"threat at target": 2.0} and kinds("I will kill you, he said") == {"reported threat": 2.0}
+    assert m.clauses(None).sum() == m.clauses(b"").sum() == 0 and toxicity.Matcher({}).clauses(b"kill you")[5] == 1.0
+
+
+def test_grammar_against_plain_reading():
+    lexicon = {"=idiot": 2.0, "^schurk": 1.0, "=moron": 4.0}
+    m, rng = toxicity.Matcher(lexicon), random.Random(21)
+    groups = [["idiot", "Schurkerei", "moron"], toxicity.THREAT, toxicity.PROMISE, toxicity.INTENT, toxicity.TARGET, toxicity.OBJECT, toxicity.NEGATION,
+              toxicity.REPORTED, toxicity.MENTION, [",", ":"], [".", "!", "\n"], ["wood", "ünd", "9"], ["wood"]]
+    seen = np.zeros(len(toxicity.PATTERNS))
+    for _ in range(4000):
+        text = " ".join(rng.choice(rng.choice(groups)) for _ in range(rng.randint(1, 14)))
+        want = brute.clause_kinds(text, {"idiot": 2.0, "schurkerei": 1.0, "moron": 4.0}, toxicity)
+        got = m.clauses(text.encode())
+        assert got.tolist() == want, text
+        seen += got > 0
+    assert (seen > 50).all()
 
 
 # --- pipeline
