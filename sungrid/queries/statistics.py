@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.clean import night_below
-from ..operators import information, metrics, spectrum, stats, windows
+from ..operators import information, metrics, spectrum, stationarity, stats, windows
 from ..operators.grid import fill_edges
 from ..operators.ranks import kendall_matrix
 from ..session import cut_lineage
@@ -233,6 +233,43 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats.autocorrelation(cut_lineage(indexed(hourly(spark, sf_dir), 3600)), key=KEY, index="i", value="v_sum", lags=50, rows=256))
 
 
+_ACF_LIST = f"""{E1H_SQL}, d AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, v_sum - avg(v_sum) OVER (PARTITION BY series_id) AS x FROM e1h),
+  q AS (SELECT series_id, sum(x * x) AS sq FROM d GROUP BY 1),
+  a AS (SELECT a.series_id, g.lag, sum(a.x * b.x) / min(sq) AS acf FROM d a CROSS JOIN generate_series(1, 50) g(lag) JOIN d b ON a.series_id = b.series_id AND b.i = a.i - g.lag JOIN q ON q.series_id = a.series_id GROUP BY 1, 2),
+  r AS (SELECT series_id, list(acf ORDER BY lag) AS r FROM a GROUP BY 1)"""
+
+
+# Step k of the recursion has the weights w of the best prediction from k rows and the variance v it leaves.
+@query("pacf", f"""WITH RECURSIVE {_ACF_LIST}, s AS (
+  SELECT series_id, r, 1 AS k, [r[1]] AS w, 1 - r[1] * r[1] AS v FROM r
+  UNION ALL
+  SELECT series_id, r, k + 1, list_append([w[i] - p * w[k + 1 - i] for i in range(1, k + 1)], p), v * (1 - p * p)
+  FROM (SELECT *, (r[k + 1] - list_sum([w[j] * r[k + 1 - j] for j in range(1, k + 1)])) / v AS p FROM s) WHERE k < len(r))
+  SELECT series_id, k::BIGINT AS lag, {R('w[k]')} AS pacf FROM s""")
+def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(stationarity.partial_autocorrelation(cut_lineage(indexed(hourly(spark, sf_dir), 3600)), key=KEY, index="i", value="v_sum", lags=50, rows=256))
+
+
+_CRITICAL = ", ".join(R(" + ".join(f"({x}) / pow(n, {i})" for i, x in enumerate(xs))) + f" AS {c}" for c, xs in stationarity.CRITICAL.items())
+
+
+# With one change before, the two slopes and their errors have a closed form in covariances.
+@query("unit_root", f"""WITH {DAILY_SQL}, l AS (SELECT series_id, ts, v, lag(v) OVER o AS x, lag(v, 2) OVER o AS x2 FROM daily WINDOW o AS (PARTITION BY series_id ORDER BY ts)),
+  c AS (SELECT series_id, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x - x2, x - x2) AS zz, covar_pop(x, x - x2) AS xz, covar_pop(x, v - x) AS xy, covar_pop(x - x2, v - x) AS zy, covar_pop(v - x, v - x) AS yy
+    FROM l WHERE x2 IS NOT NULL GROUP BY 1),
+  w AS (SELECT *, xx * zz - xz * xz AS d, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS g FROM c)
+  SELECT series_id, {R('b / sqrt((yy - b * xy - g * zy) / (n - 3) * zz / d)')} AS statistic, 1::BIGINT AS lags, n::BIGINT AS n_used, {_CRITICAL} FROM w""")
+def unit_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut_lineage(indexed(daily(spark, sf_dir), 86_400))
+    return tidy(stationarity.unit_root_test(rows, key=KEY, index="i", value="v", lags=1, rows=512).drop("p_value"))
+
+
+@query("unit_root_chosen_lags")
+def unit_root_chosen_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut_lineage(indexed(daily(spark, sf_dir), 86_400))
+    return tidy(stationarity.unit_root_test(rows, key=KEY, index="i", value="v", rows=512))
+
+
 @query("lag_pairs", f"WITH {E1H_SQL} SELECT * FROM (SELECT series_id, ts, {R('v_sum')} AS x, {R('lag(v_sum) OVER (PARTITION BY series_id ORDER BY ts)')} AS x_before FROM e1h) WHERE x_before IS NOT NULL")
 def lag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.previous_row(hourly(spark, sf_dir).select("series_id", "ts", F.col("v_sum").alias("x")), key=KEY, ts="ts", cols={"x": "x_before"}, block_s=WEEK)
