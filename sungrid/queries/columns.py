@@ -117,8 +117,16 @@ def cyclical_columns(ts: str = "ts", year: float = 365.25) -> dict:
 
 
 _HOUR = "(hour(ts) + minute(ts) / 60.0)"
-CYCLE_SQL = f"{R(_HOUR)} AS hour, dayofyear(ts) AS day_of_year, " + ", ".join(
-    f"{R(f'{f}({x} * {2 * math.pi / p!r})')} AS {n}_{f}" for n, x, p in (("hour", _HOUR, 24.0), ("day", "dayofyear(ts)", 365.25), ("month", "month(ts)", 12.0)) for f in ("sin", "cos"))
+
+
+def cycle_sql(*names: str) -> str:
+    """Hour and day of year, and the sine and cosine of the named cycles."""
+    cycles = {"hour": (_HOUR, 24.0), "day": ("dayofyear(ts)", 365.25), "month": ("month(ts)", 12.0)}
+    parts = [f"{R(f'{f}({x} * {2 * math.pi / p!r})')} AS {n}_{f}" for n, (x, p) in cycles.items() if n in names for f in ("sin", "cos")]
+    return f"{R(_HOUR)} AS hour, dayofyear(ts) AS day_of_year, " + ", ".join(parts)
+
+
+CYCLE_SQL = cycle_sql("hour", "day", "month")
 
 
 @query("cyclical_features", f"SELECT event_id, {CYCLE_SQL} FROM events")
@@ -181,21 +189,25 @@ def shift_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Solar columns --------------------------------------------------------------
 
-SUN_SQL = f"""{SITES_SQL},
-sun_g AS (SELECT *, (dayofyear(ts) - 1) * {2 * math.pi / 365!r} AS g FROM sites),
+
+def sun_sql(source: str) -> str:
+    """The sun's place for rows of ``source`` (ts, lat, lon), as ``sun``."""
+    return f"""sun_g AS (SELECT *, (dayofyear(ts) - 1) * {2 * math.pi / 365!r} AS g FROM {source}),
 sun_d AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec,
   229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eot FROM sun_g),
 sun_h AS (SELECT *, radians((hour(ts) * 60 + minute(ts) + second(ts) / 60.0 + 4.0 * lon + eot) / 4.0 - 180.0) AS h, sin(radians(lat)) AS sl, cos(radians(lat)) AS cl FROM sun_d),
 sun_z AS (SELECT *, degrees(acos(least(greatest(sl * sin(dec) + cl * cos(dec) * cos(h), -1), 1))) AS zenith_deg,
   fmod(fmod(180.0 + degrees(atan2(sin(h), cos(h) * sl - tan(dec) * cl)), 360.0) + 360.0, 360.0) AS azimuth_deg FROM sun_h),
 sun AS (SELECT *, CASE WHEN 90 - zenith_deg > -1 THEN (90 - zenith_deg) + (1 / 60.0::DOUBLE) / tan(radians((90 - zenith_deg) + 7.31 / ((90 - zenith_deg) + 4.4))) ELSE 90 - zenith_deg END AS apparent_elev_deg FROM sun_z)"""
+
+
+SUN_SQL = f"{SITES_SQL},\n{sun_sql('sites')}"
 _TILT = math.radians(solar.PLANE_TILT)
-_AOI = (f"degrees(acos(least(greatest(cos(radians(zenith_deg)) * {math.cos(_TILT)!r} + sin(radians(zenith_deg)) * {math.sin(_TILT)!r}"
-        f" * cos(radians(azimuth_deg - {solar.PLANE_AZIMUTH})), -1), 1)))")
+AOI_SQL = (f"degrees(acos(least(greatest(cos(radians(zenith_deg)) * {math.cos(_TILT)!r} + sin(radians(zenith_deg)) * {math.sin(_TILT)!r}"
+           f" * cos(radians(azimuth_deg - {solar.PLANE_AZIMUTH})), -1), 1)))")
 _IAM = f"CASE WHEN aoi_deg < 90 THEN greatest(1 - 0.05 * (1 / cos(radians(aoi_deg)) - 1), 0) ELSE 0 END"
 # Numbers of the simplified Solis model at aerosol depth 0.1 and 1 cm of water, where ln(w) = 0.
-_CLEAR_SQL = f"""{SUN_SQL},
-cs_p AS (SELECT *, ln(coalesce(pressure_hpa * 100, 100 * pow((44331.514 - alt) / 11880.516, {1 / 0.1902632!r})) / 101325) AS p FROM sun),
+CLEAR_SQL = f"""cs_p AS (SELECT *, ln(coalesce(pressure_hpa * 100, 100 * pow((44331.514 - alt) / 11880.516, {1 / 0.1902632!r})) / 101325) AS p FROM sun),
 cs_t AS (SELECT *, 1364 * (0.12 * 0.01 + 0.97 * 0.1 + 1.08 + 0.071 * p) AS top, sin(radians(greatest(apparent_elev_deg, 1e-6))) AS s,
   0.182 + 0.33 + 0.1389 * p AS tb, 0.124 + 0.27 + 0.1079 * p AS tg,
   11.39 * 0.0001 - 20.43 * 0.001 + 15.366 * 0.01 - 5.6546 * 0.1 + 2.9457 - 0.71 * pow(1.1::DOUBLE, -15) * p AS td FROM cs_p),
@@ -242,12 +254,12 @@ def solar_position_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.drop("lat", "lon"), 4)
 
 
-@query("angle_of_incidence", f"WITH {SUN_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {R(_AOI, 4)} AS aoi_deg FROM sun")
+@query("angle_of_incidence", f"WITH {SUN_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {R(AOI_SQL, 4)} AS aoi_deg FROM sun")
 def angle_of_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_plane(spark, sf_dir).select(*ROW, "aoi_deg"), 4)
 
 
-@query("clear_sky_irradiance", f"WITH {_CLEAR_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {rounded('clear_ghi', 'clear_dni', 'clear_dhi', digits=3)} FROM cs")
+@query("clear_sky_irradiance", f"WITH {SUN_SQL}, {CLEAR_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {rounded('clear_ghi', 'clear_dni', 'clear_dhi', digits=3)} FROM cs")
 def clear_sky_irradiance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = solar.pressure_pa(F.col("pressure_hpa"), F.col("alt"))
     sky = solar.clear_sky(F.col("apparent_elev_deg"), F.col("p_pa"))
@@ -259,7 +271,7 @@ def solar_night(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_sun(spark, sf_dir).select(*ROW, solar.solar_night(F.col("apparent_elev_deg")).alias("is_night")))
 
 
-@query("effective_irradiance", f"WITH {SUN_SQL}, a AS (SELECT *, {_AOI} AS aoi_deg FROM sun) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {R(_IAM, 4)} AS iam, {R(f'direct * ({_IAM}) + diffuse', 3)} AS effective FROM a")
+@query("effective_irradiance", f"WITH {SUN_SQL}, a AS (SELECT *, {AOI_SQL} AS aoi_deg FROM sun) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {R(_IAM, 4)} AS iam, {R(f'direct * ({_IAM}) + diffuse', 3)} AS effective FROM a")
 def effective_irradiance(spark: SparkSession, sf_dir: str) -> DataFrame:
     aoi = F.col("aoi_deg")
     return tidy(_plane(spark, sf_dir).select(*ROW, solar.incidence_modifier(aoi).alias("iam"),

@@ -48,7 +48,7 @@ def time_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.time_spine(readings(spark, sf_dir), key=KEY, ts="ts", step_s=600)
 
 
-def _nearest_sql(source: str, grid_: str, value: str, out: str) -> str:
+def nearest_sql(source: str, grid_: str, value: str, out: str) -> str:
     """Value of ``source`` nearest to each time of ``grid_``; the later on a tie."""
     return f"""SELECT g.series_id, g.ts, CASE WHEN p.ts IS NULL OR epoch_us(n.ts) - epoch_us(g.ts) <= epoch_us(g.ts) - epoch_us(p.ts) THEN n.{value} ELSE p.{value} END AS {out}
   FROM {grid_} g ASOF LEFT JOIN {source} p ON g.series_id = p.series_id AND g.ts >= p.ts ASOF LEFT JOIN {source} n ON g.series_id = n.series_id AND g.ts <= n.ts"""
@@ -58,7 +58,7 @@ _HOUR_GRID = "SELECT series_id, unnest(generate_series(date_trunc('hour', min(ts
 
 
 @query("reindex_nearest", f"""WITH k AS (SELECT event_type AS series_id, ts, value FROM events), g0 AS ({_HOUR_GRID.format('k')}),
-  r AS ({_nearest_sql('k', 'g0', 'value', 'value')}) SELECT series_id, ts, {R('value')} AS value FROM r""")
+  r AS ({nearest_sql('k', 'g0', 'value', 'value')}) SELECT series_id, ts, {R('value')} AS value FROM r""")
 def reindex_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "value")
     return tidy(grid.reindex_nearest(e, key=KEY, ts="ts", cols=["value"], step_s=3600, block_s=block_seconds(e, key=KEY, ts="ts", longest=WEEK)))
@@ -179,7 +179,7 @@ def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("asof_nearest_join", f"""WITH {PAIR_SQL}, {_SPAN_SQL}, g0 AS (SELECT series_id, unnest(generate_series(date_trunc('hour', lo), time_bucket(INTERVAL 1 HOUR, hi + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND), INTERVAL 1 HOUR)) AS ts FROM span),
-  a AS ({_nearest_sql('l', 'g0', 'ghi', 'ghi')}), b AS ({_nearest_sql('r', 'g0', 'precip', 'precip')}) SELECT series_id, ts, {rounded('ghi', 'precip')} FROM a JOIN b USING (series_id, ts)""")
+  a AS ({nearest_sql('l', 'g0', 'ghi', 'ghi')}), b AS ({nearest_sql('r', 'g0', 'precip', 'precip')}) SELECT series_id, ts, {rounded('ghi', 'precip')} FROM a JOIN b USING (series_id, ts)""")
 def asof_nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _two_sources(spark, sf_dir)
     span = grid.common_range(left, right, key=KEY, ts="ts")

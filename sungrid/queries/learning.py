@@ -17,7 +17,8 @@ from ..plans import forecast, station
 from ..session import cut_lineage, shared_dir
 from ..sources.readers import forecast_rows
 from .base import E1H_SQL, KEY, P2_SQL, PAIR_SQL, R, WEEK, hourly, pairs, query, rounded, scored, table, tidy
-from .grids import N, _SEQ_SQL, sequence_input
+from .columns import AOI_SQL, CLEAR_SQL, ZONE, cycle_sql, sun_sql
+from .grids import N, _SEQ_SQL, nearest_sql, sequence_input
 
 GHI_POWER_SQL = f"{PAIR_SQL}, gp AS (SELECT series_id, ts, ghi, power, temp, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pair WHERE ghi IS NOT NULL AND power IS NOT NULL AND temp IS NOT NULL)"
 SPLIT = "CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END"
@@ -472,15 +473,46 @@ def _station(spark: SparkSession, sf_dir: str) -> DataFrame:
     return station.prepare_station(weather, value("click", "power_w"), places, key=KEY, impute_days=("2024-01-10", "2024-01-14"))
 
 
-@query("prepare_station")
+_STEP = "INTERVAL 10 MINUTE"
+_STATION_SQL = f"""ob AS (SELECT 'site_' || (user_id % 2) AS series_id, ts, value, event_type = 'click' AS is_power FROM events WHERE event_type IS NOT NULL),
+  side AS (SELECT series_id, is_power, min(ts) AS lo, max(ts) AS hi FROM ob GROUP BY 1, 2),
+  span AS (SELECT series_id, max(lo) AS lo, min(hi) AS hi FROM side GROUP BY 1 HAVING count(*) = 2),
+  inside AS (SELECT series_id, ts, value, is_power FROM ob JOIN span USING (series_id) WHERE value IS NOT NULL AND ts BETWEEN lo AND hi),
+  we AS (SELECT * FROM inside WHERE NOT is_power), po AS (SELECT * FROM inside WHERE is_power),
+  g0 AS (SELECT series_id, unnest(generate_series(time_bucket({_STEP}, lo), time_bucket({_STEP}, hi + {_STEP} - INTERVAL 1 MICROSECOND), {_STEP})) AS ts FROM span WHERE lo <= hi),
+  wn AS ({nearest_sql('we', 'g0', 'value', 'ghi_wm2')}), pn AS ({nearest_sql('po', 'g0', 'value', 'power_w')}),
+  pl AS (SELECT 'site_' || n_nationkey AS series_id, (n_nationkey + 46)::DOUBLE AS lat, 15.0::DOUBLE AS lon, 350.0::DOUBLE AS alt FROM nation),
+  both_ AS (SELECT wn.*, ghi_wm2 / 10 AS temp_c, ghi_wm2 % 12 AS wind_ms, ghi_wm2 + 900 AS pressure_hpa, power_w, lat, lon, alt FROM wn JOIN pn USING (series_id, ts) LEFT JOIN pl USING (series_id)),
+  {sun_sql('both_')}, {CLEAR_SQL},
+  st AS (SELECT *, {AOI_SQL} AS aoi_deg, least(greatest(CASE WHEN clear_ghi > 10 THEN ghi_wm2 / clear_ghi ELSE 0 END, 0), 1.5) AS csi,
+    (coalesce(ghi_wm2, 0) < 10 OR apparent_elev_deg <= 0)::BIGINT AS is_night FROM cs),
+  li AS (SELECT series_id, regr_slope(power_w, x) AS slope, regr_intercept(power_w, x) AS intercept FROM (SELECT *, CASE WHEN ghi_wm2 > 50 THEN ghi_wm2 END AS x FROM st) GROUP BY 1),
+  im AS (SELECT st.*, slope, intercept, ((ts AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}')::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-14' AND ghi_wm2 IS NOT NULL AND slope IS NOT NULL AS hit FROM st LEFT JOIN li USING (series_id)),
+  prepared AS (SELECT * REPLACE (coalesce(CASE WHEN hit THEN greatest(intercept + slope * ghi_wm2, 0) ELSE power_w END, 0) AS power_w) FROM im)"""
+_ANGLES, _SKY = ("zenith_deg", "azimuth_deg", "aoi_deg"), ("clear_ghi", "clear_dni", "clear_dhi", "csi")
+_STATION_DIGITS = {**dict.fromkeys(_ANGLES, 4), "apparent_elev_deg": 4, **dict.fromkeys(_SKY, 3)}
+
+
+@query("prepare_station", f"""WITH {_STATION_SQL} SELECT series_id, ts, {rounded('ghi_wm2', 'temp_c', 'wind_ms', 'pressure_hpa', 'power_w', 'lat', 'lon', 'alt')},
+  {', '.join(f'{R(c, d)} AS {c}' for c, d in _STATION_DIGITS.items())}, is_night, hit::BIGINT AS imputed, {cycle_sql('hour', 'day')} FROM prepared""")
 def prepare_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _station(spark, sf_dir)
+    return tidy(_station(spark, sf_dir), 6, **_STATION_DIGITS)
 
 
-@query("station_hourly_baseline")
+_HOURS_SQL = f"""{_STATION_SQL}, ho AS (SELECT series_id, date_trunc('hour', ts) AS ts, avg(ghi_wm2) AS ghi, avg(power_w) AS power FROM prepared GROUP BY 1, 2),
+  gp AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM ho WHERE ghi IS NOT NULL AND power IS NOT NULL),
+  sp AS (SELECT *, {SPLIT} AS split FROM gp), f AS (SELECT series_id, regr_slope(power, ghi) AS slope, regr_intercept(power, ghi) AS intercept FROM sp WHERE split = 'train' GROUP BY 1),
+  z AS (SELECT series_id, power AS y, CASE WHEN ghi < 1 THEN 0 WHEN slope IS NOT NULL THEN greatest(intercept + slope * ghi, 0) END AS p FROM sp LEFT JOIN f USING (series_id) WHERE split = 'test'),
+  s AS (SELECT *, abs(y - p) AS g, abs(y) + abs(p) AS t FROM z)"""
+
+
+@query("station_hourly_baseline", f"""WITH {_HOURS_SQL} SELECT series_id, count(p) AS n, {R('avg(g * g)')} AS mse, {R('sqrt(avg(g * g))')} AS rmse, {R('avg(g)')} AS mae, {R('1 - sum(g * g) / (var_pop(y) * count(*))')} AS r2, {R('pow(corr(y, p), 2)')} AS pearson_r2,
+  {R('avg(CASE WHEN abs(y) > 1e-8 THEN g / abs(y) ELSE 0 END) * 100')} AS mape_zero_as_none, {R('avg(g / abs(y + 1e-8)) * 100', 0)} AS mape_eps, {R('avg(g / abs(y)) FILTER (y <> 0) * 100')} AS mape_skip_zero, {R('avg(g / nullif(abs(y), 0)) * 100')} AS mape_raw,
+  {R('avg(2 * g / (t + 1e-8)) * 100')} AS smape_eps, {R('avg(g / CASE WHEN t = 0 THEN 1 ELSE t / 2 END) * 100')} AS smape_half, {R('avg(2 * g / t) FILTER (t <> 0) * 100')} AS smape_skip_zero, {R('avg(g / nullif(t, 0)) * 200')} AS smape_raw,
+  {R('sqrt(avg(g * g)) / avg(y) * 100')} AS rmse_pct, {R('avg(g * g) / avg(y) * 100')} AS mse_pct, {R('avg(g) / avg(y) * 100')} AS mae_pct FROM s GROUP BY 1""")
 def station_hourly_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = cut_lineage(station.to_hourly(_station(spark, sf_dir), key=KEY))
-    return station.evaluate_baseline(hours, key=KEY, block_s=WEEK)
+    return tidy(station.evaluate_baseline(hours, key=KEY, block_s=WEEK), 6, mape_eps=0)
 
 
 _FLOW_N = 6
