@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import base64
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import fold, rows_of, table, tokens
+from .common import fold, rows_of, table
 
 #: A file of ranked byte merges; the driver reads it and sends it to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -30,33 +29,26 @@ ROUNDS, RATE, BATCH = 4, 0.02, 64
 #: Words whose counts every task holds; the counts of the others are joined.
 HEAD = 100_000
 NEAR = 32  # buckets for the neighbours of a subword
-_MOST = 300_000  # words that a task counts before it passes them on
-
-
-class _Known(dict):
-    """Words met so far, with their ids."""
-
-    def __init__(self, core: tiktoken.Encoding):
-        super().__init__()
-        self.core = core
-
-    def __missing__(self, w: bytes) -> bytes:
-        if len(self) > _MOST:
-            self.clear()
-        got = self[w] = array("H", self.core.encode_ordinary(" " + w.decode("utf-8", "replace"))).tobytes()
-        return got
+CHUNK = 64  # windows that are scored at once; what they need stays in a cache
 
 
 class Subwords:
     """The subword ids of words, each with a blank before it; two bytes an id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.known = _Known(tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}))
-        self.end = array("H", [max(ranks.values()) + 1]).tobytes()
+        self.core = tiktoken.Encoding("own", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.begins = begin_words(ranks)
 
-    def text(self, ws: list[bytes]) -> bytes:
-        """Ids of a text, the end included."""
-        return b"".join(map(self.known.__getitem__, ws)) + self.end
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids; and of each word where in them its own begin and how many they are.
+        The empty word is the end of a text. No word has a blank inside, so that all
+        can be told apart in one text, by the ids that begin with a blank."""
+        ids = np.array(self.core.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.uint16)
+        real = np.fromiter(map(len, words), np.int64, len(words)) > 0
+        first, long = np.full(len(words), len(ids)), np.ones(len(words), np.int64)
+        first[real] = np.flatnonzero(self.begins[ids])
+        long[real] = np.diff(np.append(first[real], len(ids)))
+        return np.append(ids, np.uint16(len(self.begins) - 1)), first, long
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,51 +56,94 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def begin_words(ranks: dict[bytes, int]) -> np.ndarray:
+    """Whether an id begins a word, as it has the blank; the last id is the end."""
+    begins = np.ones(max(ranks.values()) + 2, bool)
+    for b, i in ranks.items():
+        begins[i] = b[:1] == b" "
+    return begins
+
+
+def split_texts(texts: pa.Array) -> pa.ListArray:
+    """The words of each text (bytes), as ``common.tokens`` gives them, besides which
+    a text has empty ones where it begins or ends with white space. Arrow's ASCII
+    functions look at single bytes, whether or not these are UTF-8."""
+    texts = texts.cast(pa.binary())
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.StringArray.from_buffers(len(texts), *texts.buffers()[1:], offset=texts.offset)))
+
+
+def _bytes(words: pa.Array) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(words), words.buffers(), offset=words.offset)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c): every token of the training texts (columns t and held_out) with its
     count over all of them; the end of a text is the empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda c: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["w", "c"])
-        seen: Counter = Counter()
-        for batch in rows_of(batches):
-            seen[b""] += batch.num_rows
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
-            if len(seen) > _MOST:
-                yield out(seen)
-                seen = Counter()
-        if seen:
-            yield out(seen)
+        ends = 0
+        for batch in rows_of(batches, 16 << 20):
+            ends += batch.num_rows
+            words, times = pc.value_counts(split_texts(batch.column(0)).flatten()).flatten()
+            real = pc.greater(pc.binary_length(words), 0)
+            yield pa.RecordBatch.from_arrays([_bytes(words.filter(real)), times.filter(real)], names=["w", "c"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["w", "c"])
 
     return docs.where("not held_out").select("t").mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def known_words(counts: DataFrame, ranks: dict[bytes, int]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The HEAD most frequent words, their counts, and their ids as ``Subwords.each`` gives them."""
+    most = counts.orderBy(F.desc("c"), "w").limit(HEAD).toArrow().combine_chunks()
+    words = most.column("w").combine_chunks().cast(pa.binary())
+    return words, most.column("c").to_numpy(), *Subwords(ranks).each(words.to_pylist())
+
+
 def encoded(docs: DataFrame, ranks, common, whole: int) -> DataFrame:
     """Per row of ``docs`` (doc_id, held_out, t): a number, the ids of its text, and
-    what its words known to all tasks (``common``: their counts) give; the other words
-    as w with their times k."""
+    what its words known to all tasks (``common``, from ``known_words``) give; the
+    other words as w with their times k. A word is looked up once in a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Subwords(ranks.value)
-        get = {w: math.log10((c + 1) / whole) for w, c in common.value.items()}.get  # below zero, as whole > c + 1
+        head, counts, *stock = common.value
+        share = np.append(np.log10((counts + 1) / whole), 0)  # below zero, as whole > c + 1; the last: not known to all
         uid = TaskContext.get().partitionId() << 33
-        for batch in rows_of(batches, 2 << 20):
-            cols = [[] for _ in range(6)]
-            for t in batch.column(2):
-                ws = tokens(t.as_py())
-                ids = made.text(ws)
-                ws.append(b"")
-                each = list(map(get, ws))
-                known = list(filter(None, each))
-                rest = Counter(w for w, x in zip(ws, each, strict=True) if x is None) if len(known) < len(ws) else {}
-                for col, x in zip(cols, (len(ws), len(known), sum(known), ids, list(rest), list(rest.values())), strict=True):
-                    col.append(x)
-            kinds = pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(1), *map(pa.array, cols, kinds)],
+        for batch in rows_of(batches, 8 << 20):
+            n, split = batch.num_rows, split_texts(batch.column(2))
+            # The end of a text is the empty word; where white space gives one, it is dropped.
+            coded = pa.concat_arrays([split.flatten(), pa.array([""])]).dictionary_encode()
+            code, words = coded.indices.to_numpy(), _bytes(coded.dictionary)
+            code, end = code[:-1], code[-1]
+            row = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
+            real = code != end
+            row = row[real]
+            size = np.bincount(row, minlength=n) + 1
+            last = np.cumsum(size) - 1
+            word = np.full(size.sum(), end)
+            word[np.arange(len(row)) + row] = code[real]
+            at = pc.index_in(words, head).fill_null(len(head)).to_numpy()
+            new = np.flatnonzero(at == len(head))
+            fresh = made.each(words.take(pa.array(new)).to_pylist())
+            ids, begin, long = np.append(stock[0], fresh[0]), *(x.take(at, mode="clip") for x in stock[1:])
+            begin[new], long[new] = fresh[1] + len(stock[0]), fresh[2]
+            each = long[word]
+            to = np.cumsum(each)
+            ids = ids[np.arange(to[-1]) + np.repeat(begin[word] - to + each, each)]
+            at = at[word]
+            first = last - size + 1
+            base, known = np.add.reduceat(share[at], first), np.add.reduceat((at < len(head)).astype(np.int64), first)
+            other = np.flatnonzero(at == len(head))
+            pair, times = np.unique(np.searchsorted(last, other) * len(words) + word[other], return_counts=True)
+            upto = np.append(0, np.cumsum(np.bincount(pair // len(words), minlength=n))).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(upto, x) for x in (words.take(pa.array(pair % len(words))), pa.array(times, pa.int64())))
+            bounds = np.append(0, 2 * to[last]).astype(np.int32)
+            texts = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), batch.column(0), batch.column(1), *map(pa.array, (size, known, base)), texts, *lists],
                                              names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "w", "k"])
-            uid += batch.num_rows
+            uid += n
 
     return docs.mapInArrow(run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, ids binary, w array<binary>, k array<bigint>")
 
@@ -117,10 +152,8 @@ def subword_counts(coded: DataFrame, ranks: dict[bytes, int]) -> tuple[np.ndarra
     """Per subword id its count in all training texts, and its counts of bucketed
     neighbours to the left and right within words. Sums of one row per id and
     task; the result has a row per id of the vocabulary at most."""
-    size = max(ranks.values()) + 2
-    begins = np.ones(size, bool)  # a word begins with its blank
-    for b, i in ranks.items():
-        begins[i] = b[:1] == b" "
+    begins = begin_words(ranks)
+    size = len(begins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.zeros((size, 1 + 2 * NEAR))
@@ -193,18 +226,18 @@ def windows(ids: list[np.ndarray], v: Vocabulary, end: int) -> tuple[np.ndarray,
     every token is a target once, and sees at least HALF tokens where there are."""
     n = np.array([len(x) for x in ids])
     per = -(-n // HALF)
-    blocks = np.full((int((per + 1).sum()), HALF), SLOTS)  # padding
-    targets = np.full((int(per.sum()), HALF), -1)
-    flat = np.concatenate(ids).astype(np.int64)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    slots = v.slot[flat]
-    before = np.concatenate(([0], slots[:-1]))
-    before[np.cumsum(n) - n] = v.slot[end]  # a text begins behind an end
-    blocks.reshape(-1)[at + np.repeat((np.cumsum(per + 1) - per) * HALF, n)] = before
-    targets.reshape(-1)[at + np.repeat((np.cumsum(per) - per) * HALF, n)] = flat
-    owner = np.repeat(np.arange(len(ids)), per)
-    first = np.arange(len(targets)) + owner
-    return np.concatenate((blocks[first], blocks[first + 1]), axis=1), targets, owner
+    fill = np.full(HALF, -1)
+    targets = np.concatenate([part for x, k in zip(ids, (-n % HALF).tolist(), strict=True) for part in (x, fill[:k])], dtype=np.int64, casting="unsafe")
+    begins = np.cumsum(per) - per
+    slots = np.empty(len(targets) + 1, np.int64)
+    np.take(v.slot, targets, out=slots[1:], mode="wrap")
+    slots = slots[:-1]
+    slots[begins * HALF] = v.slot[end]  # a text begins behind an end
+    slots[targets < 0] = SLOTS  # padding
+    targets, slots = targets.reshape(-1, HALF), slots.reshape(-1, HALF)
+    win = np.empty((len(slots), 2 * HALF), np.int64)
+    win[:, HALF:], win[1:, :HALF], win[begins, :HALF] = slots, slots[:-1], SLOTS
+    return win, targets, np.repeat(np.arange(len(ids)), per)
 
 
 _SHAPES = {"emb": (SLOTS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "far": (HALF, 2 * HALF), "out": (DIM, PARTS + FINE), "bias": (PARTS + CLASSES,)}
@@ -222,112 +255,172 @@ def start(v: Vocabulary, counts: np.ndarray) -> dict[str, np.ndarray]:
     return p
 
 
+#: Per class, ones at its row of the grid; and at where its two stand among the logits.
+_ROW = np.repeat(np.eye(PARTS, dtype=np.float32), FINE, axis=0)
+_BOTH = np.hstack((_ROW, np.tile(np.eye(FINE, dtype=np.float32), (PARTS, 1))))
+#: Adds the exponentials of the rows, and those of the columns, to each of their places.
+_SUMS = np.kron(np.eye(2, dtype=np.float32), np.ones((FINE, FINE), np.float32))
+_SPREAD = np.ones((2 * HALF, DIM), np.float32)
+assert PARTS == FINE
+
+
+def _slots(win: np.ndarray) -> np.ndarray:
+    """The inputs of windows that follow each other, each once. What one has as
+    second half is the next one's first, unless a text begins there; that half is
+    hidden. Padding stands behind all real inputs, so that no real target sees it,
+    and may be any slot."""
+    return np.minimum(np.concatenate((win[0, :HALF], win[:, HALF:].ravel())), SLOTS - 1)
+
+
+def _weights_of_inputs(q: np.ndarray, k: np.ndarray, far: np.ndarray, win: np.ndarray) -> np.ndarray:
+    """What each target gives to each input, before the division by their sum."""
+    e = q @ k.transpose(0, 2, 1)
+    _bound(e)
+    np.exp(e, out=e)
+    e *= far
+    e[win[:, 0] == SLOTS, :, :HALF] = 0  # a text begins: the half before is another's
+    return e
+
+
+def _bound(x: np.ndarray) -> None:
+    if x.max() > 60 or x.min() < -60:
+        np.clip(x, -60, 60, out=x)
+
+
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Rows of all inputs (HALF of context, then HALF a window) as both halves of each window."""
+    row, one = x.strides
+    return np.ndarray((len(x) // HALF - 1, 2 * HALF, x.shape[1]), x.dtype, x, strides=(HALF * row, row, one))
+
+
+def _logits(out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A matrix that gives the logits of the grid's rows and, as (DIM + row)-th entry
+    is 1 for the target's row, of its columns. A class has the probability of its
+    row times that of its column in the row."""
+    made = np.empty((DIM + PARTS, PARTS + FINE), out.dtype)
+    made[:DIM], made[DIM:, :PARTS], made[DIM:, PARTS:] = out, bias[:PARTS], bias[PARTS:].reshape(PARTS, FINE)
+    return made
+
+
 class Scorer:
-    """The forward pass, with what depends on a slot alone looked up in tables."""
+    """The forward pass, with what depends on a slot alone looked up in a table."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        emb = np.vstack((p["emb"], np.zeros((1, DIM), np.float32)))  # padding
+        emb = p["emb"]
         q, k = emb @ p["q"] / math.sqrt(DIM), emb @ p["k"]
         q *= min(1.0, 60 / max(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max(), 1e-9))
-        # Padding weighs nothing: its value and its share of the sum are zero.
-        v = np.hstack((emb @ p["v"], np.ones((len(emb), 1), np.float32)))
-        v[-1] = 0
-        self.here = np.hstack((emb, q)).astype(np.float32)
-        self.past = np.hstack((k, v)).astype(np.float32)
-        self.seen = (np.exp(p["far"]) * _CAUSAL).astype(np.float32)
-        self.out, self.bias = p["out"].astype(np.float32), p["bias"].astype(np.float32)
+        self.table = np.hstack((emb, q, k, emb @ p["v"])).astype(np.float32)
+        self.far = (np.exp(p["far"]) * _CAUSAL).astype(np.float32)
+        self.logits = _logits(p["out"], p["bias"]).astype(np.float32)
 
     def log_classes(self, win: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Log probability of the class of each target: of its part, times that of the class in the part."""
-        past, here = self.past.take(win, axis=0), self.here.take(win[:, HALF:], axis=0)
-        e = np.matmul(here[..., DIM:], past[..., :DIM].transpose(0, 2, 1))
-        np.exp(e, out=e)
-        e *= self.seen
-        o = np.matmul(e, past[..., DIM:])
-        o[..., DIM:] += 1e-9
-        h = here[..., :DIM] + o[..., :DIM] / o[..., DIM:]
-        y, first, second = _both(h.reshape(-1, DIM), self.out, self.bias, group.ravel())
-        flat = y.ravel()
-        picked = flat[first] + flat[second]
+        """Log probability of the class of each target: of its part, times that of the
+        class in the part. Windows as they follow each other in their texts."""
+        made = self.table.take(_slots(win), axis=0)
+        here, both = made[HALF:], _pairs(made)
+        e = _weights_of_inputs(here[:, DIM:2 * DIM].reshape(-1, HALF, DIM), both[..., 2 * DIM:3 * DIM], self.far, win)
+        mixed = (e @ both[..., 3 * DIM:]).reshape(-1, DIM)
+        mixed /= e.reshape(-1, 2 * HALF) @ _SPREAD + 1e-9
+        h = np.empty((len(here), DIM + PARTS), np.float32)
+        np.add(here[:, :DIM], mixed, out=h[:, :DIM])
+        h[:, DIM:] = _ROW.take(group.ravel(), axis=0)
+        y = h @ self.logits
+        _bound(y)
+        picked = np.einsum("ij,ij->i", y, _BOTH.take(group.ravel(), axis=0))
         np.exp(y, out=y)
-        total = (y.reshape(-1, FINE) @ _ONES).reshape(-1, 2)
+        total = (y.reshape(-1, FINE) @ _SUMS[0, :FINE]).reshape(-1, 2)
         return (picked - np.log(total[:, 0] * total[:, 1])).reshape(group.shape)
 
 
-_ONES = np.ones(FINE, np.float32)
-
-
-def _both(h: np.ndarray, out: np.ndarray, bias: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of the grid's rows and, given the target's row, of its columns; and
-    where the target's two stand in the flat array. A class has the probability of
-    its row times that of its column in the row."""
-    y = h @ out
-    row = group // FINE
-    y += np.hstack((np.broadcast_to(bias[:PARTS], (PARTS, PARTS)), bias[PARTS:].reshape(PARTS, FINE))).take(row, axis=0)
-    np.clip(y, -60, 60, out=y)
-    at = np.arange(0, y.size, PARTS + FINE)
-    return y, at + row, at + PARTS + (group - row * FINE)
-
-
-def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over real targets and its gradients, by hand. Windows are given as
-    they follow each other in their texts: what is one's second half is the next
-    one's first, and its keys and values are computed once."""
-    kind, n_win = p["emb"].dtype, len(win)
-    # One more column is 1, and 0 for padding: summed like a value, it gives the
-    # softmax's denominator, and padding weighs nothing.
-    emb = np.ones((SLOTS + 1, DIM + 1), kind)
-    emb[:-1, :DIM], emb[-1] = p["emb"], 0
-    slots = np.concatenate((win[0, :HALF], win[:, HALF:].ravel()))
-    x = emb.take(slots, axis=0)
-    here = np.ascontiguousarray(x[HALF:, :DIM])
-    kv = np.zeros((DIM + 1, 2 * DIM + 1), kind)
-    kv[:DIM, :DIM], kv[:DIM, DIM:-1], kv[DIM, -1] = p["k"], p["v"], 1
-    both = x @ kv
-    row, one = both.strides
-    both = np.ndarray((n_win, 2 * HALF, 2 * DIM + 1), kind, both, strides=(HALF * row, row, one))
-    k, v = both[..., :DIM], both[..., DIM:]
-    q = (here @ (p["q"] / math.sqrt(DIM))).reshape(n_win, HALF, DIM)
-    e = q @ k.transpose(0, 2, 1)
-    np.clip(e, -60, 60, out=e)
-    np.exp(e, out=e)
-    e *= np.exp(p["far"]) * _CAUSAL
-    e[win[:, 0] == SLOTS, :, :HALF] = 0  # a text begins: the half before is another's
-    o = e @ v
-    below = o[..., DIM:]
-    mixed = o[..., :DIM] / below
-    h = here + mixed.reshape(-1, DIM)
-    y, first, second = _both(h, p["out"], p["bias"], group.ravel())
+def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray, into: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over real targets and its gradients, by hand; with ``into`` these
+    are written there, and there is no loss. Windows are given as they follow each
+    other in their texts, so keys and values are computed once. The layout keeps
+    what is next to each other in memory next to each other in the products."""
+    kind, n_win, group = p["emb"].dtype, len(win), group.ravel()
+    slots = _slots(win)
+    x = p["emb"].take(slots, axis=0)
+    weights = np.empty((DIM, 3 * DIM), kind)
+    weights[:, :DIM], weights[:, DIM:2 * DIM], weights[:, 2 * DIM:] = p["q"] / math.sqrt(DIM), p["k"], p["v"]
+    made = x @ weights
+    both = _pairs(made)
+    q, k, v = made[HALF:, :DIM].reshape(n_win, HALF, DIM), both[..., DIM:2 * DIM], both[..., 2 * DIM:]
+    e = _weights_of_inputs(q, k, np.exp(p["far"]) * _CAUSAL, win)
+    below = e.reshape(-1, 2 * HALF) @ _SPREAD.astype(kind, copy=False)
+    mixed = (e @ v).reshape(-1, DIM)
+    mixed /= below
+    h = np.empty((n_win * HALF, DIM + PARTS), kind)
+    np.add(x[HALF:], mixed, out=h[:, :DIM])
+    h[:, DIM:] = _ROW.take(group, axis=0)
+    logits = _logits(p["out"], p["bias"])
+    y = h @ logits
+    _bound(y)
     np.exp(y, out=y)
-    halves, flat = y.reshape(-1, FINE), y.ravel()
-    halves /= (halves @ _ONES)[:, None]
-    n, is_real = max(1, real.sum()), real.ravel()
-    loss = -(np.log(flat[first] * flat[second] + 1e-30) @ is_real) / n
-    flat[first] -= 1
-    flat[second] -= 1
-    y *= (is_real / n).astype(kind)[:, None]
-    by_row = np.eye(PARTS, dtype=kind).take(group.ravel() // FINE, axis=0).T @ y
-    g = {"out": h.T @ y, "bias": np.concatenate((by_row[:, :PARTS].sum(axis=0), by_row[:, PARTS:].ravel()))}
-    dh = (y @ p["out"].T).reshape(n_win, HALF, DIM)
-    do = np.empty_like(o)
-    np.divide(dh, below, out=do[..., :DIM])
-    do[..., DIM] = -np.einsum("bid,bid->bi", do[..., :DIM], mixed)
-    ds = do @ v.transpose(0, 2, 1)
+    y /= y @ _SUMS.astype(kind, copy=False)
+    is_target = _BOTH.take(group, axis=0)
+    n, fake = max(1, np.count_nonzero(real)), np.flatnonzero(~real.ravel())
+    loss = math.nan
+    if into is None:
+        into = {k: np.empty(s, kind) for k, s in _SHAPES.items()}
+        loss = -((np.log(y + 1e-30) * is_target).sum(axis=1) @ real.ravel()) / n
+    y -= is_target
+    y[fake] = 0
+    y *= kind.type(1 / n)
+    grad = h.T @ y
+    into["out"][:] = grad[:DIM]
+    into["bias"][:PARTS], into["bias"][PARTS:] = grad[DIM:, :PARTS].sum(axis=0), grad[DIM:, PARTS:].ravel()
+    dh = y @ logits[:DIM].T
+    do = dh / below
+    mixed *= do
+    ds = do.reshape(n_win, HALF, DIM) @ v.transpose(0, 2, 1)
+    ds -= (mixed @ _SPREAD[:DIM, 0].astype(kind, copy=False)).reshape(n_win, HALF, 1)
     ds *= e
-    g["far"] = ds.sum(axis=0)
-    pairs = np.concatenate((ds.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ do[..., :DIM]), axis=2)
-    dboth = np.zeros((n_win + 1, HALF, 2 * DIM), kind)
-    dboth[:-1] = pairs[:, :HALF]
-    dboth[1:] += pairs[:, HALF:]
-    dboth = dboth.reshape(-1, 2 * DIM)
-    dq = (ds @ k).reshape(-1, DIM) / math.sqrt(DIM)
-    g["q"] = here.T @ dq
-    grad = x.T @ dboth
-    g["k"], g["v"] = grad[:DIM, :DIM], grad[:DIM, DIM:]
-    dx = dboth @ kv[:DIM, :-1].T
-    dx[HALF:] += dh.reshape(-1, DIM) + dq @ p["q"].T
-    g["emb"] = np.bincount((slots[:, None] * DIM + np.arange(DIM)).ravel(), dx.ravel(), (SLOTS + 1) * DIM).reshape(-1, DIM)[:SLOTS].astype(kind)
-    return float(loss), g
+    np.matmul(np.ones(n_win, kind), ds.reshape(n_win, -1), out=into["far"].reshape(-1))
+    pairs = np.empty((n_win, 2 * HALF, 2 * DIM), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=pairs[..., :DIM])
+    np.matmul(e.transpose(0, 2, 1), do.reshape(n_win, HALF, DIM), out=pairs[..., DIM:])
+    back = np.empty((n_win + 1, HALF, 3 * DIM), kind)  # of queries, keys and values
+    back[0, :, :DIM] = 0
+    np.matmul(ds, k, out=back[1:, :, :DIM])
+    back[:-1, :, DIM:], back[-1, :, DIM:] = pairs[:, :HALF], 0
+    back[1:, :, DIM:] += pairs[:, HALF:]
+    back = back.reshape(-1, 3 * DIM)
+    grad = x.T @ back
+    np.divide(grad[:, :DIM], math.sqrt(DIM), out=into["q"])
+    into["k"][:], into["v"][:] = grad[:, DIM:2 * DIM], grad[:, 2 * DIM:]
+    dx = back @ weights.T
+    dx[HALF:] += dh
+    into["emb"][:] = 0
+    np.add.at(into["emb"].reshape(-1), _CELLS.take(slots, axis=0).ravel(), dx.ravel())
+    return float(loss), into
+
+
+_CELLS = np.arange(SLOTS * DIM).reshape(SLOTS, DIM)
+
+
+class Adam:
+    """Steps on the weights ``w``, a flat array, in place; ``rate`` is the step's size."""
+
+    def __init__(self, w: np.ndarray, rate: float):
+        self.w, self.rate, self.step = w, rate, 0
+        self.gradient, self.mean, self.square, self.by = np.zeros((4, len(w)), w.dtype)
+
+    def update(self) -> None:
+        """A step against ``gradient``, which it uses up. Both averages are kept
+        without the factors (0.1 and 0.01) of what they add."""
+        g, by = self.gradient, self.by
+        self.step += 1
+        self.mean *= 0.9
+        self.mean += g
+        g *= g
+        self.square *= 0.99
+        self.square += g
+        np.multiply(self.square, 0.01 / (1 - 0.99 ** self.step), out=by)
+        np.sqrt(by, out=by)
+        by += 1e-8
+        np.divide(self.mean, by, out=by)
+        by *= 0.1 * self.rate / (1 - 0.9 ** self.step)
+        self.w -= by
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -356,22 +449,16 @@ def train(coded: DataFrame, end: int, shared, p: dict[str, np.ndarray], rounds:
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             v = shared.value
-            w = sent.value.copy()
-            p, m, s, step, seen = _shaped(w), np.zeros_like(w), np.zeros_like(w), 0, 0
+            w, seen = sent.value.copy(), 0
+            p, adam = _shaped(w), Adam(w, rate)
+            g = _shaped(adam.gradient)
             for batch in rows_of(batches, 1 << 20):
                 win, targets, _ = windows([np.frombuffer(t.as_py(), np.uint16) for t in batch.column(0)], v, end)
-                real = targets >= 0
-                group = np.where(real, v.group[targets], 0)
+                real, group = targets >= 0, v.group.take(targets, mode="wrap")
                 for at in np.random.default_rng(len(win)).permutation(np.arange(0, len(win), BATCH)):
                     pick = slice(at, at + BATCH)
-                    _, g = loss_and_gradients(p, win[pick], group[pick], real[pick])
-                    g, step = _flat(g), step + 1
-                    m *= 0.9
-                    m += 0.1 * g
-                    g *= g
-                    s *= 0.99
-                    s += 0.01 * g
-                    w -= rate / (1 - 0.9 ** step) * m / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
+                    loss_and_gradients(p, win[pick], group[pick], real[pick], g)
+                    adam.update()
                 seen += len(win)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["p", "n"])
@@ -420,7 +507,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     counts = cut_lineage(word_counts(src))
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     whole = n + types + 1
-    head = spark.sparkContext.broadcast({bytes(r.w): r.c for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).toLocalIterator()})
+    head = spark.sparkContext.broadcast(known_words(counts, merges))
     coded = cut_lineage(encoded(src, ranks, head, whole))
     sub, near = subword_counts(coded, merges)
     v = vocabulary(sub, near)
@@ -432,10 +519,10 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for batch in rows_of(batches, 1 << 20):
             win, targets, owner = windows([np.frombuffer(t.as_py(), np.uint16) for t in batch.column(batch.num_columns - 1)], v, end)
             score = np.zeros(batch.num_rows)
-            for lo in range(0, len(win), 128):
-                t = targets[lo:lo + 128]
-                lp = scorer.log_classes(win[lo:lo + 128], v.group[t]) + v.within[t]
-                score += np.bincount(owner[lo:lo + 128], np.where(t >= 0, lp, 0).sum(axis=1), batch.num_rows)
+            for lo in range(0, len(win), CHUNK):
+                t = targets[lo:lo + CHUNK]
+                lp = scorer.log_classes(win[lo:lo + CHUNK], v.group.take(t, mode="wrap")) + v.within.take(t, mode="wrap")
+                score += np.bincount(owner[lo:lo + CHUNK], np.where(t >= 0, lp, 0).sum(axis=1), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score / math.log(10))], names=[*batch.schema.names[:-1], "score"])
 
     texts = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids")
