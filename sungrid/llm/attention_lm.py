@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = 0
-        for batch in rows_of(batches, 16 << 20):
+        for batch in rows_of(batches, 8 << 20):
             ends += batch.num_rows
             words, times = pc.value_counts(split_texts(batch.column(0)).flatten()).flatten()
             real = pc.greater(pc.binary_length(words), 0)
@@ -111,7 +111,7 @@ def encoded(docs: DataFrame, ranks, common, whole: int) -> DataFrame:
         head, counts, *stock = common.value
         share = np.append(np.log10((counts + 1) / whole), 0)  # below zero, as whole > c + 1; the last: not known to all
         uid = TaskContext.get().partitionId() << 33
-        for batch in rows_of(batches, 8 << 20):
+        for batch in rows_of(batches):
             n, split = batch.num_rows, split_texts(batch.column(2))
             # The end of a text is the empty word; where white space gives one, it is dropped.
             coded = pa.concat_arrays([split.flatten(), pa.array([""])]).dictionary_encode()
@@ -268,18 +268,18 @@ def _slots(win: np.ndarray) -> np.ndarray:
     """The inputs of windows that follow each other, each once. What one has as
     second half is the next one's first, unless a text begins there; that half is
     hidden. Padding stands behind all real inputs, so that no real target sees it,
-    and may be any slot."""
-    return np.minimum(np.concatenate((win[0, :HALF], win[:, HALF:].ravel())), SLOTS - 1)
+    and is taken for the last slot (by clipping)."""
+    slots = np.empty((len(win) + 1, HALF), win.dtype)
+    slots[0], slots[1:] = win[0, :HALF], win[:, HALF:]
+    return slots.ravel()
 
 
-def _weights_of_inputs(q: np.ndarray, k: np.ndarray, far: np.ndarray, win: np.ndarray) -> np.ndarray:
-    """What each target gives to each input, before the division by their sum."""
-    e = q @ k.transpose(0, 2, 1)
-    _bound(e)
+def _weigh(e: np.ndarray, far: np.ndarray, win: np.ndarray) -> None:
+    """What each target gives to each input, before the division by their sum, in
+    place of the products of queries and keys."""
     np.exp(e, out=e)
     e *= far
-    e[win[:, 0] == SLOTS, :, :HALF] = 0  # a text begins: the half before is another's
-    return e
+    e[np.flatnonzero(win[:, 0] == SLOTS), :, :HALF] = 0  # a text begins: the half before is another's
 
 
 def _bound(x: np.ndarray) -> None:
@@ -316,20 +316,21 @@ class Scorer:
     def log_classes(self, win: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Log probability of the class of each target: of its part, times that of the
         class in the part. Windows as they follow each other in their texts."""
-        made = self.table.take(_slots(win), axis=0)
+        made, group = self.table.take(_slots(win), axis=0, mode="clip"), group.ravel()
         here, both = made[HALF:], _pairs(made)
-        e = _weights_of_inputs(here[:, DIM:2 * DIM].reshape(-1, HALF, DIM), both[..., 2 * DIM:3 * DIM], self.far, win)
+        e = here[:, DIM:2 * DIM].reshape(-1, HALF, DIM) @ both[..., 2 * DIM:3 * DIM].transpose(0, 2, 1)
+        _weigh(e, self.far, win)
         mixed = (e @ both[..., 3 * DIM:]).reshape(-1, DIM)
         mixed /= e.reshape(-1, 2 * HALF) @ _SPREAD + 1e-9
         h = np.empty((len(here), DIM + PARTS), np.float32)
         np.add(here[:, :DIM], mixed, out=h[:, :DIM])
-        h[:, DIM:] = _ROW.take(group.ravel(), axis=0)
+        h[:, DIM:] = _ROW.take(group, axis=0)
         y = h @ self.logits
         _bound(y)
-        picked = np.einsum("ij,ij->i", y, _BOTH.take(group.ravel(), axis=0))
+        picked = np.einsum("ij,ij->i", y, _BOTH.take(group, axis=0))
         np.exp(y, out=y)
         total = (y.reshape(-1, FINE) @ _SUMS[0, :FINE]).reshape(-1, 2)
-        return (picked - np.log(total[:, 0] * total[:, 1])).reshape(group.shape)
+        return (picked - np.log(total[:, 0] * total[:, 1])).reshape(-1, HALF)
 
 
 def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndarray, real: np.ndarray, into: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
@@ -339,13 +340,15 @@ def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndar
     what is next to each other in memory next to each other in the products."""
     kind, n_win, group = p["emb"].dtype, len(win), group.ravel()
     slots = _slots(win)
-    x = p["emb"].take(slots, axis=0)
+    x = p["emb"].take(slots, axis=0, mode="clip")
     weights = np.empty((DIM, 3 * DIM), kind)
     weights[:, :DIM], weights[:, DIM:2 * DIM], weights[:, 2 * DIM:] = p["q"] / math.sqrt(DIM), p["k"], p["v"]
     made = x @ weights
     both = _pairs(made)
     q, k, v = made[HALF:, :DIM].reshape(n_win, HALF, DIM), both[..., DIM:2 * DIM], both[..., 2 * DIM:]
-    e = _weights_of_inputs(q, k, np.exp(p["far"]) * _CAUSAL, win)
+    e = q @ k.transpose(0, 2, 1)
+    _bound(e)
+    _weigh(e, np.exp(p["far"]) * _CAUSAL, win)
     below = e.reshape(-1, 2 * HALF) @ _SPREAD.astype(kind, copy=False)
     mixed = (e @ v).reshape(-1, DIM)
     mixed /= below
@@ -391,7 +394,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndar
     dx = back @ weights.T
     dx[HALF:] += dh
     into["emb"][:] = 0
-    np.add.at(into["emb"].reshape(-1), _CELLS.take(slots, axis=0).ravel(), dx.ravel())
+    np.add.at(into["emb"].reshape(-1), _CELLS.take(slots, axis=0, mode="clip").ravel(), dx.ravel())
     return float(loss), into
 
 

@@ -1,6 +1,7 @@
 """Each operator against its plain version, on awkward rows."""
 
 import io
+import itertools
 import math
 import random
 import struct
@@ -9,10 +10,12 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from sungrid.llm import attention_lm, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, toxicity, url_filter, warc_zip
+from sungrid.llm import attention_lm, common, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, toxicity, url_filter, warc_zip
 from sungrid.llm.components import components
 
 #: Names that operators use inside.
@@ -443,6 +446,45 @@ def test_gradients(small_lm):
             assert np.isclose(g[k][at], (up - down) / (2 * h), atol=1e-6), k
 
 
+def test_gradients_into_given_arrays(small_lm):
+    """A step of training allocates no gradients and takes no logarithms for a loss; steps are Adam's."""
+    v, p = small_lm
+    win, targets, _ = attention_lm.windows([np.arange(40, dtype=np.uint16), np.array([5], np.uint16)], v, 2999)
+    group, real = v.group[targets], targets >= 0
+    loss, want = attention_lm.loss_and_gradients(p, win, group, real)
+    w = np.concatenate([x.ravel() for x in p.values()]).astype(np.float64)
+    adam, m, s, plain = attention_lm.Adam(w, 0.01), 0, 0, w.copy()
+    into = {k: np.full_like(x, 7) for k, x in p.items()}
+    none, got = attention_lm.loss_and_gradients(p, win, group, real, into)
+    assert math.isnan(none) and math.isfinite(loss) and got is into
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    g = np.concatenate([got[k].ravel() for k in p]).astype(np.float64)
+    for step in (1, 2, 3):
+        adam.gradient[:] = g
+        adam.update()
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        plain -= 0.01 / (1 - 0.9 ** step) * m / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
+    assert np.allclose(w, plain, atol=1e-7)
+
+
+def test_words_of_a_batch_are_split_and_encoded_at_once():
+    texts = [bytes([i, i]) + b"Ab" + bytes([j]) + b"Z\xff\xc3" for i in range(256) for j in range(0, 256, 3)] + [b"", b" \t ", "\u00a0Ä b\u2028c".encode()]
+    for at in (0, 3):  # a slice of a longer batch too
+        lists = attention_lm.split_texts(pa.array(texts, pa.binary()).slice(at))
+        words = attention_lm._bytes(lists.flatten()).to_pylist()
+        assert [[w for w in words[a:b] if w] for a, b in itertools.pairwise(lists.offsets.to_pylist())] == [common.tokens(t) for t in texts[at:]]
+    ranks = attention_lm.read_ranks(attention_lm.VOCABULARY)
+    made, calls = attention_lm.Subwords(ranks), []
+    alone = tiktoken.Encoding("alone", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    encode = made.core.encode_ordinary
+    made.core.encode_ordinary = lambda text: calls.append(text) or encode(text)
+    for some in (sorted(set(words)), [b""], [b"the", b""], [b"the"]):
+        ids, first, long = made.each(some)
+        want = [alone.encode_ordinary(" " + w.decode("utf-8", "replace")) if w else [max(ranks.values()) + 1] for w in some]
+        assert [ids[a:a + n].tolist() for a, n in zip(first, long, strict=True)] == want
+    assert len(calls) == 4
+
+
 @pytest.mark.parametrize("head", [100_000, 3])
 def test_base_scores_of_texts(spark, texts, tmp_path, monkeypatch, head):
     monkeypatch.setattr(attention_lm, "HEAD", head)
