@@ -385,8 +385,8 @@ def loss_and_gradients(p: dict[str, np.ndarray], win: np.ndarray, group: np.ndar
     back = np.empty((n_win + 1, HALF, 3 * DIM), kind)  # of queries, keys and values
     back[0, :, :DIM] = 0
     np.matmul(ds, k, out=back[1:, :, :DIM])
-    back[:-1, :, DIM:], back[-1, :, DIM:] = pairs[:, :HALF], 0
-    back[1:, :, DIM:] += pairs[:, HALF:]
+    np.add(pairs[:-1, HALF:], pairs[1:, :HALF], out=back[1:-1, :, DIM:])
+    back[0, :, DIM:], back[-1, :, DIM:] = pairs[0, :HALF], pairs[-1, HALF:]
     back = back.reshape(-1, 3 * DIM)
     grad = x.T @ back
     np.divide(grad[:, :DIM], math.sqrt(DIM), out=into["q"])
